@@ -22,3 +22,45 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(len(gl.g), 0
        sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM d LEFT JOIN gl USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+crc AS (SELECT doc_id, w, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS UBIGINT))),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)) AS c FROM d),
+flag AS (SELECT doc_id, w, xor(c, 4294967295::UBIGINT) % 10 = 0 AS held_out FROM crc),
+tok AS (
+  SELECT doc_id, held_out, unnest(list_append(w, ' ')) AS t, unnest(list_prepend(' ', w)) AS v FROM flag
+),
+uni AS (SELECT t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY t),
+pair AS (SELECT v, t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY v, t),
+tot AS (SELECT CAST(sum(c) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS vv, CAST(count(*) FILTER (c = 1) AS DOUBLE) AS n1,
+        CAST(count(*) FILTER (c = 2) AS DOUBLE) AS n2 FROM uni),
+par AS (SELECT n, vv, n1 / (n1 + 2 * n2) AS dd FROM tot),
+scored AS (
+  SELECT tok.doc_id, tok.held_out, coalesce(u.c, 0) AS c, coalesce(h.c, 0) AS cv, coalesce(pair.c, 0) AS cc,
+         CASE WHEN u.c IS NULL THEN dd * vv / n ELSE (u.c - dd) / n END AS p, n, vv
+  FROM tok CROSS JOIN par LEFT JOIN uni u ON u.t = tok.t LEFT JOIN uni h ON h.t = tok.v
+  LEFT JOIN pair ON pair.v = tok.v AND pair.t = tok.t
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+       round(fsum(log10((c + 0.1) / (n + 0.1 * (vv + 1)))), 6) AS base_score,
+       round(fsum(CASE WHEN cc > 0 THEN log10((cc + 100.0 * p) / (cv + 100.0)) ELSE log10(100.0 / (cv + 100.0)) + log10(p) END), 6) AS score
+FROM scored GROUP BY doc_id, held_out
+"""
+
+OP7 = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+line AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
+keyed AS (
+  SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line
+),
+hot AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+kept AS (SELECT keyed.*, hot.k IS NOT NULL AND hot.keeper <> doc_id AS gone FROM keyed LEFT JOIN hot ON keyed.k = hot.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM kept GROUP BY doc_id
+"""
