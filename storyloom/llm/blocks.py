@@ -176,3 +176,15 @@ def look_up(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         return np.full(len(wanted), -1, np.int64)
     at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
     return np.where(names[at] == wanted, at, -1)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read again: cuts lineage, and survives lost executors."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
