@@ -64,3 +64,23 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM kept GROUP BY doc_id
 """
+
+OP8 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+it AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (
+  SELECT item_id, least(len(w), 13) AS m, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS p FROM it WHERE len(w) > 0
+),
+iwin AS (SELECT DISTINCT item_id, m, array_to_string(list_slice(w, p, p + m - 1), ' ') AS win FROM iw),
+ms AS (SELECT DISTINCT m FROM iwin),
+dw AS (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS p FROM d CROSS JOIN ms WHERE len(w) >= m),
+dwin AS (SELECT doc_id, m, p, array_to_string(list_slice(w, p, p + m - 1), ' ') AS win FROM dw),
+hit AS (SELECT dwin.doc_id, dwin.p, dwin.m, iwin.item_id FROM dwin JOIN iwin ON dwin.m = iwin.m AND dwin.win = iwin.win),
+words AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS i FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
