@@ -84,3 +84,50 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+_RULES = ("symbols", "repeats", "duplicate_lines", "capitals", "marks")
+_GRID = (0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+_CUTS = " UNION ALL ".join(
+    f"SELECT stratum, quality, '{r}' AS rule, CAST(c AS DOUBLE) AS cutoff, {r} >= CAST(c AS DOUBLE) AS hit FROM held CROSS JOIN (SELECT unnest([{', '.join(map(str, _GRID))}]) AS c)"
+    for r in _RULES
+)
+
+OP10 = rf"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+pos AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, w FROM w WHERE len(w) >= 5),
+win AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(list_slice(w, p, p + 4), ' ')) AS c FROM pos),
+rep AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS i FROM win WHERE c > 1) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, lang AS stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(b) AS BIGINT) AS word_chars,
+         CAST(length(b) - length(regexp_replace(b, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words,
+         length(b) - length(regexp_replace(b, '\p{{Lu}}', '', 'g')) AS n_capitals,
+         length(b) - length(regexp_replace(b, '[!?]', '', 'g')) AS n_marks
+  FROM (SELECT *, regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS b,
+               list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w) w
+  LEFT JOIN rep USING (doc_id)
+),
+f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         coalesce(CAST(n_symbols AS DOUBLE) / nullif(word_chars, 0), 0) AS symbols, coalesce(CAST(n_repeat_words AS DOUBLE) / nullif(n_words, 0), 0) AS repeats,
+         coalesce(CAST(n_dup_lines AS DOUBLE) / nullif(n_lines, 0), 0) AS duplicate_lines,
+         coalesce(CAST(n_capitals AS DOUBLE) / nullif(word_chars, 0), 0) AS capitals, coalesce(CAST(n_marks AS DOUBLE) / nullif(word_chars, 0), 0) AS marks
+  FROM m
+),
+sure AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)),
+held AS (SELECT f.*, quality FROM f JOIN sure USING (doc_id) WHERE NOT base_failed),
+tests AS (
+  SELECT stratum, rule, cutoff, sum(quality) AS good, count(*) FILTER (hit AND quality = 1) AS g, count(*) FILTER (hit AND quality = 0) AS b
+  FROM ({_CUTS}) GROUP BY stratum, rule, cutoff
+),
+tail AS (
+  SELECT t.*, (SELECT sum(exp(lgamma(t.good + 1) - lgamma(j + 1) - lgamma(t.good - j + 1) + j * ln(0.01::DOUBLE) + (t.good - j) * ln(0.99::DOUBLE)))
+               FROM range(0, t.g + 1) r(j)) AS p FROM tests t WHERE t.good > 0 AND b > g
+),
+valid AS (SELECT * FROM tail WHERE p <= 0.05 / ((SELECT count(DISTINCT stratum) FROM held) * 75)),
+cut AS (SELECT stratum, rule, arg_max(cutoff, (b - g) * 1000.0 + cutoff) AS cutoff FROM valid GROUP BY stratum, rule),
+wide AS (SELECT stratum, {", ".join(f"min(cutoff) FILTER (rule = '{r}') AS c_{r}" for r in _RULES)} FROM cut GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ({" OR ".join(f"coalesce({r} >= c_{r}, false)" for r in _RULES)}) AS kept
+FROM f LEFT JOIN wide ON f.stratum IS NOT DISTINCT FROM wide.stratum
+"""
