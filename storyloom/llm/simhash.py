@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.llm import blocks as B
@@ -87,21 +87,34 @@ def views(most: int) -> list[tuple[list[tuple[int, int]], int]]:
     return found
 
 
-def turned(bits: Column, order: list[tuple[int, int]]) -> Column:
-    """The fingerprint with its chunks (ranges of bits from the top) in this order."""
-    out, at = F.lit(0).cast("long"), BITS
+def turned(bits: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """Fingerprints with their chunks (ranges of bits from the top) in this order."""
+    out, at = np.zeros_like(bits), BITS
     for a, b in order:
-        width = b - a
-        at -= width
-        chunk = F.shiftrightunsigned(bits, BITS - b).bitwiseAND((1 << width) - 1)
-        out = out.bitwiseOR(F.shiftleft(chunk, at))
+        at -= b - a
+        out |= ((bits >> np.uint64(BITS - b)) & np.uint64((1 << (b - a)) - 1)) << np.uint64(at)
     return out
 
 
-def gray_rank(v: Column) -> Column:
+def gray_rank(bits: np.ndarray) -> np.ndarray:
     for s in (1, 2, 4, 8, 16, 32):
-        v = v.bitwiseXOR(F.shiftrightunsigned(v, s))
-    return v
+        bits = bits ^ (bits >> np.uint64(s))
+    return bits
+
+
+def in_views(found: DataFrame, most: int) -> DataFrame:
+    """``bits`` -> a row for each view: view, front, rank (ordered as a signed long), bits."""
+    shapes = views(most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.asarray(batch.column(0))
+            for k, (order, front) in enumerate(shapes):
+                own = turned(bits.view(np.uint64), order)
+                rank = (gray_rank(own) ^ np.uint64(1 << 63)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bits), pa.array(np.full(len(bits), k, np.int32)), pa.array((own >> np.uint64(BITS - front)).view(np.int64)), pa.array(rank)], names=["bits", "view", "front", "rank"])
+
+    return found.select("bits").mapInArrow(run, "bits long, view int, front long, rank long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -196,10 +209,7 @@ def _search(table: pa.Table, most: int) -> pa.Table:
     bits = np.asarray(table.column("bits").combine_chunks()).view(np.uint64)
     visitor = np.asarray(table.column("visitor").combine_chunks().cast(pa.int8())).astype(bool)
     own = np.unique(bits[~visitor])
-    rank = own.copy()
-    for s in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(s)
-    own = own[np.argsort(rank)]
+    own = own[np.argsort(gray_rank(own))]
     signed = own.view(np.int64)
     label = components_of(len(own), *links_in_cell(own, own, most))
     least = np.full(len(own), np.iinfo(np.int64).max)
@@ -220,8 +230,7 @@ def _search(table: pa.Table, most: int) -> pa.Table:
 
 def similar(found: DataFrame, most: int = 4) -> DataFrame:
     """Distinct ``bits`` -> links (a, b), a < b, whose components are those of all pairs of at most ``most`` differing bits."""
-    rows = F.array(*[F.struct(F.lit(k).alias("view"), F.shiftrightunsigned(turned(F.col("bits"), order), BITS - front).alias("front"), gray_rank(turned(F.col("bits"), order)).bitwiseXOR(F.lit(-(2**63))).alias("rank")) for k, (order, front) in enumerate(views(most))])
-    dealt = found.select("bits", F.inline(rows)).repartitionByRange("view", "rank").sortWithinPartitions("view", "rank")
+    dealt = in_views(found, most).repartitionByRange("view", "rank").sortWithinPartitions("view", "rank")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
