@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontamination, line_dedup, lm_scoring, oracles, packing, pii, quality_rules, simhash, substring_dedup, toxicity
+from storyloom.llm import chat_format, decontamination, line_dedup, lm_scoring, oracles, packing, pii, quality_rules, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5
+    found = chat_format.recover(table(spark, sf_dir, "conversations"), remainder != 0)
+    return found.select("conv_id", "turn", (remainder == 0).alias("held_out"), "role", "found_role", "rendered")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
+    "op6_chat_format": op6_chat_format,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
