@@ -138,8 +138,8 @@ def recover(turns: DataFrame, train: Column, segment: int = SEGMENT) -> DataFram
             rows.append((conv, seg, matrix(score, step).ravel().tolist(), viterbi_end(start, score, step)))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], names=["conv_id", "seg", "m", "s"])
 
-    long = cut.groupBy("conv_id").agg(F.min("seg").alias("a"), F.max("seg").alias("b")).filter("a < b").select("conv_id")
-    parts = dealt.select("conv_id", "seg", "symbols", "turn", "text").join(long, F.col("conv_id").eqNullSafe(long["conv_id"]), "left_semi").repartition("conv_id", "seg").sortWithinPartitions(*order)
+    long = cut.groupBy("conv_id").agg(F.min("seg").alias("a"), F.max("seg").alias("b")).filter("a < b").select(F.col("conv_id").alias("of"))
+    parts = dealt.select("conv_id", "seg", "symbols", "turn", "text").join(long, F.col("conv_id").eqNullSafe(F.col("of")), "left_semi").repartition("conv_id", "seg").sortWithinPartitions(*order)
     found = parts.drop("turn", "text").mapInArrow(matrices, "conv_id long, seg long, m array<double>, s array<double>")
 
     def cuts(table: pa.Table) -> pa.Table:
