@@ -113,6 +113,8 @@ def window_names(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 def _least(names: np.ndarray, docs: np.ndarray):
     """Distinct names, the smallest id of each, and whether there is a larger one."""
+    if not len(names):
+        return names, docs, np.zeros(0, bool)
     order = np.lexsort((docs, names))
     names, docs = names[order], docs[order]
     first = np.ones(len(names), bool)
