@@ -41,7 +41,7 @@ def blocks_of(transcripts: DataFrame) -> DataFrame:
     any_marker = "|".join(MARKERS.values())
     marked = F.regexp_replace(F.coalesce("text", F.lit("")), rf"(?im)^(?=[ \t#*<\[|]*(?:{any_marker})[ \t*>\]|]*[:>])", "\u0001")
     parts = F.filter(F.split(F.regexp_replace(marked, r"\n[ \t]*\n+", "\u0001"), "\u0001"), lambda x: F.trim(x) != "")
-    return transcripts.select("conv_id", F.posexplode(parts).alias("turn", "text")).select("conv_id", F.col("turn").cast("long").alias("turn"), F.rtrim("text").alias("text"))
+    return transcripts.select("conv_id", F.posexplode(parts).alias("turn", "text")).select("conv_id", F.col("turn").cast("long").alias("turn"), F.regexp_replace("text", r"\s+$", "").alias("text"))
 
 
 def observed(turns: DataFrame) -> DataFrame:

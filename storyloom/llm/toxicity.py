@@ -37,6 +37,7 @@ SAMPLE_ROWS = 20_000
 TERMS = 2_000
 STEMS = range(4, 8)
 WINDOW = 6
+LIKELIHOOD = 15.0  # a likelihood ratio that chance gives one term in ten thousand
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|…“”„«»‘’-"
 OPEN, CLOSE = "\"“„«‘'", "\"”“»’'"
 
@@ -45,9 +46,10 @@ def bare(token: str) -> str:
     return token.strip(EDGE)
 
 
-def signature(words: set[str]) -> str:
-    """Alike for near copies: the four words with the smallest hashes."""
-    least = sorted(hashlib.blake2b(w.encode(), digest_size=8).digest() for w in words)[:4]
+def signature(words: list[str]) -> str:
+    """Alike for near copies: the two smallest hashes of three words in a row."""
+    grams = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    least = sorted(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams)[:2]
     return b"".join(least).hex()
 
 
@@ -68,9 +70,9 @@ def lexicon_counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             sigs, found, toxic = [], [], []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = {bare(t) for t in (text or "").lower().split()} - {""}
+                words = [bare(t) for t in (text or "").lower().split()]
                 sigs.append(signature(words))
-                found.append(sorted(words))
+                found.append(sorted({*words} - {""}))
                 toxic.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.string()), pa.array(toxic, pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["sig", "toxic", "words"])
 
@@ -95,7 +97,9 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int, terms: in
     rated = []
     for term, t, c in counts:
         odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        if odds >= 2 and odds / math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= 3:
+        share = toxic / (toxic + clean)
+        ratio = 2 * sum(n * math.log(n / ((t + c) * p)) for n, p in ((t, share), (c, 1 - share)) if n)
+        if odds >= 2 and ratio >= LIKELIHOOD:
             rated.append((t - 10 * c, not term.endswith("*"), len(term), term, odds, t))
     found: dict[str, float] = {}
     support: dict[str, int] = {}
