@@ -55,12 +55,14 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
     step = F.transform("repeated", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("repeated", i + 1) - p, F.lit(WINDOW))))
     df = df.withColumn("n_repeat_words", F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)).drop("repeated")
     share = lambda part, whole: F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole)), F.lit(0.0))
-    return df.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    out = [
+        *(F.col(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
         share("n_symbols", "word_chars").alias("symbols"), share("n_repeat_words", "n_words").alias("repeats"), share("n_dup_lines", "n_lines").alias("duplicate_lines"),
         share("n_capitals", "word_chars").alias("capitals"), share("n_marks", "word_chars").alias("marks"),
-    )
+    ]
+    # A generator: a later filter on a measure must not be pushed below it, which would work out all measures again inside the condition.
+    return df.select(*keep, F.inline(F.array(F.struct(*out))))
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
