@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storyloom.operators import folds
+from storyloom.operators import folds, resolve
 from storyloom.plans.oracle_graph import over_graph
 from storyloom.sources.graph import PREDICATES, Graph, derive
 
@@ -30,6 +30,7 @@ QUERIES = {
     "interval_fold": _with(lambda g: folds.interval_fold(_moves(g))),
     "surfaces": _with(lambda g: folds.surfaces(_mentions(g))),
     "entity_match": _with(lambda g: folds.entity_match(folds.surfaces(_mentions(g)).select("world_id", "norm"), g.entities)),
+    "resolve_entities": _with(lambda g: resolve.resolve(_mentions(g), folds.surfaces(_mentions(g)).filter("mentions > 20").select("world_id", "norm"))),
     "apply_merges": _with(lambda g: folds.apply_merges(g.assertions.select("world_id", "assertion_id", "subject_id", "object_id"), _merges(g), ["subject_id", "object_id"])),
     "apply_rulings": _with(lambda g: folds.apply_rulings(g.assertions.select("assertion_id", "status"), g.assertions.filter("assertion_id % 3 = 0").select("assertion_id", F.when(F.col("assertion_id") % 2 == 0, "accept").otherwise("reject").alias("verdict"), F.lit(1).alias("seq")))[0]),
     "score_extraction": _with(lambda g: folds.score_extraction(g.assertions.filter("object_value is not null").select(F.col("world_id").alias("run_id"), F.col("assertion_id").alias("expected_id"), F.col("subject_id").cast("string").alias("subject"), "predicate", F.col("object_value").alias("value")), g.assertions.filter("object_value is not null and assertion_id % 3 <> 0").select(F.col("world_id").alias("run_id"), F.col("assertion_id").alias("actual_id"), F.col("subject_id").cast("string").alias("subject"), "predicate", F.upper("object_value").alias("value")))),
