@@ -169,7 +169,7 @@ SELECT b.world_id, section, e.name, CAST(row_number() OVER (PARTITION BY b.world
  concat_ws(' ', b.predicate, coalesce(b.object_value, n.object_value, ''), CASE WHEN section = 'knowledge' THEN 'learned at ' || label END) AS text, label, CASE WHEN b.status IN ('draft', 'sealed') THEN b.status ELSE '' END AS note, b.assertion_id
 FROM b JOIN labels_ l ON l.world_id = b.world_id AND l.scene_id = b.scene_id JOIN entities e ON e.world_id = b.world_id AND e.entity_id = b.subject_id LEFT JOIN a n ON n.world_id = b.world_id AND n.assertion_id = b.object_assertion_id WHERE section IS NOT NULL"""
 _U = "u AS (SELECT event_id, ts, CAST(floor(epoch(ts)) AS BIGINT) AS sec, user_id, world_id, event_type AS kind, CASE k % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' ELSE 'other' END AS model, CAST(floor(abs(value) * 10) AS BIGINT) AS tokens_in, CAST(k AS BIGINT) AS tokens_out FROM ev)"
-_P = _U + ", p AS (SELECT u.*, kind || CASE WHEN model = 'other' THEN ':unpriced' ELSE '' END AS kind2, CASE model WHEN 'small' THEN round((tokens_in * 0.25 + tokens_out * 1.25) / 1000000.0, 4) WHEN 'large' THEN round((tokens_in * 3.0 + tokens_out * 15.0) / 1000000.0, 4) ELSE 0 END AS cost FROM u)"
+_P = _U + ", p AS (SELECT u.*, kind || CASE WHEN model = 'other' THEN ':unpriced' ELSE '' END AS kind2, CASE model WHEN 'small' THEN (tokens_in * 25 + tokens_out * 125 + 5000) // 10000 WHEN 'large' THEN (tokens_in * 300 + tokens_out * 1500 + 5000) // 10000 ELSE 0 END AS cost FROM u)"
 _MEMBERS = """WITH worlds AS (SELECT c_custkey AS world_id, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS owner_id FROM customer),
 members AS (SELECT o_custkey AS world_id, CAST(o_orderkey % 25 AS VARCHAR) AS user_id, CASE o_orderkey % 3 WHEN 0 THEN 'viewer' WHEN 1 THEN 'editor' ELSE 'owner' END AS role, o_orderkey AS created_at FROM orders)"""
 
@@ -183,8 +183,8 @@ ORACLES = {
     "ask_route": over_graph(f"{_Q} SELECT question_id, intent, subject, thing, \"at\" FROM rt"),
     "ask_cited": over_graph(_ASK),
     "bible_lines": over_graph(_BIBLE),
-    "price_usage": over_graph(f"{_P} SELECT kind2 AS kind, model, count(*) AS n, CAST(sum(cost) AS DOUBLE) AS cost FROM p GROUP BY 1, 2"),
-    "usage_rollup": over_graph(f"{_P} SELECT world_id, user_id, count(*) AS events, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(cost) AS DOUBLE) AS cost FROM p GROUP BY GROUPING SETS ((world_id), (user_id))"),
+    "price_usage": over_graph(f"{_P} SELECT kind2 AS kind, model, count(*) AS n, CAST(sum(cost) AS DOUBLE) / 10000 AS cost FROM p GROUP BY 1, 2"),
+    "usage_rollup": over_graph(f"{_P} SELECT world_id, user_id, count(*) AS events, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(cost) AS DOUBLE) / 10000 AS cost FROM p GROUP BY GROUPING SETS ((world_id), (user_id))"),
     "quota_check": over_graph(f"{_U}, w AS (SELECT *, count(*) OVER x AS used, min(sec) OVER x AS oldest, CASE kind WHEN 'click' THEN 3 WHEN 'view' THEN 2 WHEN 'purchase' THEN 5 END AS lim FROM u WINDOW x AS (PARTITION BY user_id, kind ORDER BY sec RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW)) SELECT event_id, used, coalesce(used > lim, false) AS denied, CASE WHEN used > lim THEN oldest + 86400 - sec END AS retry_after FROM w"),
     "daily_spend_alert": over_graph(f"{_U} SELECT event_id, CAST(spent AS BIGINT) AS spent FROM (SELECT event_id, sum(tokens_out) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS spent FROM u) WHERE spent > 150"),
     "cost_guard": over_graph(f"{_U} SELECT user_id AS run_id, event_id, CAST(total AS BIGINT) AS total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM (SELECT *, sum(tokens_out) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM u) WHERE total > 300) WHERE nth = 1"),
