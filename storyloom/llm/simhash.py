@@ -12,8 +12,8 @@ than one cell continues in later ones; its fingerprints visit those too, unless
 own root pattern rules that out.  So no group of near copies, however large, meets in one task.
 
 A cell returns at most one link for each fingerprint it holds or is visited by; connected
-components of the links are found by label rounds with pointer jumping over distinct
-fingerprints, each round written to the shared folder.  Exact copies share a fingerprint and
+components of the links are found by label rounds with hooking and pointer jumping over
+distinct fingerprints, until nothing moves, each round written to the shared folder.  Exact copies share a fingerprint and
 never meet in a pair.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; texts
@@ -247,21 +247,28 @@ def similar(found: DataFrame, most: int = 4) -> DataFrame:
     return both.groupBy("cell").applyInArrow(lambda t: _search(t, most), "a long, b long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """Links (a, b) -> (node, component): the smallest node reachable; nodes without a link are left out."""
+def components(links: DataFrame) -> DataFrame:
+    """Links (a, b) -> (node, component): the smallest node reachable; nodes without a link are left out.
+
+    Each round gives the smallest grandparent label beside a node to the node and also to its parent
+    (whole trees hook at once), then every node takes its grandparent; so the rounds grow with the
+    logarithm of a component's size, not its diameter, and they go on until nothing moves.
+    """
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = B.stored(edges.distinct(), "links")
-    labels = B.stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(rounds):
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        far = F.least("new", F.coalesce("far", "new"))
-        new = B.stored(step.join(jump, "new", "left").select("node", far.alias("label"), (far < F.col("label")).alias("moved")), "labels")
-        labels = new.select("node", "label")
+    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    labels = B.stored(labels.withColumn("far", F.col("label")), "labels")
+    while True:
+        near = edges.join(labels.select(F.col("node").alias("b"), "far"), "b").groupBy(F.col("a").alias("node")).agg(F.min("far").alias("near"))
+        step = labels.join(near, "node").select("node", "label", "far", F.least("far", "near").alias("low"))
+        own = step.select("node", F.least("label", "low").alias("low"), F.col("label").alias("was"), F.col("far").alias("was_far"))
+        hooks = step.filter(F.col("low") < F.col("label")).select(F.col("label").alias("node"), "low", F.lit(None).cast("long").alias("was"), F.lit(None).cast("long").alias("was_far"))
+        held = B.stored(own.unionByName(hooks).groupBy("node").agg(F.min("low").alias("label"), F.max("was").alias("was"), F.max("was_far").alias("was_far")), "hooked")
+        jump = held.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        new = B.stored(held.join(jump, "label").select("node", "label", "far", ((F.col("label") < F.col("was")) | (F.col("far") < F.col("was_far"))).alias("moved")), "labels")
+        labels = new.select("node", "label", "far")
         if new.filter("moved").isEmpty():
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError("label rounds did not settle")
+            return labels.select("node", F.col("label").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:

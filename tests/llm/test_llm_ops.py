@@ -242,6 +242,15 @@ def test_near_duplicates_cases(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    """A chain of edits whose ids come in any order: neighbour minima alone need some hundred rounds."""
+    order = np.random.default_rng(1).permutation(400) * 7 - 900
+    chain = [(int(min(x)), int(max(x))) for x in zip(order, order[1:])]
+    pairs = [(10_000, 10_001), (10_001, 10_002)]
+    got = {r.node: r.component for r in simhash.components(spark.createDataFrame(chain + pairs, "a long, b long")).collect()}
+    assert got == {int(x): -900 for x in order} | {10_000: 10_000, 10_001: 10_000, 10_002: 10_000}
+
+
 def test_line_dedup(spark, empty):
     shared = "This line is shared by several documents."
     rows = [(1, f"{shared}\nown one\n{shared}"), (2, f"x\n  {shared.upper()}\t\nshort"), (3, f"{shared}\n{shared}\nend"), (4, None), (5, ""), (6, "short\nshort"), (7, "Only two documents hold this line"), (8, "Only two documents hold this line"), (2, "again " + shared)]
