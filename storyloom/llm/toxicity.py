@@ -3,7 +3,7 @@
 1. On half of a bounded sample of labelled rows Spark counts in how many toxic and clean
    texts each word and each word beginning (``stem*``) occurs; those that mark toxic texts
    become the lexicon.  Near copies in the sample count once.
-2. The lexicon is a trie.  A word that is no entry is run through the intersection of the
+2. The lexicon, with the words observed below its stems, is a trie.  A word that is no entry is run through the intersection of the
    trie with the word's Levenshtein automaton: the automaton's state is the row of edit
    distances, and a branch dies when all of it exceeds the limit, so misspelled terms are
    found without trying every entry.
@@ -24,7 +24,9 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ SAMPLE_ROWS = 20_000
 TERMS = 2_000
 STEMS = range(4, 8)
 WINDOW = 6
+LEAST = 3  # toxic texts that a term is in
 LIKELIHOOD = 15.0  # a likelihood ratio that chance gives one term in ten thousand
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|…“”„«»‘’-"
 OPEN, CLOSE = "\"“„«‘'", "\"”“»’'"
@@ -102,23 +105,37 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int, terms: in
         if odds >= 2 and ratio >= LIKELIHOOD:
             rated.append((t - 10 * c, not term.endswith("*"), len(term), term, odds, t))
     found: dict[str, float] = {}
-    support: dict[str, int] = {}
+    below: dict[str, int] = {}  # of each beginning, the count of the best word or chosen stem that has it
+
+    def note(term: str, t: int) -> None:
+        stem = term.rstrip("*")
+        for k in STEMS:
+            if k <= len(stem):
+                below[stem[:k]] = max(t, below.get(stem[:k], 0))
+
+    for *_, term, _, t in rated:
+        if not term.endswith("*"):
+            note(term, t)
     for _, _, _, term, odds, t in sorted(rated, reverse=True):
         stem = term.rstrip("*")
         if any(stem[:k] + "*" in found for k in STEMS if k <= len(stem)):
             continue
-        if term.endswith("*") and t <= 1.1 * max([n for w, n in support.items() if w.rstrip("*").startswith(stem)], default=0):
+        if term.endswith("*") and t <= 1.1 * below.get(stem, 0):
             continue
-        found[term], support[term] = odds, t
+        found[term] = odds
+        note(term, t)
         if len(found) == terms:
             break
     return found
 
 
 class Matcher:
-    """Exact, stem and misspelled matches of single words; remembers what it has seen up to ``memory`` words."""
+    """Exact, stem and misspelled matches of single words; remembers what it has seen up to ``memory`` words.
+
+    ``spelled`` are words below the stems, whose misspellings count too.
+    """
 
-    def __init__(self, lexicon: dict[str, float], edits: int = 1, shortest: int = 5, memory: int = 300_000):
+    def __init__(self, lexicon: dict[str, float], edits: int = 1, shortest: int = 5, memory: int = 300_000, spelled: Iterable[str] = ()):
         self.words = {t for t in lexicon if not t.endswith("*")}
         self.stems = {t[:-1] for t in lexicon if t.endswith("*")}
         self.stem_sizes = sorted({len(s) for s in self.stems})
@@ -126,7 +143,7 @@ class Matcher:
         self.trie: dict = {}
         self.heads: dict[str, set[int]] = {}
         self.tails: dict[str, set[int]] = {}
-        for w in sorted(self.words):
+        for w in sorted(self.words.union(spelled)):
             if len(w) < shortest:
                 continue
             node = self.trie
@@ -213,37 +230,43 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 50) ->
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS, terms: int = TERMS) -> tuple[dict[str, float], np.ndarray | None]:
-    """The lexicon and the weights, from labelled rows where ``train`` holds."""
+def learn(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS, terms: int = TERMS) -> tuple[dict[str, float], list[str], np.ndarray | None]:
+    """The lexicon, the words observed below its stems and the weights, from labelled rows where ``train`` holds."""
     sample = B.stored(sampled(docs, labels, train, rows), "toxicity-sample")
     counts = B.stored(lexicon_counts(sample.filter("half = 0")), "toxicity-terms")
     total = counts.filter("term = ''").first()
     if not total or not total["toxic"]:
-        return {}, None
-    least = max(3, total["toxic"] // 50)
-    likely = counts.filter((F.col("term") != "") & (F.col("toxic") >= least) & (F.col("toxic") * (total["clean"] + 1) >= 5 * F.col("clean") * (total["toxic"] + 1)))
+        return {}, [], None
+    marks = counts.filter((F.col("term") != "") & (F.col("toxic") > 0) & (F.col("toxic") * (total["clean"] + 1) >= 5 * F.col("clean") * (total["toxic"] + 1)))
+    likely = marks.filter(F.col("toxic") >= LEAST)
     top = likely.orderBy(F.desc(F.col("toxic") - 10 * F.col("clean")), F.asc("term")).limit(20 * terms).collect()  # bounded by ``terms``
     lexicon = choose([(r["term"], r["toxic"], r["clean"]) for r in top], total["toxic"], total["clean"], terms)
+    stems = [t[:-1] for t in lexicon if t.endswith("*")]
+    spelled: list[str] = []
+    if stems:
+        under = [F.substring("term", 1, k).isin(part) for k in STEMS if (part := [s for s in stems if len(s) == k])]
+        words = marks.filter(~F.col("term").endswith("*")).filter(reduce(or_, under))
+        spelled = [r["term"] for r in words.orderBy(F.desc("toxic"), F.asc("term")).limit(20 * terms).collect()]  # bounded by ``terms``
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(lexicon)
+        match = Matcher(lexicon, spelled=spelled)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([features(t or "", match) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], names=["toxic", "x"])
 
     held = sample.filter("half = 1").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, x array<double>").collect()  # bounded by ``rows``
     if not any(r["toxic"] for r in held) or all(r["toxic"] for r in held):
-        return lexicon, None
-    return lexicon, fit(np.array([r["x"] for r in held]), np.array([float(r["toxic"]) for r in held]))
+        return lexicon, spelled, None
+    return lexicon, spelled, fit(np.array([r["x"] for r in held]), np.array([float(r["toxic"]) for r in held]))
 
 
 def score(docs: DataFrame, labels: DataFrame, train: Column, cutoff: float = 0.3, rows: int = SAMPLE_ROWS, terms: int = TERMS) -> DataFrame:
     """(doc_id, text), labels (doc_id, toxic) -> doc_id, score, predicted, and the counts of words, stems, misspelled, quoted and clustered matches."""
-    lexicon, weights = learn(docs, labels, train, rows, terms)
-    model = docs.sparkSession.sparkContext.broadcast((lexicon, weights))  # at most ``terms`` entries
+    lexicon, spelled, weights = learn(docs, labels, train, rows, terms)
+    model = docs.sparkSession.sparkContext.broadcast((lexicon, spelled, weights))  # at most 21 * ``terms`` entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, w = model.value
-        match = Matcher(lexicon)
+        lexicon, spelled, w = model.value
+        match = Matcher(lexicon, spelled=spelled)
         for batch in batches:
             for part, texts in B.slices(pa.Table.from_batches([batch])):
                 x = np.array([features(t.as_py().decode(), match) for t in texts]).reshape(len(texts), -1)

@@ -317,6 +317,23 @@ def test_toxicity(spark, empty):
     assert all(r.score == 0 for r in toxicity.score(df.limit(5), lab.filter("toxic = 0"), F.lit(True)).collect())
 
 
+def test_toxicity_misspelled_inflected_terms(spark):
+    one = [("idiot", 104, 0), ("idiots", 6, 0), *((f"{'idiots'[:k]}*", 110, 0) for k in (4, 5))]
+    match = toxicity.Matcher(toxicity.choose(one, 500, 2000, 100))
+    assert [match(w) for w in ("idiot", "ideot", "1diot", "iidiot", "radio")] == [1, 3, 3, 3, 0]
+    # A stem that says more than each of its words: these are searched misspelled as well.
+    forms, rows = ["snorgle", "snorgling", "snorgled", "snorgler"], []
+    for i in range(400):
+        w = [f"w{(i * 7 + j * j) % 61}" for j in range(40)]
+        if i % 5 == 0:
+            w[i % 40] = forms[i // 5 % 4]
+        rows.append((i, " ".join(w)))
+    lab = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    df = spark.createDataFrame([*rows, (1000, "w1 sn0rgle w2 xnorgling w3")], "doc_id long, text string")
+    assert "snorgle" in toxicity.learn(df, lab, F.lit(True))[1]
+    assert toxicity.score(df, lab, F.lit(True)).filter("doc_id = 1000").first().n_misspelled == 2
+
+
 def test_levenshtein_trie_is_exact():
     def distance(a, b):
         row = list(range(len(b) + 1))
