@@ -87,6 +87,7 @@ KEYED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?k
 NATIONAL = re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![A-Za-z0-9])")
 WRITTEN = re.compile(r"(?i)(?<![\w.+-])([a-z0-9._+-]{1,64}\x20?[\[(]at[\])]\x20?[a-z0-9-]{1,63}(?:\x20?[\[(]dot[\])]\x20?[a-z0-9-]{1,63})+)")
+AT = tuple(a + t + end for a in "aA" for t in "tT" for end in "])")  # each written email holds one
 LOCAL_PHONE = re.compile(r"(?<![0-9+)(.-])(\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})(?![0-9-])")
 HARDWARE = re.compile(r"(?<![0-9A-Fa-f:])((?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2})(?![0-9A-Fa-f:])")
 # Key words of the gazetteer.
@@ -135,7 +136,7 @@ def candidates(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int,
         if any(ch in "0123456789" for ch in m[1]) and not m[1].isdigit():
             found.append((m.start(1), "secret", m.end(1)))
     low = text if "=" in text or ":" in text else ""
-    for pattern, kind, on in ((KEYED, "secret", low), (NATIONAL, "national_id", text if "-" in text else ""), (ACCOUNT, "account", text), (WRITTEN, "written_email", text if "at]" in text or "at)" in text or "AT]" in text else ""), (LOCAL_PHONE, "local_phone", text), (HARDWARE, "hardware", low)):
+    for pattern, kind, on in ((KEYED, "secret", low), (NATIONAL, "national_id", text if "-" in text else ""), (ACCOUNT, "account", text), (WRITTEN, "written_email", text if any(x in text for x in AT) else ""), (LOCAL_PHONE, "local_phone", text), (HARDWARE, "hardware", low)):
         if on:
             found += [(m.start(1), kind, m.end(1)) for m in pattern.finditer(on)]
     out, end = [], 0
@@ -151,12 +152,18 @@ def candidates(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int,
     return out
 
 
+def weights(counts: list[int], total: float = 1e4) -> np.ndarray:
+    """Shares of all spans times a fixed total, so that the same mix is judged alike at every size."""
+    n = np.array(counts, float)
+    return n * (total / n.sum())
+
+
 def reliabilities(patterns: list[tuple[str, int]], steps: int = 60) -> dict[str, float]:
     """Expectation-maximisation over vote patterns: the probability that a span with this pattern is personal."""
     if not patterns:
         return {}
     codes = np.array([["-0+".index(ch) for ch in p] for p, _ in patterns])
-    n = np.array([c for _, c in patterns], float)
+    n = weights([c for _, c in patterns])
     belief = 1 / (1 + np.exp(-1.5 * ((codes == 2).sum(axis=1) - 1.5 * (codes == 0).sum(axis=1) - 1)))
     for _ in range(steps):
         score = np.zeros((len(n), 2))
@@ -185,7 +192,7 @@ def span_classifier(table: list[tuple[str, str, int]], belief: dict[str, float],
     for i, r in enumerate(rows):
         x[i, r] = 1
     y = np.array([belief[v] for v, _, _ in table])
-    n = np.minimum(np.array([c for _, _, c in table], float), 1e4)
+    n = weights([c for _, _, c in table])
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))

@@ -193,6 +193,22 @@ def test_pii_finds_secrets(spark, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_judges_a_mix_alike_at_every_size():
+    mix = [("+0++++0", "secret|2|1|0", 40), ("0000+-0", "secret|2|0|0", 900), ("+0+00++", "secret|2|2|0", 3), ("0-000-0", "account|1|2|1", 57)]
+
+    def judged(times):
+        belief = pii.reliabilities([(v, n * times) for v, _, n in mix])
+        return pii.span_classifier([(v, s, n * times) for v, s, n in mix], belief)
+
+    small, large = judged(1), judged(100_000)
+    assert small.keys() == large.keys() and all(abs(small[k] - large[k]) < 1e-6 for k in small)
+
+
+def test_pii_written_emails_in_any_case():
+    for t in ("name (AT) host (DOT) com", "name [At] host [dot] com", "name(aT)host(Dot)com", "name [at] host [dot] com"):
+        assert [k for _, _, k, _, _ in pii.candidates(t, [])] == ["written_email"], t
+
+
 def test_fingerprints(docs):
     import xxhash
 
