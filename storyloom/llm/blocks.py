@@ -1,23 +1,29 @@
 """Shared machinery of the corpus operators: word arrays, and the block exchange.
 
-Documents are dealt by id into *blocks* of a bounded number of bytes.  What a block
-knows (names of symbols, n-grams, lines) leaves it once per distinct name, goes to the
+Documents are dealt by id and text into *blocks* of a bounded number of bytes.  What a
+block knows (names of symbols, n-grams) leaves it once per distinct name, goes to the
 *bucket* that owns this range of hashes, and the bucket sends back to every block only
 what that block asked for.  So no name, however frequent, has more rows than there are
 blocks, no table of names is ever broadcast, and the texts are exchanged once: every
-later pass reuses the same exchange.  All steps are Spark exchanges and can be
-recomputed when an executor is lost.
+later pass reuses the same exchange.  A bucket answers for many blocks (``BUCKET_BYTES`` of
+text against ``BLOCK_BYTES``) and works through its range in parts, so the number of buckets
+doesn't depend on that of the blocks and there are never more rows than names.  All steps
+are Spark exchanges and can be recomputed when an executor is lost.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 12_000_000
-MIN_BLOCKS = 64
+BUCKET_BYTES = 128_000_000
+MIN_BLOCKS, MIN_BUCKETS = 24, 32
 SLICE_BYTES = 1_000_000
 NO_ID = np.iinfo(np.int64).max
 
@@ -27,23 +33,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _U = np.uint64
-_TABLE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        both = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(size, base, _U)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=_U))
-        _powers[size] = tuple(both)
-    return _powers[size]
+PLACES = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -58,6 +48,14 @@ def pair_name(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return mix(mix(a + _U(salt * 2 + 1)) * _U(0xD6E8FEB86659FD93) + b)
 
 
+def _at_place(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A random number for every byte and place within its word."""
+    return mix(mix(place.astype(_U) + _U(0x632BE59BD9B4E019)) + byte.astype(_U) * _U(0x9E3779B97F4A7C15))
+
+
+_TABLE = _at_place(np.tile(np.arange(256), PLACES), np.repeat(np.arange(PLACES), 256))
+
+
 class Words:
     """Words of several texts as arrays: hash, start and end byte, first word of each text."""
 
@@ -85,10 +83,18 @@ class Words:
         self.end = np.flatnonzero(finish) + 1
         self.first = np.searchsorted(self.start, self.bounds)
         if len(self.start):
-            power, inverse = powers(size)
-            sums = np.zeros(size + 1, _U)
-            np.cumsum(_TABLE[raw] * power[:size], out=sums[1:])
-            self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(_U))
+            # The sum of a random number for each byte at its place: unlike a polynomial, no pattern of letters makes two words meet.
+            size_of = self.end - self.start
+            within = np.flatnonzero(inside)
+            place = np.arange(len(within)) - np.repeat(np.cumsum(size_of) - size_of, size_of)
+            byte = raw[within]
+            if int(size_of.max()) <= PLACES:
+                value = _TABLE[place * 256 + byte]
+            else:
+                value = _TABLE[np.minimum(place, PLACES - 1) * 256 + byte]
+                far = place >= PLACES
+                value[far] = _at_place(byte[far], place[far])
+            self.hash = mix(np.add.reduceat(value, np.cumsum(size_of) - size_of) + size_of.astype(_U))
         else:
             self.hash = np.zeros(0, _U)
 
@@ -113,14 +119,21 @@ def ids(batch, column: str = "doc_id") -> np.ndarray:
     return np.asarray(batch.column(batch.schema.get_field_index(column)).fill_null(int(NO_ID)).cast(pa.int64()))
 
 
-def block_count(docs: DataFrame, column: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(MIN_BLOCKS, -(-int(total) // block_bytes))
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
+def block_count(total: int, block_bytes: int = BLOCK_BYTES) -> int:
+    return max(MIN_BLOCKS, -(-total // block_bytes))
+
+
+def bucket_count(total: int) -> int:
+    return max(MIN_BUCKETS, -(-total // BUCKET_BYTES))
 
 
 def blocked(docs: DataFrame, n: int, *columns) -> DataFrame:
-    """Rows with their block; a plan that uses this more than once exchanges the texts once."""
-    block = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(n)).cast("int")
+    """Rows with their block, by id and text (an id of very many texts is no block of its own); a plan that uses this more than once exchanges the texts once."""
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
     return docs.select("doc_id", "text", *columns, block.alias("block")).repartition("block")
 
 
@@ -130,44 +143,91 @@ ASK_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", p
 TELL_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("names", pa.binary()), ("vals", pa.binary())])
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: high bytes are mostly alike, which an exchange compresses away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def unplanes(b: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    if not b:
+        return np.zeros(0, dtype)
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def pack_names(names: np.ndarray) -> bytes:
+    """Sorted names as steps from one to the next."""
+    return planes(np.diff(names, prepend=_U(0)))
+
+
+def unpack_names(b: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(b, _U), dtype=_U)
+
+
 def asked(block: int, kind: int, names: np.ndarray, vals: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows for the buckets; names: sorted distinct uint64, vals: one row of int64 each. A bucket owns a range of names."""
+    """Rows for the buckets; names: sorted distinct uint64, vals: one row of numbers each. A bucket owns a range of names."""
     width = -(-(2**64) // buckets)
     cuts = np.searchsorted(names, np.array([k * width for k in range(1, buckets)], _U))
     at = [0, *cuts.tolist(), len(names)]
-    return [(k, block, kind, names[i:j].tobytes(), vals[i:j].tobytes()) for k, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+    return [(k, block, kind, pack_names(names[i:j]), planes(np.ascontiguousarray(vals[i:j]))) for k, (i, j) in enumerate(zip(at, at[1:])) if j > i]
 
 
 def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def joined(table: pa.Table, kind: int, dtype=np.int64):
-    """All (name, value row) that came under a kind, with the block of each."""
-    names, vals, blocks = [], [], []
-    for b, k, n, v in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "names", "vals"))):
-        if k == kind:
-            names.append(np.frombuffer(n, _U))
-            vals.append(np.frombuffer(v, dtype).reshape(len(names[-1]), -1))
-            blocks.append(np.full(len(names[-1]), b, np.int32))
-    if not names:
-        return np.zeros(0, _U), np.zeros((0, 1), dtype), np.zeros(0, np.int32)
-    return np.concatenate(names), np.concatenate(vals), np.concatenate(blocks)
+def rows_of(table: pa.Table, kind: int, dtype) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Of each row of a kind the names, the value rows and the block."""
+    found = []
+    for b, k, n, v in zip(*(table.column(c) for c in ("block", "kind", "names", "vals"))):
+        if k.as_py() == kind:
+            names = unpack_names(n.as_py())
+            vals = unplanes(v.as_py(), dtype)
+            found.append((names, vals.reshape(len(names), len(vals) // len(names)), b.as_py()))
+    return found
+
+
+def parts_of(table: pa.Table, kind: int, dtype=np.int64, most: int = 2_000_000):
+    """A bucket's names by rising ranges of at most some ``most`` names: (names, value rows, blocks) of each range, block after block."""
+    rows = rows_of(table, kind, dtype)
+    total = sum(len(n) for n, _, _ in rows)
+    if not total:
+        return
+    parts = -(-total // most)
+    least, last = min(int(n[0]) for n, _, _ in rows), max(int(n[-1]) for n, _, _ in rows)
+    step = -(-(last - least + 1) // parts)
+    at = [0] * len(rows)
+    for p in range(parts):
+        end = min(least + (p + 1) * step, 2**64 - 1)
+        to = [len(n) if p == parts - 1 else int(np.searchsorted(n, _U(end))) for n, _, _ in rows]
+        cut = [(n[a:b], v[a:b], k) for (n, v, k), a, b in zip(rows, at, to) if b > a]
+        at = to
+        if cut:
+            yield np.concatenate([n for n, _, _ in cut]), np.concatenate([v for _, v, _ in cut]), np.repeat(np.array([k for _, _, k in cut], np.int32), [len(n) for n, _, _ in cut])
 
 
 def told(kind: int, names: np.ndarray, vals: np.ndarray, blocks: np.ndarray) -> list[tuple]:
-    order = np.lexsort((names, blocks))
-    names, vals, blocks = names[order], vals[order], blocks[order]
+    """Rows for the blocks; within a block the names are in order, as ``parts_of`` gives them."""
     cut = np.flatnonzero(np.diff(blocks)) + 1
     at = [0, *cut.tolist(), len(blocks)]
-    return [(int(blocks[i]), kind, names[i:j].tobytes(), np.ascontiguousarray(vals[i:j]).tobytes()) for i, j in zip(at, at[1:]) if j > i]
+    return [(int(blocks[i]), kind, pack_names(names[i:j]), planes(np.ascontiguousarray(vals[i:j]))) for i, j in zip(at, at[1:]) if j > i]
 
 
 def learned(table: pa.Table, kind: int, dtype=np.int64) -> tuple[np.ndarray, np.ndarray]:
     """What the buckets told a block under a kind, by name."""
-    names, vals, _ = joined(table, kind, dtype)
-    order = np.argsort(names, kind="stable")
-    return names[order], vals[order]
+    rows = sorted(rows_of(table, kind, dtype), key=lambda r: int(r[0][0]))
+    if not rows:
+        return np.zeros(0, _U), np.zeros((0, 1), dtype)
+    return np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+
+
+def grouped(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by name, the group of each in that order, and where each group begins."""
+    order = np.argsort(names)
+    new = np.ones(len(names), bool)
+    ranked = names[order]
+    new[1:] = ranked[1:] != ranked[:-1]
+    return order, np.cumsum(new) - 1, np.flatnonzero(new)
 
 
 def look_up(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -178,13 +238,19 @@ def look_up(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(names[at] == wanted, at, -1)
 
 
+def shared_folder(spark) -> str:
+    """``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read again: cuts lineage, and survives lost executors."""
-    import tempfile
-    import uuid
-
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -34,6 +34,7 @@ ROLES = ("system", "user", "assistant")
 # Speaker markers of common transcript formats, by role.
 MARKERS = {"system": "system|instructions?|context", "user": "user|human|you|q|question|customer|prompter", "assistant": "assistant|ai|bot|a|answer|agent|gpt|model|response"}
 SEGMENT = 512
+MARKED = 50  # turns that speak for a role's own marker before any is seen
 
 
 def blocks_of(transcripts: DataFrame) -> DataFrame:
@@ -44,20 +45,30 @@ def blocks_of(transcripts: DataFrame) -> DataFrame:
     return transcripts.select("conv_id", F.posexplode(parts).alias("turn", "text")).select("conv_id", F.col("turn").cast("long").alias("turn"), F.regexp_replace("text", r"\s+$", "").alias("text"))
 
 
+def marked(role: str) -> str:
+    """A role's speaker marker at the beginning of a turn."""
+    return rf"(?i)^[ \t#*<\[|]*(?:{MARKERS[role]})[ \t*>\]|]*[:>]+[ \t]*"
+
+
+def body(text: Column, role: Column) -> Column:
+    """A turn without its speaker marker: only that of the role that was found, and only once."""
+    out = text
+    for r in ROLES:
+        out = F.when(role == r, F.regexp_replace(text, marked(r), "")).otherwise(out)
+    return out
+
+
 def observed(turns: DataFrame) -> DataFrame:
-    """Adds ``symbols``, one small number for each feature, and ``body``, the text without its marker."""
+    """Adds ``symbols``, one small number for each feature."""
     text = F.coalesce("text", F.lit(""))
     marker = F.lit(0)
-    body = text
     for k, role in enumerate(ROLES):
-        pattern = rf"(?i)^[ \t#*<\[|]*(?:{MARKERS[role]})[ \t*>\]|]*[:>]+[ \t]*"
-        marker = F.when(text.rlike(pattern), k + 1).otherwise(marker)
-        body = F.regexp_replace(body, pattern, "")
+        marker = F.when(text.rlike(marked(role)), k + 1).otherwise(marker)
     lines = F.size(F.split(text, "\n"))
     tail = F.substring(F.rtrim(text), -1, 1)
     end = F.when(tail == "?", 1).when(tail == ".", 2).when(tail == ":", 3).otherwise(0)
     size = F.least(F.floor(F.log2(F.length(text) + 1)), F.lit(15))
-    return turns.withColumn("symbols", F.array(*[x.cast("int") for x in (marker, size, F.least(lines, F.lit(8)), end)])).withColumn("body", body)
+    return turns.withColumn("symbols", F.array(*[x.cast("int") for x in (marker, size, F.least(lines, F.lit(8)), end)]))
 
 
 SIZES = (4, 16, 9, 4)
@@ -77,6 +88,7 @@ def learn(turns: DataFrame, train: Column) -> tuple[np.ndarray, np.ndarray, list
         else:
             step[k[r["before"]], k[r["role"]]] += r["count"]
     emit = [np.ones((3, n)) for n in SIZES]
+    emit[0][range(3), range(1, 4)] = MARKED
     for r in shown:
         emit[r["feature"]][k[r["role"]], r["symbol"]] += r["count"]
     return np.log(start / start.sum()), np.log(step / step.sum(axis=1, keepdims=True)), [np.log(e / e.sum(axis=1, keepdims=True)) for e in emit]
@@ -164,12 +176,12 @@ def recover(turns: DataFrame, train: Column, segment: int = SEGMENT) -> DataFram
             path = viterbi(start if before is None else step[before], score, step, last)
             yield pa.RecordBatch.from_arrays([
                 pa.array([conv] * len(held), pa.int64()), pa.array([r["turn"] for r in held], pa.int64()), pa.array([r["role"] for r in held], pa.string()),
-                pa.array([ROLES[p] for p in path], pa.string()), pa.array([r["body"] for r in held], pa.string()),
-            ], names=["conv_id", "turn", "role", "found_role", "body"])
+                pa.array([ROLES[p] for p in path], pa.string()), pa.array([r["text"] or "" for r in held], pa.string()),
+            ], names=["conv_id", "turn", "role", "found_role", "text"])
 
     bounds = bounds.withColumnRenamed("conv_id", "of").withColumnRenamed("seg", "part")
     both = cut.join(bounds, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("seg") == F.col("part")), "left").drop("of", "part").repartition("conv_id", "seg").sortWithinPartitions(*order)
-    out = both.mapInArrow(decode, "conv_id long, turn long, role string, found_role string, body string")
+    out = both.mapInArrow(decode, "conv_id long, turn long, role string, found_role string, text string").withColumn("body", body(F.col("text"), F.col("found_role"))).drop("text")
     return out.withColumn("rendered", F.concat(F.lit("<|"), F.col("found_role"), F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>")))
 
 

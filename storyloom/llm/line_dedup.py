@@ -1,132 +1,188 @@
 """Removal of lines that many documents share.
 
-A line's key is the line with blanks stripped at both ends and A-Z lower-cased.  Hashes of
-keys are dealt by range; inside a range they are sorted by hash, document and position and
-streamed, so that a key's documents pass one after another and are counted without a set.
-A block of documents sends a key once, with its number of documents and its last one, so
-a line of every document has no more rows than there are blocks.  What comes back to a
-block is the keys that lose lines; the result is a compressed bitmap of kept lines per
-document, from which the text is rebuilt where it already is.
+A line's key is the line with blanks stripped at both ends and A-Z lower-cased.  Every line
+that counts becomes one row: the hash of its key, its document and its position.  Spark deals
+the rows by range and sorts them by hash, falling document and position, and each range is
+streamed: the first document of a hash keeps its lines, those of all later ones go as soon as
+enough documents have passed.  So a stream holds only the lines of the few documents before
+that, however frequent the key.  Ranges are cut by hash, document and position, so that even
+one key of a third of all lines is dealt over many tasks; of a hash at a cut the undecided
+rows are settled by a count over all its parts (at most two hashes a range).
+
+What comes back is a compressed bitmap of kept lines for each document that loses some;
+texts are joined to the bitmaps only where a text is asked for.
 
 Defined cases: a null or empty text is one empty line; keys shorter than ``shortest`` code
 points always stay; the largest id keeps all its copies of a line; a null id counts as
-larger than any; rows with one id count as one document.
+larger than any; rows with one id count as one document; an empty table gives no rows; other
+columns, whatever their names, come back as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.llm import blocks as B
 
-LINE = 0
+LINES = pa.schema([("name", pa.int64()), ("doc", pa.int64()), ("version", pa.int64()), ("pos", pa.int32()), ("n_lines", pa.int32())])
+FOUND = "name long, doc long, version long, pos int, n_lines int"
+MARK = -1
 
 
 def _length(key: bytes) -> int:
     return len(key) if key.isascii() else len(key.decode(errors="replace"))
 
 
-def line_names(text: bytes, shortest: int) -> list[int]:
-    """Hash of each line's key; 0 for a line that is too short to count."""
+def line_names(text: bytes, shortest: int) -> list[tuple[int, int]]:
+    """(position, hash of the key) of the lines that are long enough to count."""
     names = []
-    for line in text.split(b"\n"):
+    for i, line in enumerate(text.split(b"\n")):
         key = line.strip(b" \t\n\r\v\f")
-        names.append(xxhash.xxh3_64_intdigest(key.lower()) | 1 if len(key) >= shortest and _length(key) >= shortest else 0)
+        if len(key) >= shortest and _length(key) >= shortest:
+            names.append((i, xxhash.xxh3_64_intdigest(key.lower())))
     return names
 
 
-def _lines(table: pa.Table, shortest: int):
-    for batch, texts in B.slices(table):
-        for i, (doc, text) in enumerate(zip(B.ids(batch).tolist(), texts.to_pylist())):
-            yield batch, i, doc, text, line_names(text, shortest)
-
-
-def ask_lines(table: pa.Table, buckets: int, shortest: int) -> pa.Table:
-    block = table.column("block")[0].as_py()
-    names, docs = [], []
-    for _, _, doc, _, keys in _lines(table, shortest):
-        own = {k for k in keys if k}
-        names.extend(own)
-        docs.extend([doc] * len(own))
-    names, docs = np.array(names, np.uint64), np.array(docs, np.int64)
-    order = np.lexsort((docs, names))
-    names, docs = names[order], docs[order]
-    new = np.ones(len(names), bool)
-    new[1:] = names[1:] != names[:-1]
-    new_doc = new.copy()
-    new_doc[1:] |= docs[1:] != docs[:-1]
-    at = np.flatnonzero(new)
-    count = np.add.reduceat(new_doc.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-    last = docs[np.append(at[1:], len(docs)) - 1] if len(at) else docs
-    return B.table_of(B.asked(block, LINE, names[at], np.stack([count, last], axis=1), buckets), B.ASK_ARROW)
-
-
-def answer_lines(table: pa.Table, most: int) -> pa.Table:
-    names, vals, of = B.joined(table, LINE)
-    if not len(names):
-        return B.TELL_ARROW.empty_table()
-    order = np.lexsort((vals[:, 1], names))
-    names, vals, of = names[order], vals[order], of[order]
-    new = np.ones(len(names), bool)
-    new[1:] = names[1:] != names[:-1]
-    at, group = np.flatnonzero(new), np.cumsum(new) - 1
-    docs = np.add.reduceat(vals[:, 0], at)[group]
-    last = vals[np.append(at[1:], len(names)) - 1, 1][group]
-    tell = docs >= most
-    return B.table_of(B.told(LINE, names[tell], last[tell][:, None], of[tell]), B.TELL_ARROW)
-
-
-def keep_lines(table: pa.Table, answers: pa.Table, shortest: int, schema: pa.Schema) -> pa.Table:
-    if not table.num_rows:
-        return schema.empty_table()
-    names, last = B.learned(answers, LINE)
-    keeper = dict(zip(names.tolist(), last[:, 0].tolist()))
-    ids, counts, dropped, bitmaps, texts, sha, rest = [], [], [], [], [], [], []
-    now = None
-    for batch, i, doc, text, keys in _lines(table, shortest):
-        if batch is not now:
-            now = batch
-            ids.append(batch.column(0).cast(pa.int64()))
-            rest.append(batch.column(2))
-        keep = [not k or keeper.get(k, doc) == doc for k in keys]
-        gone = keep.count(False)
-        kept = b"\n".join([line for line, stay in zip(text.split(b"\n"), keep) if stay]) if gone else text
-        counts.append(len(keys))
-        dropped.append(gone)
-        bitmaps.append(zlib.compress(np.packbits(keep).tobytes()))
-        texts.append(kept.decode())
-        sha.append(hashlib.sha256(kept).hexdigest())
-    return pa.Table.from_arrays([pa.chunked_array(ids), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(bitmaps, pa.binary()), pa.array(texts, pa.string()), pa.array(sha, pa.string()), pa.chunked_array(rest)], schema=schema)
+def _who(docs: DataFrame) -> list[Column]:
+    """Of a row its document, null as the largest id, and its version: rows with one id can hold several texts."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(int(B.NO_ID))).alias("doc"), F.xxhash64("text").alias("version")]
+
+
+def line_rows(docs: DataFrame, shortest: int) -> DataFrame:
+    """(doc_id, text) -> a row for each line that counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in B.slices(pa.Table.from_batches([batch])):
+                found, counts, sizes = [], [], []
+                for text in texts.to_pylist():
+                    names = line_names(text, shortest)
+                    found += names
+                    counts.append(len(names))
+                    sizes.append(text.count(b"\n") + 1)
+                at = np.array([i for i, _ in found], np.int32)
+                names = np.array([h for _, h in found], np.uint64).view(np.int64)
+                each = lambda x: np.repeat(np.asarray(x), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(each(part.column(0))), pa.array(each(part.column(1))), pa.array(at), pa.array(each(np.array(sizes, np.int32)))], schema=LINES)
+
+    return docs.select(*_who(docs), "text").mapInArrow(run, FOUND)
+
+
+def later_occurrences(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by name and falling doc -> those that go, and as ``edge`` those that only the neighbouring ranges can settle.
+
+    The range's first hash may have begun before it, so all its rows are edges.  Its last hash may go on behind it:
+    its undecided rows are edges, and of its first documents one row each marks (position -1) that they were here.
+    """
+    first, tail = None, None
+
+    def rows(cols: list[np.ndarray], edge: bool, mark: np.ndarray | None = None):
+        pos = cols[3] if mark is None else np.where(mark, np.int32(MARK), cols[3])
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in (cols[0], cols[1], cols[2], pos, cols[4])), pa.array(np.full(len(pos), edge))], schema=LINES.append(pa.field("edge", pa.bool_())))
+
+    for batch in batches:
+        cols = [np.asarray(batch.column(i)) for i in range(5)]
+        if not len(cols[0]):
+            continue
+        if first is None:
+            first = cols[0][0]
+        begun = int(np.searchsorted(cols[0], first, "right"))
+        if begun:
+            yield rows([c[:begun] for c in cols], True)
+            cols = [c[begun:] for c in cols]
+        done = np.zeros(len(cols[0]), bool)
+        if tail:
+            cols, done = [np.concatenate(x) for x in zip(tail[0], cols)], np.append(tail[1], done)
+        if not len(done):
+            continue
+        name, doc = cols[0], cols[1]
+        new = np.ones(len(name), bool)
+        new[1:] = name[1:] != name[:-1]
+        new_doc = new.copy()
+        new_doc[1:] |= doc[1:] != doc[:-1]
+        at, group = np.flatnonzero(new), np.cumsum(new) - 1
+        nth = np.cumsum(new_doc)
+        nth = nth - nth[at][group]  # 0 for the document that keeps its lines
+        shared = (np.maximum.reduceat(nth, at) + 1 >= most)[group]
+        gone = shared & (nth > 0) & ~done
+        if gone.any():
+            yield rows([c[gone] for c in cols], False)
+        last = group == group[-1]
+        if shared[-1]:
+            last &= new_doc & (nth < most)
+        tail = ([c[last] for c in cols], np.full(int(last.sum()), bool(shared[-1])))
+    if tail:
+        yield rows(tail[0], True, tail[1])
+
+
+def keep_bitmaps(docs: DataFrame, shortest: int = 20, most: int = 3) -> DataFrame:
+    """(doc_id, text) -> doc (null as the largest id), version (hash of the text), n_lines, n_dropped, keep_bitmap (zlib, first line in the top bit).
+
+    One row for each document that loses lines: those whose keys have at least ``shortest`` code points and are found
+    in ``most`` or more documents, but in the largest id.
+    """
+    lines = B.stored(line_rows(docs, shortest), "lines")
+    order = ["name", F.desc("doc"), "version", "pos"]
+    dealt = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = B.stored(dealt.mapInArrow(lambda batches: later_occurrences(batches, most), f"{FOUND}, edge boolean"), "later-lines")
+    edge = found.filter("edge")
+    parts = edge.select("name", "doc").distinct().groupBy("name").agg(F.count("*").alias("docs"), F.max("doc").alias("keeper")).filter(F.col("docs") >= most)
+    settled = edge.filter(F.col("pos") != MARK).join(F.broadcast(parts), "name").filter("doc <> keeper")  # at most two hashes a range
+    gone = found.filter("not edge").select("doc", "version", "pos", "n_lines").unionByName(settled.select("doc", "version", "pos", "n_lines"))
+    sets = gone.groupBy("doc", "version").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("gone"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps, sizes = [], []
+            for n, gone in zip(batch.column(2).to_pylist(), batch.column(3)):
+                keep = np.ones(n, np.uint8)
+                keep[np.asarray(gone.values)] = 0
+                sizes.append(n - int(keep.sum()))
+                maps.append(zlib.compress(np.packbits(keep).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], names=["doc", "version", "n_lines", "n_dropped", "keep_bitmap"])
+
+    return sets.select("doc", "version", "n_lines", "gone").mapInArrow(pack, "doc long, version long, n_lines long, n_dropped long, keep_bitmap binary")
 
 
 def shared_lines(docs: DataFrame, shortest: int = 20, most: int = 3) -> DataFrame:
-    """(doc_id, text, ...) -> doc_id, n_lines, n_dropped, keep_bitmap (zlib, first line in the top bit), kept_text, kept_sha256, rest.
+    """(doc_id, text, ...) -> doc_id, n_lines, n_dropped, keep_bitmap (null where all lines stay), kept_text, kept_sha256, rest.
 
-    Keys of at least ``shortest`` code points found in ``most`` or more documents stay in the largest id only.
     ``rest`` is a struct of the input's other columns.
     """
     other = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*other) if other else F.struct(F.lit(None).cast("string").alias("none"))
-    n = B.block_count(docs)
-    dealt = docs.select("doc_id", "text", rest.alias("rest"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")).repartition("block")
-    by = dealt.groupBy("block")
-    answers = by.applyInArrow(lambda t: ask_lines(t, n, shortest), B.ASK).groupBy("bucket").applyInArrow(lambda t: answer_lines(t, most), B.TELL)
-    kind = dealt.schema["rest"].dataType
-    fields = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("keep_bitmap", T.BinaryType()), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType()), T.StructField("rest", kind)])
-
-    def settle(t: pa.Table, a: pa.Table) -> pa.Table:
-        plain = [("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("keep_bitmap", pa.binary()), ("kept_text", pa.string()), ("kept_sha256", pa.string())]
-        return keep_lines(t, a, shortest, pa.schema([*plain, ("rest", t.schema.field("rest").type)]))
-
-    return by.cogroup(answers.groupBy("block")).applyInArrow(settle, fields)
+    maps = keep_bitmaps(docs.select("doc_id", "text"), shortest, most).select("doc", "version", "keep_bitmap")
+    both = docs.select("doc_id", "text", rest.alias("rest"), *_who(docs)).join(maps, ["doc", "version"], "left").select("doc_id", "text", "rest", "keep_bitmap")
+    kind = both.schema["rest"].dataType
+    plain = [("doc_id", T.LongType()), ("n_lines", T.LongType()), ("n_dropped", T.LongType()), ("keep_bitmap", T.BinaryType()), ("kept_text", T.StringType()), ("kept_sha256", T.StringType())]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in B.slices(pa.Table.from_batches([batch])):
+                counts, dropped, kept, sha = [], [], [], []
+                for text, packed in zip(texts.to_pylist(), part.column(3).to_pylist()):
+                    n = text.count(b"\n") + 1
+                    gone = 0
+                    if packed is not None:
+                        keep = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8), count=n).tolist()
+                        text = b"\n".join([line for line, stay in zip(text.split(b"\n"), keep) if stay])
+                        gone = keep.count(0)
+                    counts.append(n)
+                    dropped.append(gone)
+                    kept.append(text.decode())
+                    sha.append(hashlib.sha256(text).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), part.column(3).cast(pa.binary()), pa.array(kept, pa.string()), pa.array(sha, pa.string()), part.column(2)], names=[*(c for c, _ in plain), "rest"])
+
+    return both.mapInArrow(cut, T.StructType([*(T.StructField(c, t) for c, t in plain), T.StructField("rest", kind)]))
 
 
 def without_shared_lines(docs: DataFrame, shortest: int = 20, most: int = 3) -> DataFrame:

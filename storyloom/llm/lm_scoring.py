@@ -1,19 +1,24 @@
-"""Language-model scores from a weighted backoff automaton.
+"""Language-model scores from a weighted backoff automaton over n-grams.
 
-The model is a bigram automaton over hashed words.  Its states are the root and one state
-per word; an arc (v, w) exists where the pair was seen in training and weighs
+The states are the root and one for every history of up to ``order`` - 1 words seen in
+training.  From the state of a history h an arc leads to each word w that was seen behind it
+and weighs
 
-    (c(vw) + mu * p(w)) / (c(v) + mu)
+    p(w|h) = (c(hw) + mu * p(w|h')) / (c(h) + mu)
 
-and every state v has a failure arc to the root of weight ``mu / (c(v) + mu)``, the root has
-an arc for every word with p(w) = (c - d) / N, and one for all unknown words that takes the
-discounted mass d * V / N; d = n1 / (n1 + 2 * n2).  A text is traversed left to right from
-the state of the end mark; an unknown word leads back to the root.
+where h' is h without its first word and mu belongs to the length of h.  For all other words
+the state's failure arc, of weight ``mu / (c(h) + mu)``, leads to the state of h'.  The root
+has an arc for every word with p(w) = (c - d) / N and one for all unknown words that takes the
+discounted mass d * V / N; d = n1 / (n1 + 2 * n2).  So a state's probabilities sum to one.  A
+text is traversed left to right from the state of the end mark: the state before a word is
+the longest history that is a state, and failure arcs are followed until an arc fits.
 
 The automaton is never gathered in one place.  Each block of documents asks the owners of
-the hash ranges for the counts of its own words and pairs, once per distinct name, and so
-holds just the slice of the automaton that its texts can visit: memory is bounded by the
-block, while the model grows with the corpus without pruning.
+the hash ranges for the counts of its own n-grams, once per distinct one, and so holds just
+the slice of the automaton that its texts can visit: memory is bounded by the block, while
+the model grows with the corpus without pruning.  Words and pairs are asked first.  A longer
+n-gram can be in another block only if both shorter ones in it are, so only those are
+asked; the block's own counts are whole for the rest.
 
 Defined cases: a null text is empty (the end mark alone); a null training flag is held out;
 with no training rows every probability is that of the one unknown word; repeated rows count
@@ -27,124 +32,211 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from storyloom.llm import blocks as B
 
-WORD, PAIR, TOTALS = 0, 1, 2
+TOTALS = 0  # kinds above are lengths of n-grams
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
-MU = 100.0
-
-
-def _tokens(table: pa.Table):
-    """Of each slice: rows, tokens with the end marks, their previous tokens, and where each row begins."""
-    for batch, texts in B.slices(table.select(["doc_id", "text", "train"])):
-        w = B.Words(texts, lower=True)
-        rows = len(w.first) - 1
-        first = w.first + np.arange(rows + 1)
-        tokens = np.full(first[-1], END, np.uint64)
-        at = np.arange(len(w.hash)) + np.repeat(np.arange(rows), np.diff(w.first))
-        tokens[at] = w.hash
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[first[:-1]] = END
-        train = np.asarray(batch.column(2).fill_null(False).cast(pa.int8())).astype(bool)
-        yield batch, tokens, before, first, np.repeat(train, np.diff(first))
-
-
-def _counts(names: np.ndarray, train: np.ndarray):
-    order = np.argsort(names, kind="stable")
-    names = names[order]
-    first = np.ones(len(names), bool)
-    first[1:] = names[1:] != names[:-1]
-    at = np.flatnonzero(first)
-    return names[at], np.add.reduceat(train[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-
-
-def _own(table: pa.Table):
-    tokens, before, train = [], [], []
-    for _, t, b, _, tr in _tokens(table):
-        tokens.append(t)
-        before.append(b)
-        train.append(tr)
-    tokens, before, train = (np.concatenate(x) for x in (tokens, before, train))
-    return _counts(tokens, train), _counts(B.pair_name(before, tokens, 7), train)
-
-
-def ask_counts(table: pa.Table, buckets: int) -> pa.Table:
+MU = (30.0, 5.0)  # of histories of one word, of two ...
+
+
+class Grams:
+    """The distinct n-grams of a block's texts by length, in order of name; lists are indexed by length."""
+
+    def __init__(self, table: pa.Table, order: int):
+        tokens, train, sizes, self.batches = [], [], [], []
+        for batch, texts in B.slices(table.select(["doc_id", "text", "train"])):
+            w = B.Words(texts, lower=True)
+            rows = len(w.first) - 1
+            size = np.diff(w.first) + 1
+            first = w.first + np.arange(rows + 1)
+            part = np.full(first[-1], END, np.uint64)
+            part[np.arange(len(w.hash)) + np.repeat(np.arange(rows), size - 1)] = w.hash
+            flags = np.asarray(batch.column(2).fill_null(False).cast(pa.int8())).astype(bool)
+            tokens.append(part)
+            train.append(np.repeat(flags, size))
+            sizes.append(size)
+            self.batches.append(batch)
+        tokens, train, sizes = np.concatenate(tokens), np.concatenate(train), np.concatenate(sizes)
+        self.edges = np.append(0, np.cumsum(sizes))
+        place = np.arange(len(tokens)) - np.repeat(self.edges[:-1], sizes)
+        none = np.zeros(0, np.int32)
+        self.names, self.own, self.of, self.prefix, self.suffix = [none], [none], [none], [none], [none]
+        name = tokens
+        for k in range(1, order + 1):
+            if k > 1:
+                # The last token of a block is an end mark, and so is that before a text's first.
+                name = B.pair_name(np.roll(name, 1), tokens, 6 + k)
+            at = np.flatnonzero(place >= k - 2)
+            order_, group, new = B.grouped(name[at])
+            ranked = at[order_]
+            of = np.full(len(tokens), -1, np.int32)
+            of[ranked] = group
+            self.names.append(name[ranked[new]])
+            self.own.append(np.add.reduceat(train[ranked].astype(np.int64), new) if len(new) else np.zeros(0, np.int64))
+            self.of.append(of)
+            self.prefix.append(self.of[k - 1][ranked[new] - 1] if k > 1 else none)
+            self.suffix.append(self.of[k - 1][ranked[new]] if k > 1 else none)
+
+
+def to_ask(grams: Grams, k: int, shared: list[np.ndarray]) -> np.ndarray:
+    """Which n-grams of length k another block can hold: those whose two shorter ones another block holds."""
+    if k <= 2:
+        return np.ones(len(grams.names[k]), bool)
+    return shared[k - 1][grams.prefix[k]] & shared[k - 1][grams.suffix[k]]
+
+
+def told(answers: pa.Table, kind: int) -> np.ndarray:
+    """Answers in the order of the names that were asked: a bucket owns a range of names and answers it by rising parts."""
+    found = [(tuple(np.frombuffer(n.as_py(), np.int64)), v.as_py()) for k, n, v in zip(answers.column("kind"), answers.column("names"), answers.column("vals")) if k.as_py() == kind]
+    return np.concatenate([B.unplanes(v, np.int64) for _, v in sorted(found)]) if found else np.zeros(0, np.int64)
+
+
+def totals_of(grams: Grams, answers: pa.Table, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of the block's n-grams of up to ``most`` words the counts in the whole training corpus, and whether another block holds them."""
+    none = np.zeros(0, np.int64)
+    total, shared = [none], [none.astype(bool)]
+    for k in range(1, most + 1):
+        ask = to_ask(grams, k, shared)
+        found = told(answers, k)
+        counts, more = grams.own[k].copy(), np.zeros(len(ask), bool)
+        counts[ask], more[ask] = found >> 1, found & 1
+        total.append(counts)
+        shared.append(more)
+    return total, shared
+
+
+def ask_short(table: pa.Table, buckets: int, order: int) -> pa.Table:
     block = table.column("block")[0].as_py()
-    (words, n), (pairs, m) = _own(table)
-    rows = B.asked(block, WORD, words, n, buckets) + B.asked(block, PAIR, pairs, m, buckets)
-    rows += [(k, block, TOTALS, b"", b"") for k in range(buckets)]
-    return B.table_of(rows, B.ASK_ARROW)
-
-
-def answer_counts(table: pa.Table) -> pa.Table:
-    """The corpus counts of the names that each block asked for, in its order; and the bucket's totals to all blocks."""
-    bucket = np.int64(table.column("bucket")[0].as_py()).tobytes()
-    rows, totals = [], np.zeros(4, np.int64)
-    for kind in (WORD, PAIR):
-        names, n, of = B.joined(table, kind)
-        if not len(names):
-            continue
-        order = np.argsort(names, kind="stable")
-        first = np.ones(len(names), bool)
-        first[1:] = names[order][1:] != names[order][:-1]
-        at = np.flatnonzero(first)
-        sums = np.add.reduceat(n[order, 0], at)
-        total = np.empty(len(names), np.int64)
-        total[order] = np.repeat(sums, np.diff(np.append(at, len(names))))
-        if kind == WORD:
-            totals = np.array([sums.sum(), (sums > 0).sum(), (sums == 1).sum(), (sums == 2).sum()], np.int64)
-        cut = np.flatnonzero(np.diff(of)) + 1
-        edges = [0, *cut.tolist(), len(of)]
-        rows += [(int(of[i]), kind, bucket, total[i:j].tobytes()) for i, j in zip(edges, edges[1:])]
-    blocks = {b for b, k in zip(table.column("block").to_pylist(), table.column("kind").to_pylist()) if k == TOTALS}
-    rows += [(b, TOTALS, bucket, totals.tobytes()) for b in sorted(blocks)]
+    most = min(order, 2)
+    grams = Grams(table, most)
+    return B.table_of([r for k in range(1, most + 1) for r in B.asked(block, k, grams.names[k], grams.own[k][:, None], buckets)], B.ASK_ARROW)
+
+
+def ask_long(table: pa.Table, answers: pa.Table, buckets: int, k: int) -> pa.Table:
+    if not table.num_rows:
+        return B.ASK_ARROW.empty_table()
+    grams = Grams(table, k)
+    ask = to_ask(grams, k, totals_of(grams, answers, k - 1)[1])
+    return B.table_of(B.asked(table.column("block")[0].as_py(), k, grams.names[k][ask], grams.own[k][ask][:, None], buckets), B.ASK_ARROW)
+
+
+def answer_counts(table: pa.Table, order: int) -> pa.Table:
+    """Of the n-grams that each block asked for, in its order: twice the corpus count, and one more where several blocks hold it."""
+    bucket = table.column("bucket")[0].as_py()
+    rows = []
+    for kind in range(1, order + 1):
+        for part, (names, n, of) in enumerate(B.parts_of(table, kind)):
+            order_, group, at = B.grouped(names)
+            total = np.empty(len(names), np.int64)
+            several = np.diff(np.append(at, len(names))) > 1
+            total[order_] = (2 * np.add.reduceat(n[order_, 0], at) + several)[group]
+            key = np.array([bucket, part], np.int64).tobytes()
+            cut = np.flatnonzero(np.diff(of)) + 1
+            edges = [0, *cut.tolist(), len(of)]
+            rows += [(int(of[i]), kind, key, B.planes(total[i:j])) for i, j in zip(edges, edges[1:])]
     return B.table_of(rows, B.TELL_ARROW)
 
 
-def _told(answers: pa.Table, kind: int) -> np.ndarray:
-    """Counts by name: a bucket owns a range of names, so the order of buckets is that of names."""
-    parts = sorted((np.frombuffer(n, np.int64)[0], v) for k, n, v in zip(*(answers.column(c).to_pylist() for c in ("kind", "names", "vals"))) if k == kind)
-    return np.concatenate([np.frombuffer(v, np.int64) for _, v in parts]) if parts else np.zeros(0, np.int64)
+SUMS = pa.schema([(c, pa.int64()) for c in ("n", "v", "once", "twice")])
+
+
+def bucket_sums(table: pa.Table) -> pa.Table:
+    """A bucket's training tokens, its distinct words, and those seen once and twice."""
+    sums = np.zeros(4, np.int64)
+    for names, n, _ in B.parts_of(table, 1):
+        order, _, at = B.grouped(names)
+        c = np.add.reduceat(n[order, 0], at)
+        sums += [c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()]
+    return pa.table({f.name: [int(x)] for f, x in zip(SUMS, sums)}, schema=SUMS)
+
+
+class Automaton:
+    """The slice of the automaton that a block's texts visit; lists are indexed by the length of histories or n-grams."""
+
+    def __init__(self, grams: Grams, total: list[np.ndarray], sums: np.ndarray, mu: tuple[float, ...]):
+        n, v, once, twice = (float(x) for x in sums)
+        c = total[1].astype(float)
+        d = once / (once + 2 * twice) if once else 0.5
+        p = np.where(c > 0, (c - d) / max(n, 1.0), d * v / n if n else 1.0)
+        self.grams, self.base = grams, np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+        self.arc = [None, np.log10(p)]  # weights; an n-gram of two or more words has one only where it was seen
+        self.seen = [None, np.ones(len(c), bool)]
+        self.state, self.failure = [None], [None]  # whether a history is a state, and the weight of its failure arc
+        for k in range(2, len(total)):
+            held = total[k - 1]
+            self.state.append(held > 0)
+            self.failure.append(np.log10(mu[k - 2] / (held + mu[k - 2])))
+            p = (total[k] + mu[k - 2] * p[grams.suffix[k]]) / (held[grams.prefix[k]] + mu[k - 2])
+            self.arc.append(np.log10(p))
+            self.seen.append(total[k] > 0)
+
+    def traverse(self) -> np.ndarray:
+        """The log-probability of every token in its text."""
+        grams = self.grams
+        weight = np.zeros(len(grams.of[1]))
+        at = np.arange(len(weight))  # tokens whose arc is still looked for, at the state of k - 1 words or fewer
+        for k in range(len(self.arc) - 1, 0, -1):
+            if not len(grams.names[k]):
+                continue
+            gram = grams.of[k][at]
+            here = gram >= 0
+            if k > 1:
+                here &= self.state[k - 1][grams.prefix[k][gram]]
+            fits = here & self.seen[k][gram]
+            weight[at[fits]] += self.arc[k][gram[fits]]
+            if k > 1:
+                fails = here & ~fits
+                weight[at[fails]] += self.failure[k - 1][grams.prefix[k][gram[fails]]]
+            at = at[~fits]
+        return weight
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def traverse(table: pa.Table, answers: pa.Table, mu: float) -> pa.Table:
+def score_block(table: pa.Table, answers: pa.Table, mu: tuple[float, ...]) -> pa.Table:
     if not table.num_rows:
         return RESULT.empty_table()
-    (words, _), (pairs, _) = _own(table)
-    c, cc = _told(answers, WORD).astype(float), _told(answers, PAIR).astype(float)
-    n, v, once, twice = (float(x) for x in _told(answers, TOTALS).reshape(-1, 4).sum(axis=0))
-    base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    d = once / (once + 2 * twice) if once else 0.5
-    unknown = d * v / n if n else 1.0
-    p = np.where(c > 0, (c - d) / max(n, 1.0), unknown)
-    failure = np.log10(mu / (c + mu))
-    root = np.log10(p)
-    out = []
-    for batch, tokens, before, first, _ in _tokens(table):
-        w = np.searchsorted(words, tokens)
-        state = np.searchsorted(words, before)
-        seen = cc[np.searchsorted(pairs, B.pair_name(before, tokens, 7))]
-        arc = np.log10((seen + mu * p[w]) / (c[state] + mu))
-        weight = np.where(seen > 0, arc, failure[state] + root[w])
-        known = np.append(0, np.cumsum(c[w] > 0))
-        edges = list(zip(first[:-1].tolist(), first[1:].tolist()))
-        base_w, weight = base[w].tolist(), weight.tolist()
-        out.append(pa.Table.from_arrays([
-            batch.column(0).cast(pa.int64()), batch.column(2), pa.array(np.diff(first)), pa.array(known[first[1:]] - known[first[:-1]]),
-            pa.array(np.full(len(edges), int(n))), pa.array([math.fsum(base_w[a:b]) for a, b in edges], pa.float64()), pa.array([math.fsum(weight[a:b]) for a, b in edges], pa.float64()),
-        ], schema=RESULT))
-    return pa.concat_tables(out)
-
-
-def score(docs: DataFrame, train: Column, mu: float = MU) -> DataFrame:
-    """(doc_id, text), a training flag -> doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    n = B.block_count(docs)
+    grams = Grams(table, len(mu) + 1)
+    total, _ = totals_of(grams, answers, len(mu) + 1)
+    sums = told(answers, TOTALS)
+    automaton = Automaton(grams, total, sums, mu)
+    weight, base = automaton.traverse().tolist(), automaton.base[grams.of[1]].tolist()
+    known = np.append(0, np.cumsum((total[1] > 0)[grams.of[1]]))
+    edges = grams.edges
+    pairs = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+    return pa.Table.from_arrays([
+        pa.chunked_array([b.column(0).cast(pa.int64()) for b in grams.batches]), pa.chunked_array([b.column(2) for b in grams.batches]),
+        pa.array(np.diff(edges)), pa.array(known[edges[1:]] - known[edges[:-1]]), pa.array(np.full(len(pairs), int(sums[0]))),
+        pa.array([math.fsum(base[a:b]) for a, b in pairs], pa.float64()), pa.array([math.fsum(weight[a:b]) for a, b in pairs], pa.float64()),
+    ], schema=RESULT)
+
+
+def score(docs: DataFrame, train: Column, mu: tuple[float, ...] = MU) -> DataFrame:
+    """(doc_id, text), a training flag -> doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10).
+
+    The automaton's order is one more than the number of values in ``mu``.
+    """
+    size = B.text_bytes(docs)
+    n, m, order = B.block_count(size), B.bucket_count(size), len(mu) + 1
     by = B.blocked(docs, n, train.alias("train")).groupBy("block")
-    answers = by.applyInArrow(lambda t: ask_counts(t, n), B.ASK).groupBy("bucket").applyInArrow(answer_counts, B.TELL)
-    return by.cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: traverse(t, a, mu), "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asks = by.applyInArrow(lambda t: ask_short(t, m, order), B.ASK).groupBy("bucket")
+    sums = asks.applyInArrow(bucket_sums, "n long, v long, once long, twice long")
+
+    def spread(table: pa.Table) -> pa.Table:
+        """One row for each block: the corpus totals."""
+        all_ = B.planes(np.array([sum(table.column(c).to_pylist()) for c in SUMS.names], np.int64))
+        key = np.zeros(2, np.int64).tobytes()
+        return B.table_of([(b, TOTALS, key, all_) for b in range(n)], B.TELL_ARROW)
+
+    def asking(k: int):
+        return lambda t, a: ask_long(t, a, m, k)
+
+    answers = asks.applyInArrow(lambda t: answer_counts(t, order), B.TELL)
+    for k in range(3, order + 1):
+        longer = by.cogroup(answers.groupBy("block")).applyInArrow(asking(k), B.ASK)
+        answers = answers.unionByName(longer.groupBy("bucket").applyInArrow(lambda t: answer_counts(t, order), B.TELL))
+    answers = answers.unionByName(sums.groupBy().applyInArrow(spread, B.TELL))  # ``sums`` has one row a bucket
+    result = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return by.cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: score_block(t, a, mu), result)

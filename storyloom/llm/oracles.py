@@ -32,23 +32,30 @@ crc AS (SELECT doc_id, w, list_reduce(list_prepend(4294967295::UBIGINT, list_tra
         lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)) AS c FROM d),
 flag AS (SELECT doc_id, w, xor(c, 4294967295::UBIGINT) % 10 = 0 AS held_out FROM crc),
 tok AS (
-  SELECT doc_id, held_out, unnest(list_append(w, ' ')) AS t, unnest(list_prepend(' ', w)) AS v FROM flag
+  SELECT doc_id, held_out, unnest(list_append(w, ' ')) AS t, unnest(list_prepend(' ', w)) AS v,
+         unnest(list_slice(list_concat([NULL, ' '], w), 1, len(w) + 1)) AS u FROM flag
 ),
 uni AS (SELECT t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY t),
 pair AS (SELECT v, t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY v, t),
+tri AS (SELECT u, v, t, count(*) AS c FROM tok WHERE NOT held_out AND u IS NOT NULL GROUP BY u, v, t),
 tot AS (SELECT CAST(sum(c) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS vv, CAST(count(*) FILTER (c = 1) AS DOUBLE) AS n1,
         CAST(count(*) FILTER (c = 2) AS DOUBLE) AS n2 FROM uni),
 par AS (SELECT n, vv, n1 / (n1 + 2 * n2) AS dd FROM tot),
 scored AS (
-  SELECT tok.doc_id, tok.held_out, coalesce(u.c, 0) AS c, coalesce(h.c, 0) AS cv, coalesce(pair.c, 0) AS cc,
+  SELECT tok.doc_id, tok.held_out, coalesce(u.c, 0) AS c, coalesce(h.c, 0) AS cv, coalesce(pair.c, 0) AS c2, coalesce(uv.c, 0) AS cuv, coalesce(tri.c, 0) AS c3,
          CASE WHEN u.c IS NULL THEN dd * vv / n ELSE (u.c - dd) / n END AS p, n, vv
   FROM tok CROSS JOIN par LEFT JOIN uni u ON u.t = tok.t LEFT JOIN uni h ON h.t = tok.v
-  LEFT JOIN pair ON pair.v = tok.v AND pair.t = tok.t
+  LEFT JOIN pair ON pair.v = tok.v AND pair.t = tok.t LEFT JOIN pair uv ON uv.v = tok.u AND uv.t = tok.v
+  LEFT JOIN tri ON tri.u = tok.u AND tri.v = tok.v AND tri.t = tok.t
+),
+backed AS (
+  SELECT *, (c2 + 30.0 * p) / (cv + 30.0) AS p2,
+         CASE WHEN c2 > 0 THEN log10((c2 + 30.0 * p) / (cv + 30.0)) ELSE log10(30.0 / (cv + 30.0)) + log10(p) END AS l2 FROM scored
 )
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
        round(fsum(log10((c + 0.1) / (n + 0.1 * (vv + 1)))), 6) AS base_score,
-       round(fsum(CASE WHEN cc > 0 THEN log10((cc + 100.0 * p) / (cv + 100.0)) ELSE log10(100.0 / (cv + 100.0)) + log10(p) END), 6) AS score
-FROM scored GROUP BY doc_id, held_out
+       round(fsum(CASE WHEN c3 > 0 THEN log10((c3 + 5.0 * p2) / (cuv + 5.0)) ELSE log10(5.0 / (cuv + 5.0)) + l2 END), 6) AS score
+FROM backed GROUP BY doc_id, held_out
 """
 
 OP7 = rf"""
@@ -85,12 +92,13 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-_RULES = ("symbols", "repeats", "duplicate_lines", "capitals", "marks")
-_GRID = (0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
-_CUTS = " UNION ALL ".join(
-    f"SELECT stratum, quality, '{r}' AS rule, CAST(c AS DOUBLE) AS cutoff, {r} >= CAST(c AS DOUBLE) AS hit FROM held CROSS JOIN (SELECT unnest([{', '.join(map(str, _GRID))}]) AS c)"
-    for r in _RULES
-)
+_LADDER = {
+    "symbols": (0.5, 0.3, 0.2, 0.15, 0.1, 0.08, 0.05, 0.03, 0.02, 0.01),
+    "repeats": (0.2, 0.19, 0.18, 0.17, 0.16, 0.15, 0.12, 0.1, 0.08, 0.05),
+    "duplicate_lines": (0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1),
+    "capitals": (0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08),
+    "marks": (0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.04, 0.03),
+}
 
 OP10 = rf"""
 WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
@@ -117,17 +125,18 @@ f AS (
 sure AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)),
 held AS (SELECT f.*, quality FROM f JOIN sure USING (doc_id) WHERE NOT base_failed),
 tests AS (
-  SELECT stratum, rule, cutoff, sum(quality) AS good, count(*) FILTER (hit AND quality = 1) AS g, count(*) FILTER (hit AND quality = 0) AS b
-  FROM ({_CUTS}) GROUP BY stratum, rule, cutoff
+  SELECT stratum, s, sum(quality) AS good, count(*) FILTER (hit AND quality = 1) AS g, count(*) FILTER (hit AND quality = 0) AS b
+  FROM (SELECT held.stratum, held.quality, unnest([{", ".join(str(s + 1) for s in range(10))}]) AS s,
+               unnest([{", ".join("(" + " OR ".join(f"{r} >= CAST({c[s]} AS DOUBLE)" for r, c in _LADDER.items()) + ")" for s in range(10))}]) AS hit FROM held)
+  GROUP BY stratum, s
 ),
 tail AS (
-  SELECT t.*, (SELECT sum(exp(lgamma(t.good + 1) - lgamma(j + 1) - lgamma(t.good - j + 1) + j * ln(0.01::DOUBLE) + (t.good - j) * ln(0.99::DOUBLE)))
-               FROM range(0, t.g + 1) r(j)) AS p FROM tests t WHERE t.good > 0 AND b > g
+  SELECT t.*, (SELECT sum(exp(lgamma(t.good + 1) - lgamma(j + 1) - lgamma(t.good - j + 1) + j * ln(0.03::DOUBLE) + (t.good - j) * ln(0.97::DOUBLE)))
+               FROM range(0, t.g + 1) r(j)) AS p FROM tests t WHERE t.good > 0
 ),
-valid AS (SELECT * FROM tail WHERE p <= 0.05 / ((SELECT count(DISTINCT stratum) FROM held) * 75)),
-cut AS (SELECT stratum, rule, arg_max(cutoff, (b - g) * 1000.0 + cutoff) AS cutoff FROM valid GROUP BY stratum, rule),
-wide AS (SELECT stratum, {", ".join(f"min(cutoff) FILTER (rule = '{r}') AS c_{r}" for r in _RULES)} FROM cut GROUP BY stratum)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ({" OR ".join(f"coalesce({r} >= c_{r}, false)" for r in _RULES)}) AS kept
-FROM f LEFT JOIN wide ON f.stratum IS NOT DISTINCT FROM wide.stratum
+valid AS (SELECT * FROM tail WHERE p <= 0.05 / (SELECT count(DISTINCT coalesce(stratum, '?')) FROM held) AND b > 10 * g),
+cut AS (SELECT stratum, arg_max(s, (b - 10 * g) * 100 - s) AS s FROM valid GROUP BY stratum),
+level AS (SELECT *, CASE {" ".join("WHEN " + " OR ".join(f"{r} >= CAST({c[s]} AS DOUBLE)" for r, c in _LADDER.items()) + f" THEN {s + 1}" for s in range(10))} ELSE 11 END AS level FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(level <= s, false) AS kept
+FROM level LEFT JOIN cut ON level.stratum IS NOT DISTINCT FROM cut.stratum
 """

@@ -8,11 +8,11 @@ shape, isolation) votes for, against, or abstains.  Spark counts the vote patter
 whole corpus; expectation-maximisation on that table estimates how reliable each labeler is
 and how likely each pattern is personal; a logistic span classifier over votes and shape
 buckets is trained on those soft labels and decides.  There are at most 3^7 patterns times
-the shape buckets, so the table's size does not depend on the corpus.  The text is read once: candidates wait in a
-written table.
+the shape buckets, so the table's size does not depend on the corpus.  The text is read once:
+candidates wait in a written table.
 
-Defined cases: a null text is empty; an added span that overlaps a base span or an earlier
-added one is left out; without candidates only base spans are returned; repeated rows are
+Defined cases: a null text is empty; a candidate that overlaps a base span is left out, and
+so is an accepted one that overlaps an earlier accepted one (a rejected one blocks nothing); without candidates only base spans are returned; repeated rows are
 searched each; other columns are ignored.
 """
 
@@ -65,11 +65,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def byte_value(digits: str) -> bool:
+    """At most 255, whatever the number of digits."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and digits <= "255")
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) by start, then kind."""
     found = [(a, "email", b) for a, b in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
+        if all(byte_value(p) for p in m[0].split(".")):
             found.append((m.start(), "ip", m.end()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -90,8 +96,16 @@ WRITTEN = re.compile(r"(?i)(?<![\w.+-])([a-z0-9._+-]{1,64}\x20?[\[(]at[\])]\x20?
 AT = tuple(a + t + end for a in "aA" for t in "tT" for end in "])")  # each written email holds one
 LOCAL_PHONE = re.compile(r"(?<![0-9+)(.-])(\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})(?![0-9-])")
 HARDWARE = re.compile(r"(?<![0-9A-Fa-f:])((?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2})(?![0-9A-Fa-f:])")
-# Key words of the gazetteer.
-KEY_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "ssn", "social security", "iban", "account", "email", "mail", "phone", "tel", "call", "mac", "device", "id")
+# Key words of the gazetteer in English, German, Spanish and French, by what they announce.
+GAZETTEER = {
+    "secret": ("password", "passwd", "pwd", "passphrase", "secret", "token", "api key", "apikey", "api_key", "access key", "access_key", "private key", "credential", "bearer", "auth", "pin",
+               "passwort", "kennwort", "geheim", "schlüssel", "zugang", "contraseña", "clave", "secreto", "mot de passe", "clé", "jeton", "identifiant"),
+    "national_id": ("ssn", "social security", "national id", "passport", "tax id", "taxpayer", "sozialversicherung", "steuernummer", "ausweis", "reisepass", "seguridad social", "dni", "nif", "pasaporte", "sécurité sociale", "passeport", "numéro fiscal"),
+    "account": ("iban", "account", "bank", "acct", "routing", "swift", "bic", "konto", "bankverbindung", "überweisung", "cuenta", "banco", "compte", "banque", "virement"),
+    "written_email": ("email", "e-mail", "mail", "contact", "write", "reach", "kontakt", "schreib", "correo", "contacto", "courriel", "écrire", "contacter"),
+    "local_phone": ("phone", "tel", "call", "mobile", "cell", "fax", "dial", "ring", "telefon", "handy", "anruf", "ruf", "teléfono", "móvil", "llamar", "llame", "téléphone", "portable", "appel"),
+    "hardware": ("mac", "device", "hardware", "adapter", "interface", "ethernet", "wifi", "bluetooth", "gerät", "netzwerk", "dispositivo", "équipement", "appareil"),
+}
 FORMATS = [re.compile(p) for p in (r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36,}", r"sk-[A-Za-z0-9_-]{20,}", r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}", r"[0-9a-f]{16,}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}")]
 
 
@@ -115,7 +129,7 @@ def votes(text: str, kind: str, a: int, b: int) -> str:
     return "".join((
         "+" if any(f.fullmatch(value) for f in FORMATS) or kind in ("written_email", "local_phone") else "0",
         ("+" if account_number(value) else "-") if kind == "account" else "0",
-        "+" if any(w in left for w in KEY_WORDS) else "0",
+        "+" if any(w in left for w in GAZETTEER[kind]) else "0",
         "+" if re.search(r"[:=]\x20?[\"']?$", left) else "0",
         "+" if h >= 2.8 and digits and letters else ("-" if h < 2.2 else "0"),
         "-" if letters and (not digits or vowels > 0.3) else ("+" if digits and vowels < 0.15 else "0"),
@@ -130,7 +144,7 @@ def shape(kind: str, value: str) -> str:
 
 
 def candidates(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, kind, votes, shape), without overlaps."""
+    """(start, end, kind, votes, shape) by start, the longest first; none overlaps a base span."""
     found = []
     for m in TOKEN.finditer(text):
         if any(ch in "0123456789" for ch in m[1]) and not m[1].isdigit():
@@ -139,16 +153,13 @@ def candidates(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int,
     for pattern, kind, on in ((KEYED, "secret", low), (NATIONAL, "national_id", text if "-" in text else ""), (ACCOUNT, "account", text), (WRITTEN, "written_email", text if any(x in text for x in AT) else ""), (LOCAL_PHONE, "local_phone", text), (HARDWARE, "hardware", low)):
         if on:
             found += [(m.start(1), kind, m.end(1)) for m in pattern.finditer(on)]
-    out, end = [], 0
+    out, at = [], 0
     bounds = sorted((a, b) for a, _, b in taken)
-    at = 0
-    for a, kind, b in sorted(found, key=lambda s: (s[0], -s[2], -ORDER[s[1]])):
+    for a, kind, b in sorted(set(found), key=lambda s: (s[0], -s[2], -ORDER[s[1]])):
         while at < len(bounds) and bounds[at][1] <= a:
             at += 1
-        if a < end or any(x < b for x, _ in bounds[at : at + 1]):
-            continue
-        out.append((a, b, kind, votes(text, kind, a, b), shape(kind, text[a:b])))
-        end = b
+        if not any(x < b for x, _ in bounds[at : at + 1]):
+            out.append((a, b, kind, votes(text, kind, a, b), shape(kind, text[a:b])))
     return out
 
 
@@ -187,20 +198,31 @@ def span_classifier(table: list[tuple[str, str, int]], belief: dict[str, float],
     for votes_, shape_, _ in table:
         facts = [f"{i}{v}" for i, v in enumerate(votes_) if v != "0"] + [f"s{i}{v}" for i, v in enumerate(shape_.split("|"))]
         rows.append([names.setdefault(f, len(names)) for f in facts])
-    x = np.zeros((len(rows), len(names) + 1))
-    x[:, -1] = 1
-    for i, r in enumerate(rows):
-        x[i, r] = 1
     y = np.array([belief[v] for v, _, _ in table])
     n = weights([c for _, _, c in table])
-    w = np.zeros(x.shape[1])
+    width = len(names) + 1
+
+    def parts(size: int = 50_000):
+        """The 0/1 matrix of facts, some rows at a time."""
+        for at in range(0, len(rows), size):
+            x = np.zeros((min(size, len(rows) - at), width))
+            x[:, -1] = 1
+            for i, r in enumerate(rows[at : at + size]):
+                x[i, r] = 1
+            yield slice(at, at + len(x)), x
+
+    w = np.zeros(width)
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), x.T @ (n * (y - p)) - penalty * w)
+        curve, slope = penalty * np.eye(width), -penalty * w
+        for at, x in parts():
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            curve += (x * (n[at] * p * (1 - p))[:, None]).T @ x
+            slope += x.T @ (n[at] * (y[at] - p))
+        step = np.linalg.solve(curve, slope)
         w = w + np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    p = np.concatenate([1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) for _, x in parts()])
     return {(v, s): float(q) for (v, s, _), q in zip(table, p)}
 
 
@@ -229,15 +251,21 @@ def find(docs: DataFrame, cutoff: float = 0.5) -> DataFrame:
     for v, _, n in table:
         patterns[v] += n
     chance = span_classifier(table, reliabilities(sorted(patterns.items())))
-    sure = found.sparkSession.createDataFrame([(f"{v}|{s}",) for (v, s), p in chance.items() if p >= cutoff], "sure string")
-    good = sure.agg(F.collect_list("sure")).first()[0]
-    rank = F.create_map(*[F.lit(x) for k, i in ORDER.items() for x in (k, i)])
-    name = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
-    plain = lambda x: F.struct(x["start"].alias("start"), F.element_at(rank, x["kind"]).alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"))
-    taken = F.filter("more", lambda x: F.array_contains(F.array(*[F.lit(g) for g in good]) if good else F.array().cast("array<string>"), F.concat_ws("|", x["votes"], x["shape"])))
-    df = found.withColumn("added", F.transform(taken, plain)).withColumn("base", F.transform("base", plain))
-    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
-    return df.select(
-        "doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.size("added").cast("long").alias("n_added"),
-        F.array_join(F.transform("base", name), ",").alias("base_spans"), F.array_join(F.transform(F.array_sort(F.concat("base", "added")), name), ",").alias("spans"),
-    )
+    sure = found.sparkSession.sparkContext.broadcast({k for k, p in chance.items() if p >= cutoff})  # at most 3^7 patterns times the shape buckets
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, spans = batch.column(1).to_pylist(), []
+            for row in batch.column(2).to_pylist():
+                kept, end = [], 0
+                for x in row:
+                    if x["start"] >= end and (x["votes"], x["shape"]) in sure.value:
+                        kept.append(x)
+                        end = x["end"]
+                spans.append(kept)
+            both = [sorted(b + s, key=lambda x: (x["start"], ORDER[x["kind"]])) for b, s in zip(base, spans)]
+            text = lambda rows: pa.array([",".join(f"{x['kind']}:{x['start']}:{x['end']}" for x in r) for r in rows], pa.string())
+            counts = [pa.array([sum(x["kind"] == k for x in r) for r in base], pa.int64()) for k in BASE]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([len(s) for s in spans], pa.int64()), text(base), text(both)], names=["doc_id", *(f"n_{k}" for k in BASE), "n_added", "base_spans", "spans"])
+
+    return found.select("doc_id", "base", "more").mapInArrow(accept, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_spans string, spans string")

@@ -20,7 +20,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, F.lit(False))
     found = lm_scoring.score(table(spark, sf_dir, "documents"), train)
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
@@ -65,7 +65,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"), remainder != 2, cutoff=0.3)
-    return found.select("doc_id", (remainder == 2).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

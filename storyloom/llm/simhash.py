@@ -1,8 +1,10 @@
 """Near duplicates by SimHash, found with a Gray-order hierarchical index.
 
 Fingerprints that differ in at most ``most`` bits agree on whole chunks of bits.  The 64 bits
-are cut into ``most + 2`` chunks; two of them agree whole in every linked pair, so each of
-the 15 pairs of chunks makes one *view*: the fingerprint with those bits in front.  In a view
+are cut into ``most + k`` chunks; k of them agree whole in every linked pair, so each choice
+of k chunks makes one *view*: the fingerprint with those bits in front.  k is 2 up to some
+billion fingerprints and then grows with their number, so that the groups of equal front
+bits don't grow with the corpus.  In a view
 the distinct fingerprints are sorted by Gray rank, which keeps equal leading bits together and
 puts neighbours that differ in one bit side by side, and cut into *cells* of a bounded number
 of fingerprints.  A cell is a small tree: its nodes factor out the bits that all fingerprints
@@ -13,8 +15,8 @@ own root pattern rules that out.  So no group of near copies, however large, mee
 
 A cell returns at most one link for each fingerprint it holds or is visited by; connected
 components of the links are found by label rounds with hooking and pointer jumping over
-distinct fingerprints, until nothing moves, each round written to the shared folder.  Exact copies share a fingerprint and
-never meet in a pair.
+distinct fingerprints, until nothing moves, each round written to the shared folder.  Exact
+copies share a fingerprint and never meet in a pair.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; texts
 of fewer words than a shingle have one shingle; a null id counts as larger than any and
@@ -72,21 +74,29 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bits long")
 
 
-def chunks(most: int) -> list[tuple[int, int]]:
-    cuts = [round(i * BITS / (most + 2)) for i in range(most + 3)]
+def chunks(most: int, spare: int = 2) -> list[tuple[int, int]]:
+    cuts = [round(i * BITS / (most + spare)) for i in range(most + spare + 1)]
     return list(zip(cuts, cuts[1:]))
 
 
-def views(most: int) -> list[tuple[list[tuple[int, int]], int]]:
+def views(most: int, spare: int = 2) -> list[tuple[list[tuple[int, int]], int]]:
     """Of each view the order of chunks, and the number of front bits."""
-    parts = chunks(most)
+    parts = chunks(most, spare)
     found = []
-    for pair in combinations(range(len(parts)), 2):
-        order = [parts[i] for i in pair] + [p for i, p in enumerate(parts) if i not in pair]
-        found.append((order, sum(b - a for a, b in order[:2])))
+    for chosen in combinations(range(len(parts)), spare):
+        order = [parts[i] for i in chosen] + [p for i, p in enumerate(parts) if i not in chosen]
+        found.append((order, sum(b - a for a, b in order[:spare])))
     return found
 
 
+def spare_chunks(n: int, most: int) -> int:
+    """As many agreeing chunks as it takes for groups of about one cell among ``n`` fingerprints."""
+    spare = 2
+    while n >> min(front for _, front in views(most, spare)) > CELL and spare < 4:
+        spare += 1
+    return spare
+
+
 def turned(bits: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
     """Fingerprints with their chunks (ranges of bits from the top) in this order."""
     out, at = np.zeros_like(bits), BITS
@@ -102,9 +112,9 @@ def gray_rank(bits: np.ndarray) -> np.ndarray:
     return bits
 
 
-def in_views(found: DataFrame, most: int) -> DataFrame:
+def in_views(found: DataFrame, most: int, spare: int = 2) -> DataFrame:
     """``bits`` -> a row for each view: view, front, rank (ordered as a signed long), bits."""
-    shapes = views(most)
+    shapes = views(most, spare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +240,7 @@ def _search(table: pa.Table, most: int) -> pa.Table:
 
 def similar(found: DataFrame, most: int = 4) -> DataFrame:
     """Distinct ``bits`` -> links (a, b), a < b, whose components are those of all pairs of at most ``most`` differing bits."""
-    dealt = in_views(found, most).repartitionByRange("view", "rank").sortWithinPartitions("view", "rank")
+    dealt = in_views(found, most, spare_chunks(found.count(), most)).repartitionByRange("view", "rank").sortWithinPartitions("view", "rank")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -271,18 +281,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
+SALTS = 16
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
     """(doc_id, text) -> doc_id, bits, component_id: the smallest id reachable over fingerprints of at most ``most`` differing bits."""
     found = B.stored(fingerprints(docs, words), "fingerprints")
-    classes = found.groupBy("bits").agg(F.min("doc_id").alias("least"))
-    labels = components(similar(classes.select("bits"), most))
-    named = classes.join(labels.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    where = named.join(least, "component").select("bits", "component_id")
+    classes = B.stored(found.groupBy("bits").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    labels = components(similar(classes.select("bits"), most)).withColumnRenamed("node", "bits")
+    linked = classes.join(labels, "bits")
+    # A component may hold a third of all fingerprints: its name goes to several salts, and its members look it up under theirs.
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("bits"), F.lit(SALTS)).cast("int")
+    named = linked.withColumn("salt", salt).join(least, ["component", "salt"]).select("bits", "component_id")
+    alone = classes.join(labels, "bits", "left_anti").select("bits", F.col("least").alias("component_id"))
+    where = named.unionByName(alone)
     return found.join(where, "bits").select("doc_id", "bits", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, most: int = 6) -> DataFrame:
     """The documents with the smallest id of their component, all columns; of rows with one id, all stay; a null id stays only where its component has no other."""
     found = near_duplicates(docs, words, most).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["__kept"]), "left_semi")

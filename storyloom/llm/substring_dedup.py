@@ -10,11 +10,14 @@ round only has to say which names are shared:
   window of ``width`` words that covers the whole range of a name found in one document only
   can't repeat, so it needs no further look;
 * *high* names stand for passages of tens of words.  One that also occurs in a document
-  with a smaller id is removed whole, without a row for any of its windows.
+  with a smaller id reveals a long repeat; it is verified by a second hash of the passage's
+  words, made without the rounds, and then removed whole, without a row for any of its
+  windows.  A name that fails the check is left to the windows.
 
 What is left, windows across the edges of high names and first occurrences, is settled
-exactly: the hash of the window's words with the smallest id that holds it.  64-bit names:
-the odds that a window is judged wrongly are (windows in the corpus) / 2**64.
+exactly: the hash of the window's words with the smallest id that holds it.  Words and names
+are 64-bit hashes, a word's from random numbers for each byte at its place: the odds that a
+window is judged wrongly are (windows in the corpus) / 2**64.
 
 Defined cases: null text has no words; a null id counts as larger than any id; rows with
 one id never remove each other's words; texts shorter than ``width`` lose nothing; other
@@ -104,6 +107,13 @@ def high_names(words: np.ndarray, text: np.ndarray, rounds: int = HIGH_ROUNDS):
     return sym, start, end, text
 
 
+def passage_checks(words: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A second hash of each passage, from its words and their places; the passages follow one another."""
+    place = np.arange(len(words)) - np.repeat(start, np.diff(np.append(start, len(words))))
+    value = B.mix(words ^ B.mix(place.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(0x9FB21C651E98DF25)))
+    return np.add.reduceat(value, start).view(np.int64) if len(start) else np.zeros(0, np.int64)
+
+
 def window_names(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     name = np.zeros(len(at), np.uint64)
     for j in range(width):
@@ -124,6 +134,17 @@ def _least(names: np.ndarray, docs: np.ndarray):
     return names[at], docs[at], docs[last] > docs[at]
 
 
+def _least_checked(names: np.ndarray, checks: np.ndarray, docs: np.ndarray):
+    """Distinct (name, check) in order, and the smallest id of each."""
+    if not len(names):
+        return names, checks, docs
+    order = np.lexsort((docs, checks, names))
+    names, checks, docs = names[order], checks[order], docs[order]
+    first = np.ones(len(names), bool)
+    first[1:] = (names[1:] != names[:-1]) | (checks[1:] != checks[:-1])
+    return names[first], checks[first], docs[first]
+
+
 def _parts(table: pa.Table):
     """Of each slice: rows, words, each word's row, ids, and the end word of each word's row."""
     for batch, texts in B.slices(table.select(["doc_id", "text"])):
@@ -136,6 +157,14 @@ def _own(parts: list, index: int) -> np.ndarray:
     return np.concatenate([p[index] for p in parts]) if parts else np.zeros(0, np.uint64 if index == 0 else np.int64)
 
 
+def _high(w, text: np.ndarray, doc: np.ndarray, width: int):
+    """High names of a slice that are long enough: name, check, id, words [start, end)."""
+    sym, start, end, of = high_names(w.hash, text)
+    check = passage_checks(w.hash, start)
+    fits = (end - start) >= width
+    return sym[fits], check[fits], doc[of[fits]], start[fits], end[fits]
+
+
 def ask_names(table: pa.Table, buckets: int, width: int) -> pa.Table:
     block = table.column("block")[0].as_py()
     low, high = [], []
@@ -143,49 +172,41 @@ def ask_names(table: pa.Table, buckets: int, width: int) -> pa.Table:
         sym, lo, hi, of = low_names(w.hash, text)
         fits = (hi - lo) <= width
         low.append((sym[fits], doc[of[fits]]))
-        sym, start, end, of = high_names(w.hash, text)
-        fits = (end - start) >= width
-        high.append((sym[fits], doc[of[fits]]))
-    rows = []
+        high.append(_high(w, text, doc, width)[:3])
     names, _, more = _least(_own(low, 0), _own(low, 1))
-    rows += B.asked(block, LOW, names, more.astype(np.int8), buckets)
-    names, least, _ = _least(_own(high, 0), _own(high, 1))
-    rows += B.asked(block, HIGH, names, least, buckets)
+    rows = B.asked(block, LOW, names, more.astype(np.int8)[:, None], buckets)
+    names, checks, least = _least_checked(*(_own(high, i) for i in range(3)))
+    rows += B.asked(block, HIGH, names, np.stack([least, checks], axis=1), buckets)
     return B.table_of(rows, B.ASK_ARROW)
 
 
-def _grouped(names: np.ndarray):
-    order = np.argsort(names, kind="stable")
-    first = np.ones(len(names), bool)
-    first[1:] = names[order][1:] != names[order][:-1]
-    return order, np.cumsum(first) - 1, np.flatnonzero(first)
-
-
 def answer_names(table: pa.Table) -> pa.Table:
+    """To each block its low names that another document has, and the smallest ids of high names of earlier ones."""
     rows = []
-    names, more, of = B.joined(table, LOW, np.int8)
-    if len(names):
-        order, group, at = _grouped(names)
-        shared = np.add.reduceat(1 + more[order, 0].astype(np.int64), at)[group] > 1
-        pick = order[shared]
-        rows += B.told(LOW, names[pick], np.zeros((len(pick), 0), np.int8), of[pick])
-    rows += _least_of(table, HIGH)
+    for names, more, of in B.parts_of(table, LOW, np.int8):
+        order, group, at = B.grouped(names)
+        shared = np.empty(len(names), bool)
+        shared[order] = (np.add.reduceat(1 + more[order, 0].astype(np.int64), at) > 1)[group]
+        rows += B.told(LOW, names[shared], np.zeros((int(shared.sum()), 0), np.int8), of[shared])
+    for names, vals, of in B.parts_of(table, HIGH):
+        key, checks, least = _least_checked(names, vals[:, 1], vals[:, 0])
+        # A name with several checks is told with the first one's; the others fail the comparison.
+        at = np.searchsorted(key, names)
+        tell = least[at] < vals[:, 0]
+        rows += B.told(HIGH, names[tell], np.stack([least[at], checks[at]], axis=1)[tell], of[tell])
     return B.table_of(rows, B.TELL_ARROW)
 
 
-def _least_of(table: pa.Table, kind: int) -> list[tuple]:
-    """To each block the smallest id of a name that another block has with a smaller id."""
-    names, doc, of = B.joined(table, kind)
-    if not len(names):
-        return []
-    order, group, at = _grouped(names)
-    least = np.minimum.reduceat(doc[order, 0], at)[group]
-    tell = least < doc[order, 0]
-    return B.told(kind, names[order][tell], least[tell][:, None], of[order][tell])
-
-
 def answer_windows(table: pa.Table) -> pa.Table:
-    return B.table_of(_least_of(table, WINDOW), B.TELL_ARROW)
+    """To each block the smallest id of a window that another block has with a smaller id."""
+    rows = []
+    for names, doc, of in B.parts_of(table, WINDOW):
+        order, group, at = B.grouped(names)
+        least = np.empty(len(names), np.int64)
+        least[order] = np.minimum.reduceat(doc[order, 0], at)[group]
+        tell = least < doc[:, 0]
+        rows += B.told(WINDOW, names[tell], least[tell][:, None], of[tell])
+    return B.table_of(rows, B.TELL_ARROW)
 
 
 def _smallest(names: np.ndarray, docs: np.ndarray, told_names: np.ndarray, told_docs: np.ndarray) -> np.ndarray:
@@ -205,18 +226,17 @@ def _cover(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _high_hits(table: pa.Table, answers: pa.Table, width: int) -> list:
-    """Of each slice the words [start, end) of high names that a smaller id has too."""
-    parts = []
-    for _, w, text, doc, _ in _parts(table):
-        sym, start, end, of = high_names(w.hash, text)
-        fits = (end - start) >= width
-        parts.append((sym[fits], doc[of[fits]], start[fits], end[fits]))
-    names, least = B.learned(answers, HIGH)
-    found = _smallest(_own(parts, 0), _own(parts, 1), names, least[:, 0]) if parts else np.zeros(0)
-    out, at = [], 0
-    for sym, doc, start, end in parts:
-        hit = found[at : at + len(sym)] < doc
-        at += len(sym)
+    """Of each slice the words [start, end) of high names that a smaller id has too, verified."""
+    parts = [_high(w, text, doc, width) for _, w, text, doc, _ in _parts(table)]
+    names, told = B.learned(answers, HIGH)
+    key, checks, least = _least_checked(*(_own(parts, i) for i in range(3)))
+    out = []
+    for sym, check, doc, start, end in parts:
+        hit = np.zeros(len(sym), bool)
+        for known, values in ((key, np.stack([least, checks], axis=1)), (names, told)):
+            at = B.look_up(known, sym)
+            if len(known):
+                hit |= (at >= 0) & (values[at, 0] < doc) & (values[at, 1] == check)
         out.append((start[hit], end[hit]))
     return out
 
@@ -249,7 +269,7 @@ def ask_windows(table: pa.Table, answers: pa.Table, buckets: int, width: int) ->
         at = _candidates(w, text, end, shared, hit, width)
         found.append((window_names(w.hash, at, width), doc[text[at]]))
     names, least, _ = _least(_own(found, 0), _own(found, 1))
-    return B.table_of(B.asked(block, WINDOW, names, least, buckets), B.ASK_ARROW)
+    return B.table_of(B.asked(block, WINDOW, names, least[:, None], buckets), B.ASK_ARROW)
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
@@ -290,10 +310,11 @@ def remove_repeats(docs: DataFrame, width: int = 13, texts: bool = True) -> Data
 
     A word goes if a window of ``width`` words around it also starts in a document with a smaller id.
     """
-    n = B.block_count(docs)
-    dealt = B.blocked(docs, n)
-    by = dealt.groupBy("block")
-    first = by.applyInArrow(lambda t: ask_names(t, n, width), B.ASK).groupBy("bucket").applyInArrow(answer_names, B.TELL)
-    second = by.cogroup(first.groupBy("block")).applyInArrow(lambda t, a: ask_windows(t, a, n, width), B.ASK).groupBy("bucket").applyInArrow(answer_windows, B.TELL)
+    size = B.text_bytes(docs)
+    n, m = B.block_count(size), B.bucket_count(size)
+    by = B.blocked(docs, n).groupBy("block")
+    first = by.applyInArrow(lambda t: ask_names(t, m, width), B.ASK).groupBy("bucket").applyInArrow(answer_names, B.TELL)
+    second = by.cogroup(first.groupBy("block")).applyInArrow(lambda t, a: ask_windows(t, a, m, width), B.ASK).groupBy("bucket").applyInArrow(answer_windows, B.TELL)
     answers = first.unionByName(second)
-    return by.cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: settle(t, a, width, texts), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    result = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    return by.cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: settle(t, a, width, texts), result)

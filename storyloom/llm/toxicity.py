@@ -3,19 +3,20 @@
 1. On half of a bounded sample of labelled rows Spark counts in how many toxic and clean
    texts each word and each word beginning (``stem*``) occurs; those that mark toxic texts
    become the lexicon.  Near copies in the sample count once.
-2. The lexicon, with the words observed below its stems, is a trie.  A word that is no entry is run through the intersection of the
-   trie with the word's Levenshtein automaton: the automaton's state is the row of edit
-   distances, and a branch dies when all of it exceeds the limit, so misspelled terms are
-   found without trying every entry.
+2. The lexicon, with the words observed below its stems, is a trie.  A word that is no entry
+   is run through the intersection of the trie with the word's Levenshtein automaton: the
+   automaton's state is the row of edit distances, and a branch dies when all of it exceeds
+   the limit, so misspelled terms are found without trying every entry.
 3. Each match is judged in a window of words: inside quotation marks it counts as quoted,
    next to other matches as clustered.  A logistic regression over these counts, fitted on
    the other half of the sample, turns them into a score.
 
-The bound of the sample (``rows``) and of the lexicon (``terms``) are parameters; scoring
-covers every whole text, and language, source and id are not inputs.
+The bound of the sample (``rows``) is a parameter, and bounds the lexicon: every term that
+passes the test is kept.  Scoring covers every whole text, and language, source and id are
+not inputs.
 
-Defined cases: null and empty texts score like a text without matches; labels that are null
-or repeated with both values are left out; without toxic labels all score 0; repeated rows
+Defined cases: null and empty texts score like a text without matches; labels that are null,
+neither 0 nor 1, or repeated with both values are left out; without toxic labels all score 0; repeated rows
 are scored each; other columns are ignored.
 """
 
@@ -36,7 +37,6 @@ from pyspark.sql import functions as F
 from storyloom.llm import blocks as B
 
 SAMPLE_ROWS = 20_000
-TERMS = 2_000
 STEMS = range(4, 8)
 WINDOW = 6
 LEAST = 3  # toxic texts that a term is in
@@ -58,7 +58,7 @@ def signature(words: list[str]) -> str:
 
 def sampled(docs: DataFrame, labels: DataFrame, train: Column, rows: int) -> DataFrame:
     """About ``rows`` labelled training rows at most: text, toxic, half (0 or 1), chosen by a hash of the id."""
-    sure = labels.filter("doc_id is not null and toxic is not null").filter(train).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
+    sure = labels.filter("doc_id is not null and toxic in (0, 1)").filter(train).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
     n = sure.count()
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(2**31))
     chosen = sure.filter(mark < int(2**31 * min(1.0, rows / max(n, 1)))) if n > rows else sure
@@ -79,7 +79,8 @@ def lexicon_counts(sample: DataFrame) -> DataFrame:
                 toxic.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.string()), pa.array(toxic, pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["sig", "toxic", "words"])
 
-    once = sample.select(F.col("text"), F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "sig string, toxic int, words array<string>").dropDuplicates(["sig"])
+    once = sample.select(F.col("text"), F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "sig string, toxic int, words array<string>")
+    once = once.groupBy("sig").agg(F.min(F.struct("words", "toxic")).alias("one")).select("one.toxic", "one.words")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: tuple[Counter, Counter] = (Counter(), Counter())
@@ -95,7 +96,7 @@ def lexicon_counts(sample: DataFrame) -> DataFrame:
     return once.select("toxic", "words").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int, terms: int) -> dict[str, float]:
+def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
     """term -> log-odds; a stem only where it says more than the words below it, a word only where no stem covers it."""
     rated = []
     for term, t, c in counts:
@@ -124,8 +125,6 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int, terms: in
             continue
         found[term] = odds
         note(term, t)
-        if len(found) == terms:
-            break
     return found
 
 
@@ -158,8 +157,10 @@ class Matcher:
         self.tail_sizes = sorted({len(h) for h in self.tails})
 
     def near(self, word: str) -> bool:
-        """One edit leaves the beginning or the end of a term whole."""
+        """One edit leaves the beginning or the end of a term whole; with more, every word is searched."""
         n = len(word)
+        if self.edits > 1:
+            return True
         return any(n in self.heads.get(word[:k], ()) for k in self.head_sizes) or any(n in self.tails.get(word[-k:], ()) for k in self.tail_sizes)
 
     def misspelled(self, word: str) -> bool:
@@ -230,7 +231,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 50) ->
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS, terms: int = TERMS) -> tuple[dict[str, float], list[str], np.ndarray | None]:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], list[str], np.ndarray | None]:
     """The lexicon, the words observed below its stems and the weights, from labelled rows where ``train`` holds."""
     sample = B.stored(sampled(docs, labels, train, rows), "toxicity-sample")
     counts = B.stored(lexicon_counts(sample.filter("half = 0")), "toxicity-terms")
@@ -239,14 +240,14 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_
         return {}, [], None
     marks = counts.filter((F.col("term") != "") & (F.col("toxic") > 0) & (F.col("toxic") * (total["clean"] + 1) >= 5 * F.col("clean") * (total["toxic"] + 1)))
     likely = marks.filter(F.col("toxic") >= LEAST)
-    top = likely.orderBy(F.desc(F.col("toxic") - 10 * F.col("clean")), F.asc("term")).limit(20 * terms).collect()  # bounded by ``terms``
-    lexicon = choose([(r["term"], r["toxic"], r["clean"]) for r in top], total["toxic"], total["clean"], terms)
+    top = likely.collect()  # bounded by the words of ``rows`` texts
+    lexicon = choose([(r["term"], r["toxic"], r["clean"]) for r in top], total["toxic"], total["clean"])
     stems = [t[:-1] for t in lexicon if t.endswith("*")]
     spelled: list[str] = []
     if stems:
         under = [F.substring("term", 1, k).isin(part) for k in STEMS if (part := [s for s in stems if len(s) == k])]
         words = marks.filter(~F.col("term").endswith("*")).filter(reduce(or_, under))
-        spelled = [r["term"] for r in words.orderBy(F.desc("toxic"), F.asc("term")).limit(20 * terms).collect()]  # bounded by ``terms``
+        spelled = sorted(r["term"] for r in words.collect())  # bounded likewise
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(lexicon, spelled=spelled)
@@ -259,10 +260,10 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_
     return lexicon, spelled, fit(np.array([r["x"] for r in held]), np.array([float(r["toxic"]) for r in held]))
 
 
-def score(docs: DataFrame, labels: DataFrame, train: Column, cutoff: float = 0.3, rows: int = SAMPLE_ROWS, terms: int = TERMS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, train: Column, cutoff: float = 0.3, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, text), labels (doc_id, toxic) -> doc_id, score, predicted, and the counts of words, stems, misspelled, quoted and clustered matches."""
-    lexicon, spelled, weights = learn(docs, labels, train, rows, terms)
-    model = docs.sparkSession.sparkContext.broadcast((lexicon, spelled, weights))  # at most 21 * ``terms`` entries
+    lexicon, spelled, weights = learn(docs, labels, train, rows)
+    model = docs.sparkSession.sparkContext.broadcast((lexicon, spelled, weights))  # bounded by the words of ``rows`` texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, spelled, w = model.value

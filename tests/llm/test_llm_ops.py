@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and their defined cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -89,32 +90,90 @@ def test_low_names_agree_inside_equal_windows():
 
 def test_lm_scoring(docs, empty):
     source = collected(docs)
-    got = {r.doc_id: r for r in lm_scoring.score(docs, F.col("doc_id") % 4 != 0).collect()}
     low = lambda t: [x.translate(str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})) for x in words(t)] + ["\0"]
-    uni, pair = {}, {}
+    seen = {}
     for d, t in source.items():
         if d % 4:
-            prev = "\0"
-            for x in low(t):
-                uni[x] = uni.get(x, 0) + 1
-                pair[prev, x] = pair.get((prev, x), 0) + 1
-                prev = x
+            w = low(t)
+            for i in range(len(w)):
+                for k in range(4):
+                    if i >= k - 1:
+                        gram = tuple((["\0", *w])[i + 1 - k : i + 2])
+                        seen[gram] = seen.get(gram, 0) + 1
+    uni = {g[0]: c for g, c in seen.items() if len(g) == 1}
     n, v = sum(uni.values()), len(uni)
     n1, n2 = (sum(c == k for c in uni.values()) for k in (1, 2))
-    disc, mu = n1 / (n1 + 2 * n2), lm_scoring.MU
-    for d, t in source.items():
-        prev, base, score = "\0", 0.0, 0.0
-        for x in low(t):
-            c, cv, cc = uni.get(x, 0), uni.get(prev, 0), pair.get((prev, x), 0)
-            base += np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-            p = (c - disc) / n if c else disc * v / n
-            score += np.log10((cc + mu * p) / (cv + mu))
-            prev = x
-        assert got[d].train_tokens == n and got[d].n_tokens == len(low(t)) and got[d].n_known == sum(x in uni for x in low(t))
-        assert got[d].base_score == pytest.approx(base, abs=1e-8) and got[d].score == pytest.approx(score, abs=1e-8)
+    disc = n1 / (n1 + 2 * n2)
+
+    def prob(gram, mu):
+        if len(gram) == 1:
+            return (seen.get(gram, 0) - disc) / n if gram in seen else disc * v / n
+        m = mu[len(gram) - 2]
+        return (seen.get(gram, 0) + m * prob(gram[1:], mu)) / (seen.get(gram[:-1], 0) + m)
+
+    for mu in (lm_scoring.MU, (5.0,), (30.0, 3.0, 1.0)):
+        got = {r.doc_id: r for r in lm_scoring.score(docs, F.col("doc_id") % 4 != 0, mu).collect()}
+        for d, t in source.items():
+            w = ["\0", *low(t)]
+            base = sum(np.log10((uni.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in w[1:])
+            score = sum(np.log10(prob(tuple(w[max(0, i - len(mu)) : i + 1]), mu)) for i in range(1, len(w)))
+            assert got[d].train_tokens == n and got[d].n_tokens == len(w) - 1 and got[d].n_known == sum(x in uni for x in w[1:])
+            assert got[d].base_score == pytest.approx(base, abs=1e-8) and got[d].score == pytest.approx(score, abs=1e-8)
     assert lm_scoring.score(empty, F.lit(True)).count() == 0
 
 
+def test_lm_automaton_has_states_and_failure_arcs(docs):
+    import pyarrow as pa
+
+    table = pa.table({"doc_id": [1, 2], "text": ["a b c a b d", "a b c"], "train": [True, False]})
+    grams = lm_scoring.Grams(table, 3)
+    auto = lm_scoring.Automaton(grams, grams.own, np.array([7, 5, 3, 2]), lm_scoring.MU)
+    assert [int(s.sum()) for s in auto.state[1:]] == [5, 6] and len(auto.failure) == 3
+    assert (auto.traverse() < 0).all() and not auto.seen[3].all()
+
+
+def test_asked_rows_grow_with_the_blocks_alone(docs, monkeypatch):
+    """A quarter and a sixteenth of the block bytes: rows in proportion to the blocks, not to their square."""
+    from storyloom.llm import blocks
+
+    counts = {}
+    for n in (4, 16, 64):
+        by = blocks.blocked(docs, n, F.lit(True).alias("train")).groupBy("block")
+        counts[n] = by.applyInArrow(lambda t: lm_scoring.ask_short(t, 8, 2), blocks.ASK).count()
+        assert counts[n] <= 2 * 8 * n
+    assert blocks.bucket_count(10**9) == blocks.MIN_BUCKETS and blocks.block_count(10**9) == 84
+
+
+def test_words_of_a_pattern_differ():
+    import pyarrow as pa
+
+    from storyloom.llm import blocks
+
+    turn = str.maketrans("ab", "ba")
+    word = "a"
+    for _ in range(11):
+        word += word.translate(turn)
+    found = blocks.Words(pa.array([f"{word} {word.translate(turn)} {word}"]))
+    assert found.hash[0] != found.hash[1] and found.hash[0] == found.hash[2]
+
+
+def test_parts_of_a_bucket(monkeypatch):
+    from storyloom.llm import blocks
+
+    r = np.random.default_rng(3)
+    rows, want = [], {}
+    for block in range(5):
+        names = np.unique(r.integers(0, 2**64, 300, dtype=np.uint64))
+        vals = r.integers(-9, 9, (len(names), 2))
+        rows += blocks.asked(block, 7, names, vals, 1)
+        want |= {(int(n), block): v.tolist() for n, v in zip(names, vals)}
+    got = {}
+    for most in (100, 10**6):
+        for names, vals, of in blocks.parts_of(blocks.table_of(rows, blocks.ASK_ARROW), 7, most=most):
+            got |= {(int(n), int(b)): v.tolist() for n, v, b in zip(names, vals, of)}
+        assert got == want
+
+
 def test_lm_probabilities_sum_to_one():
     c, mu = np.array([5.0, 3, 1, 1]), 10.0
     n, v, d = c.sum(), 4, 0.5
@@ -182,6 +241,46 @@ def test_pii_base_patterns(spark):
         assert pii.base_spans(t) == sorted(want, key=lambda s: (s[0], pii.ORDER[s[1]])), t
 
 
+def test_pii_very_long_numbers():
+    text = "1.2.3." + "9" * 5000 + " and 0001.2.3.255 and 1.2.3." + "0" * 6000 + "7"
+    kinds = [k for _, k, _ in pii.base_spans(text)]
+    assert kinds == ["ip", "ip"]
+
+
+def test_pii_rejected_candidates_block_nothing():
+    text = "see aaaaaaaaaaaa123-45-6789 or ssn 123-45-6789"
+    found = pii.candidates("x abcdefghij1234-AB12CDEFGHIJ34567 y", [])
+    assert found == sorted(found, key=lambda c: (c[0], -c[1]))
+    both = pii.candidates("key=AB12CDEFGHIJ34567890", [])
+    assert {c[2] for c in both} == {"secret", "account"} and len(both) == 2
+    assert pii.candidates(text, [(0, "email", len(text))]) == []
+
+
+def test_pii_expectation_maximisation_is_that_of_single_spans():
+    """Over spans one by one, in plain loops, with the same start and pseudo-counts."""
+    r = random.Random(2)
+    patterns = [("".join(r.choice("-0+") for _ in range(3)), r.randint(1, 6)) for _ in range(8)]
+    patterns = sorted(dict(patterns).items())
+    spans = [p for p, n in patterns for _ in range(n)]
+    one = 1e4 / len(spans)
+    belief = {p: 1 / (1 + math.exp(-1.5 * (p.count("+") - 1.5 * p.count("-") - 1))) for p in set(spans)}
+    for _ in range(60):
+        score = {p: [0.0, 0.0] for p in belief}
+        for side in (0, 1):
+            weight = [one * (belief[p] if side else 1 - belief[p]) for p in spans]
+            for p in score:
+                score[p][side] += math.log(sum(weight) + 1)
+            for j in range(3):
+                share = dict(zip("-0+", (0.5, 1.0, 2.0) if side else (2.0, 1.0, 0.5)))
+                for p, w in zip(spans, weight):
+                    share[p[j]] += w
+                for p in score:
+                    score[p][side] += math.log(share[p[j]] / sum(share.values()))
+        belief = {p: 1 / (1 + math.exp(max(-30.0, min(30.0, a - b)))) for p, (a, b) in score.items()}
+    got = pii.reliabilities(patterns)
+    assert got.keys() == belief.keys() and all(got[p] == pytest.approx(belief[p], abs=1e-9) for p in belief)
+
+
 def test_pii_finds_secrets(spark, empty):
     rows = [(i, f"plain words {i} here AKIA{'ABCDEFGH23456789'[i % 5:]}{'QRSTU'[:i % 5]} and password={hashlib.md5(str(i).encode()).hexdigest()[:18]} mail a{i}@b.example.org end thisisaverylongplainword2") for i in range(30)]
     rows += [(100, None), (101, "")]
@@ -258,6 +357,31 @@ def test_near_duplicates_cases(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_by_radius(spark):
+    """Against all pairs of fingerprints, at the pipeline's settings; and a hot component over salts."""
+    r = random.Random(5)
+    base = [[f"v{r.randrange(5000)}" for _ in range(200)] for _ in range(12)]
+    rows = []
+    for i in range(240):
+        w = list(base[i % 12] if i % 3 else base[0])
+        for _ in range(r.randrange(0, 5)):
+            w[r.randrange(200)] = f"z{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, most=6).collect()}
+    prints = [simhash.fingerprint(t.encode(), 5) for _, t in rows]
+    label = list(range(240))
+    for _ in range(240):
+        new = [min(label[j] for j in range(240) if (prints[i] ^ prints[j]).bit_count() <= 6) for i in range(240)]
+        if new == label:
+            break
+        label = new
+    assert got == dict(enumerate(label))
+    assert simhash.spare_chunks(10**6, 4) == 2 and simhash.spare_chunks(10**10, 4) == 3
+    for spare in (2, 3):
+        shapes = simhash.views(4, spare)
+        assert all(sum(b - a for a, b in order) == 64 for order, _ in shapes) and len(shapes) == {2: 15, 3: 35}[spare]
+
+
 def test_components_of_long_chains(spark):
     """A chain of edits whose ids come in any order: neighbour minima alone need some hundred rounds."""
     order = np.random.default_rng(1).permutation(400) * 7 - 900
@@ -280,6 +404,32 @@ def test_line_dedup(spark, empty):
     assert line_dedup.shared_lines(empty).count() == 0
 
 
+def test_line_dedup_over_many_ranges(spark):
+    """A very common line, repeated ids and texts, over ranges that cut it, against brute force."""
+    rng.seed(11)
+    lines = [f"a line of some length, number {i}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        own = ["the line that a third of all rows is made of"] * rng.randint(0, 3) + rng.sample(lines, rng.randint(0, 3)) + [f"only here is line number {i}"] * rng.randint(0, 2)
+        rng.shuffle(own)
+        rows.append((i if i % 9 else 500, "\n".join(own)))
+    rows += [(None, "the line that a third of all rows is made of"), rows[5], rows[5]]
+    holders = {}
+    for d, t in rows:
+        for x in t.split("\n"):
+            if len(x) >= 20:
+                holders.setdefault(x, set()).add(2**63 if d is None else d)
+    want = sorted((2**63 if d is None else d, "\n".join(x for x in t.split("\n") if len(holders.get(x, ())) < 3 or (2**63 if d is None else d) == max(holders[x]))) for d, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for n in ("3", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = sorted((2**63 if r.doc_id is None else r.doc_id, r.kept_text) for r in line_dedup.shared_lines(df).collect())
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_decontamination(spark, docs, empty):
     source = collected(docs)
     items = [(1, " ".join(words(source[4])[10:40])), (2, "only four short words"), (3, None), (4, "..."), (5, prose(30)), (None, "x"), (10, " ".join(words(source[4])[20:50]).upper())]
@@ -335,7 +485,7 @@ def test_toxicity(spark, empty):
 
 def test_toxicity_misspelled_inflected_terms(spark):
     one = [("idiot", 104, 0), ("idiots", 6, 0), *((f"{'idiots'[:k]}*", 110, 0) for k in (4, 5))]
-    match = toxicity.Matcher(toxicity.choose(one, 500, 2000, 100))
+    match = toxicity.Matcher(toxicity.choose(one, 500, 2000))
     assert [match(w) for w in ("idiot", "ideot", "1diot", "iidiot", "radio")] == [1, 3, 3, 3, 0]
     # A stem that says more than each of its words: these are searched misspelled as well.
     forms, rows = ["snorgle", "snorgling", "snorgled", "snorgler"], []
@@ -350,6 +500,65 @@ def test_toxicity_misspelled_inflected_terms(spark):
     assert toxicity.score(df, lab, F.lit(True)).filter("doc_id = 1000").first().n_misspelled == 2
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    """The whole score from the learned lexicon and weights, with edit distances and windows worked out word by word."""
+    rng.seed(21)
+    rows, labels = [], []
+    for i in range(400):
+        t = prose(25).split()
+        if i % 5 == 0:
+            t[rng.randrange(25)] = rng.choice(["scumbag", "vermin!", "scumbags", "Loser"])
+        if i % 7 == 0:
+            t[3:6] = ['"they', rng.choice(["scumbag", "vermim"]), 'said"']
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(i % 5 == 0)))
+    rows += [(900, None), (901, ""), (902, "vermn " * 3000), rows[5], (None, "scumbag")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels + [(7, 3), (8, None)], "doc_id long, toxic int")
+    train = F.col("doc_id") % 3 != 0
+    lexicon, spelled, w = toxicity.learn(df, lab, train)
+    assert lexicon and w is not None
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    terms = {t for t in lexicon if not t.endswith("*")}
+    near, seen = {t for t in terms.union(spelled) if len(t) >= 5}, {}
+
+    def kind(token):
+        if token not in seen:
+            word = token.strip(toxicity.EDGE)
+            stem = any(t.endswith("*") and word.startswith(t[:-1]) for t in lexicon)
+            seen[token] = 1 if word in terms else 2 if stem else 3 if any(distance(word, t) <= 1 for t in near) else 0
+        return seen[token]
+
+    def score(text):
+        tokens = (text or "").lower().split()
+        kinds = [kind(t) for t in tokens]
+        sums = [0] * 5
+        for i, k in enumerate(kinds):
+            if k:
+                a, b = max(0, i - toxicity.WINDOW), i + toxicity.WINDOW + 1
+                ends = [t.rstrip(".,;:!?")[-1:] for t in tokens[i:b]]
+                quoted = any(t[0] in toxicity.OPEN for t in tokens[a : i + 1]) and any(e and e in toxicity.CLOSE for e in ends)
+                sums[3 if quoted else k - 1] += 1
+                sums[4] += any(kinds[j] for j in range(a, min(b, len(tokens))) if j != i)
+        x = [1.0, *(math.log1p(v) for v in sums), float(sums[0] + sums[1] > 0), math.sqrt(sum(sums[:3]) / max(len(tokens), 1))]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(p * q for p, q in zip(x, w))))))
+
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.score, r.predicted) for r in toxicity.score(df, lab, train).collect())
+    want = sorted(((d is None, d or 0), score(t)) for d, t in rows)
+    assert len(got) == len(want)
+    for (d, s, p), (e, v) in zip(got, want):
+        assert d == e and s == pytest.approx(v, abs=1e-9) and p == int(s >= 0.3)
+
+
 def test_levenshtein_trie_is_exact():
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -391,6 +600,22 @@ def test_quality_rules(spark, empty):
     assert quality_rules.verdicts(empty.withColumn("lang", F.lit("en")), lab).count() == 0
 
 
+def test_quality_promise_holds(spark):
+    """Strata whose mildest level rejects more good documents than allowed: hardly ever is one chosen."""
+    r = np.random.default_rng(4)
+    rows, labels, trials, n = [], [], 60, 220
+    for s in range(trials):
+        bad = r.random(n) < quality_rules.RISK * 1.02
+        rows += [(s * n + i, f"s{s}", False, int(x)) for i, x in enumerate(np.where(bad, 1, 11))]
+        rows += [(10**6 + s * 400 + i, f"s{s}", False, 1) for i in range(400)]
+        labels += [(s * n + i, 1) for i in range(n)] + [(10**6 + s * 400 + i, 0) for i in range(400)]
+    found = spark.createDataFrame(rows, "doc_id long, stratum string, base_failed boolean, level int")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    assert quality_rules.proven(found, lab).count() == 0
+    alone = [quality_rules.proven(found.filter(F.col("stratum") == f"s{s}"), lab).count() for s in range(12)]
+    assert sum(alone) <= 3
+
+
 def test_binomial_tail_is_exact(spark):
     from math import comb
 
@@ -434,6 +659,13 @@ def test_chat_format(spark):
     assert next(r for r in got if r.conv_id == 77 and r.turn is None).body == "hello"
 
 
+def test_chat_markers(spark):
+    """Only the marker of the role that was found goes, and only once."""
+    rows = [("Context: the answer is 42", "assistant", "Context: the answer is 42"), ("Assistant: AI: hello", "assistant", "AI: hello"), ("User: hi", "user", "hi"), ("User: hi", "assistant", "User: hi"), ("", "user", "")]
+    df = spark.createDataFrame(rows, "text string, role string, want string")
+    assert all(r.got == r.want for r in df.select("want", chat_format.body(F.col("text"), F.col("role")).alias("got")).collect())
+
+
 def test_viterbi_is_exact():
     from itertools import product
 

@@ -25,7 +25,7 @@ def test_pipeline(spark):
     texts = {r.doc_id: r.kept_text for r in line_dedup.shared_lines(docs.select("doc_id", "text")).collect()}
     assert second.columns == docs.columns and {r.doc_id: r.text for r in second.collect()} == texts
     third = blocks.stored(corpus_pipeline.near_duplicates(spark, second, DATA), "t3")
-    assert {r.doc_id for r in third.collect()} == {r.component_id for r in simhash.near_duplicates(second).collect()}
+    assert {r.doc_id for r in third.collect()} == {r.component_id for r in simhash.near_duplicates(second, words=5, most=6).collect()}
     fourth = blocks.stored(corpus_pipeline.decontaminate(spark, third, DATA), "t4")
     bad = {r.row.doc_id for r in decontamination.contamination(third, table(spark, DATA, "benchmark")).filter("contaminated").collect()}
     assert {r.doc_id for r in fourth.collect()} == {r.doc_id for r in third.collect()} - bad
