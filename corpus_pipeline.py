@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is
 written as Parquet and read again as the next one's documents.
+
+Defined cases: a null text has no words, so the quality rules reject it; an empty table stays
+empty through all stages; without labels only the base rule rejects; rows with one id are
+judged each by the quality rules and together by all later stages; other columns of the
+documents, whatever their names, stay up to the last stage.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies: fingerprints of five-word shingles that agree in 58 of 64 bits or more."""
+    return simhash.one_of_each(docs, words=5, most=6)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +42,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("decontamination", decontaminate), ("packing", pack)]
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
 
 #: SQL can't tokenize; the stages are tested against brute force.
 ORACLE_SQL = None
