@@ -1,14 +1,15 @@
 """Shared machinery of the corpus operators: word arrays, and the block exchange.
 
-Documents are dealt by id and text into *blocks* of a bounded number of bytes.  What a
-block knows (names of symbols, n-grams) leaves it once per distinct name, goes to the
+Documents are cut into *blocks* of a bounded number of bytes as their partitions are read,
+and packed (compressed) for the exchange.  What a block knows (names of symbols, n-grams) leaves it once per distinct name, goes to the
 *bucket* that owns this range of hashes, and the bucket sends back to every block only
 what that block asked for.  So no name, however frequent, has more rows than there are
 blocks, no table of names is ever broadcast, and the texts are exchanged once: every
 later pass reuses the same exchange.  A bucket answers for many blocks (``BUCKET_BYTES`` of
 text against ``BLOCK_BYTES``) and works through its range in parts, so the number of buckets
 doesn't depend on that of the blocks and there are never more rows than names.  All steps
-are Spark exchanges and can be recomputed when an executor is lost.
+are Spark exchanges and can be recomputed when an executor is lost; for that the rows of the
+documents must come in the same order again, as they do from files.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 BUCKET_BYTES = 128_000_000
 MIN_BLOCKS, MIN_BUCKETS = 24, 32
 SLICE_BYTES = 1_000_000
@@ -123,24 +125,49 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
-def block_count(total: int, block_bytes: int = BLOCK_BYTES) -> int:
-    return max(MIN_BLOCKS, -(-total // block_bytes))
+def block_bytes(total: int) -> int:
+    """Bytes of a block; small inputs still make some blocks."""
+    return max(1, min(BLOCK_BYTES, total // MIN_BLOCKS))
 
 
 def bucket_count(total: int) -> int:
     return max(MIN_BUCKETS, -(-total // BUCKET_BYTES))
 
 
-def blocked(docs: DataFrame, n: int, *columns) -> DataFrame:
-    """Rows with their block, by id and text (an id of very many texts is no block of its own); a plan that uses this more than once exchanges the texts once."""
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    return docs.select("doc_id", "text", *columns, block.alias("block")).repartition("block")
+def blocked(docs: DataFrame, most: int, *columns) -> DataFrame:
+    """(doc_id, text, columns) -> block, packed: the rows in slices, some of which make a block of about ``most`` bytes.
 
+    A plan that uses this more than once exchanges the texts once.
+    """
 
-ASK = "bucket int, block int, kind int, names binary, vals binary"
-TELL = "block int, kind int, names binary, vals binary"
-ASK_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("names", pa.binary()), ("vals", pa.binary())])
-TELL_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("names", pa.binary()), ("vals", pa.binary())])
+    def pack(batches):
+        from pyspark import TaskContext
+
+        block, held = TaskContext.get().partitionId() << 24, 0
+        for batch in batches:
+            for part, texts in slices(pa.Table.from_batches([batch]), most=min(SLICE_BYTES, most)):
+                size = sum(b.size for b in texts.buffers() if b) if len(texts) == 1 else int(pc.sum(pc.binary_length(texts)).as_py() or 0)
+                if held and held + size > most:
+                    block, held = block + 1, 0
+                held += size
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "packed"])
+
+    return docs.select("doc_id", "text", *columns).mapInArrow(pack, "block long, packed binary").repartition("block")
+
+
+def unpacked(table: pa.Table):
+    """The slices of a block: rows and their texts."""
+    for x in table.column("packed"):
+        yield from slices(pa.ipc.open_stream(x.as_py()).read_all(), most=2**62)
+
+
+ASK = "bucket int, block long, kind int, names binary, vals binary"
+TELL = "block long, kind int, names binary, vals binary"
+ASK_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("names", pa.binary()), ("vals", pa.binary())])
+TELL_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("names", pa.binary()), ("vals", pa.binary())])
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -203,7 +230,7 @@ def parts_of(table: pa.Table, kind: int, dtype=np.int64, most: int = 2_000_000):
         cut = [(n[a:b], v[a:b], k) for (n, v, k), a, b in zip(rows, at, to) if b > a]
         at = to
         if cut:
-            yield np.concatenate([n for n, _, _ in cut]), np.concatenate([v for _, v, _ in cut]), np.repeat(np.array([k for _, _, k in cut], np.int32), [len(n) for n, _, _ in cut])
+            yield np.concatenate([n for n, _, _ in cut]), np.concatenate([v for _, v, _ in cut]), np.repeat(np.array([k for _, _, k in cut], np.int64), [len(n) for n, _, _ in cut])
 
 
 def told(kind: int, names: np.ndarray, vals: np.ndarray, blocks: np.ndarray) -> list[tuple]:

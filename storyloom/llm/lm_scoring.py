@@ -45,7 +45,7 @@ class Grams:
 
     def __init__(self, table: pa.Table, order: int):
         tokens, train, sizes, self.batches = [], [], [], []
-        for batch, texts in B.slices(table.select(["doc_id", "text", "train"])):
+        for batch, texts in B.unpacked(table):
             w = B.Words(texts, lower=True)
             rows = len(w.first) - 1
             size = np.diff(w.first) + 1
@@ -56,10 +56,10 @@ class Grams:
             tokens.append(part)
             train.append(np.repeat(flags, size))
             sizes.append(size)
-            self.batches.append(batch)
+            self.batches.append(batch.select(["doc_id", "train"]))
         tokens, train, sizes = np.concatenate(tokens), np.concatenate(train), np.concatenate(sizes)
         self.edges = np.append(0, np.cumsum(sizes))
-        place = np.arange(len(tokens)) - np.repeat(self.edges[:-1], sizes)
+        place = (np.arange(len(tokens)) - np.repeat(self.edges[:-1], sizes)).astype(np.int32)
         none = np.zeros(0, np.int32)
         self.names, self.own, self.of, self.prefix, self.suffix = [none], [none], [none], [none], [none]
         name = tokens
@@ -67,16 +67,19 @@ class Grams:
             if k > 1:
                 # The last token of a block is an end mark, and so is that before a text's first.
                 name = B.pair_name(np.roll(name, 1), tokens, 6 + k)
-            at = np.flatnonzero(place >= k - 2)
-            order_, group, new = B.grouped(name[at])
-            ranked = at[order_]
+            at = np.flatnonzero(place >= k - 2).astype(np.int32)
+            ranked = at[np.argsort(name[at])]
+            names = name[ranked]
+            new = np.ones(len(names), bool)
+            new[1:] = names[1:] != names[:-1]
             of = np.full(len(tokens), -1, np.int32)
-            of[ranked] = group
-            self.names.append(name[ranked[new]])
-            self.own.append(np.add.reduceat(train[ranked].astype(np.int64), new) if len(new) else np.zeros(0, np.int64))
+            of[ranked] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+            first = np.flatnonzero(new)
+            self.names.append(names[first])
+            self.own.append(np.add.reduceat(train[ranked], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64))
             self.of.append(of)
-            self.prefix.append(self.of[k - 1][ranked[new] - 1] if k > 1 else none)
-            self.suffix.append(self.of[k - 1][ranked[new]] if k > 1 else none)
+            self.prefix.append(self.of[k - 1][ranked[first] - 1] if k > 1 else none)
+            self.suffix.append(self.of[k - 1][ranked[first]] if k > 1 else none)
 
 
 def to_ask(grams: Grams, k: int, shared: list[np.ndarray]) -> np.ndarray:
@@ -110,7 +113,8 @@ def ask_short(table: pa.Table, buckets: int, order: int) -> pa.Table:
     block = table.column("block")[0].as_py()
     most = min(order, 2)
     grams = Grams(table, most)
-    return B.table_of([r for k in range(1, most + 1) for r in B.asked(block, k, grams.names[k], grams.own[k][:, None], buckets)], B.ASK_ARROW)
+    rows = [r for k in range(1, most + 1) for r in B.asked(block, k, grams.names[k], grams.own[k][:, None], buckets)]
+    return B.table_of([*rows, (0, block, TOTALS, b"", b"")], B.ASK_ARROW)  # the first bucket lists the blocks
 
 
 def ask_long(table: pa.Table, answers: pa.Table, buckets: int, k: int) -> pa.Table:
@@ -138,17 +142,26 @@ def answer_counts(table: pa.Table, order: int) -> pa.Table:
     return B.table_of(rows, B.TELL_ARROW)
 
 
-SUMS = pa.schema([(c, pa.int64()) for c in ("n", "v", "once", "twice")])
+SUMS = pa.schema([*((c, pa.int64()) for c in ("n", "v", "once", "twice")), ("blocks", pa.binary())])
 
 
 def bucket_sums(table: pa.Table) -> pa.Table:
-    """A bucket's training tokens, its distinct words, and those seen once and twice."""
+    """A bucket's training tokens, its distinct words, those seen once and twice; and the blocks that it lists."""
     sums = np.zeros(4, np.int64)
     for names, n, _ in B.parts_of(table, 1):
         order, _, at = B.grouped(names)
         c = np.add.reduceat(n[order, 0], at)
         sums += [c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()]
-    return pa.table({f.name: [int(x)] for f, x in zip(SUMS, sums)}, schema=SUMS)
+    blocks = np.array([b for b, k in zip(table.column("block").to_pylist(), table.column("kind").to_pylist()) if k == TOTALS], np.int64)
+    return pa.table({f.name: [x] for f, x in zip(SUMS, [*map(int, sums), blocks.tobytes()])}, schema=SUMS)
+
+
+def spread_sums(table: pa.Table) -> pa.Table:
+    """The corpus totals, a row for each block."""
+    sums = B.planes(np.array([sum(table.column(c).to_pylist()) for c in SUMS.names[:4]], np.int64))
+    key = np.zeros(2, np.int64).tobytes()
+    blocks = np.frombuffer(b"".join(table.column("blocks").to_pylist()), np.int64).tolist()
+    return B.table_of([(b, TOTALS, key, sums) for b in blocks], B.TELL_ARROW)
 
 
 class Automaton:
@@ -207,7 +220,7 @@ def score_block(table: pa.Table, answers: pa.Table, mu: tuple[float, ...]) -> pa
     edges = grams.edges
     pairs = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
     return pa.Table.from_arrays([
-        pa.chunked_array([b.column(0).cast(pa.int64()) for b in grams.batches]), pa.chunked_array([b.column(2) for b in grams.batches]),
+        pa.chunked_array([b.column(0).cast(pa.int64()) for b in grams.batches]), pa.chunked_array([b.column(1) for b in grams.batches]),
         pa.array(np.diff(edges)), pa.array(known[edges[1:]] - known[edges[:-1]]), pa.array(np.full(len(pairs), int(sums[0]))),
         pa.array([math.fsum(base[a:b]) for a, b in pairs], pa.float64()), pa.array([math.fsum(weight[a:b]) for a, b in pairs], pa.float64()),
     ], schema=RESULT)
@@ -219,16 +232,10 @@ def score(docs: DataFrame, train: Column, mu: tuple[float, ...] = MU) -> DataFra
     The automaton's order is one more than the number of values in ``mu``.
     """
     size = B.text_bytes(docs)
-    n, m, order = B.block_count(size), B.bucket_count(size), len(mu) + 1
-    by = B.blocked(docs, n, train.alias("train")).groupBy("block")
+    m, order = B.bucket_count(size), len(mu) + 1
+    by = B.blocked(docs, B.block_bytes(size), train.alias("train")).groupBy("block")
     asks = by.applyInArrow(lambda t: ask_short(t, m, order), B.ASK).groupBy("bucket")
-    sums = asks.applyInArrow(bucket_sums, "n long, v long, once long, twice long")
-
-    def spread(table: pa.Table) -> pa.Table:
-        """One row for each block: the corpus totals."""
-        all_ = B.planes(np.array([sum(table.column(c).to_pylist()) for c in SUMS.names], np.int64))
-        key = np.zeros(2, np.int64).tobytes()
-        return B.table_of([(b, TOTALS, key, all_) for b in range(n)], B.TELL_ARROW)
+    sums = asks.applyInArrow(bucket_sums, "n long, v long, once long, twice long, blocks binary")
 
     def asking(k: int):
         return lambda t, a: ask_long(t, a, m, k)
@@ -237,6 +244,6 @@ def score(docs: DataFrame, train: Column, mu: tuple[float, ...] = MU) -> DataFra
     for k in range(3, order + 1):
         longer = by.cogroup(answers.groupBy("block")).applyInArrow(asking(k), B.ASK)
         answers = answers.unionByName(longer.groupBy("bucket").applyInArrow(lambda t: answer_counts(t, order), B.TELL))
-    answers = answers.unionByName(sums.groupBy().applyInArrow(spread, B.TELL))  # ``sums`` has one row a bucket
+    answers = answers.unionByName(sums.groupBy().applyInArrow(spread_sums, B.TELL))  # ``sums`` has one row a bucket
     result = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return by.cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: score_block(t, a, mu), result)

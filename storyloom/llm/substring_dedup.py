@@ -147,7 +147,7 @@ def _least_checked(names: np.ndarray, checks: np.ndarray, docs: np.ndarray):
 
 def _parts(table: pa.Table):
     """Of each slice: rows, words, each word's row, ids, and the end word of each word's row."""
-    for batch, texts in B.slices(table.select(["doc_id", "text"])):
+    for batch, texts in B.unpacked(table):
         w = B.Words(texts)
         sizes = np.diff(w.first)
         yield batch, w, np.repeat(np.arange(len(sizes)), sizes), B.ids(batch), np.repeat(w.first[1:], sizes)
@@ -311,8 +311,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, texts: bool = True) -> Data
     A word goes if a window of ``width`` words around it also starts in a document with a smaller id.
     """
     size = B.text_bytes(docs)
-    n, m = B.block_count(size), B.bucket_count(size)
-    by = B.blocked(docs, n).groupBy("block")
+    m = B.bucket_count(size)
+    by = B.blocked(docs, B.block_bytes(size)).groupBy("block")
     first = by.applyInArrow(lambda t: ask_names(t, m, width), B.ASK).groupBy("bucket").applyInArrow(answer_names, B.TELL)
     second = by.cogroup(first.groupBy("block")).applyInArrow(lambda t, a: ask_windows(t, a, m, width), B.ASK).groupBy("bucket").applyInArrow(answer_windows, B.TELL)
     answers = first.unionByName(second)

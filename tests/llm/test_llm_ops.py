@@ -125,8 +125,11 @@ def test_lm_scoring(docs, empty):
 def test_lm_automaton_has_states_and_failure_arcs(docs):
     import pyarrow as pa
 
+    sink = pa.BufferOutputStream()
     table = pa.table({"doc_id": [1, 2], "text": ["a b c a b d", "a b c"], "train": [True, False]})
-    grams = lm_scoring.Grams(table, 3)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    grams = lm_scoring.Grams(pa.table({"packed": [sink.getvalue().to_pybytes()]}), 3)
     auto = lm_scoring.Automaton(grams, grams.own, np.array([7, 5, 3, 2]), lm_scoring.MU)
     assert [int(s.sum()) for s in auto.state[1:]] == [5, 6] and len(auto.failure) == 3
     assert (auto.traverse() < 0).all() and not auto.seen[3].all()
@@ -136,12 +139,13 @@ def test_asked_rows_grow_with_the_blocks_alone(docs, monkeypatch):
     """A quarter and a sixteenth of the block bytes: rows in proportion to the blocks, not to their square."""
     from storyloom.llm import blocks
 
-    counts = {}
-    for n in (4, 16, 64):
-        by = blocks.blocked(docs, n, F.lit(True).alias("train")).groupBy("block")
-        counts[n] = by.applyInArrow(lambda t: lm_scoring.ask_short(t, 8, 2), blocks.ASK).count()
-        assert counts[n] <= 2 * 8 * n
-    assert blocks.bucket_count(10**9) == blocks.MIN_BUCKETS and blocks.block_count(10**9) == 84
+    size, counts = blocks.text_bytes(docs), {}
+    for n in (1, 4, 16):
+        dealt = blocks.blocked(docs, size // (4 * n), F.lit(True).alias("train"))
+        held = dealt.select("block").distinct().count()
+        counts[n] = dealt.groupBy("block").applyInArrow(lambda t: lm_scoring.ask_short(t, 8, 2), blocks.ASK).count()
+        assert counts[n] <= (2 * 8 + 1) * held and held <= 8 * n + 10
+    assert blocks.bucket_count(10**9) == blocks.MIN_BUCKETS and blocks.block_bytes(10**9) == blocks.BLOCK_BYTES
 
 
 def test_words_of_a_pattern_differ():
