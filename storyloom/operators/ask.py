@@ -84,13 +84,21 @@ def cited(g: Graph, questions: DataFrame) -> DataFrame:
     return out.select("question_id", "world_id", "intent", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.when(status == "answered", F.col("citations")).alias("citations"))
 
 
-def cited_sql(g: Graph, sql: str) -> DataFrame:
-    """A user's SQL over views of the graph: it must return world_id and scene_id, and comes back with labels, or not at all where one is missing."""
+TABLES = ("assertions", "scenes", "entities", "aliases", "presence", "works")
+
+
+def cited_sql(g: Graph, sql: str, worlds: list[int]) -> DataFrame:
+    """A user's query over {assertions}, {scenes}, {entities}, {aliases}, {presence} and {works} of the given worlds, with labels.
+
+    It stands inside a SELECT of ours, so anything but one query is refused by the parser, and it only sees those
+    worlds.  It must return world_id and scene_id; one row without a label refuses the whole answer of its world.
+    """
     spark = g.assertions.sparkSession
-    for name in ("assertions", "scenes", "entities", "aliases", "presence", "works"):
-        getattr(g, name).createOrReplaceTempView(name)
-    out = spark.sql(sql)
+    tables = {name: getattr(g, name).filter(F.col("world_id").isin(worlds)) for name in TABLES}
+    out = spark.sql("SELECT * FROM (\n" + sql + "\n) AS asked", **{k: v for k, v in tables.items() if "{" + k + "}" in sql})
     missing = {"world_id", "scene_id"} - set(out.columns)
     if missing:
         raise ValueError(f"the query must return {sorted(missing)}")
-    return out.join(scene_labels(g).select("world_id", "scene_id", "label"), ["world_id", "scene_id"], "left")
+    both = out.join(scene_labels(g).select("world_id", "scene_id", "label"), ["world_id", "scene_id"], "left")
+    whole = F.bool_and(F.col("label").isNotNull()).over(Window.partitionBy("world_id"))
+    return both.withColumn("__whole", whole).filter("__whole").drop("__whole")

@@ -62,11 +62,11 @@ def dead_speaker(g: Graph) -> DataFrame:
     return findings(s.join(r, back, "left_anti"), "dead_speaker", CRITICAL, said, "scene_id", "a")
 
 
-def destroyed_use(g: Graph) -> DataFrame:
+def destroyed_location_use(g: Graph) -> DataFrame:
     """A place or thing is used after its destruction."""
-    seen = _seen_after(g, "destroyed", "destroyed_use").filter(F.col("entity_kind").isin("location", "object"))
+    seen = _seen_after(g, "destroyed", "destroyed_location_use").filter(F.col("entity_kind").isin("location", "object"))
     said = F.concat("name", F.lit(" is used at "), F.col("at").cast("string"), F.lit(" after its destruction at "), F.col("lo").cast("string"))
-    return findings(seen, "destroyed_use", CRITICAL, said, "scene_id", "a")
+    return findings(seen, "destroyed_location_use", CRITICAL, said, "scene_id", "a")
 
 
 def presence_conflict(g: Graph, bin_width: int | None = None) -> DataFrame:
@@ -204,7 +204,7 @@ def register_check(name: str, fn: Callable[[Graph], DataFrame]) -> None:
     CHECKS[name] = fn
 
 
-for _fn in (dead_speaker, presence_conflict, premature_knowledge, destroyed_use, dangling_reference, capability_violation, idle_setup):
+for _fn in (dead_speaker, presence_conflict, premature_knowledge, destroyed_location_use, dangling_reference, capability_violation, idle_setup):
     register_check(_fn.__name__, _fn)
 
 

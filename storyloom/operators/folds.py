@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text
+from storyloom.operators.lineage import chains
+from storyloom.sources.graph import KINDS
 
 FOLD = "world_id long, subject_id long, assertion_id long, object_id long, lo int, hi int, action string"
 
@@ -48,10 +50,11 @@ def interval_fold(rows: DataFrame) -> DataFrame:
 
 
 def surfaces(mentions: DataFrame) -> DataFrame:
-    """(world_id, surface, kind, position) -> one row a normalised surface: its richest form, first position, and the kind with most votes."""
+    """(world_id, surface, kind, position) -> one row a normalised surface: its richest form, first position, and the kind with most votes (ties by the order of KINDS)."""
     m = mentions.withColumn("norm", F.trim(text.norm_strip("surface"))).filter("norm <> ''")
     votes = m.groupBy("world_id", "norm", "kind").agg(F.count("*").alias("n"))
-    kind = votes.groupBy("world_id", "norm").agg(F.min_by("kind", F.struct(-F.col("n"), "kind")).alias("kind"))
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")), F.lit(0)), F.lit(99))
+    kind = votes.groupBy("world_id", "norm").agg(F.min_by("kind", F.struct(-F.col("n"), rank, "kind")).alias("kind"))
     form = F.max_by("surface", F.struct(F.size(F.split("surface", " ")), F.length("surface"), "surface"))
     return m.groupBy("world_id", "norm").agg(form.alias("surface"), F.min("position").alias("first_position"), F.count("*").alias("mentions")).join(kind, ["world_id", "norm"])
 
@@ -71,16 +74,9 @@ def entity_match(found: DataFrame, registry: DataFrame) -> DataFrame:
     return out.select("world_id", "norm", F.when(F.col("n").isNull(), "none").when(F.col("n") > 1, "ambiguous").otherwise(F.col("how")).alias("match"), F.when(F.col("n") == 1, F.col("entity_id")).alias("entity_id"))
 
 
-def merge_targets(merges: DataFrame, rounds: int = 20) -> DataFrame:
-    """Merge decisions (world_id, old_id, new_id), chains followed to their end."""
-    out = merges.select("world_id", "old_id", "new_id")
-    for _ in range(rounds):
-        step = merges.select("world_id", F.col("old_id").alias("new_id"), F.col("new_id").alias("further"))
-        nxt = out.join(step, ["world_id", "new_id"], "left")
-        if nxt.filter("further is not null").isEmpty():
-            return out
-        out = nxt.select("world_id", "old_id", F.coalesce("further", "new_id").alias("new_id"))
-    raise ValueError("merge decisions run in a circle")
+def merge_targets(merges: DataFrame) -> DataFrame:
+    """Merge decisions (world_id, old_id, new_id), chains of any length followed to their end."""
+    return chains(merges, ["world_id"], "old_id", "new_id")
 
 
 def apply_merges(rows: DataFrame, merges: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,24 +7,13 @@ position and are folded into a growing registry.
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.functions import text
 from storyloom.operators.folds import surfaces
-
-# Words that name a role rather than a person.
-ROLE_WORDS = ("man", "woman", "guard", "officer", "driver", "nurse", "doctor", "stranger", "voice", "boy", "girl", "clerk")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder; a folder of our own only where the session has none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from storyloom.operators.lineage import components
 
 
 def near(t: set[str], u: set[str]) -> bool:
@@ -34,25 +23,29 @@ def near(t: set[str], u: set[str]) -> bool:
 
 
 def pairs(found: DataFrame) -> DataFrame:
-    """Candidate pairs (world_id, a, b) of near surfaces, by an equi join on tokens."""
-    t = found.select("world_id", "norm", F.array_distinct(F.split("norm", " +")).alias("t"))
-    one = t.select("world_id", F.col("norm").alias("a"), F.size("t").alias("na"), F.explode("t").alias("tok"))
-    two = t.select("world_id", F.col("norm").alias("b"), F.size("t").alias("nb"), F.explode("t").alias("tok"))
-    both = one.join(two, ["world_id", "tok"]).filter("a < b").groupBy("world_id", "a", "b", "na", "nb").agg(F.count("*").alias("n"))
-    return both.filter((F.col("n") == F.least("na", "nb")) | (F.col("n") >= 0.5 * (F.col("na") + F.col("nb") - F.col("n")))).select("world_id", "a", "b")
+    """Candidate pairs (world_id, a, b) of near surfaces.
 
-
-def groups(found: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
+    A near pair shares at least two thirds of the smaller name's tokens, so one of the smaller's rarest tokens is
+    among them: names are looked up by those alone, and a word that all names hold makes no pairs.
+    """
+    t = found.select("world_id", "norm", F.array_distinct(F.split("norm", " +")).alias("t"))
+    each = t.select("world_id", "norm", "t", F.explode("t").alias("tok"))
+    held = each.groupBy("world_id", "tok").agg(F.count("*").alias("names"))
+    by = each.join(held, ["world_id", "tok"]).groupBy("world_id", "norm", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("names", "tok"))), lambda x: x["tok"]).alias("rare"))
+    n = F.size("rare")
+    one = by.select("world_id", F.col("norm").alias("a"), F.col("t").alias("ta"), F.explode(F.slice("rare", F.lit(1), n - F.ceil(2 * n / 3).cast("int") + 1)).alias("tok"))
+    two = each.select("world_id", F.col("norm").alias("b"), F.col("t").alias("tb"), "tok")
+    both = one.join(two, ["world_id", "tok"]).filter((F.col("a") != F.col("b")) & (F.size("ta") <= F.size("tb")))
+    common = F.size(F.array_intersect("ta", "tb"))
+    near_ = both.filter((common == F.size("ta")) | (common >= 0.5 * (F.size("ta") + F.size("tb") - common)))
+    return near_.select("world_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def groups(found: DataFrame, links: DataFrame) -> DataFrame:
     """(world_id, norm) -> the smallest name reachable over the links."""
-    edges = links.unionByName(links.select("world_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = _cut(found.select("world_id", "norm", F.col("norm").alias("label")))
-    for _ in range(rounds):
-        least = edges.join(labels.withColumnRenamed("norm", "b"), ["world_id", "b"]).groupBy("world_id", F.col("a").alias("norm")).agg(F.min("label").alias("near"))
-        new = _cut(labels.join(least, ["world_id", "norm"], "left").select("world_id", "norm", "label", F.least("label", F.coalesce("near", "label")).alias("new")))
-        labels = new.select("world_id", "norm", F.col("new").alias("label"))
-        if new.filter("new < label").isEmpty():
-            return labels
-    raise RuntimeError("groups did not settle")
+    end = lambda c: F.struct("world_id", F.col(c).alias("norm"))
+    label = components(links.select(end("a").alias("a"), end("b").alias("b"))).select("node.world_id", "node.norm", F.col("component.norm").alias("label"))
+    return found.select("world_id", "norm").join(label, ["world_id", "norm"], "left").withColumn("label", F.coalesce("label", "norm"))
 
 
 def resolve(mentions: DataFrame, present: DataFrame, seed: DataFrame | None = None) -> DataFrame:
@@ -69,7 +62,7 @@ def resolve(mentions: DataFrame, present: DataFrame, seed: DataFrame | None = No
         base = s.unionByName(base.join(seed.select("world_id", "norm"), ["world_id", "norm"], "left_anti"))
     label = groups(base, pairs(base))
     shown = present.select("world_id", "norm", F.lit(True).alias("shown")).distinct()
-    rows = base.join(label, ["world_id", "norm"]).join(shown, ["world_id", "norm"], "left").fillna(False, ["shown"])
+    rows = base.join(label, ["world_id", "norm"]).join(shown, ["world_id", "norm"], "left").fillna(False, ["shown"]).withColumn("is_role", text.is_role_reference("surface"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         registry: list[dict] = []
@@ -77,7 +70,7 @@ def resolve(mentions: DataFrame, present: DataFrame, seed: DataFrame | None = No
         for r in pdf.sort_values(["first_position", "norm"]).itertuples():
             t = set(r.norm.split())
             hit = [e for e in registry if any(near(t, n) for n in e["names"])]
-            if t <= set(ROLE_WORDS):
+            if r.is_role:
                 out.append((r, None, "role"))
             elif len(hit) == 1:
                 e = hit[0]
@@ -102,8 +95,6 @@ def resolve(mentions: DataFrame, present: DataFrame, seed: DataFrame | None = No
 
 def queue(resolved: DataFrame, mentions: DataFrame, most: int = 6) -> DataFrame:
     """What a person has to decide, with the first mentions of each."""
-    from storyloom.functions import text
-
     m = mentions.withColumn("norm", F.trim(text.norm_strip("surface"))).select("world_id", "norm", "position")
     first = m.groupBy("world_id", "norm").agg(F.array_join(F.slice(F.sort_array(F.collect_list("position")), 1, most).cast("array<string>"), ",").alias("positions"))
     return resolved.filter("outcome in ('role', 'ambiguous')").select("world_id", "norm", "outcome").join(first, ["world_id", "norm"])

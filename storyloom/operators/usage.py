@@ -10,7 +10,7 @@ RANKS = ("viewer", "editor", "owner")
 
 def priced(events: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost of (kind, model, tokens_in, tokens_out) by price per million; unknown models cost nothing and are marked."""
-    p = events.join(F.broadcast(prices), "model", "left")
+    p = events.join(prices, "model", "left")
     cost = (F.col("tokens_in").cast("decimal(18,0)") * F.col("price_in") + F.col("tokens_out").cast("decimal(18,0)") * F.col("price_out")) / F.lit(1000000).cast("decimal(10,0)")
     return p.withColumn("cost", F.coalesce(cost, F.lit(0)).cast("decimal(20,4)")).withColumn("kind", F.when(F.col("price_in").isNull(), F.concat("kind", F.lit(":unpriced"))).otherwise(F.col("kind"))).drop("price_in", "price_out")
 
@@ -29,7 +29,7 @@ def quota(events: DataFrame, limits: DataFrame, window: int) -> DataFrame:
     """Each event with the count in its trailing window, whether it is over the kind's limit, and when to try again."""
     w = Window.partitionBy("user_id", "kind").orderBy("sec").rangeBetween(-window + 1, 0)
     e = events.withColumn("sec", _seconds("ts")).withColumn("used", F.count("*").over(w)).withColumn("oldest", F.min("sec").over(w))
-    e = e.join(F.broadcast(limits), "kind", "left")
+    e = e.join(limits, "kind", "left")
     denied = F.coalesce(F.col("used") > F.col("limit"), F.lit(False))
     return e.withColumn("denied", denied).withColumn("retry_after", F.when(denied, F.col("oldest") + window - F.col("sec")))
 
@@ -98,10 +98,12 @@ def run_consistency(results: DataFrame) -> DataFrame:
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """added, removed or changed rows between two snapshots."""
+    """added, removed or changed rows between two snapshots; nulls are values like others."""
     values = [c for c in before.columns if c not in keys]
-    b = before.select(*keys, F.hash(*values).alias("b"))
-    a = after.select(*keys, F.hash(*values).alias("a"))
-    both = b.join(a, keys, "full_outer")
-    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
-    return both.select(*keys, change.alias("change")).filter("change is not null")
+    side = lambda df, name: df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.struct(F.lit(1).alias("here"), *values).alias(name))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"b_{k}").eqNullSafe(F.col(f"a_{k}"))
+    both = side(before, "b").join(side(after, "a"), same, "full_outer")
+    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
+    return both.select(*[F.when(F.col("b").isNotNull(), F.col(f"b_{k}")).otherwise(F.col(f"a_{k}")).alias(k) for k in keys], change.alias("change")).filter("change is not null")

@@ -156,13 +156,13 @@ def first_last_appearance(g: Graph) -> DataFrame:
     return both.select("world_id", "entity_id", F.coalesce("p_first", "a_first").alias("first_scene"), F.coalesce("p_last", "a_last").alias("last_scene"))
 
 
-def rolling_synopsis(g: Graph, facts: int = 12, back: int = 5) -> DataFrame:
-    """For each scene the digests (``facts`` at most each) of the ``back`` scenes before it."""
+def rolling_synopsis(g: Graph, facts: int = 12, back: int | None = None) -> DataFrame:
+    """For each scene the digests (``facts`` at most each) of all scenes before it, or of the last ``back``."""
     place = F.row_number().over(Window.partitionBy("world_id", "scene_id").orderBy("assertion_id"))
     few = g.assertions.withColumn("place", place).filter(F.col("place") <= facts)
     line = F.concat_ws(" ", F.col("subject_id").cast("string"), "predicate", F.coalesce("object_value", F.col("object_id").cast("string"), F.lit("")))
     digest = few.groupBy("world_id", "scene_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "; ").alias("digest"))
-    w = Window.partitionBy("world_id").orderBy("story_position").rowsBetween(-back, -1)
+    w = Window.partitionBy("world_id").orderBy("story_position").rowsBetween(Window.unboundedPreceding if back is None else -back, -1)
     return g.scenes.join(digest, ["world_id", "scene_id"], "left").withColumn("synopsis", F.array_join(F.collect_list(F.coalesce("digest", F.lit(""))).over(w), " / ")).select("world_id", "scene_id", "story_position", "synopsis")
 
 
@@ -183,7 +183,7 @@ def family_on(g: Graph, families: DataFrame) -> DataFrame:
     """(family) x worlds, less what a world switched off."""
     worlds = g.works.select("world_id").distinct()
     off_ = g.family_config.filter(~F.col("enabled")).select("world_id", "family")
-    return worlds.join(F.broadcast(families)).join(off_, ["world_id", "family"], "left_anti")
+    return worlds.join(families).join(off_, ["world_id", "family"], "left_anti")
 
 
 def findings_diff(before: DataFrame, after: DataFrame) -> DataFrame:

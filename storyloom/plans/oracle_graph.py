@@ -28,7 +28,7 @@ aliases AS (
 presence AS (
   SELECT DISTINCT world_id, world_id * 1000 + position AS scene_id, unnest([user_id + 1, world_id * 100 + 900000 + k % 20]) AS entity_id FROM ev
 ),
-config AS (SELECT * FROM (VALUES (2, 'presence_conflict', false), (3, 'destroyed_use', false), (1, 'dead_speaker', true), (1, 'F2', false)) t(world_id, family, enabled)),
+config AS (SELECT * FROM (VALUES (2, 'presence_conflict', false), (3, 'destroyed_location_use', false), (1, 'dead_speaker', true), (1, 'F2', false)) t(world_id, family, enabled)),
 seals AS (SELECT world_id, 'dead_speaker' AS check_name, event_id + 1 AS assertion_a, CAST(NULL AS BIGINT) AS assertion_b FROM ev WHERE event_id % 5 = 0)
 """
 

@@ -38,7 +38,7 @@ uns AS (SELECT late.*, e.name FROM late JOIN entities e ON e.world_id = late.wor
 
 
 _DEAD = _seen("dead_speaker", "dies", "", ("seen", "dying"), ALIVE)
-_DESTROYED = _seen("destroyed_use", "destroyed", "AND e.kind IN ('location', 'object')", ("used", "its destruction"), "")
+_DESTROYED = _seen("destroyed_location_use", "destroyed", "AND e.kind IN ('location', 'object')", ("used", "its destruction"), "")
 _CONFLICT = f"""
 SELECT x.world_id, 'presence_conflict' AS check_name, 'critical' AS severity,
        e.name || ' is at ' || p.name || ' ' || {RANGE.format('x')} || ' and at ' || q.name || ' ' || {RANGE.format('y')} AS explanation,
@@ -111,7 +111,7 @@ QUERIES = {
     "check_presence_conflict": lambda s, d: checks.presence_conflict(derive(s, d)),
     "check_presence_conflict_binned": lambda s, d: checks.presence_conflict(derive(s, d), bin_width=8),
     "check_premature_knowledge": lambda s, d: checks.premature_knowledge(derive(s, d)),
-    "check_destroyed_use": lambda s, d: checks.destroyed_use(derive(s, d)),
+    "check_destroyed_use": lambda s, d: checks.destroyed_location_use(derive(s, d)),
     "check_dangling_reference": lambda s, d: checks.dangling_reference(derive(s, d)),
     "check_capability_violation": lambda s, d: checks.capability_violation(derive(s, d)),
     "check_idle_setup": lambda s, d: checks.idle_setup(derive(s, d)),

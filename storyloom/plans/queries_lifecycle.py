@@ -54,7 +54,7 @@ def _runs(s, d):
 
 
 def _expected(g: Graph):
-    found = checks.destroyed_use(g).select(F.col("world_id").alias("run_id"), F.row_number().over(Window.partitionBy("world_id").orderBy("assertion_a", "scene_id")).cast("long").alias("finding_id"), "check_name", "scene_id", "explanation", "severity")
+    found = checks.destroyed_location_use(g).select(F.col("world_id").alias("run_id"), F.row_number().over(Window.partitionBy("world_id").orderBy("assertion_a", "scene_id")).cast("long").alias("finding_id"), "check_name", "scene_id", "explanation", "severity")
     want = found.filter("finding_id % 3 = 0").select("run_id", F.col("finding_id").alias("expected_id"), "check_name", "scene_id", F.array(F.lit("is used")).alias("words"))
     return want, found
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.functions import text
 from storyloom.operators import ask, dossier, notes, usage
 from storyloom.plans.oracle_graph import over_graph
 from storyloom.plans.queries_checks import LABELS
@@ -37,7 +38,7 @@ def _new_notes(g: Graph) -> DataFrame:
 
 def _questions(g: Graph) -> DataFrame:
     forms = ("What does {} know?", "What does {} know about fact 3 at scene 40?", "What does {} believe?", "When does {} die?", "Where is the {} located?", "What can't {} do?", "What open promises does {} have?", "What is {}'s job?", "What happened to {}?", "Where does {} appear after her death?", "Why is {} sad?")
-    e = g.entities.filter("kind = 'character' and entity_id % 7 = 0")
+    e = g.entities.filter("kind = 'character'")
     per = e.select("world_id", "entity_id", F.posexplode(F.array(*[F.concat(F.lit(f.split("{}")[0]), F.col("name"), F.lit(f.split("{}")[1])) for f in forms])).alias("nth", "question"))
     one = per.select(F.concat_ws("-", "world_id", "entity_id", "nth").alias("question_id"), "world_id", "question")
     who = g.works.select("world_id").distinct().select(F.concat_ws("-", "world_id", F.lit("who")).alias("question_id"), "world_id", F.lit("Who knows Fact 7?").alias("question"))
@@ -88,9 +89,17 @@ def last_state_fold(s: SparkSession, d: str) -> DataFrame:
 
 
 def _claims(s: SparkSession, d: str) -> DataFrame:
-    b, docs = _table(s, d, "benchmark"), _table(s, d, "documents")
-    near = docs.filter("doc_id % 50 = 0").select("doc_id")
-    return b.select("item_id", F.substring("text", 1, 60).alias("quote")).crossJoin(F.broadcast(near)).select(F.concat_ws("-", "item_id", "doc_id").alias("claim_id"), "doc_id", F.when(F.col("item_id") % 9 == 0, "").otherwise(F.col("quote")).alias("quote"))
+    """Two claims a document on its last line: about itself, in other spacing, and about the document behind it."""
+    docs = _table(s, d, "documents")
+    last = F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), -1)
+    own = docs.select(F.concat(F.lit("own-"), F.col("doc_id")).alias("claim_id"), "doc_id", F.regexp_replace(last, " ", "  ").alias("quote"))
+    return own.unionByName(docs.select(F.concat(F.lit("next-"), F.col("doc_id")).alias("claim_id"), (F.col("doc_id") + 1).alias("doc_id"), last.alias("quote")))
+
+
+def _headed(pages: DataFrame) -> DataFrame:
+    """Pages as texts with a title page of their own title and address."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return pages.select(F.col("page_id").alias("doc_id"), F.concat(F.lit("Title: "), title, F.lit("\nSource: "), "url", F.lit("\n\n"), "html").alias("text"))
 
 
 def _results(g: Graph) -> DataFrame:
@@ -119,14 +128,14 @@ QUERIES = {
     "run_consistency": _with(lambda g: usage.run_consistency(_results(g))),
     "snapshot_diff": _with(lambda g: usage.snapshot_diff(g.entities.filter("entity_id % 5 <> 0"), g.entities.filter("entity_id % 7 <> 0").withColumn("name", F.when(F.col("entity_id") % 3 == 0, "renamed").otherwise(F.col("name"))), ["world_id", "entity_id"])),
     "scene_segmentation": lambda s, d: texts.segment(_table(s, d, "documents"), heading=r"^[A-ZÄÖÜÉÈÑÓ]\S*\.$|^The ", blank_before=False).withColumn("body", F.md5("body")),
-    "title_page": lambda s, d: texts.title_page(_table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace("html", "(?s)^", "Title: page\nAuthor: nobody \n").alias("text"))),
+    "title_page": lambda s, d: texts.title_page(_headed(_table(s, d, "pages"))),
     "story_positions": lambda s, d: texts.story_positions(derive(s, d).works, derive(s, d).scenes.select("work_id", F.col("scene_id").alias("scene"))),
     "evidence_gate": lambda s, d: texts.evidence_gate(_claims(s, d), _table(s, d, "documents").select("doc_id", "text")),
     "corpus_policy_scan": lambda s, d: texts.policy_scan(_table(s, d, "documents"), r"AKIA[0-9A-Z]{16}|password=|token = ", r"^The "),
     "leak_check": lambda s, d: texts.leak_check(_table(s, d, "documents"), "Licensed under"),
 }
 
-_TOK = "list_filter(list_distinct(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: w NOT IN ('', 'fact', 'line', 'scene', 'a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'he', 'her', 'his', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 'she', 'that', 'the', 'their', 'they', 'to', 'was', 'with'))"
+_TOK = "list_filter(list_distinct(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: w NOT IN ('', 'fact', 'line', 'scene', " + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "))"
 _BASE = f"""{LABELS}, thr AS (SELECT world_id, CAST(greatest(15, max(n)) AS INT) AS threshold FROM (SELECT s.world_id, title, count(*) AS n FROM scenes s JOIN works w USING (world_id, work_id) GROUP BY 1, 2) GROUP BY 1),
 mx AS (SELECT world_id, max(story_position) AS max_at FROM scenes GROUP BY 1),
 base AS (SELECT a.*, s.story_position AS apos, max_at, threshold, e.name, l.label, {_TOK.format("coalesce(object_value, '')")} AS ov, {_TOK.format("concat_ws(' ', object_value, supporting_quote)")} AS ovq
@@ -151,7 +160,7 @@ cand AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY world_id, no
 _HEX = "CAST('0x' || substr(note_key, {}, 4) AS INT)"
 _OLD = f"""old_ AS (SELECT world_id, note_key, family, salience + 1 AS salience, CASE {_HEX.format(4)} % 5 WHEN 0 THEN 'sealed' WHEN 1 THEN 'dismissed' WHEN 2 THEN 'addressed' ELSE 'open' END AS status FROM cand WHERE {_HEX.format(4)} % 3 <> 0),
 new_ AS (SELECT * FROM cand WHERE {_HEX.format(8)} % 4 <> 0)"""
-_Q = """qs AS (SELECT world_id, entity_id, name, nth, question FROM (SELECT *, unnest(range(0, 11)) AS nth, unnest(['What does ' || name || ' know?', 'What does ' || name || ' know about fact 3 at scene 40?', 'What does ' || name || ' believe?', 'When does ' || name || ' die?', 'Where is the ' || name || ' located?', 'What can''t ' || name || ' do?', 'What open promises does ' || name || ' have?', 'What is ' || name || '''s job?', 'What happened to ' || name || '?', 'Where does ' || name || ' appear after her death?', 'Why is ' || name || ' sad?']) AS question FROM entities WHERE kind = 'character' AND entity_id % 7 = 0)),
+_Q = """qs AS (SELECT world_id, entity_id, name, nth, question FROM (SELECT *, unnest(range(0, 11)) AS nth, unnest(['What does ' || name || ' know?', 'What does ' || name || ' know about fact 3 at scene 40?', 'What does ' || name || ' believe?', 'When does ' || name || ' die?', 'Where is the ' || name || ' located?', 'What can''t ' || name || ' do?', 'What open promises does ' || name || ' have?', 'What is ' || name || '''s job?', 'What happened to ' || name || '?', 'Where does ' || name || ' appear after her death?', 'Why is ' || name || ' sad?']) AS question FROM entities WHERE kind = 'character')),
 rt AS (SELECT world_id || '-' || entity_id || '-' || nth AS question_id, world_id, entity_id, ['knows', 'knows', 'believes', 'dies', 'located_at', 'cannot', 'open_promised', 'occupation', 'event', 'after_death', NULL][nth + 1] AS intent, CASE WHEN nth < 10 THEN lower(name) END AS subject, CASE WHEN nth = 1 THEN 'fact 3' END AS thing, CASE WHEN nth = 1 THEN 40 END AS "at" FROM qs
  UNION ALL SELECT DISTINCT world_id || '-who', world_id, NULL, 'who_knows', NULL, 'fact 7', NULL FROM works)"""
 _ASK = f"""{_Q}, {LABELS}, live AS (SELECT a.*, s.story_position, trim(regexp_replace(lower(object_value), '[^a-z0-9]+', ' ', 'g')) AS nv FROM a JOIN scenes s USING (world_id, scene_id) WHERE status NOT IN ('rejected', 'retconned')),
@@ -198,10 +207,12 @@ ORACLES = {
 h AS (SELECT *, regexp_matches(trim(line), '^[A-ZÄÖÜÉÈÑÓ]\S*\.$|^The ') AS head FROM l), s AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS scene FROM h),
 g AS (SELECT doc_id, scene, max(trim(line)) FILTER (head) AS heading, count(*) AS n_lines, coalesce(string_agg(regexp_replace(line, '\s+$', ''), chr(10) ORDER BY pos) FILTER (NOT head), '') AS body FROM s WHERE scene > 0 GROUP BY 1, 2)
 SELECT doc_id, CAST(scene AS BIGINT) AS scene, heading, false AS is_flashback, n_lines, md5(regexp_replace(regexp_replace(body, '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')) AS body FROM g""",
-    "title_page": "SELECT page_id AS doc_id, unnest(['title', 'author']) AS key, unnest(['page', 'nobody']) AS value FROM pages",
+    "title_page": r"""WITH h AS (SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, url FROM pages)
+SELECT page_id AS doc_id, 'title' AS key, title AS value FROM h WHERE title <> '' UNION ALL SELECT page_id, 'source', url FROM h WHERE trim(url) <> ''""",
     "story_positions": over_graph(ONE + " SELECT s.world_id, s.work_id, scene_id AS scene, row_number() OVER (PARTITION BY s.world_id ORDER BY CAST(regexp_extract(title, '([0-9]+)', 1) AS INT), s.work_id, scene_id) AS position FROM scenes s JOIN works w USING (world_id, work_id)"),
-    "evidence_gate": r"""WITH q AS (SELECT item_id || '-' || doc_id AS claim_id, d.doc_id, CASE WHEN item_id % 9 = 0 THEN '' ELSE substr(b.text, 1, 60) END AS quote, d.text FROM benchmark b CROSS JOIN documents d WHERE d.doc_id % 50 = 0)
-SELECT claim_id, doc_id, CASE WHEN trim(quote) = '' THEN 'no_quote' WHEN NOT contains(lower(trim(regexp_replace(translate(text, '‘’“”–—', '''''""--'), '\s+', ' ', 'g'))), lower(trim(regexp_replace(translate(quote, '‘’“”–—', '''''""--'), '\s+', ' ', 'g')))) THEN 'quote_not_found' ELSE 'keep' END AS verdict FROM q""",
+    "evidence_gate": r"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[-1] AS line FROM documents),
+c AS (SELECT 'own-' || doc_id AS claim_id, doc_id, replace(line, ' ', '  ') AS quote FROM l UNION ALL SELECT 'next-' || doc_id, doc_id + 1, line FROM l)
+SELECT claim_id, c.doc_id, CASE WHEN trim(quote) = '' THEN 'no_quote' WHEN d.text IS NULL THEN 'no_source' WHEN NOT contains(lower(trim(regexp_replace(translate(text, '‘’“”–—', '''''""--'), '\s+', ' ', 'g'))), lower(trim(regexp_replace(translate(quote, '‘’“”–—', '''''""--'), '\s+', ' ', 'g')))) THEN 'quote_not_found' ELSE 'keep' END AS verdict FROM c LEFT JOIN documents d USING (doc_id)""",
     "corpus_policy_scan": "SELECT doc_id, h AS headings, s AS has_secret, h >= 3 OR s AS flagged FROM (SELECT doc_id, CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '^The '))) AS BIGINT) AS h, coalesce(regexp_matches(text, 'AKIA[0-9A-Z]{16}|password=|token = '), false) AS s FROM documents)",
     "leak_check": "SELECT doc_id, CAST(len(regexp_extract_all(text, 'Licensed under')) AS BIGINT) AS n FROM documents WHERE contains(text, 'Licensed under')",
 }

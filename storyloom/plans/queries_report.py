@@ -21,7 +21,7 @@ def _lines(g: Graph):
 
 def _questions(g: Graph):
     n = F.col("assertion_id")
-    return g.assertions.filter("assertion_id % 10 = 0").select("world_id", F.concat(F.lit("why "), n.cast("string")).alias("question"), F.when(n % 3 == 0, F.concat(F.lit("E"), (100 + n % 30).cast("string"), F.lit("/sc2"))).alias("label"), F.when(n % 4 != 0, (n % 130).cast("int")).alias("position"))
+    return g.assertions.select("world_id", F.concat(F.lit("why "), n.cast("string")).alias("question"), F.when(n % 3 == 0, F.concat(F.lit("E"), (100 + n % 30).cast("string"), F.lit("/sc2"))).alias("label"), F.when(n % 4 != 0, (n % 130).cast("int")).alias("position"))
 
 
 def _cited(g: Graph):
@@ -48,7 +48,7 @@ QUERIES = {
 
 ORACLES = {
     "report_lines": over_graph("r AS (SELECT world_id, predicate AS section, assertion_id AS ord, coalesce(object_value, '-') AS line, row_number() OVER (PARTITION BY world_id ORDER BY predicate, assertion_id) AS p, count(*) OVER (PARTITION BY world_id) AS t FROM a) SELECT world_id, section, ord, line, CAST(p AS INT) AS place, p = 40 AND t > 40 AS capped FROM r WHERE p <= 40"),
-    "scene_questions_join": over_graph(f"{LABELS}, q AS (SELECT world_id, 'why ' || assertion_id AS question, CASE WHEN assertion_id % 3 = 0 THEN 'E' || (100 + assertion_id % 30) || '/sc2' END AS label, CASE WHEN assertion_id % 4 <> 0 THEN assertion_id % 130 END AS position FROM a WHERE assertion_id % 10 = 0) SELECT q.world_id, question, coalesce(l.scene_id, (SELECT min(s.scene_id) FROM scenes s WHERE s.world_id = q.world_id AND s.story_position = q.position)) AS scene_id FROM q LEFT JOIN labels_ l ON l.world_id = q.world_id AND l.label = q.label"),
+    "scene_questions_join": over_graph(f"{LABELS}, q AS (SELECT world_id, 'why ' || assertion_id AS question, CASE WHEN assertion_id % 3 = 0 THEN 'E' || (100 + assertion_id % 30) || '/sc2' END AS label, CASE WHEN assertion_id % 4 <> 0 THEN assertion_id % 130 END AS position FROM a) SELECT q.world_id, question, coalesce(l.scene_id, (SELECT min(s.scene_id) FROM scenes s WHERE s.world_id = q.world_id AND s.story_position = q.position)) AS scene_id FROM q LEFT JOIN labels_ l ON l.world_id = q.world_id AND l.label = q.label"),
     "validate_notes": over_graph("""c AS (
  SELECT assertion_id AS k, world_id, 0 AS nth, assertion_id AS aid, CASE WHEN assertion_id % 7 = 0 THEN scene_id + 1 ELSE scene_id END AS sid, CASE WHEN assertion_id % 5 = 0 THEN 'made up' ELSE upper(supporting_quote) END AS quote FROM a
  UNION ALL SELECT assertion_id, world_id, 1, assertion_id + CASE WHEN assertion_id % 11 = 0 THEN 1000000000 ELSE 0 END, scene_id, supporting_quote FROM a),

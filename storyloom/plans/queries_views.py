@@ -30,12 +30,12 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 
 def change_table(g: Graph) -> DataFrame:
-    """A change for every twentieth assertion and a cut of every tenth character."""
-    a = g.assertions.filter("assertion_id % 20 = 0").select(
+    """A change for every assertion and a cut of every character."""
+    a = g.assertions.select(
         F.concat(F.lit("c"), F.col("assertion_id").cast("string")).alias("change_id"), "world_id", F.when(F.col("assertion_id") % 3 == 0, "remove").otherwise("move").alias("type"), "assertion_id",
         F.greatest(F.lit(1), F.coalesce(F.col("lo"), F.lit(40)) - 5 + (F.col("assertion_id") % 11).cast("int")).alias("to_position"), F.lit(None).cast("long").alias("entity_id"),
     )
-    e = g.entities.filter("kind = 'character' and entity_id % 10 = 0").select(F.concat(F.lit("e"), F.col("entity_id").cast("string")).alias("change_id"), "world_id", F.lit("cut").alias("type"), F.lit(None).cast("long").alias("assertion_id"), F.lit(None).cast("int").alias("to_position"), "entity_id")
+    e = g.entities.filter("kind = 'character'").select(F.concat(F.lit("e"), F.col("entity_id").cast("string")).alias("change_id"), "world_id", F.lit("cut").alias("type"), F.lit(None).cast("long").alias("assertion_id"), F.lit(None).cast("int").alias("to_position"), "entity_id")
     return a.unionByName(e)
 
 
@@ -66,13 +66,18 @@ def _positions(g: Graph) -> DataFrame:
 
 def text_functions(s: SparkSession, d: str) -> DataFrame:
     docs = s.read.parquet(f"{d}/documents.parquet")
-    head = F.substring("text", 1, 400)
-    return docs.select("doc_id", text.norm_strip(head).alias("stripped"), text.norm_collapse(head).alias("collapsed"), F.array_join(F.sort_array(text.tokens(head)), " ").alias("tokens"), F.length(text.quote_norm(head)).alias("quote_chars"), text.slugify(F.substring("text", 1, 40)).alias("slug"), F.ceil(F.size(F.split("text", "\n")) / 55).cast("long").alias("pages"))
+    return docs.select(
+        "doc_id", F.md5(text.norm_strip("text")).alias("stripped"), F.md5(text.norm_collapse("text")).alias("collapsed"),
+        F.md5(F.array_join(F.sort_array(text.tokens("text")), " ")).alias("tokens"), F.length(text.quote_norm("text")).alias("quote_chars"),
+        F.md5(text.slugify("text")).alias("slug"), F.ceil(F.size(F.split("text", "\n")) / 55).cast("long").alias("pages"),
+    )
+
 
+STOPPED = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 QUERIES = {
     "assertion_enriched": _with(lambda g: views.enrich(g).select("world_id", "assertion_id", "subject", "object", "label", "title", "nested_value", "lo_open", "hi_open", "range", "gloss", views.phrase().alias("phrase"))),
-    "family_toggle": lambda s, d: views.family_on(derive(s, d), s.createDataFrame([(f,) for f in ("dead_speaker", "presence_conflict", "destroyed_use", "F2")], "family string")),
+    "family_toggle": lambda s, d: views.family_on(derive(s, d), s.createDataFrame([(f,) for f in ("dead_speaker", "presence_conflict", "destroyed_location_use", "F2")], "family string")),
     "assertion_search": _with(lambda g: views.assertion_search(g, "fact 1", ("knows", "goal")).select("world_id", "assertion_id", "place", "total", "truncated")),
     "entity_search": _with(lambda g: views.entity_search(g, "fact 1").select("world_id", "entity_id", "name", "aliases", "as_subject", "as_object")),
     "true_at": _with(lambda g: views.true_at(g, g.works.select("world_id").distinct().withColumn("at", F.lit(17))).select("world_id", "assertion_id", "at")),
@@ -123,8 +128,8 @@ ruled AS (
 _EXCEPT = """SELECT f.* FROM {0} f LEFT JOIN a x ON x.world_id = f.world_id AND x.assertion_id = f.assertion_a LEFT JOIN scenes s ON s.scene_id = f.scene_id
 WHERE NOT coalesce((f.world_id = 0 AND f.check_name = 'dead_speaker' AND x.subject_id = 1) OR (f.world_id = 1 AND f.check_name = 'presence_conflict' AND x.subject_id = 2 AND s.story_position BETWEEN 10 AND 60), false)"""
 _CHANGES = """changes AS (
- SELECT 'c' || assertion_id AS change_id, world_id, CASE WHEN assertion_id % 3 = 0 THEN 'remove' ELSE 'move' END AS type, assertion_id, greatest(1, coalesce(lo, 40) - 5 + CAST(assertion_id % 11 AS INT)) AS to_position, CAST(NULL AS BIGINT) AS entity_id FROM a WHERE assertion_id % 20 = 0
- UNION ALL SELECT 'e' || entity_id, world_id, 'cut', NULL, NULL, entity_id FROM entities WHERE kind = 'character' AND entity_id % 10 = 0),
+ SELECT 'c' || assertion_id AS change_id, world_id, CASE WHEN assertion_id % 3 = 0 THEN 'remove' ELSE 'move' END AS type, assertion_id, greatest(1, coalesce(lo, 40) - 5 + CAST(assertion_id % 11 AS INT)) AS to_position, CAST(NULL AS BIGINT) AS entity_id FROM a WHERE true
+ UNION ALL SELECT 'e' || entity_id, world_id, 'cut', NULL, NULL, entity_id FROM entities WHERE kind = 'character'),
 prop AS (SELECT c.change_id, c.world_id, c.type, c.assertion_id, x.subject_id, x.object_id, x.predicate, x.fact_key, CASE WHEN type = 'move' THEN to_position ELSE x.lo END AS lo, x.hi,
  CASE WHEN type = 'move' AND to_position > x.hi THEN 'invalid_range' WHEN type = 'move' AND to_position = x.hi THEN 'empty' ELSE 'ok' END AS status FROM changes c JOIN a x ON x.world_id = c.world_id AND x.assertion_id = c.assertion_id),
 act2 AS (SELECT * FROM a WHERE status NOT IN ('sealed', 'retconned')),
@@ -137,10 +142,10 @@ cut AS (
  UNION SELECT c.change_id, c.world_id, 'scene', p.scene_id FROM changes c JOIN presence p ON p.world_id = c.world_id AND p.entity_id = c.entity_id WHERE type = 'cut'),
 epi AS (SELECT x.change_id, x.world_id, y.assertion_id, y.predicate FROM prop x JOIN act2 y ON y.world_id = x.world_id AND y.fact_key = x.fact_key AND y.assertion_id <> x.assertion_id AND __OVER__
  WHERE x.status = 'ok' AND x.predicate IN ('knows', 'believes') AND y.predicate IN ('knows', 'believes')),
-pred AS (SELECT x.change_id, x.world_id, CASE WHEN x.predicate = 'dies' THEN 'dead_speaker' ELSE 'destroyed_use' END AS check_name, x.assertion_id, s.scene_id
+pred AS (SELECT x.change_id, x.world_id, CASE WHEN x.predicate = 'dies' THEN 'dead_speaker' ELSE 'destroyed_location_use' END AS check_name, x.assertion_id, s.scene_id
  FROM prop x JOIN presence p ON p.world_id = x.world_id AND p.entity_id = x.subject_id JOIN scenes s ON s.world_id = x.world_id AND s.scene_id = p.scene_id
  WHERE x.status = 'ok' AND x.type = 'move' AND x.predicate IN ('dies', 'destroyed') AND s.story_position > x.lo AND NOT s.is_flashback
- AND NOT EXISTS (SELECT 1 FROM config c WHERE c.world_id = x.world_id AND NOT c.enabled AND c.family = CASE WHEN x.predicate = 'dies' THEN 'dead_speaker' ELSE 'destroyed_use' END)
+ AND NOT EXISTS (SELECT 1 FROM config c WHERE c.world_id = x.world_id AND NOT c.enabled AND c.family = CASE WHEN x.predicate = 'dies' THEN 'dead_speaker' ELSE 'destroyed_location_use' END)
  AND NOT (x.predicate = 'dies' AND EXISTS (SELECT 1 FROM a r WHERE r.world_id = x.world_id AND r.subject_id = x.subject_id AND r.predicate = 'alive' AND r.polarity AND r.status <> 'sealed' AND r.lo > x.lo AND r.lo <= s.story_position AND (r.hi IS NULL OR s.story_position < r.hi))))
 """.replace("__OVER__", OVER).replace("__NA__", NS.format("l.alias")).replace("__NS__", NS.format("coalesce(y.object_value, '') || ' ' || coalesce(y.supporting_quote, '')"))
 _ENDS = "ends AS (SELECT world_id, subject_id AS entity_id, scene_id FROM a UNION ALL SELECT world_id, object_id, scene_id FROM a WHERE object_id IS NOT NULL)"
@@ -148,7 +153,7 @@ _ALIASES = "al AS (SELECT e.world_id, e.entity_id, e.name, coalesce(string_agg(l
 
 ORACLES = {
     "assertion_enriched": over_graph(_ENRICHED),
-    "family_toggle": over_graph(ONE + " SELECT world_id, family FROM (SELECT DISTINCT world_id FROM works) CROSS JOIN (SELECT unnest(['dead_speaker', 'presence_conflict', 'destroyed_use', 'F2']) AS family) f WHERE NOT EXISTS (SELECT 1 FROM config c WHERE c.world_id = works.world_id AND c.family = f.family AND NOT c.enabled)").replace("(SELECT DISTINCT world_id FROM works) CROSS", "(SELECT DISTINCT world_id FROM works) works CROSS"),
+    "family_toggle": over_graph(ONE + " SELECT world_id, family FROM (SELECT DISTINCT world_id FROM works) CROSS JOIN (SELECT unnest(['dead_speaker', 'presence_conflict', 'destroyed_location_use', 'F2']) AS family) f WHERE NOT EXISTS (SELECT 1 FROM config c WHERE c.world_id = works.world_id AND c.family = f.family AND NOT c.enabled)").replace("(SELECT DISTINCT world_id FROM works) CROSS", "(SELECT DISTINCT world_id FROM works) works CROSS"),
     "assertion_search": over_graph(ONE + " SELECT world_id, assertion_id, CAST(place AS INT) AS place, total, total > 50 AS truncated FROM (SELECT world_id, assertion_id, count(*) OVER (PARTITION BY world_id) AS total, row_number() OVER (PARTITION BY world_id ORDER BY lo NULLS LAST, assertion_id) AS place FROM a WHERE (object_value ILIKE '%fact 1%' OR supporting_quote ILIKE '%fact 1%') AND predicate IN ('knows', 'goal')) WHERE place <= 50"),
     "entity_search": over_graph(ONE + " SELECT world_id, entity_id, name, (SELECT count(*) FROM aliases l WHERE l.world_id = e.world_id AND l.entity_id = e.entity_id) AS aliases, (SELECT count(*) FROM a WHERE a.world_id = e.world_id AND a.subject_id = e.entity_id) AS as_subject, (SELECT count(*) FROM a WHERE a.world_id = e.world_id AND a.object_id = e.entity_id) AS as_object FROM entities e WHERE name ILIKE '%fact 1%' OR EXISTS (SELECT 1 FROM aliases l WHERE l.world_id = e.world_id AND l.entity_id = e.entity_id AND l.alias ILIKE '%fact 1%')"),
     "true_at": over_graph(ONE + " SELECT world_id, assertion_id, 17 AS at FROM a WHERE (lo IS NULL OR lo <= 17) AND (hi IS NULL OR 17 < hi) AND status NOT IN ('rejected', 'retconned')"),
@@ -166,14 +171,14 @@ ORACLES = {
     "age_threshold": over_graph(ONE + " SELECT world_id, CAST(greatest(15, max(n)) AS INT) AS threshold FROM (SELECT s.world_id, title, count(*) AS n FROM scenes s JOIN works w ON w.work_id = s.work_id GROUP BY 1, 2) GROUP BY 1"),
     "interval_close": over_graph(ONE + ", h AS (SELECT * FROM a WHERE predicate = 'located_at' AND lo IS NOT NULL AND status NOT IN ('rejected', 'retconned')) SELECT world_id, subject_id, assertion_id, object_id, lo, hi, coalesce(hi, (SELECT min(n.lo) FROM h n WHERE n.world_id = h.world_id AND n.subject_id = h.subject_id AND n.lo > h.lo)) AS closed_hi, CAST(row_number() OVER (PARTITION BY world_id, subject_id ORDER BY lo, assertion_id) AS INT) AS ordinal FROM h"),
     "first_last_appearance": over_graph(ONE + ", p AS (SELECT world_id, entity_id, arg_min(scene_id, story_position) AS f, arg_max(scene_id, story_position) AS l FROM presence JOIN scenes USING (world_id, scene_id) GROUP BY 1, 2), q AS (SELECT a.world_id, subject_id AS entity_id, arg_min(scene_id, story_position) AS f, arg_max(scene_id, story_position) AS l FROM a JOIN scenes USING (world_id, scene_id) GROUP BY 1, 2) SELECT e.world_id, e.entity_id, coalesce(p.f, q.f) AS first_scene, coalesce(p.l, q.l) AS last_scene FROM entities e LEFT JOIN p USING (world_id, entity_id) LEFT JOIN q USING (world_id, entity_id)"),
-    "rolling_synopsis": over_graph(ONE + ", f AS (SELECT *, row_number() OVER (PARTITION BY world_id, scene_id ORDER BY assertion_id) AS place FROM a), dg AS (SELECT world_id, scene_id, string_agg(subject_id || ' ' || predicate || ' ' || coalesce(object_value, CAST(object_id AS VARCHAR), ''), '; ' ORDER BY place) AS digest FROM f WHERE place <= 12 GROUP BY 1, 2) SELECT world_id, scene_id, story_position, md5(coalesce(string_agg(coalesce(digest, ''), ' / ') OVER (PARTITION BY world_id ORDER BY story_position ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '')) AS synopsis FROM scenes LEFT JOIN dg USING (world_id, scene_id)"),
+    "rolling_synopsis": over_graph(ONE + ", f AS (SELECT *, row_number() OVER (PARTITION BY world_id, scene_id ORDER BY assertion_id) AS place FROM a), dg AS (SELECT world_id, scene_id, string_agg(subject_id || ' ' || predicate || ' ' || coalesce(object_value, CAST(object_id AS VARCHAR), ''), '; ' ORDER BY place) AS digest FROM f WHERE place <= 12 GROUP BY 1, 2) SELECT world_id, scene_id, story_position, md5(coalesce(string_agg(coalesce(digest, ''), ' / ') OVER (PARTITION BY world_id ORDER BY story_position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS synopsis FROM scenes LEFT JOIN dg USING (world_id, scene_id)"),
     "entity_profile": over_graph(f"{_ALIASES} SELECT *, coalesce((SELECT string_agg(CAST(assertion_id AS VARCHAR), ',' ORDER BY assertion_id) FROM a WHERE a.world_id = al.world_id AND a.subject_id = al.entity_id), '') AS as_subject, coalesce((SELECT string_agg(CAST(assertion_id AS VARCHAR), ',' ORDER BY assertion_id) FROM a WHERE a.world_id = al.world_id AND a.object_id = al.entity_id), '') AS as_object FROM al"),
     "findings_diff": None,
-    "text_functions": r"""WITH h AS (SELECT doc_id, text, substr(text, 1, 400) AS x FROM documents), n AS (SELECT *, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS c FROM h)
-SELECT doc_id, regexp_replace(lower(x), '[^a-z0-9 ]', '', 'g') AS stripped, c AS collapsed,
- array_to_string(list_sort(list_filter(list_distinct(string_split(c, ' ')), lambda w: w NOT IN ('', 'a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'he', 'her', 'his', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 'she', 'that', 'the', 'their', 'they', 'to', 'was', 'with'))), ' ') AS tokens,
- CAST(length(lower(trim(regexp_replace(translate(x, '‘’“”–—', '''''""--'), '\s+', ' ', 'g')))) AS INT) AS quote_chars,
- regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CAST(ceil(len(string_split(text, chr(10))) / 55.0) AS BIGINT) AS pages FROM n""",
+    "text_functions": rf"""WITH n AS (SELECT doc_id, text, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS c FROM documents)
+SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g')) AS stripped, md5(c) AS collapsed,
+ md5(array_to_string(list_sort(list_filter(list_distinct(string_split(c, ' ')), lambda w: w NOT IN ('', {STOPPED}))), ' ')) AS tokens,
+ CAST(length(lower(trim(regexp_replace(translate(text, '‘’“”–—', '''''""--'), '\s+', ' ', 'g')))) AS INT) AS quote_chars,
+ md5(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug, CAST(ceil(len(string_split(text, chr(10))) / 55.0) AS BIGINT) AS pages FROM n""",
     "rule_cannot": over_graph(f"{_RULES} SELECT {COLS} FROM ruled WHERE kind = 'cannot'"),
     "rule_only": over_graph(f"{_RULES} SELECT {COLS} FROM ruled WHERE kind = 'only'"),
     "rule_exception": over_graph(FINDINGS_CTE + " " + _EXCEPT.format("findings")),

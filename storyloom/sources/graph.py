@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text
 
-PREDICATES = ("alive", "dies", "located_at", "knows", "believes", "promised", "goal", "secret_of", "trait", "occupation", "cannot", "destroyed", "fact", "relation", "created")
+# The closed vocabulary of predicates.
+PREDICATES = (
+    "alive", "dies", "located_at", "present_in_scene", "member_of", "possesses", "married_to", "parent_of", "sibling_of", "romantic_with", "allied_with", "enemy_of",
+    "knows", "believes", "secret_of", "destroyed", "created", "occupation", "trait", "cannot", "goal", "promised", "fact",
+)
+# Kinds of entities, those that win a tie first.
+KINDS = ("character", "location", "object", "faction", "event", "rule", "other")
 
 
 @dataclass(frozen=True)
@@ -87,6 +93,6 @@ def derive(spark: SparkSession, sf_dir: str) -> Graph:
     presence = e.select("world_id", F.expr("world_id * 1000 + position").alias("scene_id"), (F.col("user_id") + 1).alias("entity_id")).unionByName(
         e.select("world_id", F.expr("world_id * 1000 + position").alias("scene_id"), place.alias("entity_id"))
     ).distinct()
-    config = spark.createDataFrame([(2, "presence_conflict", False), (3, "destroyed_use", False), (1, "dead_speaker", True), (1, "F2", False)], "world_id long, family string, enabled boolean")
+    config = spark.createDataFrame([(2, "presence_conflict", False), (3, "destroyed_location_use", False), (1, "dead_speaker", True), (1, "F2", False)], "world_id long, family string, enabled boolean")
     seals = e.filter("event_id % 5 = 0").select("world_id", F.lit("dead_speaker").alias("check_name"), (F.col("event_id") + 1).alias("assertion_a"), F.lit(None).cast("long").alias("assertion_b"))
     return Graph(assertions, scenes, users.unionByName(places), aliases, presence, works, config, seals)
