@@ -81,7 +81,7 @@ def display_name(x: Column | str) -> Column:
 
 def first_quote(x: Column | str, shortest: int = 8, most: int = 240) -> Column:
     """The first line of at least ``shortest`` characters, cut."""
-    lines = F.filter(F.transform(F.split(col(x), "\n"), F.trim), lambda line: F.length(line) >= shortest)
+    lines = F.filter(F.transform(F.split(col(x), "\n"), lambda line: F.trim(line)), lambda line: F.length(line) >= shortest)
     return F.left(F.get(lines, F.lit(0)), F.lit(most))
 
 

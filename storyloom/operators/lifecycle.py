@@ -145,3 +145,20 @@ def containment(a: Column | str, b: Column | str) -> Column:
     """The share of a's tokens that b has."""
     x, y = text.tokens(a), text.tokens(b)
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(x)), F.lit(0.0))
+
+
+def evaluate_runs(cases: DataFrame, extra: DataFrame, episodes: int, bar: tuple[float, float] = (0.8, 2.0)) -> DataFrame:
+    """Cases (run_id, case_id, kind error|trap, hit) and wrong findings (run_id, n) -> recall, false positives per episode, traps respected, and whether the run passes."""
+    error, trap = F.col("kind") == "error", F.col("kind") == "trap"
+    sums = cases.groupBy("run_id").agg(
+        F.count_if(error).alias("errors"), F.count_if(error & F.col("hit")).alias("caught"), F.count_if(trap).alias("traps"), F.count_if(trap & ~F.col("hit")).alias("respected"),
+    )
+    wrong = extra.groupBy("run_id").agg(F.sum("n").alias("wrong"))
+    out = sums.join(wrong, "run_id", "left").withColumn("wrong", F.coalesce("wrong", F.lit(0)).cast("long"))
+    out = out.withColumn("recall", F.try_divide("caught", "errors")).withColumn("wrong_per_episode", F.col("wrong") / F.lit(episodes))
+    return out.withColumn("passed", (F.coalesce("recall", F.lit(1.0)) >= bar[0]) & (F.col("wrong_per_episode") <= bar[1]) & (F.col("respected") == F.col("traps")))
+
+
+def write_findings(found: DataFrame, path: str) -> None:
+    """Findings as JSON lines, one a finding."""
+    found.write.mode("overwrite").json(path)

@@ -12,6 +12,8 @@ from storyloom.sources.graph import Graph
 
 MUTED = ("sealed", "retconned", "rejected")
 SETUPS, KNOWLEDGE = ("promised", "goal", "secret_of", "created"), ("knows", "believes")
+# Relations between entities.
+RELATIONS = ("member_of", "married_to", "parent_of", "sibling_of", "romantic_with", "allied_with", "enemy_of")
 TURNS, MOTIVES = ("destroyed", "located_at", "cannot"), ("goal", "promised", "believes", "knows")
 CAPS = {"F1": 12, "F2": 8, "F3": 6, "F4": 5}
 
@@ -23,7 +25,7 @@ def _placed(g: Graph) -> DataFrame:
 
 
 def _terms(columns: tuple[str, ...], ignore: tuple[str, ...]) -> Column:
-    found = text.tokens(F.concat_ws(" ", *columns))
+    found = text.thread_terms(*columns)
     return F.array_except(found, F.array(*[F.lit(w) for w in ignore])) if ignore else found
 
 
@@ -37,27 +39,50 @@ def note_key(family: str, *parts: str) -> Column:
     return F.concat(F.lit(f"{family}:"), F.left(F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(p), F.lit("")) for p in parts]), 256), F.lit(24)))
 
 
-def idle_setups(g: Graph, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """old setups whose words (but those to ``ignore``) and object no later row mentions."""
-    base = _placed(g)
-    old = base.filter(F.col("predicate").isin(*SETUPS) & (F.col("max_at") - F.col("at") >= F.col("threshold")))
+def _unheard(base: DataFrame, old: DataFrame, ignore: tuple[str, ...]) -> DataFrame:
+    """Old rows whose words (but those to ``ignore``) and object no later row mentions."""
     heard = _last_use(base, ("object_value", "supporting_quote"), ignore)
     word = old.select("world_id", "assertion_id", "at", F.explode(_terms(("object_value",), ignore)).alias("term")).join(heard, ["world_id", "term"]).filter("last_at > at").select("world_id", "assertion_id")
     ends = base.select("world_id", F.col("subject_id").alias("object_id"), "at").union(base.filter("object_id is not null").select("world_id", "object_id", "at")).groupBy("world_id", "object_id").agg(F.max("at").alias("last_at"))
     thing = old.filter("object_id is not null").join(ends, ["world_id", "object_id"]).filter("last_at > at").select("world_id", "assertion_id")
-    idle = old.join(word.union(thing).distinct(), ["world_id", "assertion_id"], "left_anti")
+    return old.join(word.union(thing).distinct(), ["world_id", "assertion_id"], "left_anti")
+
+
+def _old(base: DataFrame, predicates: tuple[str, ...]) -> DataFrame:
+    return base.filter(F.col("predicate").isin(*predicates) & (F.col("max_at") - F.col("at") >= F.col("threshold")))
+
+
+def idle_setups(g: Graph, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """old setups that nothing later mentions."""
+    base = _placed(g)
+    idle = _unheard(base, _old(base, SETUPS), ignore)
     salience = (F.col("max_at") - F.col("at")) * 10 + F.when(F.col("predicate").isin("promised", "goal"), 20).otherwise(0)
     return _note(g, idle, "F2", salience)
 
 
+def fact_concerns(g: Graph, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(world_id, assertion_id, entity_id): entities other than the subject whose name or alias shares a word with the fact or its quote."""
+    named = g.entities.select("world_id", "entity_id", "name").union(g.aliases.select("world_id", "entity_id", "alias"))
+    terms = named.select("world_id", "entity_id", F.explode(_terms(("name",), ignore)).alias("term")).distinct()
+    facts = checks.active(g, MUTED).select("world_id", "assertion_id", "subject_id", F.explode(_terms(("object_value", "supporting_quote"), ignore)).alias("term"))
+    return facts.join(terms, ["world_id", "term"]).filter("entity_id <> subject_id").select("world_id", "assertion_id", "entity_id").distinct()
+
+
 def dormant_knowledge(g: Graph, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """old knowledge on which its holder never acts."""
+    """old knowledge on which its holder never acts and which nobody whom it concerns learns."""
     base = _placed(g)
     n = F.greatest(F.lit(3), F.floor(F.col("threshold") / 2))
     old = base.filter(F.col("predicate").isin(*KNOWLEDGE) & F.col("object_value").isNotNull() & (F.col("max_at") - F.col("at") >= n))
-    acts = base.filter(~F.col("predicate").isin(*KNOWLEDGE)).select("world_id", "subject_id", "at", F.explode(_terms(("object_value", "supporting_quote"), ignore)).alias("term")).groupBy("world_id", "subject_id", "term").agg(F.max("at").alias("last_at"))
-    used = old.select("world_id", "subject_id", "assertion_id", "at", F.explode(_terms(("object_value",), ignore)).alias("term")).join(acts, ["world_id", "subject_id", "term"]).filter("last_at > at").select("world_id", "assertion_id").distinct()
-    return _note(g, old.join(used, ["world_id", "assertion_id"], "left_anti"), "F3", F.lit(55) + F.col("max_at") - F.col("at"))
+    words = old.select("world_id", "subject_id", "assertion_id", "at", F.explode(_terms(("object_value",), ignore)).alias("term"))
+    last = lambda rows, columns: rows.select("world_id", "subject_id", "at", F.explode(_terms(columns, ignore)).alias("term")).groupBy("world_id", "subject_id", "term").agg(F.max("at").alias("last_at"))
+    acts = last(base.filter(~F.col("predicate").isin(*KNOWLEDGE)), ("object_value", "supporting_quote"))
+    used = words.join(acts, ["world_id", "subject_id", "term"]).filter("last_at > at").select("world_id", "assertion_id")
+    concerns = fact_concerns(g, ignore)
+    learns = last(base.filter(F.col("predicate").isin(*KNOWLEDGE)), ("object_value",))
+    told = words.drop("subject_id").join(concerns.withColumnRenamed("entity_id", "subject_id"), ["world_id", "assertion_id"]).join(learns, ["world_id", "subject_id", "term"]).filter("last_at > at").select("world_id", "assertion_id")
+    idle = old.join(used.union(told).distinct(), ["world_id", "assertion_id"], "left_anti")
+    idle = idle.join(concerns.groupBy("world_id", "assertion_id").agg(F.count("*").alias("concerned")), ["world_id", "assertion_id"], "left").fillna(0, ["concerned"])
+    return _note(g, idle, "F3", F.lit(55) + F.col("max_at") - F.col("at") + 5 * F.col("concerned"))
 
 
 def unmotivated_turns(g: Graph) -> DataFrame:
@@ -71,24 +96,56 @@ def unmotivated_turns(g: Graph) -> DataFrame:
     return _note(g, found, "F4", salience).withColumn("motivation_status", F.when(F.col("motive_at").isNull(), "absent").otherwise("distant"))
 
 
-def open_questions(g: Graph) -> DataFrame:
-    """provisional entities and relations that nothing corroborates."""
+def open_questions(g: Graph, ignore: tuple[str, ...] = (), relations: tuple[str, ...] = RELATIONS) -> DataFrame:
+    """F1, by ``kind``: provisional entities, old threads that nothing takes up, relations told once, inabilities and traits never exercised."""
     base = _placed(g)
-    first = base.join(g.entities.filter("provisional").select("world_id", F.col("entity_id").alias("subject_id")), ["world_id", "subject_id"], "left_semi")
-    w = Window.partitionBy("world_id", "subject_id").orderBy("at", "assertion_id")
-    return _note(g, first.withColumn("nth", F.row_number().over(w)).filter("nth = 1"), "F1", F.lit(40))
+    ends = [base.withColumn("end", F.col(c)) for c in ("subject_id", "object_id")]
+    named = ends[0].unionByName(ends[1]).join(g.entities.filter("provisional").select("world_id", F.col("entity_id").alias("end")), ["world_id", "end"], "left_semi")
+    w = Window.partitionBy("world_id", "end").orderBy("at", "assertion_id")
+    unknown = named.withColumn("nth", F.row_number().over(w)).filter("nth = 1").select(*base.columns)
+    threads = _unheard(base, _old(base, ("promised", "goal", "secret_of")), ignore)
+    once = Window.partitionBy("world_id", "subject_id", "predicate", "object_id", text.norm_strip("object_value"))
+    single = _old(base.withColumn("told", F.count("*").over(once)).filter("told = 1").drop("told"), relations)
+    acts = base.filter(F.col("predicate").isin("fact", "cannot")).select("world_id", "subject_id", "at", F.explode(_terms(("object_value",), ignore)).alias("term")).groupBy("world_id", "subject_id", "term").agg(F.max("at").alias("last_at"))
+    traits = _old(base, ("cannot", "trait"))
+    used = traits.select("world_id", "subject_id", "assertion_id", "at", F.explode(_terms(("object_value",), ignore)).alias("term")).join(acts, ["world_id", "subject_id", "term"]).filter("last_at > at").select("world_id", "assertion_id").distinct()
+    unused = traits.join(used, ["world_id", "assertion_id"], "left_anti")
+    age = F.col("max_at") - F.col("at")
+    out = None
+    for kind, rows, salience in (("unknown_entity", unknown, F.lit(90)), ("open_thread", threads, 65 + age), ("single_relation", single, F.lit(40)), ("unexercised", unused, F.lit(35))):
+        part = _note(g, rows.withColumn("kind", F.lit(kind)), "F1", salience, "kind")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def given_questions(g: Graph, questions: DataFrame) -> DataFrame:
+    """F1 from questions that were asked of scenes: (world_id, scene_id, question, quote) -> notes that cite the quote or the scene's first line."""
+    at = g.scenes.select("world_id", "scene_id", F.col("story_position").alias("at"), "raw_text")
+    last = at.groupBy("world_id").agg(F.max("at").alias("max_at"))
+    q = questions.filter(F.trim(F.coalesce("question", F.lit(""))) != "").join(at, ["world_id", "scene_id"]).join(last, "world_id").join(scene_labels(g).select("world_id", "scene_id", "label"), ["world_id", "scene_id"])
+    said = F.when(F.col("question").endswith("?"), F.col("question")).otherwise(F.concat("question", F.lit("?")))
+    return q.select("world_id", F.lit("F1").alias("family"), note_key("F1", "question", "label").alias("note_key"), (60 + F.col("max_at") - F.col("at")).cast("long").alias("salience"), "scene_id", "label", said.alias("summary"), F.coalesce("quote", text.first_quote("raw_text")).alias("quote"))
+
+
+def drafts(found: DataFrame, g: Graph) -> DataFrame:
+    """Notes in fixed wording: the family's question about subject, predicate and object at the cited scene."""
+    a = g.assertions.select("world_id", "assertion_id", "subject_id", "predicate", "object_value", "supporting_quote")
+    n = found.join(a, ["world_id", "assertion_id"]).join(checks.names(g), ["world_id", "subject_id"])
+    about = F.concat_ws(" ", "name", "predicate", "object_value")
+    said = F.when(F.col("family") == "F1", F.concat(F.lit("Is this ever settled: "), about, F.lit("?"))).when(F.col("family") == "F2", F.concat(F.lit("Set up and not taken up again: "), about, F.lit("."))).when(F.col("family") == "F3", F.concat(F.lit("Known and not used: "), about, F.lit("."))).otherwise(F.concat(F.lit("What leads to this: "), about, F.lit("?")))
+    return n.select("world_id", "family", "note_key", said.alias("summary"), F.concat("label", F.lit(": "), "supporting_quote").alias("citation"))
 
 
-def _note(g: Graph, df: DataFrame, family: str, salience: Column) -> DataFrame:
+def _note(g: Graph, df: DataFrame, family: str, salience: Column, *more: str) -> DataFrame:
     named = df.join(checks.names(g), ["world_id", "subject_id"]).join(scene_labels(g).select("world_id", "scene_id", "label"), ["world_id", "scene_id"])
     extra = ["motive_at"] if "motive_at" in df.columns else []
-    return named.select("world_id", F.lit(family).alias("family"), note_key(family, "name", "predicate", "object_value", "label", "supporting_quote").alias("note_key"), salience.cast("long").alias("salience"), "assertion_id", "scene_id", "label", *extra)
+    return named.select("world_id", F.lit(family).alias("family"), note_key(family, "name", "predicate", "object_value", "label", "supporting_quote", *more).alias("note_key"), salience.cast("long").alias("salience"), "assertion_id", "scene_id", "label", *extra)
 
 
 def candidates(g: Graph, ignore: tuple[str, ...] = ()) -> DataFrame:
     """All families that a world has on, the most salient of equal keys."""
     out = idle_setups(g, ignore)
-    for part in (dormant_knowledge(g, ignore), unmotivated_turns(g).drop("motivation_status", "motive_at"), open_questions(g)):
+    for part in (dormant_knowledge(g, ignore), unmotivated_turns(g).drop("motivation_status", "motive_at"), open_questions(g, ignore)):
         out = out.unionByName(part)
     off_ = g.family_config.filter(~F.col("enabled")).select("world_id", "family")
     w = Window.partitionBy("world_id", "note_key").orderBy(F.desc("salience"), "assertion_id")

@@ -192,3 +192,23 @@ def findings_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     gone = before.select(*key).distinct().join(after.select(*key), key, "left_anti").withColumn("change", F.lit("removed"))
     return after.select(*key).distinct().join(before.select(*key), key, "left_anti").withColumn("change", F.lit("added")).unionByName(gone)
 
+
+
+def distinct_values(g: Graph) -> DataFrame:
+    """(world_id, field, value): the kinds, predicates, traits and positions that a world has."""
+    part = lambda df, field, c: df.select("world_id", F.lit(field).alias("field"), F.col(c).cast("string").alias("value"))
+    out = part(g.entities, "kind", "kind").unionByName(part(g.assertions, "predicate", "predicate"))
+    out = out.unionByName(part(g.assertions.filter("predicate = 'trait'"), "trait", "object_value")).unionByName(part(g.scenes, "position", "story_position"))
+    return out.filter("value is not null").distinct()
+
+
+def assertion_lookup(g: Graph, refs: DataFrame) -> DataFrame:
+    """(ref_id, world_id, assertion_id or subject_id, predicate and maybe at) -> found with the assertion, ambiguous, or missing."""
+    a = g.assertions.select("world_id", F.col("assertion_id").alias("hit"), "subject_id", "predicate", "lo", "hi")
+    by_id = refs.filter("assertion_id is not null").select("ref_id", "world_id", F.col("assertion_id").alias("hit")).join(a.select("world_id", "hit"), ["world_id", "hit"])
+    by_name = refs.filter("assertion_id is null").select("ref_id", "world_id", "subject_id", "predicate", "at").join(a, ["world_id", "subject_id", "predicate"])
+    by_name = by_name.filter(F.col("at").isNull() | (ranges.contains(F.col("lo"), F.col("hi"), F.col("at")) & ~ranges.is_empty(F.col("lo"), F.col("hi"))))
+    hits = by_id.select("ref_id", "hit").unionByName(by_name.select("ref_id", "hit")).groupBy("ref_id").agg(F.count("*").alias("n"), F.min("hit").alias("hit"))
+    n = F.coalesce("n", F.lit(0))
+    status = F.when(n == 0, "missing").when(n == 1, "found").otherwise("ambiguous")
+    return refs.select("ref_id", "world_id").join(hits, "ref_id", "left").select("ref_id", "world_id", status.alias("status"), F.when(n == 1, F.col("hit")).alias("assertion_id"))

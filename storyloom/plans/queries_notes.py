@@ -24,6 +24,12 @@ def _table(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
+def _vowed(g: Graph) -> Graph:
+    """Every fourth fact is a word of its own, so that some setups are never heard of again."""
+    own = F.when(F.col("assertion_id") % 4 == 0, F.concat(F.lit("V"), "assertion_id")).otherwise(F.col("object_value"))
+    return g.with_(assertions=g.assertions.withColumn("object_value", own))
+
+
 def _old_notes(g: Graph) -> DataFrame:
     c = notes.candidates(g, IGNORE)
     n = F.conv(F.substring(F.split("note_key", ":").getItem(1), 1, 4), 16, 10).cast("int")
@@ -107,7 +113,7 @@ def _results(g: Graph) -> DataFrame:
 
 
 QUERIES = {
-    "note_idle_setup": _with(lambda g: notes.idle_setups(g, IGNORE)),
+    "note_idle_setup": _with(lambda g: notes.idle_setups(_vowed(g), IGNORE)),
     "note_dormant_knowledge": _with(lambda g: notes.dormant_knowledge(g, IGNORE)),
     "note_unmotivated_turn": _with(notes.unmotivated_turns),
     "note_caps": _with(lambda g: notes.capped(notes.candidates(g, IGNORE)).select("world_id", "family", "note_key", "salience", "place", "overflow")),
@@ -143,18 +149,41 @@ base AS (SELECT a.*, s.story_position AS apos, max_at, threshold, e.name, l.labe
  WHERE status NOT IN ('sealed', 'retconned', 'rejected')),
 heard AS (SELECT world_id, term, max(apos) AS last_at FROM (SELECT world_id, apos, unnest(ovq) AS term FROM base) GROUP BY 1, 2),
 acted AS (SELECT world_id, subject_id, term, max(apos) AS last_at FROM (SELECT world_id, subject_id, apos, unnest(ovq) AS term FROM base WHERE predicate NOT IN ('knows', 'believes')) GROUP BY 1, 2, 3)"""
+_VOWED = _BASE.replace("FROM a JOIN scenes", "FROM (SELECT * REPLACE (CASE WHEN assertion_id % 4 = 0 THEN 'V' || assertion_id ELSE object_value END AS object_value) FROM a) a JOIN scenes", 1)
 _KEY = "'{0}:' || left(sha256(coalesce(x.name, '') || chr(31) || coalesce(x.predicate, '') || chr(31) || coalesce(x.object_value, '') || chr(31) || coalesce(x.label, '') || chr(31) || coalesce(x.supporting_quote, '')), 24)"
 _NOTE = "SELECT x.world_id, '{0}' AS family, " + _KEY + " AS note_key, CAST({1} AS BIGINT) AS salience, x.assertion_id, x.scene_id, x.label"
 _F2 = _NOTE.format("F2", "(max_at - apos) * 10 + CASE WHEN predicate IN ('promised', 'goal') THEN 20 ELSE 0 END") + """ FROM base x WHERE predicate IN ('promised', 'goal', 'secret_of', 'created') AND max_at - apos >= threshold
  AND NOT EXISTS (SELECT 1 FROM heard h WHERE h.world_id = x.world_id AND list_contains(x.ov, h.term) AND h.last_at > x.apos)
  AND NOT EXISTS (SELECT 1 FROM base l WHERE l.world_id = x.world_id AND l.apos > x.apos AND x.object_id IS NOT NULL AND (l.subject_id = x.object_id OR l.object_id = x.object_id))"""
-_F3 = _NOTE.format("F3", "55 + max_at - apos") + """ FROM base x WHERE predicate IN ('knows', 'believes') AND object_value IS NOT NULL AND max_at - apos >= greatest(3, floor(threshold / 2.0))
- AND NOT EXISTS (SELECT 1 FROM acted h WHERE h.world_id = x.world_id AND h.subject_id = x.subject_id AND list_contains(x.ov, h.term) AND h.last_at > x.apos)"""
+_WORDS = "list_filter(list_distinct(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: w NOT IN ('', 'fact', 'line', 'scene', " + ", ".join(f"'{w}'" for w in (*text.STOP_WORDS, *text.THREAD_VERBS)) + "))"
+CONCERNS = f"""ct AS (SELECT DISTINCT world_id, entity_id, term FROM (SELECT world_id, entity_id, unnest({_WORDS.format("name")}) AS term FROM (SELECT world_id, entity_id, name FROM entities UNION ALL SELECT world_id, entity_id, alias FROM aliases))),
+cf AS (SELECT DISTINCT f.world_id, f.assertion_id, ct.entity_id FROM (SELECT world_id, assertion_id, subject_id, unnest({_WORDS.format("concat_ws(' ', object_value, supporting_quote)")}) AS term FROM a WHERE status NOT IN ('sealed', 'retconned', 'rejected')) f JOIN ct USING (world_id, term) WHERE ct.entity_id <> f.subject_id)"""
+_F1KEY = _KEY.format("F1").replace(", 24)", ", 24)").replace("coalesce(x.supporting_quote, ''))", "coalesce(x.supporting_quote, '') || chr(31) || x.kind)")
+_F1ROW = "SELECT x.world_id, 'F1' AS family, " + _F1KEY + " AS note_key, CAST({0} AS BIGINT) AS salience, x.assertion_id, x.scene_id, x.label FROM ({1}) x"
+_NOT_HEARD = """NOT EXISTS (SELECT 1 FROM heard h WHERE h.world_id = b.world_id AND list_contains(b.ov, h.term) AND h.last_at > b.apos)
+ AND NOT EXISTS (SELECT 1 FROM base l WHERE l.world_id = b.world_id AND l.apos > b.apos AND b.object_id IS NOT NULL AND (l.subject_id = b.object_id OR l.object_id = b.object_id))"""
+
+
+def open_questions_sql(relations: tuple[str, ...]) -> str:
+    rel = ", ".join(f"'{r}'" for r in relations)
+    arms = (
+        ("90", "SELECT *, 'unknown_entity' AS kind FROM (SELECT b.*, row_number() OVER (PARTITION BY b.world_id, e.entity_id ORDER BY apos, assertion_id) AS nth FROM base b JOIN entities e ON e.world_id = b.world_id AND (e.entity_id = b.subject_id OR e.entity_id = b.object_id) AND e.provisional) WHERE nth = 1"),
+        ("65 + max_at - apos", f"SELECT b.*, 'open_thread' AS kind FROM base b WHERE predicate IN ('promised', 'goal', 'secret_of') AND max_at - apos >= threshold AND {_NOT_HEARD}"),
+        ("40", f"SELECT *, 'single_relation' AS kind FROM (SELECT b.*, count(*) OVER (PARTITION BY world_id, subject_id, predicate, object_id, fact_key) AS told FROM base b) WHERE told = 1 AND predicate IN ({rel}) AND max_at - apos >= threshold"),
+        ("35", "SELECT b.*, 'unexercised' AS kind FROM base b WHERE predicate IN ('cannot', 'trait') AND max_at - apos >= threshold AND NOT EXISTS (SELECT 1 FROM base l WHERE l.world_id = b.world_id AND l.subject_id = b.subject_id AND l.predicate IN ('fact', 'cannot') AND l.apos > b.apos AND len(list_intersect(l.ov, b.ov)) > 0)"),
+    )
+    return " UNION ALL ".join(_F1ROW.format(s, q) for s, q in arms)
+
+
+_F3CTE = CONCERNS + """,
+learned AS (SELECT world_id, subject_id, term, max(apos) AS last_at FROM (SELECT world_id, subject_id, apos, unnest(ov) AS term FROM base WHERE predicate IN ('knows', 'believes')) GROUP BY 1, 2, 3)"""
+_F3 = _NOTE.format("F3", "55 + max_at - apos + 5 * (SELECT count(*) FROM cf WHERE cf.world_id = x.world_id AND cf.assertion_id = x.assertion_id)") + """ FROM base x WHERE predicate IN ('knows', 'believes') AND object_value IS NOT NULL AND max_at - apos >= greatest(3, floor(threshold / 2.0))
+ AND NOT EXISTS (SELECT 1 FROM acted h WHERE h.world_id = x.world_id AND h.subject_id = x.subject_id AND list_contains(x.ov, h.term) AND h.last_at > x.apos)
+ AND NOT EXISTS (SELECT 1 FROM cf JOIN learned h ON h.world_id = cf.world_id AND h.subject_id = cf.entity_id WHERE cf.world_id = x.world_id AND cf.assertion_id = x.assertion_id AND list_contains(x.ov, h.term) AND h.last_at > x.apos)"""
 _MOTIVE = "(SELECT max(m.apos) FROM base m WHERE m.world_id = x.world_id AND m.subject_id = x.subject_id AND m.predicate IN ('goal', 'promised', 'believes', 'knows') AND m.apos < x.apos)"
 _F4X = f"f4x AS (SELECT x.*, {_MOTIVE} AS motive_at FROM base x WHERE EXISTS (SELECT 1 FROM entities e WHERE e.world_id = x.world_id AND e.entity_id = x.subject_id AND e.kind = 'character') AND (predicate IN ('located_at', 'destroyed') OR (predicate = 'cannot' AND NOT polarity)))"
 _F4 = _NOTE.format("F4", "CASE WHEN motive_at IS NULL THEN 50 ELSE greatest(10, 45 - (apos - motive_at)) END")
-_F1 = _NOTE.format("F1", "40") + " FROM (SELECT b.*, row_number() OVER (PARTITION BY b.world_id, subject_id ORDER BY apos, assertion_id) AS nth FROM base b JOIN entities e ON e.world_id = b.world_id AND e.entity_id = b.subject_id AND e.provisional) x WHERE nth = 1"
-_CAND = f"""{_BASE}, {_F4X}, raw_notes AS ({_F2} UNION ALL {_F3} UNION ALL {_F4} FROM f4x x UNION ALL {_F1}),
+_CAND = f"""{_BASE}, {_F3CTE}, {_F4X}, raw_notes AS ({_F2} UNION ALL {_F3} UNION ALL {_F4} FROM f4x x UNION ALL {open_questions_sql(notes.RELATIONS)}),
 cand AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY world_id, note_key ORDER BY salience DESC, assertion_id) AS nth FROM raw_notes r
  WHERE NOT EXISTS (SELECT 1 FROM config c WHERE c.world_id = r.world_id AND c.family = r.family AND NOT c.enabled)) WHERE nth = 1)"""
 _HEX = "CAST('0x' || substr(note_key, {}, 4) AS INT)"
@@ -183,8 +212,8 @@ _MEMBERS = """WITH worlds AS (SELECT c_custkey AS world_id, CASE WHEN c_custkey
 members AS (SELECT o_custkey AS world_id, CAST(o_orderkey % 25 AS VARCHAR) AS user_id, CASE o_orderkey % 3 WHEN 0 THEN 'viewer' WHEN 1 THEN 'editor' ELSE 'owner' END AS role, o_orderkey AS created_at FROM orders)"""
 
 ORACLES = {
-    "note_idle_setup": over_graph(f"{_BASE} {_F2}"),
-    "note_dormant_knowledge": over_graph(f"{_BASE} {_F3}"),
+    "note_idle_setup": over_graph(f"{_VOWED} {_F2}"),
+    "note_dormant_knowledge": over_graph(f"{_BASE}, {_F3CTE} {_F3}"),
     "note_unmotivated_turn": over_graph(f"{_BASE}, {_F4X} {_F4}, motive_at, CASE WHEN motive_at IS NULL THEN 'absent' ELSE 'distant' END AS motivation_status FROM f4x x"),
     "note_caps": over_graph(f"{_CAND} SELECT world_id, family, note_key, salience, CAST(place AS INT) AS place, greatest(0, n - cap) AS overflow FROM (SELECT *, row_number() OVER (PARTITION BY world_id, family ORDER BY salience DESC, note_key) AS place, count(*) OVER (PARTITION BY world_id, family) AS n, CASE family WHEN 'F1' THEN 12 WHEN 'F2' THEN 8 WHEN 'F3' THEN 6 ELSE 5 END AS cap FROM cand) WHERE place <= cap"),
     "note_merge": over_graph(f"{_CAND}, {_OLD} SELECT coalesce(o.world_id, n.world_id) AS world_id, coalesce(o.note_key, n.note_key) AS note_key, coalesce(o.family, n.family) AS family, CASE WHEN o.status IN ('sealed', 'dismissed') OR n.note_key IS NULL THEN o.salience ELSE n.salience END AS salience, CASE WHEN o.status IN ('sealed', 'dismissed') THEN o.status WHEN n.note_key IS NOT NULL THEN 'open' ELSE 'addressed' END AS status, CASE WHEN o.note_key IS NULL THEN 'run2' ELSE 'run1' END AS first_seen_run, CASE WHEN o.status IN ('sealed', 'dismissed') OR (n.note_key IS NULL AND o.status = 'addressed') THEN 'run1' ELSE 'run2' END AS last_seen_run FROM old_ o FULL JOIN new_ n ON n.world_id = o.world_id AND n.note_key = o.note_key"),

@@ -142,11 +142,18 @@ cut AS (
  UNION SELECT c.change_id, c.world_id, 'scene', p.scene_id FROM changes c JOIN presence p ON p.world_id = c.world_id AND p.entity_id = c.entity_id WHERE type = 'cut'),
 epi AS (SELECT x.change_id, x.world_id, y.assertion_id, y.predicate FROM prop x JOIN act2 y ON y.world_id = x.world_id AND y.fact_key = x.fact_key AND y.assertion_id <> x.assertion_id AND __OVER__
  WHERE x.status = 'ok' AND x.predicate IN ('knows', 'believes') AND y.predicate IN ('knows', 'believes')),
-pred AS (SELECT x.change_id, x.world_id, CASE WHEN x.predicate = 'dies' THEN 'dead_speaker' ELSE 'destroyed_location_use' END AS check_name, x.assertion_id, s.scene_id
+pred_use AS (SELECT x.change_id, x.world_id, CASE WHEN x.predicate = 'dies' THEN 'dead_speaker' ELSE 'destroyed_location_use' END AS check_name, x.assertion_id, s.scene_id
  FROM prop x JOIN presence p ON p.world_id = x.world_id AND p.entity_id = x.subject_id JOIN scenes s ON s.world_id = x.world_id AND s.scene_id = p.scene_id
  WHERE x.status = 'ok' AND x.type = 'move' AND x.predicate IN ('dies', 'destroyed') AND s.story_position > x.lo AND NOT s.is_flashback
  AND NOT EXISTS (SELECT 1 FROM config c WHERE c.world_id = x.world_id AND NOT c.enabled AND c.family = CASE WHEN x.predicate = 'dies' THEN 'dead_speaker' ELSE 'destroyed_location_use' END)
- AND NOT (x.predicate = 'dies' AND EXISTS (SELECT 1 FROM a r WHERE r.world_id = x.world_id AND r.subject_id = x.subject_id AND r.predicate = 'alive' AND r.polarity AND r.status <> 'sealed' AND r.lo > x.lo AND r.lo <= s.story_position AND (r.hi IS NULL OR s.story_position < r.hi))))
+ AND NOT (x.predicate = 'dies' AND EXISTS (SELECT 1 FROM a r WHERE r.world_id = x.world_id AND r.subject_id = x.subject_id AND r.predicate = 'alive' AND r.polarity AND r.status <> 'sealed' AND r.lo > x.lo AND r.lo <= s.story_position AND (r.hi IS NULL OR s.story_position < r.hi)))),
+pred_place AS (SELECT x.change_id, x.world_id, 'presence_conflict' AS check_name, x.assertion_id, y.scene_id FROM prop x JOIN act2 y ON y.world_id = x.world_id AND y.subject_id = x.subject_id AND y.assertion_id <> x.assertion_id AND __OVER__
+ WHERE x.status = 'ok' AND NOT EXISTS (SELECT 1 FROM config c WHERE c.world_id = x.world_id AND NOT c.enabled AND c.family = 'presence_conflict') AND x.predicate = 'located_at' AND y.predicate = 'located_at' AND x.object_id <> y.object_id),
+pred_act AS (SELECT x.change_id, x.world_id, 'capability_violation' AS check_name, x.assertion_id, y.scene_id FROM prop x JOIN act2 y ON y.world_id = x.world_id AND y.subject_id = x.subject_id AND y.assertion_id <> x.assertion_id AND __OVER__
+ WHERE x.status = 'ok' AND NOT EXISTS (SELECT 1 FROM config c WHERE c.world_id = x.world_id AND NOT c.enabled AND c.family = 'capability_violation') AND x.predicate = 'cannot' AND x.fact_key IS NOT NULL
+  AND (SELECT polarity FROM a z WHERE z.world_id = x.world_id AND z.assertion_id = x.assertion_id)
+  AND ((y.polarity AND y.predicate <> 'cannot' AND contains(__NS__, x.fact_key)) OR (NOT y.polarity AND y.predicate = 'cannot' AND y.fact_key = x.fact_key))),
+pred AS (SELECT * FROM pred_use UNION ALL SELECT * FROM pred_place UNION ALL SELECT * FROM pred_act)
 """.replace("__OVER__", OVER).replace("__NA__", NS.format("l.alias")).replace("__NS__", NS.format("coalesce(y.object_value, '') || ' ' || coalesce(y.supporting_quote, '')"))
 _ENDS = "ends AS (SELECT world_id, subject_id AS entity_id, scene_id FROM a UNION ALL SELECT world_id, object_id, scene_id FROM a WHERE object_id IS NOT NULL)"
 _ALIASES = "al AS (SELECT e.world_id, e.entity_id, e.name, coalesce(string_agg(l.alias, '|' ORDER BY l.alias), '') AS aliases FROM entities e LEFT JOIN aliases l USING (world_id, entity_id) GROUP BY 1, 2, 3)"
