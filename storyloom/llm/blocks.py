@@ -27,6 +27,7 @@ BLOCK_BYTES = 8_000_000
 BUCKET_BYTES = 128_000_000
 MIN_BLOCKS, MIN_BUCKETS = 24, 32
 SLICE_BYTES = 1_000_000
+PACK_LEVEL = 9  # of zstd
 NO_ID = np.iinfo(np.int64).max
 
 SPACE = np.zeros(256, bool)
@@ -151,7 +152,7 @@ def blocked(docs: DataFrame, most: int, *columns) -> DataFrame:
                     block, held = block + 1, 0
                 held += size
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", PACK_LEVEL))) as out:
                     out.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "packed"])
 

@@ -240,10 +240,11 @@ def score(docs: DataFrame, train: Column, mu: tuple[float, ...] = MU) -> DataFra
     def asking(k: int):
         return lambda t, a: ask_long(t, a, m, k)
 
-    answers = asks.applyInArrow(lambda t: answer_counts(t, order), B.TELL)
+    # Each part of the answers is exchanged by itself: a union of parts that are dealt alike needs no exchange of its own.
+    answers = asks.applyInArrow(lambda t: answer_counts(t, order), B.TELL).repartition("block")
     for k in range(3, order + 1):
         longer = by.cogroup(answers.groupBy("block")).applyInArrow(asking(k), B.ASK)
-        answers = answers.unionByName(longer.groupBy("bucket").applyInArrow(lambda t: answer_counts(t, order), B.TELL))
-    answers = answers.unionByName(sums.groupBy().applyInArrow(spread_sums, B.TELL))  # ``sums`` has one row a bucket
+        answers = answers.unionByName(longer.groupBy("bucket").applyInArrow(lambda t: answer_counts(t, order), B.TELL).repartition("block"))
+    answers = answers.unionByName(sums.groupBy().applyInArrow(spread_sums, B.TELL).repartition("block"))  # ``sums`` has one row a bucket
     result = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return by.cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: score_block(t, a, mu), result)
