@@ -1,4 +1,8 @@
-"""Streaming jobs: new findings, alias links, denial spikes, quotas, silent runs."""
+"""Streaming jobs: new findings, alias links, denial spikes, quotas, silent runs, ledgers, cost guards, open stays.
+
+Stateful jobs keep their state per key and sort each micro-batch by their order; what comes in a later batch counts
+as later, but for ``stays``, which sets rows from before its state aside as late.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from storyloom.operators.checks import run_checks
 from storyloom.sources.graph import Graph
 
 KEY = ["world_id", "check_name", "explanation"]
+LEDGER = "world_id long, check_name string, explanation string, severity string, batch long"
 
 
 def stream_new_findings(assertions: DataFrame, graph_of: Callable[[DataFrame], Graph], ledger: str, checkpoint: str) -> StreamingQuery:
@@ -21,18 +26,16 @@ def stream_new_findings(assertions: DataFrame, graph_of: Callable[[DataFrame], G
     rows by batch id and leaves them out, so every finding is written once.
     """
 
+    spark = assertions.sparkSession
+    spark.createDataFrame([], LEDGER).write.mode("append").partitionBy("batch").parquet(ledger)  # so that it can be read
+
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        worlds = batch.select("world_id").distinct()
-        found, _ = run_checks(graph_of(worlds))
+        found, _ = run_checks(graph_of(batch.select("world_id").distinct()))
         found = found.filter(~F.col("sealed")).select(*KEY, "severity").dropDuplicates(KEY)
-        try:
-            known = spark.read.parquet(ledger).filter(F.col("batch") != number).select(*KEY)
-            found = found.join(known, KEY, "left_anti")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        found.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(ledger)
+        known = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("batch") != number).select(*KEY)
+        new = found.join(known, KEY, "left_anti").withColumn("batch", F.lit(number))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(ledger)
 
     return assertions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -52,6 +55,103 @@ def silent_runs(heartbeats: DataFrame, patience: str = "90 seconds", delay: str
     return heartbeats.withWatermark("ts", delay).groupBy(F.session_window("ts", patience).alias("w"), "run_id").agg(F.count("*").alias("beats")).select("run_id", F.col("w.start").alias("began"), F.col("w.end").alias("silent_at"), "beats")
 
 
+def failed_runs(beats: DataFrame, patience: str = "90 seconds", delay: str = "10 minutes") -> DataFrame:
+    """Sessions of (run_id, ts, finished) that ended without a finishing beat: failed at the session's end."""
+    held = beats.withWatermark("ts", delay).groupBy(F.session_window("ts", patience).alias("w"), "run_id").agg(F.max("finished").alias("finished"))
+    return held.filter(~F.coalesce("finished", F.lit(False))).select("run_id", F.col("w.end").alias("failed_at"), F.lit("failed").alias("status"))
+
+
+class Ordered(StatefulProcessor):
+    """Folds each key's rows in order over one value of state; ``step`` takes the state (or None) and a row, and gives
+    the new state and the rows to emit."""
+
+    def __init__(self, order: list[str], state: str, columns: list[str], step: Callable[[tuple | None, object], tuple[tuple, list[tuple]]]):
+        self.order, self.schema, self.columns, self.step = order, state, columns, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        state, out = (tuple(self.held.get()) if self.held.exists() else None), []
+        for row in pd.concat(list(rows)).sort_values(self.order, na_position="last").itertuples():
+            state, emitted = self.step(state, row)
+            out += emitted
+        if state is not None:
+            self.held.update(state)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def folded(rows: DataFrame, keys: list[str], order: list[str], state: str, schema: str, step: Callable) -> DataFrame:
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return rows.groupBy(*keys).transformWithStateInPandas(Ordered(order, state, columns, step), schema, "append", "none")
+
+
+def run_ledger(events: DataFrame) -> DataFrame:
+    """Run events (run_id, event_id, sec) numbered within their run; readers then take the numbers behind their last."""
+
+    def step(state, r):
+        seq = (state[0] if state else 0) + 1
+        return (seq,), [(r.run_id, r.event_id, r.sec, seq)]
+
+    return folded(events, ["run_id"], ["sec", "event_id"], "seq long", "run_id long, event_id long, sec long, seq long", step)
+
+
+def cost_guard(events: DataFrame, cap: float) -> DataFrame:
+    """Of events (run_id, event_id, sec, cost) the first of each run at which its cost passes the cap, with the total."""
+
+    def step(state, r):
+        before = state[0] if state else 0.0
+        total = before + r.cost
+        passed = bool(state and state[1])
+        return (total, passed or total > cap), [] if passed or total <= cap else [(r.run_id, r.event_id, total)]
+
+    return folded(events, ["run_id"], ["sec", "event_id"], "total double, passed boolean", "run_id long, event_id long, total double", step)
+
+
+def sliding_quota(events: DataFrame, limits: dict[str, int], window: int) -> DataFrame:
+    """Each event (user_id, kind, event_id, sec) with the count of its trailing window and whether that is over its
+    kind's limit; state holds the times within one window."""
+
+    def step(state, r):
+        times = [t for t in (state[0] if state else []) if t > r.sec - window] + [int(r.sec)]
+        over = len(times) > limits.get(r.kind, len(times))
+        return (times,), [(r.user_id, r.kind, r.event_id, len(times), over)]
+
+    return folded(events, ["user_id", "kind"], ["sec", "event_id"], "times array<long>", "user_id long, kind string, event_id long, used long, denied boolean", step)
+
+
+def stays(rows: DataFrame) -> DataFrame:
+    """The interval fold of locations as rows come: a stay is emitted when a later move closes it, what is skipped, in
+    conflict or anchored at once; the last stay of each subject is its state.  Rows from before the state's position are
+    emitted as late, to be folded again in a batch."""
+
+    def step(state, r):
+        missing = r.position != r.position
+        out = lambda hi, action: (r.world_id, r.subject_id, int(r.assertion_id), int(r.object_id), None if missing else int(r.position), hi, action)
+        if missing or not r.starts:
+            return state, [out(None if missing else int(r.position) + 1, "anchored")]
+        at = (int(r.position), int(r.assertion_id))
+        if state is None:
+            return (int(r.object_id), *at, *at), []
+        place, lo, first, *last = state
+        if at < tuple(last):
+            return state, [out(None, "late")]
+        if place == r.object_id:
+            return (place, lo, first, *at), [out(None, "skipped")]
+        if lo == at[0]:
+            return (place, lo, first, *at), [out(None, "conflict")]
+        return (int(r.object_id), *at, *at), [(r.world_id, r.subject_id, first, place, lo, at[0], "closed")]
+
+    schema = "world_id long, subject_id long, assertion_id long, object_id long, lo int, hi int, action string"
+    return folded(rows, ["world_id", "subject_id"], ["position", "assertion_id"], "place long, lo int, first long, last int, last_id long", schema, step)
+
+
 class DenialSpike(StatefulProcessor):
     """One alert whenever ``most`` denials fall within ``window`` seconds; the count then begins anew."""
 

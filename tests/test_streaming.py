@@ -1,9 +1,14 @@
 """Streams equal their batch twins on finite inputs."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from storyloom.streaming import jobs
 
+DATA = "/root/testdata/sf0.001"
+
 
 def stream(spark, tmp_path, rows, schema, name):
     df = spark.createDataFrame(rows, schema)
@@ -39,3 +44,84 @@ def test_denial_spike_resets(spark, tmp_path):
     _, live = stream(spark, tmp_path, rows, "key long, sec long", "d")
     got = jobs.run_to_memory(spark, jobs.denial_spikes(live, most=3, window=300), "denial_spikes", str(tmp_path / "c4"))
     assert sorted((r.key, r.sec) for r in got.collect()) == [(1, 2), (1, 402)]
+
+
+def test_failed_runs(spark, tmp_path):
+    rows = [(1, 0, False), (1, 60, False), (2, 0, False), (2, 30, True), (3, 9000, False)]
+    _, live = stream(spark, tmp_path, rows, "run_id long, sec long, finished boolean", "f")
+    got = jobs.run_to_memory(spark, jobs.failed_runs(live.withColumn("ts", F.timestamp_seconds("sec"))), "failed_runs", str(tmp_path / "c5"))
+    assert [(r.run_id, r.failed_at.minute, r.status) for r in got.collect()] == [(1, 2, "failed")]
+
+
+def test_run_ledger_continues(spark, tmp_path):
+    """Numbers go on where the last batch ended; the batch twin agrees."""
+    from storyloom.operators.lifecycle import ledger
+
+    schema = "run_id long, event_id long, sec long"
+    first, second = [(i % 2, i, i) for i in range(6)], [(i % 2, i, i) for i in range(6, 11)]
+    _, live = stream(spark, tmp_path, first, schema, "l")
+    table = jobs.run_to_memory(spark, jobs.run_ledger(live), "run_ledger", str(tmp_path / "c6"))
+    assert table.count() == 6
+    spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "l"))
+    q = jobs.run_ledger(live).writeStream.format("parquet").option("path", str(tmp_path / "l2")).option("checkpointLocation", str(tmp_path / "c7")).option("maxFilesPerTrigger", 1).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "l2"))
+    want = ledger(spark.createDataFrame(first + second, schema).withColumnRenamed("sec", "ts"))
+    assert sorted((r.run_id, r.event_id, r.seq) for r in got.collect()) == sorted((r.run_id, r.event_id, r.seq) for r in want.collect())
+
+
+def test_cost_guard(spark, tmp_path):
+    from storyloom.operators import usage
+
+    rows = [(1, 1, 1, 4.0), (1, 2, 2, 4.0), (1, 3, 3, 4.0), (1, 4, 4, 4.0), (2, 5, 1, 10.0), (3, 6, 1, 11.0)]
+    df, live = stream(spark, tmp_path, rows, "run_id long, event_id long, sec long, cost double", "g")
+    got = jobs.run_to_memory(spark, jobs.cost_guard(live, 10.0), "cost_guard", str(tmp_path / "c8"))
+    want = usage.cost_guard(df.withColumnRenamed("sec", "ts"), 10.0)
+    assert sorted(map(tuple, got.collect())) == sorted((r.run_id, r.event_id, r.total) for r in want.collect()) == [(1, 3, 12.0), (3, 6, 11.0)]
+
+
+def test_sliding_quota(spark, tmp_path):
+    from storyloom.operators import usage
+
+    rows = [(1, "a", i, s) for i, s in enumerate((0, 10, 59, 60, 61, 200))] + [(1, "b", 9, 0), (2, "a", 10, 5)]
+    df, live = stream(spark, tmp_path, rows, "user_id long, kind string, event_id long, sec long", "q")
+    got = jobs.run_to_memory(spark, jobs.sliding_quota(live, {"a": 2}, 60), "sliding_quota", str(tmp_path / "c9"))
+    limits = spark.createDataFrame([("a", 2)], "kind string, `limit` int")
+    want = usage.quota(df.withColumn("ts", F.timestamp_seconds("sec")).drop("sec"), limits, 60)
+    assert sorted((r.user_id, r.event_id, r.used, r.denied) for r in got.collect()) == sorted((r.user_id, r.event_id, r.used, r.denied) for r in want.collect())
+    assert {r.event_id for r in got.collect() if r.denied} == {2, 3, 4}
+
+
+def test_stays(spark, tmp_path):
+    """Closed, skipped, conflicting and anchored rows are the batch fold's; what comes too late is set aside."""
+    from storyloom.operators.folds import interval_fold
+
+    schema = "world_id long, subject_id long, assertion_id long, object_id long, position int, starts boolean"
+    rows = [(1, 1, 1, 7, 0, True), (1, 1, 2, 7, 1, True), (1, 1, 3, 8, 2, True), (1, 1, 4, 9, 2, True), (1, 1, 5, 7, 5, True), (1, 1, 6, 8, 3, False), (1, 1, 7, 8, None, True), (1, 2, 8, 7, 4, True)]
+    df, live = stream(spark, tmp_path, rows, schema, "s")
+    got = jobs.run_to_memory(spark, jobs.stays(live), "stays", str(tmp_path / "c10"))
+    want = interval_fold(df).filter("action != 'open'")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    late = [(1, 1, 9, 9, 1, True), (1, 2, 10, 9, 6, True)]
+    for name, part in (("s2/a", rows), ("s2/b", late)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / name))
+    again = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "s2"))
+    more = jobs.run_to_memory(spark, jobs.stays(again), "stays_again", str(tmp_path / "c11"))
+    assert {(r.assertion_id, r.action) for r in more.collect()} - {(r.assertion_id, r.action) for r in got.collect()} == {(9, "late"), (8, "closed")}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_new_findings_once(spark, tmp_path):
+    from storyloom.operators.checks import run_checks
+    from storyloom.sources.graph import derive
+
+    g = derive(spark, DATA)
+    g.assertions.select("world_id", "assertion_id").coalesce(1).write.parquet(str(tmp_path / "n"))
+    live = spark.readStream.schema("world_id long, assertion_id long").parquet(str(tmp_path / "n"))
+    folder = str(tmp_path / "ledger")
+    counts = []
+    for k in range(2):
+        jobs.stream_new_findings(live, lambda worlds: g, folder, str(tmp_path / f"n{k}")).awaitTermination()
+        counts.append(spark.read.parquet(folder).count())
+    want = run_checks(g)[0].filter(~F.col("sealed")).select(*jobs.KEY).distinct().count()
+    assert counts == [want, want] and want > 0
