@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.functions import ranges
 from storyloom.operators import checks
 from storyloom.operators.holes import scene_labels
 from storyloom.sources.graph import Graph
@@ -27,3 +28,26 @@ def lines(g: Graph) -> DataFrame:
 
 def omitted(g: Graph) -> DataFrame:
     return checks.active(g, MUTED).join(g.scenes.select("world_id", "scene_id"), ["world_id", "scene_id"], "left_anti").groupBy("world_id").agg(F.count("*").alias("omitted"))
+
+
+def timeline(g: Graph) -> DataFrame:
+    """Canon and sealed assertions in story order, each with its label and its place in the order."""
+    at = scene_labels(g).select("world_id", "scene_id", "label", "story_position")
+    rows = g.assertions.filter(F.col("status").isin("canon", "sealed")).join(at, ["world_id", "scene_id"]).join(checks.names(g), ["world_id", "subject_id"])
+    place = F.row_number().over(Window.partitionBy("world_id", "label").orderBy("assertion_id"))
+    return rows.select("world_id", "story_position", "label", place.alias("ord"), "name", "predicate", "object_value", "assertion_id")
+
+
+def destructions(g: Graph) -> DataFrame:
+    """The first destruction of each place, by position, then id; denied ones don't count."""
+    at = scene_labels(g).select("world_id", "scene_id", "label", "story_position")
+    rows = checks.active(g, MUTED).filter("predicate = 'destroyed' and polarity").join(at, ["world_id", "scene_id"])
+    first = rows.groupBy("world_id", "subject_id").agg(F.min_by(F.struct("story_position", "label", "assertion_id"), F.struct("story_position", "assertion_id")).alias("f"))
+    return first.join(checks.names(g), ["world_id", "subject_id"]).select("world_id", "name", "f.*")
+
+
+def occupations(g: Graph) -> DataFrame:
+    """What each character does, with the range in words, in order of its start; an open start comes first."""
+    rows = checks.active(g, MUTED).filter("predicate = 'occupation'").join(checks.names(g), ["world_id", "subject_id"])
+    w = Window.partitionBy("world_id", "subject_id").orderBy(F.asc_nulls_first("lo"), "assertion_id")
+    return rows.select("world_id", "name", F.row_number().over(w).alias("ord"), "object_value", ranges.gloss(F.col("lo"), F.col("hi")).alias("gloss"), "assertion_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text
 from storyloom.operators.lineage import chains
-from storyloom.sources.graph import KINDS
+from storyloom.sources.graph import KINDS, PREDICATES
 
 FOLD = "world_id long, subject_id long, assertion_id long, object_id long, lo int, hi int, action string"
 
@@ -88,18 +88,52 @@ def apply_merges(rows: DataFrame, merges: DataFrame, columns: list[str]) -> Data
     return rows
 
 
+def merge_entities(entities: DataFrame, aliases: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and aliases after merges (world_id, old_id, new_id).
+
+    What was merged away is left out; the kept entity is provisional only if all of them were, and takes what it has no
+    value for from the merged one with the smallest id that has.  Names merged away become aliases, once each.
+    """
+    to = merge_targets(merges).select("world_id", F.col("old_id").alias("entity_id"), F.col("new_id").alias("__to"))
+    at = lambda df: df.join(to, ["world_id", "entity_id"], "left").withColumn("__into", F.coalesce("__to", "entity_id"))
+    e = at(entities)
+    order = F.struct(F.col("entity_id") != F.col("__into"), "entity_id")
+    rest = [c for c in entities.columns if c not in ("world_id", "entity_id", "provisional")]
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in rest]
+    kept = e.groupBy("world_id", F.col("__into").alias("entity_id")).agg(F.bool_and("provisional").alias("provisional"), *first)
+    gone = e.filter("__to is not null").select("world_id", F.col("__into").alias("entity_id"), F.col("name").alias("alias"))
+    known = at(aliases).select("world_id", F.col("__into").alias("entity_id"), "alias").unionByName(gone).distinct()
+    return kept.select(*entities.columns), known
+
+
+# What an edit may change.
+EDITABLE = ("subject_id", "predicate", "object_id", "object_value", "polarity", "lo", "hi", "supporting_quote", "confidence")
+
+
 def apply_rulings(assertions: DataFrame, rulings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rulings (assertion_id, verdict accept|reject, seq): the newest moves a draft; and the applied ones."""
-    last = rulings.groupBy("assertion_id").agg(F.max_by("verdict", "seq").alias("verdict"))
-    both = assertions.join(last, "assertion_id", "left")
-    applies = (F.col("status") == "draft") & F.col("verdict").isNotNull()
-    applied = both.filter(applies).select("assertion_id", "verdict")
-    status = F.when(applies & (F.col("verdict") == "accept"), "canon").when(applies & (F.col("verdict") == "reject"), "rejected").otherwise(F.col("status"))
-    return both.withColumn("status", status).drop("verdict"), applied
+    """Rulings (assertion_id, verdict accept|reject|edit, seq): the newest moves a draft; and the applied ones.
+
+    Columns of ``EDITABLE`` in the rulings are an edit's new values, null ones change nothing; an edited draft is canon.
+    An edit to a predicate that nobody knows isn't applied.
+    """
+    patch = [c for c in rulings.columns if c in EDITABLE and c in assertions.columns]
+    last = rulings.groupBy("assertion_id").agg(F.max_by(F.struct("verdict", *patch), F.struct("seq", "verdict")).alias("__r"))
+    verdict = F.col("__r.verdict")
+    valid = verdict.isin("accept", "reject")
+    change = verdict == "edit"
+    if "predicate" in patch:
+        change = change & (F.col("__r.predicate").isNull() | F.col("__r.predicate").isin(*PREDICATES))
+    both = assertions.join(last, "assertion_id", "left").withColumn("__ok", F.coalesce((F.col("status") == "draft") & (valid | change), F.lit(False)))
+    applied = both.filter("__ok").select("assertion_id", verdict.alias("verdict"))
+    edited = F.col("__ok") & (verdict == "edit")
+    for c in patch:
+        both = both.withColumn(c, F.when(edited, F.coalesce(F.col(f"__r.{c}"), F.col(c))).otherwise(F.col(c)))
+    status = F.when(F.col("__ok") & (verdict == "reject"), "rejected").when(F.col("__ok"), "canon").otherwise(F.col("status"))
+    return both.withColumn("status", status).drop("__r", "__ok"), applied
 
 
 def score_extraction(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Recall per run of (run_id, expected_id, subject, predicate, value) against (run_id, actual_id, ...): greedy, one to one, in expected order; normalised values match if equal or one holds the other."""
+    """Recall per run of (run_id, expected_id, subject, predicate, value) against (run_id, actual_id, ...): greedy, one to one, in expected order within each run, subject and predicate; normalised values match if equal or one holds the other."""
     norm = lambda df, i: df.select("run_id", i, text.norm_strip("subject").alias("s"), "predicate", text.norm_strip("value").alias("v"))
     e, a = norm(expected, "expected_id"), norm(actual, "actual_id").withColumnRenamed("v", "w")
     pairs = e.join(a, ["run_id", "s", "predicate"]).filter(F.col("v").contains(F.col("w")) | F.col("w").contains(F.col("v")))
@@ -114,7 +148,7 @@ def score_extraction(expected: DataFrame, actual: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["run_id", "expected_id", "actual_id"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    hit = pairs.groupBy("run_id").applyInPandas(greedy, f"run_id {kinds['run_id']}, expected_id {kinds['expected_id']}, actual_id {kinds['actual_id']}")
+    hit = pairs.groupBy("run_id", "s", "predicate").applyInPandas(greedy, f"run_id {kinds['run_id']}, expected_id {kinds['expected_id']}, actual_id {kinds['actual_id']}")
     total = expected.groupBy("run_id").agg(F.count("*").alias("expected"))
     return total.join(hit.groupBy("run_id").agg(F.count("*").alias("matched")), "run_id", "left").fillna(0, ["matched"]).withColumn("recall", F.col("matched") / F.col("expected"))
 

@@ -78,6 +78,23 @@ def export(tables: dict[str, DataFrame], folder: str) -> DataFrame:
     return out
 
 
+def account_manifest(owners: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Row counts of each account's worlds (owners: account_id, world_id) by table; world_id null: all worlds of the account."""
+    own = manifest(tables).join(owners.select("account_id", "world_id").distinct(), "world_id")
+    total = own.groupBy("account_id", "table_name").agg(F.sum("n").alias("n")).withColumn("world_id", F.lit(None).cast("long"))
+    return own.unionByName(total.select(*own.columns))
+
+
+def export_accounts(owners: DataFrame, tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Every table as JSON lines by account and, inside, by world; and the manifest beside them."""
+    keys = owners.select("account_id", "world_id").distinct()
+    for n, df in tables.items():
+        df.join(keys, "world_id").write.mode("overwrite").partitionBy("account_id", "world_id").json(f"{folder}/{n}")
+    out = account_manifest(owners, tables)
+    out.write.mode("overwrite").json(f"{folder}/manifest")
+    return out
+
+
 def flatten_candidates(files: DataFrame) -> DataFrame:
     """Candidate files (world, scenes: array of structs with scene_id, story_position, assertions) -> one row an assertion."""
     scene = files.select("world", F.explode_outer("scenes").alias("s"))
@@ -111,11 +128,14 @@ def probes(g: Graph, muted: tuple[str, ...] = ("rejected", "retconned")) -> Data
 def score_findings(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Per run: how many expected findings (run_id, expected_id, check_name, scene_id, words) are met, and what is left over.
 
-    A finding meets an expectation of its check at its scene, or one whose words it all mentions; each at most one, in order of id.
+    A finding meets an expectation of its check at its scene, one whose ``line`` (if that column is given, of three
+    tokens or more) it repeats to 55 %, or one whose words it all mentions; each at most one, in order of id.
     """
-    mentions = F.forall("words", lambda w: F.lower("explanation").contains(F.lower(w)))
+    mentions = F.forall("words", lambda w: F.lower("explanation").contains(F.lower(w))) & (F.size("words") > 0)
+    if "line" in expected.columns:
+        mentions = mentions | (F.coalesce(F.size(text.tokens("line")) >= 3, F.lit(False)) & (containment("line", "explanation") >= 0.55))
     f = found.select("run_id", "finding_id", "check_name", F.col("scene_id").alias("f_scene"), "explanation", "severity")
-    pairs = expected.join(f, ["run_id", "check_name"]).filter((F.col("scene_id") == F.col("f_scene")) | (mentions & (F.size("words") > 0))).select("run_id", "expected_id", "finding_id")
+    pairs = expected.join(f, ["run_id", "check_name"]).filter((F.col("scene_id") == F.col("f_scene")) | mentions).select("run_id", "check_name", "expected_id", "finding_id")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         used, rows = set(), []
@@ -126,7 +146,7 @@ def score_findings(expected: DataFrame, found: DataFrame) -> DataFrame:
                 rows.append((pdf["run_id"].iloc[0], x, free[0]))
         return pd.DataFrame(rows, columns=["run_id", "expected_id", "finding_id"])
 
-    hit = pairs.groupBy("run_id").applyInPandas(greedy, "run_id long, expected_id long, finding_id long")
+    hit = pairs.groupBy("run_id", "check_name").applyInPandas(greedy, "run_id long, expected_id long, finding_id long")
     extra = f.filter(F.col("severity").isin("critical", "warning")).join(hit, ["run_id", "finding_id"], "left_anti").groupBy("run_id").agg(F.count("*").alias("false_positives"))
     met = hit.groupBy("run_id").agg(F.count("*").alias("met"))
     total = expected.groupBy("run_id").agg(F.count("*").alias("expected"))
@@ -159,6 +179,56 @@ def evaluate_runs(cases: DataFrame, extra: DataFrame, episodes: int, bar: tuple[
     return out.withColumn("passed", (F.coalesce("recall", F.lit(1.0)) >= bar[0]) & (F.col("wrong_per_episode") <= bar[1]) & (F.col("respected") == F.col("traps")))
 
 
+def trap_scores(traps: DataFrame, found: DataFrame) -> DataFrame:
+    """Traps (run_id, trap_id, check_name or *, words) that no unsealed finding of the check with all the words may meet -> respected or not."""
+    f = found.filter("not sealed").select("run_id", F.col("check_name").alias("of"), F.lower("explanation").alias("said"))
+    says = F.forall("words", lambda w: F.col("said").contains(F.lower(w)))
+    f = f.withColumnRenamed("run_id", "run")
+    by_check = traps.filter("check_name <> '*'").join(f, (F.col("run_id") == F.col("run")) & (F.col("check_name") == F.col("of")) & says, "left_semi")
+    by_run = traps.filter("check_name = '*'").join(f, (F.col("run_id") == F.col("run")) & says, "left_semi")
+    broken = by_check.unionByName(by_run).select("run_id", "trap_id", F.lit(False).alias("respected"))
+    return traps.join(broken, ["run_id", "trap_id"], "left").select("run_id", "trap_id", "check_name", F.coalesce("respected", F.lit(True)).alias("respected"))
+
+
+def fact_matches(handles: DataFrame, facts: DataFrame, share: float = 0.5) -> DataFrame:
+    """Handles (world_id, handle_id, handle) and facts (world_id, fact_key, fact) -> (world_id, handle_id, fact_key) that may mean the same.
+
+    At least ``share`` of the fact's tokens stand in the handle, and at least two (of one-token facts: that one).  A
+    fact of n tokens that needs m of them meets a handle in one of its n - m + 1 rarest, so only these are joined.
+    """
+    f = facts.select("world_id", "fact_key", text.tokens("fact").alias("t")).filter(F.size("t") > 0)
+    size = F.size("t")
+    f = f.withColumn("need", F.greatest(F.least(F.lit(2), size), F.ceil(size * F.lit(share)).cast("int")))
+    each = f.withColumn("token", F.explode("t"))
+    often = each.groupBy("world_id", "token").agg(F.count("*").alias("n"))
+    rare = F.row_number().over(Window.partitionBy("world_id", "fact_key", "t").orderBy("n", "token"))
+    probe = each.join(often, ["world_id", "token"]).withColumn("nth", rare).filter(F.col("nth") <= size - F.col("need") + 1).drop("n", "nth")
+    h = handles.select("world_id", "handle", text.tokens("handle").alias("u")).distinct().withColumn("token", F.explode("u"))
+    met = h.join(probe, ["world_id", "token"]).filter(F.size(F.array_intersect("t", "u")) >= F.col("need")).select("world_id", "handle", "fact_key").distinct()
+    return handles.join(met, ["world_id", "handle"]).select("world_id", "handle_id", "fact_key").distinct()
+
+
+# The fields of a finding as other tools read it, and the severity of what a detector reports.
+CONTRACT = {"check": "check_name", "severity": "severity", "explanation": "explanation", "sealed": "sealed", "scene_id": "scene_id", "assertion_a": "assertion_a", "assertion_b": "assertion_b"}
+DETECTED_WARNINGS = ("capability_violation",)
+
+
+def contract(found: DataFrame) -> DataFrame:
+    """(world_id, finding): each finding as one JSON object of the contract's fields, nulls written out."""
+    fields = F.struct(*[F.col(c).alias(name) for name, c in CONTRACT.items()])
+    return found.select("world_id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("finding"))
+
+
+def detected(errors: DataFrame) -> DataFrame:
+    """Errors of another detector (world_id, check, who, explanation, contradicts) as findings without anchors."""
+    plain = lambda c: F.coalesce(F.col(c), F.lit(""))
+    said = F.concat(F.trim(plain("who")), F.lit(": "), plain("explanation"), F.lit(" (contradicts: "), plain("contradicts"), F.lit(")"))
+    nothing = lambda c: F.lit(None).cast("long").alias(c)
+    check = F.coalesce("check", F.lit("other"))
+    severity = F.when(check.isin(*DETECTED_WARNINGS), checks.WARNING).otherwise(checks.CRITICAL)
+    return errors.select("world_id", check.alias("check_name"), severity.alias("severity"), said.alias("explanation"), nothing("scene_id"), nothing("assertion_a"), nothing("assertion_b"), F.lit(False).alias("sealed"))
+
+
 def write_findings(found: DataFrame, path: str) -> None:
     """Findings as JSON lines, one a finding."""
     found.write.mode("overwrite").json(path)

@@ -17,6 +17,25 @@ def budgeted(lines: DataFrame, most: int) -> DataFrame:
     return kept.withColumn("capped", (F.col("place") == most) & (F.col("total") > most)).drop("total")
 
 
+# The sections of notes by family.
+NOTE_SECTIONS = ("F1", "F2", "F3", "F4")
+
+
+def sections(found: DataFrame, bearing: DataFrame, notes: DataFrame) -> DataFrame:
+    """Lines (world_id, section, ord, line) of a report, fit for ``budgeted``: live findings, load-bearing names, open notes by family.
+
+    findings: check_name, severity, explanation, sealed; names: place, name, degree, scenes; notes: family, status,
+    salience, note_key, summary.  A section without rows in a world that has any gets no line.
+    """
+    live = found.filter("not sealed").withColumn("ord", F.row_number().over(Window.partitionBy("world_id").orderBy("severity", "check_name", "explanation", "assertion_a", "assertion_b", "scene_id")))
+    first = live.select("world_id", F.lit("1 findings").alias("section"), "ord", F.concat(F.lit("["), "severity", F.lit("] "), "check_name", F.lit(": "), "explanation").alias("line"))
+    second = bearing.select("world_id", F.lit("2 load-bearing").alias("section"), F.col("place").alias("ord"), F.format_string("%s: %d rows in %d scenes", "name", "degree", "scenes").alias("line"))
+    open_ = notes.filter(F.col("status") == "open").filter(F.col("family").isin(*NOTE_SECTIONS))
+    open_ = open_.withColumn("ord", F.row_number().over(Window.partitionBy("world_id", "family").orderBy(F.desc("salience"), "note_key")))
+    third = open_.select("world_id", F.concat(F.lit("3 notes "), "family").alias("section"), "ord", F.col("summary").alias("line"))
+    return first.unionByName(second).unionByName(third)
+
+
 def questions_by_scene(g: Graph, questions: DataFrame) -> DataFrame:
     """Outside questions (world_id, question, label or null, position or null) at the scene of their label, else of their position."""
     at = scene_labels(g)

@@ -97,6 +97,27 @@ def run_consistency(results: DataFrame) -> DataFrame:
     return sums.withColumn("verdict", F.when(F.col("caught") == F.col("runs"), "every").when(F.col("caught") > 0, "some").otherwise("never"))
 
 
+def consistency_summary(results: DataFrame, wrong: DataFrame, episodes: int) -> DataFrame:
+    """Per system: results (system, case_id, run, caught) and wrong findings (system, run, n) over all its runs.
+
+    Mean recall and mean wrong findings an episode over runs, and how many cases were caught in every run, some or none.
+    """
+    by_run = results.groupBy("system", "run").agg(F.avg(F.col("caught").cast("double")).alias("recall"))
+    extra = wrong.groupBy("system", "run").agg(F.sum("n").alias("n"))
+    means = by_run.join(extra, ["system", "run"], "left").groupBy("system").agg(
+        F.count("*").alias("runs"), F.avg("recall").alias("recall_mean"),
+        F.avg(F.coalesce("n", F.lit(0)) / F.lit(episodes)).alias("wrong_per_episode_mean"),
+    )
+    cases = results.groupBy("system", "case_id").agg(F.countDistinct(F.when(F.col("caught"), F.col("run"))).alias("caught"))
+    both = cases.join(means.select("system", "runs"), "system")
+    tally = both.groupBy("system").agg(
+        F.count_if(F.col("caught") == F.col("runs")).alias("every_run"),
+        F.count_if((F.col("caught") > 0) & (F.col("caught") < F.col("runs"))).alias("some_runs"),
+        F.count_if(F.col("caught") == 0).alias("never"), F.count("*").alias("cases"),
+    )
+    return means.join(tally, "system").withColumn("recall_every_run", F.col("every_run") / F.col("cases"))
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """added, removed or changed rows between two snapshots; nulls are values like others."""
     values = [c for c in before.columns if c not in keys]

@@ -96,11 +96,14 @@ def world_summary(g: Graph) -> DataFrame:
     return out
 
 
-def world_list(g: Graph) -> DataFrame:
+def world_list(g: Graph, found: DataFrame | None = None) -> DataFrame:
+    """Sizes of each world's tables, with ``found`` its unsealed findings too."""
     count = lambda df, n: df.groupBy("world_id").agg(F.count("*").alias(n))
     out = count(g.works, "works")
     for df, n in ((g.scenes, "scenes"), (g.entities, "entities"), (g.assertions, "assertions")):
         out = out.join(count(df, n), "world_id", "left")
+    if found is not None:
+        out = out.join(count(found.filter("not sealed"), "findings"), "world_id", "left")
     return out.fillna(0)
 
 
@@ -175,6 +178,33 @@ def entity_profile(g: Graph) -> DataFrame:
     return out.select("world_id", "entity_id", "name", "aliases", many("s").alias("as_subject"), many("o").alias("as_object"))
 
 
+def scene_page(g: Graph) -> DataFrame:
+    """One row a scene: its label, who is present, how many assertions it establishes and their predicates."""
+    there = g.presence.join(g.entities.select("world_id", "entity_id", "name"), ["world_id", "entity_id"]).groupBy("world_id", "scene_id").agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("present"))
+    said = g.assertions.groupBy("world_id", "scene_id").agg(F.count("*").alias("established"), F.array_join(F.sort_array(F.collect_set("predicate")), ", ").alias("predicates"))
+    out = scene_labels(g).select("world_id", "scene_id", "label", "slug", "story_position").join(there, ["world_id", "scene_id"], "left").join(said, ["world_id", "scene_id"], "left")
+    return out.fillna("", ["present", "predicates"]).fillna(0, ["established"])
+
+
+def assertion_page(g: Graph, found: DataFrame) -> DataFrame:
+    """One row an assertion: its sentence, range and label, and the checks whose findings cite it, sealed ones apart."""
+    cited = found.select("world_id", "check_name", "sealed", F.explode(F.array_distinct(F.array_compact(F.array("assertion_a", "assertion_b")))).alias("assertion_id"))
+    sums = cited.groupBy("world_id", "assertion_id").agg(
+        F.count_if(~F.col("sealed")).alias("live"), F.count_if("sealed").alias("sealed"), F.array_join(F.sort_array(F.collect_set("check_name")), ", ").alias("checks"),
+    )
+    rows = enrich(g).select("world_id", "assertion_id", phrase().alias("sentence"), "range", "label", "status")
+    return rows.join(sums, ["world_id", "assertion_id"], "left").fillna(0, ["live", "sealed"]).fillna("", ["checks"])
+
+
+def finding_page(g: Graph, found: DataFrame) -> DataFrame:
+    """One row a finding: the sentences and labels of both its assertions, the label of its scene, and its seal."""
+    said = enrich(g).select("world_id", "assertion_id", phrase().alias("sentence"), "label")
+    side = lambda x: said.select("world_id", F.col("assertion_id").alias(f"assertion_{x}"), F.col("sentence").alias(f"sentence_{x}"), F.col("label").alias(f"label_{x}"))
+    at = scene_labels(g).select("world_id", "scene_id", "label")
+    out = found.join(side("a"), ["world_id", "assertion_a"], "left").join(side("b"), ["world_id", "assertion_b"], "left").join(at, ["world_id", "scene_id"], "left")
+    return out.select("world_id", "check_name", "severity", "scene_id", "label", "assertion_a", "sentence_a", "label_a", "assertion_b", "sentence_b", "label_b", "sealed")
+
+
 def draft_queue(g: Graph, size: int = 20) -> DataFrame:
     return page(g.assertions.filter("status = 'draft'"), ["world_id"], [F.desc("confidence"), F.asc("assertion_id")], size).select("world_id", "assertion_id", "confidence", "place", "total", "truncated")
 

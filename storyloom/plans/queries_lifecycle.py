@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from storyloom.functions import text
 from storyloom.operators import checks, lifecycle, usage
 from storyloom.plans.oracle_graph import over_graph
 from storyloom.plans.queries_checks import OVER, _unsourced
@@ -76,7 +77,7 @@ QUERIES = {
 _N = """n AS (SELECT world_id, CAST(assertion_id AS VARCHAR) AS note_key, assertion_id, scene_id, 'F' || (assertion_id % 4 + 1) AS family, CASE assertion_id % 5 WHEN 0 THEN 'sealed' WHEN 1 THEN 'dismissed' WHEN 2 THEN 'addressed' ELSE 'open' END AS status,
  'run' || (assertion_id % 3) AS f, 'run' || greatest(assertion_id % 3, assertion_id % 4 - 1) AS l FROM a)"""
 _E = "e AS (SELECT event_id, ts, user_id AS run_id, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, count(*) OVER (PARTITION BY user_id) AS c FROM ev)"
-_STOP = "('', 'a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'he', 'her', 'his', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 'she', 'that', 'the', 'their', 'they', 'to', 'was', 'with')"
+_STOP = "(" + ", ".join(f"'{w}'" for w in ("", *text.STOP_WORDS)) + ")"
 _TOK = "list_filter(list_distinct(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: w NOT IN " + _STOP + ")"
 _MUTE = "'rejected', 'retconned'"
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text
+from storyloom.sources.graph import PREDICATES
 
 HEADING = r"^(INT|EXT|EST|INT\./EXT|I/E)[. ]"
 
@@ -55,6 +56,28 @@ def evidence_gate(claims: DataFrame, sources: DataFrame) -> DataFrame:
     return both.select("claim_id", "doc_id", reason.alias("verdict"))
 
 
+# Predicates that need no object.
+INTRANSITIVE = ("alive", "dies", "destroyed")
+
+
+def gated_rows(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Extracted rows (claim_id, doc_id, predicate, object_entity, object_value, object_fact_ref, quote, confidence, polarity, starts_here, ends_here) with a verdict.
+
+    The first of no_quote, bad_predicate, no_object, quote_not_found; else keep.  Missing flags get their defaults (true,
+    true, false), confidence is a number from 0 to 1.
+    """
+    both = rows.join(sources.select("doc_id", F.col("text").alias("source")), "doc_id", "left")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    bare = F.coalesce(F.nullif("object_entity", F.lit("")), F.nullif("object_value", F.lit("")), F.nullif("object_fact_ref", F.lit(""))).isNull()
+    found = F.coalesce(text.quote_norm("source").contains(text.quote_norm("quote")), F.lit(False))
+    verdict = (
+        F.when(blank("quote"), "no_quote").when(~F.coalesce(F.col("predicate").isin(*PREDICATES), F.lit(False)), "bad_predicate")
+        .when(bare & ~F.col("predicate").isin(*INTRANSITIVE), "no_object").when(~found, "quote_not_found").otherwise("keep")
+    )
+    flag = lambda c, default: F.coalesce(c, F.lit(default)).alias(c)
+    return both.select("claim_id", "doc_id", verdict.alias("verdict"), text.clamp_confidence("confidence").alias("confidence"), flag("polarity", True), flag("starts_here", True), flag("ends_here", False))
+
+
 def policy_scan(docs: DataFrame, secret: str, heading: str, most: int = 3) -> DataFrame:
     """Documents with many heading lines or something like a secret key."""
     heads = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: line.rlike(heading)))

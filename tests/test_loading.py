@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.functions import text
-from storyloom.operators import ask, folds, lifecycle, lineage, loading, usage
+from storyloom.operators import ask, constraints, folds, lifecycle, lineage, loading, usage
 from storyloom.sources.graph import derive
 
 DATA = "/root/testdata/sf0.001"
@@ -77,3 +77,56 @@ def test_text_helpers(spark):
         F.array_sort(text.thread_terms(F.lit("Find the lost key"), F.lit("Make it"))).alias("terms"),
     ).first()
     assert (one.name, one.same, one.place, one.quote, one.top, one.at, one.thing, one.terms) == ("Anna Bell", "Anna", "OLD MILL", "a longer line 10", 1.0, 3, "dies", ["key", "lost"])
+
+
+def test_edits_and_refused_edits(spark):
+    """The newest ruling counts; an edit keeps what it leaves null; an unknown predicate and a settled row stay as they are."""
+    rows = spark.createDataFrame([(1, "draft", "knows", "a"), (2, "draft", "knows", "b"), (3, "canon", "knows", "c"), (4, "draft", "knows", "d"), (5, "draft", "knows", "e")], "assertion_id long, status string, predicate string, object_value string")
+    ruled = spark.createDataFrame(
+        [(1, "reject", 1, None, None), (1, "edit", 2, "trait", None), (2, "edit", 1, "no such", "x"), (3, "reject", 1, None, None), (4, "reject", 1, None, "x")],
+        "assertion_id long, verdict string, seq int, predicate string, object_value string",
+    )
+    out, applied = folds.apply_rulings(rows, ruled)
+    assert {r.assertion_id: tuple(r)[1:] for r in out.collect()} == {1: ("canon", "trait", "a"), 2: ("draft", "knows", "b"), 3: ("canon", "knows", "c"), 4: ("rejected", "knows", "d"), 5: ("draft", "knows", "e")}
+    assert {tuple(r) for r in applied.collect()} == {(1, "edit"), (4, "reject")}
+
+
+def test_merged_entities_take_what_is_missing(spark):
+    entities = spark.createDataFrame([(1, 1, "Ann", None, True), (1, 2, "Annie", "x", False), (1, 3, "A.", "y", True), (1, 4, "Bob", None, True)], "world_id long, entity_id long, name string, note string, provisional boolean")
+    aliases = spark.createDataFrame([(1, 3, "Nan"), (1, 1, "A."), (1, 4, "Rob")], "world_id long, entity_id long, alias string")
+    merges = spark.createDataFrame([(1, 3, 2), (1, 2, 1)], "world_id long, old_id long, new_id long")
+    e, a = folds.merge_entities(entities, aliases, merges)
+    assert {tuple(r) for r in e.collect()} == {(1, 1, "Ann", "x", False), (1, 4, "Bob", None, True)}
+    assert {tuple(r)[1:] for r in a.collect()} == {(1, "Nan"), (1, "A."), (1, "Annie"), (4, "Rob")}
+
+
+def test_facts_that_share_one_name_do_not_match(spark):
+    handles = spark.createDataFrame([(1, 1, "the gold of Vera"), (1, 2, "Vera"), (1, 3, "gold"), (1, 4, None), (2, 5, "Vera gold")], "world_id long, handle_id long, handle string")
+    facts = spark.createDataFrame([(1, "f", "Vera stole the gold"), (1, "g", "gold"), (1, "h", "")], "world_id long, fact_key string, fact string")
+    assert {(r.handle_id, r.fact_key) for r in lifecycle.fact_matches(handles, facts).collect()} == {(1, "f"), (1, "g"), (3, "g")}
+
+
+def test_traps_and_repeated_lines(spark):
+    found = spark.createDataFrame([(1, 1, "dead_speaker", 7, "Ann is seen at 9", "critical", False), (1, 2, "dead_speaker", 8, "Bob walks the long old road", "note", True)], "run_id long, finding_id long, check_name string, scene_id long, explanation string, severity string, sealed boolean")
+    traps = spark.createDataFrame([(1, 1, "*", ["ann"]), (1, 2, "dead_speaker", ["ann", "bob"]), (1, 3, "dead_speaker", ["bob"]), (1, 4, "other", ["ann"]), (2, 5, "*", ["ann"])], "run_id long, trap_id long, check_name string, words array<string>")
+    assert {r.trap_id: r.respected for r in lifecycle.trap_scores(traps, found).collect()} == {1: False, 2: True, 3: True, 4: True, 5: True}
+    want = spark.createDataFrame([(1, 1, "dead_speaker", 99, [], "walks a long old road"), (1, 2, "dead_speaker", 99, [], "Bob")], "run_id long, expected_id long, check_name string, scene_id long, words array<string>, line string")
+    got = lifecycle.score_findings(want, found).collect()[0]
+    assert (got.expected, got.met, got.false_positives) == (2, 1, 1)
+
+
+def test_constraints_of_tables(spark):
+    entities = spark.createDataFrame([(1, 1, "a", "character"), (1, 2, "a", "character"), (1, 3, "b", "ghost")], "world_id long, entity_id long, name string, kind string")
+    aliases = spark.createDataFrame([(1, 1, "x"), (1, 9, "y"), (1, None, "z")], "world_id long, entity_id long, alias string")
+    runs = spark.createDataFrame([("r", "lost", None)], "run_id string, status string, phase string")
+    got = {tuple(r) for r in constraints.violations({"entities": entities, "aliases": aliases, "runs": runs}).collect()}
+    assert got == {("entities", "unique_world_id_name_kind", "1/a/character"), ("entities", "kind_known", "1/b/ghost"), ("aliases", "entity_id_exists", "1/9/y"), ("runs", "status_known", "r")}
+
+
+def test_account_export_nests_worlds(spark, tmp_path):
+    owners = spark.createDataFrame([("u", 1), ("u", 2), ("v", 3)], "account_id string, world_id long")
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (4, "d")], "world_id long, name string")
+    out = lifecycle.export_accounts(owners, {"names": table}, str(tmp_path))
+    assert {tuple(r) for r in out.select("account_id", "world_id", "n").collect()} == {("u", 1, 1), ("u", 2, 2), ("u", None, 3)}
+    back = spark.read.json(f"{tmp_path}/names")
+    assert {(r.account_id, r.world_id, r.name) for r in back.collect()} == {("u", 1, "a"), ("u", 2, "b"), ("u", 2, "c")}
