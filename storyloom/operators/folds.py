@@ -3,50 +3,53 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text
 from storyloom.operators.lineage import chains
 from storyloom.sources.graph import KINDS, PREDICATES
 
-FOLD = "world_id long, subject_id long, assertion_id long, object_id long, lo int, hi int, action string"
-
 
 def interval_fold(rows: DataFrame) -> DataFrame:
-    """Locations (world_id, subject_id, assertion_id, object_id, position, starts) in order of position, missing last, then id.
+    """Locations (world_id, subject_id, assertion_id, object_id, position, starts) in order of position, then id.
 
     A move closes the open interval at its position; a row that repeats the open place is skipped; two places at
-    one position stay open together as a conflict; a row that does not start there is anchored one position wide.
-    """
+    one position stay open together as a conflict; a row that does not start there, or has no place or position, is
+    anchored one position wide.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["position", "assertion_id"], na_position="last")
-        out: list[list] = []
-        live: int | None = None
-        for r in pdf.itertuples():
-            at = None if pd.isna(r.position) else int(r.position)
-            row = [r.world_id, r.subject_id, r.assertion_id, r.object_id, at, None, "open"]
-            if at is None or not r.starts:
-                row[5], row[6] = (None if at is None else at + 1), "anchored"
-                out.append(row)
-                continue
-            if live is not None:
-                held = out[live]
-                if held[3] == r.object_id:
-                    row[6] = "skipped"
-                    out.append(row)
-                    continue
-                if held[4] == at:
-                    row[6] = "conflict"
-                    out.append(row)
-                    continue
-                held[5], held[6] = at, "closed"
-            live = len(out)
-            out.append(row)
-        return pd.DataFrame(out, columns=["world_id", "subject_id", "assertion_id", "object_id", "lo", "hi", "action"]).astype({"lo": "Int32", "hi": "Int32", "object_id": "Int64"})
-
-    return rows.groupBy("world_id", "subject_id").applyInPandas(fold, FOLD)
+    Only windows within a subject.  Of the places at a position the first, a, is the new one, unless it is the open one
+    already: then it is the next other place, b, if any.  So whether b is taken follows from the position before: it is
+    taken anew where a is what was open there, and with b open there if b was a.  That is a running parity since the
+    last position where neither holds.
+    """
+    free = F.coalesce(~F.col("starts"), F.lit(True)) | F.col("position").isNull() | F.col("object_id").isNull()
+    own, here = ["world_id", "subject_id"], ["world_id", "subject_id", "position"]
+    order, at = Window.partitionBy(*own).orderBy("position", "assertion_id", "object_id"), Window.partitionBy(*here)
+    till = order.rowsBetween(Window.unboundedPreceding, 0)
+    r = rows.filter(~free).select(*own, "assertion_id", "object_id", F.col("position").cast("int").alias("position")).repartition(*own)
+    r = r.withColumn("nth", F.row_number().over(at.orderBy("assertion_id", "object_id")))
+    r = r.withColumn("a", F.min_by("object_id", "nth").over(at))
+    r = r.withColumn("b", F.min_by("object_id", F.when(F.col("object_id") != F.col("a"), F.col("nth"))).over(at))
+    begins = F.col("nth") == 1
+    same_a = F.coalesce(F.lag("a").over(order) == F.col("a"), F.lit(False))
+    same_b = F.coalesce(F.lag("b").over(order) == F.col("a"), F.lit(False))
+    r = r.withColumn("fresh", (begins & (F.col("b").isNull() | ~(same_a | same_b))).cast("int")).withColumn("turns", (begins & same_a).cast("int"))
+    r = r.withColumn("run", F.sum("fresh").over(till))
+    since = Window.partitionBy(*own, "run").orderBy("position", "assertion_id", "object_id").rowsBetween(Window.unboundedPreceding, 0)
+    turned = F.sum(F.when(F.col("fresh") == 1, 0).otherwise(F.col("turns"))).over(since) % 2
+    r = r.withColumn("live", F.when(turned == 1, F.col("b")).otherwise(F.col("a")))
+    r = r.withColumn("prev", F.lag("live").over(order)).withColumn("prev", F.min_by("prev", "nth").over(at))
+    moved = F.coalesce(F.col("live") != F.col("prev"), F.lit(True))
+    r = r.withColumn("mover", F.min(F.when(moved & (F.col("object_id") == F.col("live")), F.col("nth"))).over(at))
+    moves = F.coalesce(F.col("nth") == F.col("mover"), F.lit(False))
+    later = Window.partitionBy(*own).orderBy("position").rangeBetween(1, Window.unboundedFollowing)
+    r = r.withColumn("next", F.min(F.when(moves, F.col("position"))).over(later))
+    other = (F.col("nth") > F.col("mover")) & (F.col("object_id") != F.col("live"))
+    action = F.when(moves & F.col("next").isNotNull(), "closed").when(moves, "open").when(other, "conflict").otherwise("skipped")
+    folded = r.select(*own, "assertion_id", "object_id", F.col("position").alias("lo"), F.when(moves, F.col("next")).alias("hi"), action.alias("action"))
+    lone = rows.filter(free).select(*own, "assertion_id", "object_id", F.col("position").cast("int").alias("lo"), (F.col("position") + 1).cast("int").alias("hi"), F.lit("anchored").alias("action"))
+    return folded.unionByName(lone)
 
 
 def surfaces(mentions: DataFrame) -> DataFrame:

@@ -38,7 +38,16 @@ QUERIES = {
 }
 
 _M = "m AS (SELECT world_id, CASE WHEN assertion_id % 3 = 0 THEN 'Old ' ELSE '' END || 'User ' || (subject_id - 1) || CASE WHEN assertion_id % 5 = 0 THEN '!' ELSE '' END AS surface, CASE WHEN polarity THEN 'character' ELSE 'group' END AS kind, coalesce(lo, 999) AS position FROM a), n AS (SELECT *, trim(regexp_replace(lower(surface), '[^a-z0-9 ]', '', 'g')) AS norm FROM m)"
+_FOLD = """r AS (SELECT world_id, subject_id, assertion_id, object_id, lo, row_number() OVER (PARTITION BY world_id, subject_id ORDER BY lo, assertion_id) AS nth
+ FROM a WHERE predicate = 'located_at' AND assertion_id % 6 <> 0 AND lo IS NOT NULL),
+f AS (SELECT *, 'moved' AS act, object_id AS live, lo AS since FROM r WHERE nth = 1
+ UNION ALL SELECT r.*, CASE WHEN r.object_id = f.live THEN 'skipped' WHEN r.lo = f.since THEN 'conflict' ELSE 'moved' END, CASE WHEN r.lo <> f.since THEN r.object_id ELSE f.live END, CASE WHEN r.object_id <> f.live THEN r.lo ELSE f.since END
+ FROM f JOIN r ON r.world_id = f.world_id AND r.subject_id = f.subject_id AND r.nth = f.nth + 1),
+m AS (SELECT assertion_id, lead(lo) OVER (PARTITION BY world_id, subject_id ORDER BY nth) AS nxt FROM f WHERE act = 'moved')
+SELECT world_id, subject_id, f.assertion_id, object_id, lo, nxt AS hi, CASE WHEN act <> 'moved' THEN act WHEN nxt IS NULL THEN 'open' ELSE 'closed' END AS action FROM f LEFT JOIN m USING (assertion_id)
+UNION ALL SELECT world_id, subject_id, assertion_id, object_id, lo, CAST(lo + 1 AS INT), 'anchored' FROM a WHERE predicate = 'located_at' AND (assertion_id % 6 = 0 OR lo IS NULL)"""
 ORACLES = {
+    "interval_fold": over_graph(_FOLD).replace("WITH ", "WITH RECURSIVE ", 1),
     "surfaces": over_graph(f"{_M}, v AS (SELECT world_id, norm, kind, row_number() OVER (PARTITION BY world_id, norm ORDER BY count(*) DESC, CASE kind WHEN 'character' THEN 1 ELSE 99 END, kind) AS nth FROM n GROUP BY 1, 2, 3) SELECT n.world_id, n.norm, arg_max(surface, (len(string_split(surface, ' ')), length(surface), surface)) AS surface, min(position) AS first_position, count(*) AS mentions, any_value(v.kind) AS kind FROM n JOIN v ON v.world_id = n.world_id AND v.norm = n.norm AND nth = 1 GROUP BY 1, 2"),
     "entity_match": over_graph(f"{_M}, s AS (SELECT DISTINCT world_id, norm, string_split(norm, ' ') AS t FROM n), r AS (SELECT world_id, entity_id, string_split(lower(name), ' ') AS u, lower(name) AS k FROM entities), x AS (SELECT s.world_id, norm, count(*) AS n, min(entity_id) AS e FROM s JOIN r ON r.world_id = s.world_id AND r.k = s.norm GROUP BY 1, 2), f AS (SELECT s.world_id, s.norm, count(DISTINCT entity_id) AS n, min(entity_id) AS e FROM s JOIN r ON r.world_id = s.world_id AND len(list_intersect(t, u)) > 0 AND (len(list_intersect(t, u)) = least(len(t), len(u)) OR len(list_intersect(t, u)) >= 0.5 * (len(t) + len(u) - len(list_intersect(t, u)))) WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.world_id = s.world_id AND x.norm = s.norm) GROUP BY 1, 2) SELECT s.world_id, s.norm, CASE WHEN x.n = 1 THEN 'exact' WHEN x.n > 1 THEN 'ambiguous' WHEN f.n = 1 THEN 'fuzzy' WHEN f.n > 1 THEN 'ambiguous' ELSE 'none' END AS match, CASE WHEN x.n = 1 THEN x.e WHEN f.n = 1 THEN f.e END AS entity_id FROM s LEFT JOIN x ON x.world_id = s.world_id AND x.norm = s.norm LEFT JOIN f ON f.world_id = s.world_id AND f.norm = s.norm"),
     "apply_merges": over_graph("mg AS (SELECT world_id, entity_id AS o, entity_id - 4 AS n FROM entities WHERE kind = 'character' AND entity_id % 6 < 2 AND entity_id > 6), m2 AS (SELECT x.world_id, x.o, coalesce(z.n, y.n, x.n) AS n FROM mg x LEFT JOIN mg y ON y.world_id = x.world_id AND y.o = x.n LEFT JOIN mg z ON z.world_id = x.world_id AND z.o = y.n) SELECT a.world_id, assertion_id, coalesce(p.n, subject_id) AS subject_id, coalesce(q.n, object_id) AS object_id FROM a LEFT JOIN m2 p ON p.world_id = a.world_id AND p.o = subject_id LEFT JOIN m2 q ON q.world_id = a.world_id AND q.o = object_id"),

@@ -1,3 +1,5 @@
+from random import Random
+
 from storyloom.operators import folds, lifecycle, resolve
 
 
@@ -43,3 +45,25 @@ def test_merge_chains(spark):
     rows = spark.createDataFrame([(1, 3, 9), (1, 1, 2), (2, 3, 3)], "world_id long, subject_id long, object_id long")
     got = sorted(tuple(r) for r in folds.apply_merges(rows, m, ["subject_id", "object_id"]).select("world_id", "subject_id", "object_id").collect())
     assert got == [(1, 1, 1), (1, 1, 9), (2, 3, 3)]
+
+
+def test_interval_fold_against_a_loop(spark):
+    """Windows and a loop over the rows in order agree, with few places and many rows at one position."""
+    random = Random(7)
+    rows = [(1, s, i, random.randrange(1, 2 + s % 4), random.choice([None, *range(1, 3 + s % 9)]), random.random() < 0.9) for s in range(60) for i in random.sample(range(100), 25)]
+    df = spark.createDataFrame(rows, "world_id long, subject_id long, assertion_id long, object_id long, position int, starts boolean")
+    want = {}
+    for s in range(60):
+        live = None
+        for _, _, i, place, at, starts in sorted((r for r in rows if r[1] == s and r[4] is not None and r[5]), key=lambda r: (r[4], r[2])):
+            if live is not None and want[s, live][1] == place:
+                want[s, i] = (at, place, None, "skipped")
+            elif live is not None and want[s, live][0] == at:
+                want[s, i] = (at, place, None, "conflict")
+            else:
+                if live is not None:
+                    want[s, live] = (*want[s, live][:2], at, "closed")
+                want[s, i], live = (at, place, None, "open"), i
+    want |= {(r[1], r[2]): (r[4], r[3], None if r[4] is None else r[4] + 1, "anchored") for r in rows if r[4] is None or not r[5]}
+    got = {(r.subject_id, r.assertion_id): (r.lo, r.object_id, r.hi, r.action) for r in folds.interval_fold(df).collect()}
+    assert got == want
