@@ -178,19 +178,49 @@ def merge_notes(old: DataFrame, new: DataFrame, run: str) -> DataFrame:
 
 
 def validate(notes: DataFrame, g: Graph) -> DataFrame:
-    """Notes (note_key, world_id, citations: array of structs assertion_id, scene_id, quote) -> the first thing wrong with each, or null."""
+    """Notes (note_key, world_id, citations: array of structs assertion_id, scene_id, quote) -> the first thing wrong with each, or null.
+
+    A citation without an assertion needs its scene and quote only.
+    """
     each = notes.select("note_key", "world_id", F.posexplode("citations").alias("nth", "c")).select("note_key", "world_id", "nth", F.col("c.assertion_id").alias("assertion_id"), F.col("c.scene_id").alias("cited_scene"), F.col("c.quote").alias("quote"))
     a = g.assertions.select("world_id", "assertion_id", "scene_id", "supporting_quote")
     s = g.scenes.select("world_id", F.col("scene_id").alias("cited_scene"), "raw_text")
     both = each.join(a, ["world_id", "assertion_id"], "left").join(s, ["world_id", "cited_scene"], "left")
     reason = (
-        F.when(F.col("raw_text").isNull(), "unknown_scene").when(F.col("scene_id").isNull(), "unknown_assertion").when(F.col("scene_id") != F.col("cited_scene"), "scene_mismatch")
-        .when(text.quote_norm("quote") != text.quote_norm("supporting_quote"), "quote_differs").when(~text.quote_norm("raw_text").contains(text.quote_norm("quote")), "quote_not_in_scene")
+        F.when(F.col("raw_text").isNull(), "unknown_scene").when(F.col("scene_id").isNull() & F.col("assertion_id").isNotNull(), "unknown_assertion").when(F.col("scene_id") != F.col("cited_scene"), "scene_mismatch")
+        .when(text.quote_norm("quote") != text.quote_norm("supporting_quote"), "quote_differs").when(text.quote_offset("raw_text", "quote") == 0, "quote_not_in_scene")
     )
     worst = both.withColumn("reason", reason).groupBy("world_id", "note_key").agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("nth"))).alias("reason"))
     return worst
 
 
+# How a turn may be motivated, and the word that no note on one may use.
+MOTIVATIONS = ("present", "distant", "absent")
+BANNED = "weak"
+
+
+def validated_drafts(drafts_: DataFrame, found: DataFrame, g: Graph) -> DataFrame:
+    """Drafts (world_id, draft_id, candidate_id, summary, body, motivation, surface, citations) against candidates (world_id, candidate_id, note_key, family, motivation).
+
+    (world_id, draft_id, note_key, verdict): keep, or the first reason to drop: unknown_candidate, empty_text, for turns
+    (F4) bad_motivation or banned_word, no_citations, then what is wrong with its first bad citation.  A draft that is
+    not to surface is left out; one without a motivation has its candidate's.
+    """
+    known = found.select("world_id", "candidate_id", "note_key", "family", F.col("motivation").alias("__given"))
+    cited = validate(drafts_.select("world_id", F.col("draft_id").alias("note_key"), "citations"), g).select("world_id", F.col("note_key").alias("draft_id"), "reason")
+    both = drafts_.filter(F.coalesce("surface", F.lit(True))).join(known, ["world_id", "candidate_id"], "left").join(cited, ["world_id", "draft_id"], "left")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    motive = F.coalesce(F.nullif(F.trim("motivation"), F.lit("")), F.trim("__given"), F.lit(""))
+    turn = F.col("family") == "F4"
+    words = F.split(text.norm_collapse(F.concat_ws(" ", "summary", "body")), " ")
+    verdict = (
+        F.when(F.col("note_key").isNull(), "unknown_candidate").when(blank("summary") | blank("body"), "empty_text")
+        .when(turn & ~motive.isin(*MOTIVATIONS), "bad_motivation").when(turn & F.array_contains(words, BANNED), "banned_word")
+        .when(F.coalesce(F.size("citations"), F.lit(0)) <= 0, "no_citations").otherwise(F.coalesce("reason", F.lit("keep")))
+    )
+    return both.select("world_id", "draft_id", "note_key", verdict.alias("verdict"))
+
+
 def dismissal_rates(notes: DataFrame, limit: float = 0.4) -> DataFrame:
     """(world_id, family, status) -> rates of dismissal, and whether a family should be switched off."""
     return notes.groupBy("world_id", "family").agg(F.count_if(F.col("status") == "dismissed").alias("dismissed"), F.count("*").alias("n")).withColumn("switch_off", F.col("dismissed") > F.lit(limit) * F.col("n"))

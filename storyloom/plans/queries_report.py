@@ -37,7 +37,20 @@ def _coverage(g: Graph):
     return row(g.assertions.filter("assertion_id % 9 = 0")), row(g.assertions.filter("assertion_id % 5 < 2")), row(g.assertions.filter("assertion_id % 31 = 0"))
 
 
+def _drafts(g: Graph):
+    """A draft for every fact, by turns of no candidate, without text, on turns with odd motives or words, without citations."""
+    n = F.col("assertion_id")
+    motive = F.when(n % 3 == 0, "present").when(n % 3 == 1, "some")
+    drafts = _cited(g).withColumn("assertion_id", F.substring("note_key", 2, 30).cast("long")).select(
+        "world_id", F.col("note_key").alias("draft_id"), F.when(n % 13 == 0, -n).otherwise(n).alias("candidate_id"), F.when(n % 17 == 0, " ").otherwise("Why now").alias("summary"),
+        F.when(n % 19 < 4, "A Weak turn.").otherwise("A weakened turn.").alias("body"), motive.alias("motivation"), (n % 29 != 0).alias("surface"), F.when(n % 23 != 0, F.col("citations")).alias("citations"),
+    )
+    found = g.assertions.select("world_id", n.alias("candidate_id"), F.concat(F.lit("key"), n.cast("string")).alias("note_key"), F.concat(F.lit("F"), (n % 4 + 1).cast("string")).alias("family"), F.when(n % 5 < 4, "absent").alias("motivation"))
+    return drafts, found
+
+
 QUERIES = {
+    "validated_drafts": _with(lambda g: notes.validated_drafts(*_drafts(g), g)),
     "report_lines": _with(lambda g: report.budgeted(_lines(g), 40)),
     "scene_questions_join": _with(lambda g: report.questions_by_scene(g, _questions(g))),
     "validate_notes": _with(lambda g: notes.validate(_cited(g), g)),
@@ -61,3 +74,6 @@ SELECT world_id, expected, coalesce(met, 0) AS met, coalesce(decoys_flagged, 0)
     "works_with_scenes": over_graph("one AS (SELECT 1) SELECT w.world_id, w.work_id, title, sort_order, string_agg(slug, '|' ORDER BY story_position, slug) AS scenes, count(*) AS n FROM works w JOIN scenes s USING (world_id, work_id) GROUP BY 1, 2, 3, 4"),
     "title_labels": over_graph(f"{LABELS} SELECT world_id, title, min(label) AS first_label, count(*) AS n FROM labels_ GROUP BY 1, 2"),
 }
+ORACLES["validated_drafts"] = over_graph(f"""v AS ({ORACLES["validate_notes"]}), d AS (SELECT world_id, 'k' || assertion_id AS draft_id, assertion_id AS n, assertion_id % 4 = 3 AS turn FROM a WHERE assertion_id % 29 <> 0)
+SELECT d.world_id, draft_id, CASE WHEN n % 13 <> 0 THEN 'key' || n END AS note_key, CASE WHEN n % 13 = 0 THEN 'unknown_candidate' WHEN n % 17 = 0 THEN 'empty_text' WHEN turn AND (n % 3 = 1 OR n % 3 = 2 AND n % 5 = 4) THEN 'bad_motivation' WHEN turn AND n % 19 < 4 THEN 'banned_word'
+ WHEN n % 23 = 0 THEN 'no_citations' ELSE coalesce(v.reason, 'keep') END AS verdict FROM d LEFT JOIN v ON v.world_id = d.world_id AND v.note_key = d.draft_id""")
