@@ -140,3 +140,41 @@ level AS (SELECT *, CASE {" ".join("WHEN " + " OR ".join(f"{r} >= CAST({c[s]} AS
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(level <= s, false) AS kept
 FROM level LEFT JOIN cut ON level.stratum IS NOT DISTINCT FROM cut.stratum
 """
+
+OP12 = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+pos AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT pos.anchor_id, positive_id, row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s ON s.anchor_id = pos.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents),
+q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS t FROM benchmark),
+tot AS (SELECT count(*) FILTER (len(w) > 0) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d),
+p AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, t),
+wt AS (SELECT t, CAST(floor(1000 * ln((CAST(2 AS DOUBLE) * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, tot GROUP BY t, nn),
+m AS (SELECT doc_id, 50 + (50 * len(w) * nn) // ll AS m FROM d, tot WHERE len(w) > 0),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN wt USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
