@@ -41,7 +41,7 @@ NEVER = 2**62
 ENDING = "</w>"
 END_MARK = 0x8000  # added to a word's last symbol
 LENGTH_BITS, LENGTH = 10, 1023
-CACHED_WORDS, CACHED_SYMBOLS = 400_000, 40
+CACHED_WORDS, CACHED_SYMBOLS, CACHED_PAIRS = 150_000, 40, 300_000
 DECODED_AT_ONCE = 2_000_000  # tokens
 #: Characters that every Unicode version since 9 classes, lower-cases and composes alike; without capital sigma and dotted capital I.
 PLAIN = "\\x{0}-\\x{12F}\\x{131}-\\x{241}\\x{386}\\x{388}-\\x{38A}\\x{38C}\\x{38E}-\\x{3A1}\\x{3A4}-\\x{3CE}\\x{400}-\\x{482}\\x{48A}-\\x{527}\\x{2010}-\\x{2027}\\x{2030}-\\x{205E}\\x{20A0}-\\x{20BE}\\x{3001}-\\x{3029}\\x{3041}-\\x{3096}\\x{309D}-\\x{30FF}\\x{4E00}-\\x{9FD5}"
@@ -55,6 +55,18 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+class TokenNames:
+    """The names of a tokenizer file's ids, all that decoding needs."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        named = {**{k: name for name, k in spec["model"]["vocab"].items()}, **{t["id"]: t["content"] for t in spec["added_tokens"]}}
+        self.names: list[str | None] = [named.get(k) for k in range(max(named) + 1)]
+        self.array = pa.array([n or "" for n in self.names], pa.string())
+        self.named = np.array([n is not None for n in self.names])
+
+
 class PrefixEncoder:
     """Encoder of one tokenizer file of kind BPE with word ends."""
 
@@ -67,13 +79,8 @@ class PrefixEncoder:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        n = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
-        self.names: list[str | None] = [None] * n
-        for name, k in vocab.items():
-            self.names[k] = name
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        for name, k in self.special.items():
-            self.names[k] = name
+        n = max([*vocab.values(), *self.special.values()]) + 1
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.made = [-1] * n  # the merge that makes a token
         self.left, self.right = [-1] * n, [-1] * n
@@ -125,7 +132,7 @@ class PrefixEncoder:
                 a_ends, a = made[a], self.right[a]
             else:
                 b_ends, b = made[b], self.left[b]
-        if len(self.stood) >= 2 * CACHED_WORDS:
+        if len(self.stood) >= CACHED_PAIRS:
             self.stood.clear()
         self.stood[key] = found
         return found
@@ -252,20 +259,17 @@ class PrefixEncoder:
             own.append(np.array(self.odd_text(texts[i].as_py()), np.int32) if is_odd else ids[ends[i] : ends[i + 1]])
         return [(np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]))]
 
-    @functools.cached_property
-    def name_array(self) -> pa.Array:
-        return pa.array([n or "" for n in self.names], pa.string())
-
-    @functools.cached_property
-    def named(self) -> np.ndarray:
-        return np.array([n is not None for n in self.names])
-
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(path)
 
 
+@functools.lru_cache(maxsize=4)
+def token_names(path: str) -> TokenNames:
+    return TokenNames(path)
+
+
 def _columns(rows: DataFrame, *without: str) -> list[str]:
     return [c for c in rows.columns if c not in without]
 
@@ -278,7 +282,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for part, texts in B.slices(pa.Table.from_batches([batch]), most=4 * B.SLICE_BYTES):
+            for part, texts in B.slices(pa.Table.from_batches([batch]), most=2 * B.SLICE_BYTES):
                 at = 0
                 for flat, ends in coder.texts(texts.cast(pa.large_string())):
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
@@ -296,7 +300,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     source = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(f"`{ids}`").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = token_names(path)
         for batch in batches:
             lists = batch.column(1)
             bounds = np.asarray(lists.offsets).astype(np.int64)
@@ -307,7 +311,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
                 good = (flat >= 0) & (flat < len(coder.names))
                 good[good] = coder.named[flat[good]]
                 ends = (bounds[at : to + 1] - bounds[at]) if good.all() else np.concatenate([[0], np.cumsum(good)])[bounds[at : to + 1] - bounds[at]]
-                names = coder.name_array.take(pa.array(flat[good]))
+                names = coder.array.take(pa.array(flat[good]))
                 joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names), " ")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), joined], names=["row", "decoded"])
                 at = to
