@@ -31,9 +31,3 @@ def gloss(lo: Column, hi: Column) -> Column:
         .when(hi.isNull(), F.format_string("pos %d onward", lo)).when(lo.isNull(), F.format_string("through pos %d", last))
         .when(lo == last, F.format_string("pos %d", lo)).otherwise(F.format_string("pos %d–%d", lo, last))
     )
-
-
-def bins(lo: Column, hi: Column, least: Column, most: Column, width: int) -> Column:
-    """Bins of ``width`` positions that a range touches, its open ends clamped to [least, most]."""
-    first, last = F.greatest(F.coalesce(lo, least), least), F.least(F.coalesce(hi - 1, most), most)
-    return F.when(first <= last, F.sequence(F.floor(first / width), F.floor(last / width))).otherwise(F.array().cast("array<bigint>"))

@@ -2,49 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import ranges, text
 from storyloom.operators.checks import presence_scenes
 from storyloom.operators.holes import scene_labels
+from storyloom.operators.needles import containing
 from storyloom.sources.graph import Graph
 
 MUTED = ("rejected", "retconned")
 LIMIT = 50
-# Intent, pattern over the plain question, and which groups hold subject and object.
-PATTERNS = (
-    ("knows", r"^what does (.+?) knows?\b(?:.*\babout (.+?))?(?: at (?:scene|pos|position) [0-9]+)?$", 1, 2),
-    ("believes", r"^what does (.+?) believes?\b(?:.*\babout (.+?))?(?: at (?:scene|pos|position) [0-9]+)?$", 1, 2),
-    ("who_knows", r"^who knows (.+)$", 0, 1),
-    ("dies", r"^when does (.+?) die$", 1, 0),
-    ("located_at", r"^where is (.+?) (?:hidden|located|kept)$", 1, 0),
-    ("cannot", r"^what cannot (.+?) do$", 1, 0),
-    ("open_promised", r"^what open promises does (.+?) have$", 1, 0),
-    ("occupation", r"^what is (.+?)s job$", 1, 0),
-    ("event", r"^what happened to (.+)$", 1, 0),
-    ("after_death", r"^where does (.+?) appear after (?:(?:his|her|their) )?death$", 1, 0),
+# The forms in which questions are asked; {who} and {what} are slots, words in brackets may stand or not.
+FORMS = (
+    ("knows", "what does {who} know"), ("believes", "what does {who} believe"), ("who_knows", "who knows {what}"), ("dies", "when does {who} die"),
+    ("located_at", "where is {who} hidden"), ("located_at", "where is {who} located"), ("located_at", "where is {who} kept"), ("cannot", "what cannot {who} do"),
+    ("open_promised", "what open promises does {who} have"), ("occupation", "what is {who}s job"), ("event", "what happened to {who}"),
+    ("after_death", "where does {who} appear after [his|her|their] death"),
 )
+# Forms behind which anything may follow: what the question is about, and when.
+OPEN_ENDED = ("knows", "believes")
 EVENTS = ("dies", "destroyed", "created", "fact")
 
 
-def plain(c: str):
-    q = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "can't", "cannot"), "'s", "s")
-    return F.trim(F.regexp_replace(q, "[^a-z0-9]+", " "))
+def plain(c: str) -> Column:
+    """A question in single-spaced words; the possessive stays with its word, and what cannot be is one word."""
+    joined = F.regexp_replace(F.regexp_replace(c, "(?i)can['’]t", "cannot"), "(?i)['’]s", "s")
+    return text.norm_collapse(joined)
+
+
+def pattern(intent: str, form: str) -> str:
+    """A form as a regular expression: its slot is group 1, what follows an open end group 2."""
+    filled = re.sub(r"\[([^]]*)\] ", r"(?:(?:\1) )?", form).replace("{who}", "(.+?)").replace("{what}", "(.+?)")
+    return f"^{filled}" + (r"s?\b(.*)$" if intent in OPEN_ENDED else "$")
+
+
+def phrase(c: Column) -> Column:
+    """A slot's words without an article in front; null if nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(F.trim(c), "^(the|a|an) ", "")), F.lit(""))
+
+
+def handle(c: Column) -> Column:
+    """What somebody may know, without the order in which it was learned, and with a place named as facts name it."""
+    bare = phrase(F.regexp_replace(c, " in the order\\b.*$", ""))
+    return F.regexp_replace(F.regexp_replace(bare, "s location", " location"), " location of", " location")
 
 
 def route(questions: DataFrame) -> DataFrame:
-    """The first pattern that fits decides the intent, the subject, the object and the position; none leaves the intent null."""
+    """The first form that fits decides the intent, the subject, the object and the position; none leaves the intent null."""
     q = questions.withColumn("q", plain("question"))
-    intent = F.lit(None).cast("string")
-    for name, pattern, _, _ in reversed(PATTERNS):
-        intent = F.when(F.col("q").rlike(pattern), name).otherwise(intent)
-    chosen = q.withColumn("intent", intent)
-    forms = questions.sparkSession.createDataFrame(PATTERNS, "intent string, pattern string, s int, o int")
-    chosen = chosen.join(F.broadcast(forms), "intent", "left")
-    pick = lambda n: F.nullif(F.regexp_replace(F.expr(f"CASE WHEN {n} > 0 THEN regexp_extract(q, pattern, {n}) END"), "^(the|a|an) ", ""), F.lit(""))
-    at = F.regexp_extract("q", r"\b(?:scene|pos|position) ([0-9]+)\b", 1)
-    return chosen.select("question_id", "world_id", "question", "intent", pick("s").alias("subject"), pick("o").alias("thing"), F.when(at != "", at.cast("int")).alias("at"))
+    nothing = F.lit(None).cast("string")
+    found = F.struct(nothing.alias("intent"), nothing.alias("slot"), nothing.alias("rest"))
+    for intent, form in reversed(FORMS):
+        fits = pattern(intent, form)
+        rest = F.regexp_extract("q", fits, 2) if intent in OPEN_ENDED else nothing
+        found = F.when(F.col("q").rlike(fits), F.struct(F.lit(intent).alias("intent"), F.regexp_extract("q", fits, 1).alias("slot"), rest.alias("rest"))).otherwise(found)
+    q = q.withColumn("f", found)
+    about = F.regexp_extract("f.rest", r"\babout (.+?)(?: and when\b.*| at (?:scene|pos|position)\b.*)?$", 1)
+    at = F.regexp_extract("f.rest", r"\b(?:scene|pos|position) ([0-9]+)\b", 1)
+    who = F.col("f.intent") == "who_knows"
+    return q.select(
+        "question_id", "world_id", "question", "f.intent", F.when(~who, phrase(F.col("f.slot"))).alias("subject"), F.when(who, handle(F.col("f.slot"))).otherwise(phrase(about)).alias("thing"),
+        F.when(at != "", at.try_cast("int")).alias("at"),
+    )
 
 
 def answers(g: Graph, routed: DataFrame) -> DataFrame:
@@ -60,7 +82,11 @@ def answers(g: Graph, routed: DataFrame) -> DataFrame:
     said = F.col("thing").isNull() | text.norm_collapse("object_value").contains(F.col("thing"))
     when = F.col("at").isNull() | ranges.contains(F.col("lo"), F.col("hi"), F.col("at"))
     one = about.filter("intent <> 'after_death'").join(a, ["world_id", "subject_id"]).filter(fits & said & when)
-    two = routed.filter("intent = 'who_knows'").drop("subject").join(a.filter("predicate = 'knows'"), "world_id").filter(text.norm_collapse("object_value").contains(F.col("thing")))
+    # Who knows: what was asked is looked up among the distinct facts that anyone knows.
+    known = a.filter("predicate = 'knows'").withColumn("hay", text.norm_collapse("object_value"))
+    asked = routed.filter("intent = 'who_knows'").select("question_id", "world_id", F.col("thing").alias("needle"))
+    told = containing(known.select("world_id", "hay").distinct(), asked)
+    two = told.join(known, ["world_id", "hay"])
     deaths = a.filter("predicate = 'dies' and lo is not null").select("world_id", "subject_id", F.col("lo").alias("died"), "assertion_id")
     seen = presence_scenes(g).withColumnRenamed("at", "seen_at")
     three = about.filter("intent = 'after_death'").join(deaths, ["world_id", "subject_id"]).join(seen, ["world_id", "subject_id"]).filter("seen_at > died")

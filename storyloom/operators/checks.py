@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import ranges, text
+from storyloom.operators.needles import containing
+from storyloom.operators.overlap import HOT_ROWS, overlap_join, point_join
 from storyloom.sources.graph import Graph
 
 CRITICAL, WARNING, NOTE = "critical", "warning", "note"
@@ -69,24 +71,12 @@ def destroyed_location_use(g: Graph) -> DataFrame:
     return findings(seen, "destroyed_location_use", CRITICAL, said, "scene_id", "a")
 
 
-def presence_conflict(g: Graph, bin_width: int | None = None) -> DataFrame:
-    """One subject at two places in overlapping, anchored ranges.
-
-    ``bin_width`` deals a subject's ranges over bins of positions, so that one with very many
-    locations is spread over tasks; a pair is kept in the bin where its overlap begins.
-    """
+def presence_conflict(g: Graph, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One subject at two places in overlapping, anchored ranges."""
     here = enabled(active(g).filter((F.col("predicate") == "located_at") & F.col("object_id").isNotNull() & F.col("lo").isNotNull()), g.family_config, "presence_conflict")
-    keep = ["world_id", "subject_id", "assertion_id", "object_id", "lo", "hi", "scene_id"]
-    here = here.select(*keep).filter(~ranges.is_empty(F.col("lo"), F.col("hi")))
-    keys = ["world_id", "subject_id"]
-    if bin_width:
-        most = here.groupBy("world_id").agg(F.greatest(F.max("lo"), F.max("hi")).alias("most"))
-        here = here.join(most, "world_id").withColumn("bin", F.explode(ranges.bins(F.col("lo"), F.col("hi"), F.col("lo"), F.col("most"), bin_width))).drop("most")
-        keys = [*keys, "bin"]
-    other = here.select(*keys, F.col("assertion_id").alias("b"), F.col("object_id").alias("object_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.col("scene_id").alias("scene_b"))
-    pairs = here.join(other, keys).filter((F.col("b") > F.col("assertion_id")) & (F.col("object_id") != F.col("object_b")) & ranges.overlaps(F.col("lo"), F.col("hi"), F.col("lo_b"), F.col("hi_b")))
-    if bin_width:
-        pairs = pairs.filter(F.floor(F.greatest("lo", "lo_b") / bin_width) == F.col("bin"))
+    here = here.select("world_id", "subject_id", "assertion_id", "object_id", "lo", "hi", "scene_id")
+    other = here.select("world_id", "subject_id", F.col("assertion_id").alias("b"), F.col("object_id").alias("object_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.col("scene_id").alias("scene_b"))
+    pairs = overlap_join(here, other, ["world_id", "subject_id"], ("lo", "hi"), ("lo_b", "hi_b"), hot_rows).filter((F.col("b") > F.col("assertion_id")) & (F.col("object_id") != F.col("object_b")))
     place = lambda c: g.entities.select("world_id", F.col("entity_id").alias(c), F.col("name").alias(f"{c}_name"))
     pairs = pairs.join(names(g), ["world_id", "subject_id"]).join(place("object_id"), ["world_id", "object_id"]).join(place("object_b"), ["world_id", "object_b"])
     said = F.concat("name", F.lit(" is at "), "object_id_name", F.lit(" "), ranges.text(F.col("lo"), F.col("hi")), F.lit(" and at "), "object_b_name", F.lit(" "), ranges.text(F.col("lo_b"), F.col("hi_b")))
@@ -112,7 +102,7 @@ def unsourced(g: Graph, muted: tuple[str, ...], family: str | None = None) -> Da
     # Who could tell a fact in which scene; only facts with several knowers are of use.
     tellers = known.select("world_id", "fact_key", F.col("subject_id").alias("entity_id"), "lo", "hi")
     tellers = tellers.join(late.select("world_id", "fact_key").distinct(), ["world_id", "fact_key"], "left_semi")
-    told = tellers.join(present, ["world_id", "entity_id"]).filter(ranges.contains(F.col("lo"), F.col("hi"), F.col("met_at"))).select("world_id", "fact_key", "met", F.col("entity_id").alias("teller")).distinct()
+    told = point_join(present, tellers, ["world_id", "entity_id"], "met_at", "lo", "hi").select("world_id", "fact_key", "met", F.col("entity_id").alias("teller")).distinct()
     hearers = late.select("world_id", "subject_id", "fact_key").distinct().join(present.select("world_id", "met", "met_at", F.col("entity_id").alias("subject_id")), ["world_id", "subject_id"])
     meetings = hearers.join(told, ["world_id", "fact_key", "met"]).filter("teller <> subject_id")
     first = meetings.groupBy("world_id", "subject_id", "fact_key").agg(F.min("met_at").alias("heard_at"))
@@ -145,7 +135,7 @@ def capability_violation(g: Graph) -> DataFrame:
     no = enabled(base.filter((F.col("predicate") == "cannot") & F.col("polarity") & F.col("object_value").isNotNull()), g.family_config, "capability_violation")
     no = no.select("world_id", "subject_id", F.col("assertion_id").alias("a"), F.col("fact_key").alias("handle"), F.col("object_value").alias("cannot"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
     act = base.withColumn("said", text.norm_strip(F.concat(F.coalesce("object_value", F.lit("")), F.lit(" "), F.coalesce("supporting_quote", F.lit("")))))
-    both = no.join(act, ["world_id", "subject_id"]).filter((F.col("a") != F.col("assertion_id")) & ranges.overlaps(F.col("lo_a"), F.col("hi_a"), F.col("lo"), F.col("hi")))
+    both = overlap_join(no, act, ["world_id", "subject_id"], ("lo_a", "hi_a"), ("lo", "hi")).filter(F.col("a") != F.col("assertion_id"))
     done = F.col("polarity") & (F.col("predicate") != "cannot") & F.col("said").contains(F.col("handle"))
     denied = ~F.col("polarity") & (F.col("predicate") == "cannot") & (F.col("fact_key") == F.col("handle"))
     found = both.filter(done | denied).join(names(g), ["world_id", "subject_id"])
@@ -161,14 +151,6 @@ def open_setups(g: Graph, muted: tuple[str, ...]) -> DataFrame:
     return first.join(g.scenes.select("world_id", "scene_id", F.col("story_position").alias("at")), ["world_id", "scene_id"])
 
 
-def containing(hays: DataFrame, needles: DataFrame) -> DataFrame:
-    """Pairs of one world where ``hay`` contains ``needle`` (3 characters at least): an equi join on the needle's first three characters, then the test."""
-    at = F.sequence(F.lit(1), F.length("hay") - 2)
-    grams = F.when(F.length("hay") >= 3, F.array_distinct(F.transform(at, lambda i: F.substring(F.col("hay"), i, F.lit(3)))))
-    cut = hays.withColumn("gram", F.explode(grams))
-    return cut.join(needles.withColumn("gram", F.substring("needle", 1, 3)), ["world_id", "gram"]).filter(F.col("hay").contains(F.col("needle"))).drop("gram")
-
-
 def idle_setup(g: Graph) -> DataFrame:
     """Open setups that nothing later touches: not the subject and fact, the object, an alias in the fact, nor the fact's words."""
     setups = enabled(open_setups(g, MUTED), g.family_config, "idle_setup")

@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from storyloom.functions import ranges
 from storyloom.operators import checks
 from storyloom.operators.holes import scene_labels
-from storyloom.sources.graph import Graph
+from storyloom.sources.graph import RELATIONS, Graph
 
 MUTED = ("retconned", "rejected")
-SECTIONS = {"trait": "trait", "occupation": "occupation", "relation": "relation", "goal": "goal", "knows": "knowledge", "believes": "knowledge", "destroyed": "place", "fact": "fact", "cannot": "rule", "promised": "open"}
+SECTIONS = {"trait": "trait", "occupation": "occupation", "goal": "goal", "knows": "knowledge", "believes": "knowledge", "destroyed": "place", "fact": "fact", "cannot": "rule", "promised": "open"}
+SECTIONS |= dict.fromkeys(RELATIONS, "relationship")
 
 
 def lines(g: Graph) -> DataFrame:
+    """(world_id, section, name, ord, text, label, note, assertion_id): what is told of each subject by section, with the name of the other end, or the value, or the nested fact's value."""
     sections = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
     labels = scene_labels(g).select("world_id", "scene_id", "label", "story_position")
     nested = g.assertions.select("world_id", F.col("assertion_id").alias("object_assertion_id"), F.col("object_value").alias("nested"))
     base = checks.active(g, MUTED).withColumn("section", F.element_at(sections, F.col("predicate"))).filter("section is not null")
     out = base.join(labels, ["world_id", "scene_id"]).join(checks.names(g), ["world_id", "subject_id"]).join(nested, ["world_id", "object_assertion_id"], "left")
-    said = F.concat_ws(" ", "predicate", F.coalesce("object_value", "nested", F.lit("")), F.when(F.col("section") == "knowledge", F.concat(F.lit("learned at "), "label")))
+    other = g.entities.select("world_id", F.col("entity_id").alias("object_id"), F.col("name").alias("other"))
+    out = out.join(other, ["world_id", "object_id"], "left")
+    said = F.concat_ws(" ", F.when(~F.col("polarity"), "not"), F.translate("predicate", "_", " "), F.coalesce("other", "object_value", "nested", F.lit("")), F.when(F.col("section") == "knowledge", F.concat(F.lit("learned at "), "label")))
     w = Window.partitionBy("world_id", "section", "subject_id").orderBy("story_position", "assertion_id")
     note = F.when(F.col("status").isin("draft", "sealed"), F.col("status")).otherwise("")
     return out.select("world_id", "section", "name", F.row_number().over(w).alias("ord"), said.alias("text"), "label", note.alias("note"), "assertion_id")

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions import ranges, text
+from storyloom.functions import text
 from storyloom.operators import checks
+from storyloom.operators.overlap import overlap_join
 from storyloom.sources.graph import Graph
 
 # The order in which layers are blamed for a missed case.
@@ -119,7 +120,7 @@ def probes(g: Graph, muted: tuple[str, ...] = ("rejected", "retconned")) -> Data
     alone = checks.unsourced(g, muted)
     here = checks.active(g, muted).filter("predicate = 'located_at' and object_id is not null")
     other = here.select("world_id", "subject_id", F.col("assertion_id").alias("b"), F.col("object_id").alias("ob"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    over = here.join(other, ["world_id", "subject_id"]).filter((F.col("b") > F.col("assertion_id")) & (F.col("ob") != F.col("object_id")) & ranges.overlaps(F.col("lo"), F.col("hi"), F.col("lb"), F.col("hb")))
+    over = overlap_join(here, other, ["world_id", "subject_id"], ("lo", "hi"), ("lb", "hb")).filter((F.col("b") > F.col("assertion_id")) & (F.col("ob") != F.col("object_id")))
     ended = checks.active(g, muted).filter("predicate in ('dies', 'destroyed') and lo is not null").select("world_id", "subject_id", "lo")
     after = ended.join(checks.presence_scenes(g), ["world_id", "subject_id"]).filter("at > lo")
     return reduce(DataFrame.unionByName, [n(late, "late_knowers"), n(alone, "late_without_source"), n(over, "overlapping_places"), n(after, "scenes_after_end")])

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions import ranges, text
+from storyloom.functions import text
 from storyloom.operators import folds
+from storyloom.operators.overlap import overlap_join
 
 EVENTS = ("dies", "destroyed")
 # Predicates whose subject is a character, and the kind of an object by predicate.
@@ -119,7 +120,7 @@ def presence_from_slug(scenes: DataFrame, entities: DataFrame) -> DataFrame:
 def exclusion_violations(places: DataFrame) -> DataFrame:
     """(world_id, assertion_id, character_id, lo, hi): pairs that hold one character in overlapping ranges, equal ones included."""
     b = places.select("world_id", "character_id", F.col("assertion_id").alias("other"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
-    both = places.join(b, ["world_id", "character_id"]).filter((F.col("assertion_id") < F.col("other")) & ranges.overlaps(F.col("lo"), F.col("hi"), F.col("o_lo"), F.col("o_hi")))
+    both = overlap_join(places, b, ["world_id", "character_id"], ("lo", "hi"), ("o_lo", "o_hi")).filter(F.col("assertion_id") < F.col("other"))
     return both.select("world_id", "character_id", "assertion_id", "other")
 
 

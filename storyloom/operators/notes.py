@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from storyloom.functions import text
 from storyloom.operators import checks, views
 from storyloom.operators.holes import scene_labels
-from storyloom.sources.graph import Graph
+from storyloom.sources.graph import RELATIONS, Graph
 
 MUTED = ("sealed", "retconned", "rejected")
 SETUPS, KNOWLEDGE = ("promised", "goal", "secret_of", "created"), ("knows", "believes")
-# Relations between entities.
-RELATIONS = ("member_of", "married_to", "parent_of", "sibling_of", "romantic_with", "allied_with", "enemy_of")
 TURNS, MOTIVES = ("destroyed", "located_at", "cannot"), ("goal", "promised", "believes", "knows")
 CAPS = {"F1": 12, "F2": 8, "F3": 6, "F4": 5}
 

@@ -109,7 +109,7 @@ FROM gaps g LEFT JOIN labels_ l ON l.world_id = g.world_id AND l.scene_id = g.sc
 QUERIES = {
     "check_dead_speaker": lambda s, d: checks.dead_speaker(derive(s, d)),
     "check_presence_conflict": lambda s, d: checks.presence_conflict(derive(s, d)),
-    "check_presence_conflict_binned": lambda s, d: checks.presence_conflict(derive(s, d), bin_width=8),
+    "check_presence_conflict_binned": lambda s, d: checks.presence_conflict(derive(s, d), hot_rows=4),
     "check_premature_knowledge": lambda s, d: checks.premature_knowledge(derive(s, d)),
     "check_destroyed_use": lambda s, d: checks.destroyed_location_use(derive(s, d)),
     "check_dangling_reference": lambda s, d: checks.dangling_reference(derive(s, d)),

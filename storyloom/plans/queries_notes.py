@@ -43,14 +43,31 @@ def _new_notes(g: Graph) -> DataFrame:
 
 
 def _questions(g: Graph) -> DataFrame:
-    forms = ("What does {} know?", "What does {} know about fact 3 at scene 40?", "What does {} believe?", "When does {} die?", "Where is the {} located?", "What can't {} do?", "What open promises does {} have?", "What is {}'s job?", "What happened to {}?", "Where does {} appear after her death?", "Why is {} sad?")
+    forms = ("What does {} know?", "What does {} know about fact 3 at scene 40?", "What does {} believe?", "When does {} die?", "Where is the {} located?", "What can't {} do?", "What open promises does {} have?", "What is {}'s job?", "What happened to {}?", "Where does {} appear after her death?", "What does {} know about the Fact 4 and when did it learn?", "What does {} believe these days?", "Why is {} sad?")
     e = g.entities.filter("kind = 'character'")
     per = e.select("world_id", "entity_id", F.posexplode(F.array(*[F.concat(F.lit(f.split("{}")[0]), F.col("name"), F.lit(f.split("{}")[1])) for f in forms])).alias("nth", "question"))
     one = per.select(F.concat_ws("-", "world_id", "entity_id", "nth").alias("question_id"), "world_id", "question")
-    who = g.works.select("world_id").distinct().select(F.concat_ws("-", "world_id", F.lit("who")).alias("question_id"), "world_id", F.lit("Who knows Fact 7?").alias("question"))
+    asked = ("Who knows Fact 7?", "Who knows the Fact 12 in the order they learned it?", "Who knows Fact 2's location?", "Who knows f?")
+    who = g.works.select("world_id").distinct().select("world_id", F.posexplode(F.array(*[F.lit(q) for q in asked])).alias("nth", "question"))
+    who = who.select(F.concat_ws("-", "world_id", F.lit("who"), "nth").alias("question_id"), "world_id", "question")
     return one.unionByName(who)
 
 
+# Every job is also told as one of the seven relations, with a place; the same text serves both engines.
+RELATION_COLUMNS = {
+    "assertion_id": "assertion_id + 1000000000",
+    "predicate": "CASE assertion_id % 7 WHEN 0 THEN 'member_of' WHEN 1 THEN 'married_to' WHEN 2 THEN 'parent_of' WHEN 3 THEN 'sibling_of' WHEN 4 THEN 'romantic_with' WHEN 5 THEN 'allied_with' ELSE 'enemy_of' END",
+    "object_id": "world_id * 100 + 900000 + assertion_id % 20",
+    "object_value": "CAST(NULL AS VARCHAR(9))",
+    "fact_key": "CAST(NULL AS VARCHAR(9))",
+}
+
+
+def _with_relations(g: Graph) -> Graph:
+    jobs = g.assertions.filter("predicate = 'occupation'")
+    return g.with_(assertions=g.assertions.unionByName(jobs.withColumns({c: F.expr(e) for c, e in RELATION_COLUMNS.items()})))
+
+
 def _usage(s: SparkSession, d: str) -> DataFrame:
     e = events(s, d)
     return e.select("event_id", "ts", "user_id", "world_id", F.col("event_type").alias("kind"), F.when(F.col("k") % 3 == 0, "small").when(F.col("k") % 3 == 1, "large").otherwise("other").alias("model"), F.floor(F.abs("value") * 10).cast("long").alias("tokens_in"), F.col("k").cast("long").alias("tokens_out"), (F.col("k") / 100.0).alias("spend"))
@@ -121,7 +138,7 @@ QUERIES = {
     "family_dismissal_rate": _with(lambda g: notes.dismissal_rates(_old_notes(g), 0.2)),
     "ask_route": _with(lambda g: ask.route(_questions(g)).select("question_id", "intent", "subject", "thing", "at")),
     "ask_cited": _with(lambda g: ask.cited(g, _questions(g))),
-    "bible_lines": _with(dossier.lines),
+    "bible_lines": _with(lambda g: dossier.lines(_with_relations(g))),
     "price_usage": price_usage,
     "usage_rollup": usage_rollup,
     "quota_check": quota_check,
@@ -189,9 +206,9 @@ cand AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY world_id, no
 _HEX = "CAST('0x' || substr(note_key, {}, 4) AS INT)"
 _OLD = f"""old_ AS (SELECT world_id, note_key, family, salience + 1 AS salience, CASE {_HEX.format(4)} % 5 WHEN 0 THEN 'sealed' WHEN 1 THEN 'dismissed' WHEN 2 THEN 'addressed' ELSE 'open' END AS status FROM cand WHERE {_HEX.format(4)} % 3 <> 0),
 new_ AS (SELECT * FROM cand WHERE {_HEX.format(8)} % 4 <> 0)"""
-_Q = """qs AS (SELECT world_id, entity_id, name, nth, question FROM (SELECT *, unnest(range(0, 11)) AS nth, unnest(['What does ' || name || ' know?', 'What does ' || name || ' know about fact 3 at scene 40?', 'What does ' || name || ' believe?', 'When does ' || name || ' die?', 'Where is the ' || name || ' located?', 'What can''t ' || name || ' do?', 'What open promises does ' || name || ' have?', 'What is ' || name || '''s job?', 'What happened to ' || name || '?', 'Where does ' || name || ' appear after her death?', 'Why is ' || name || ' sad?']) AS question FROM entities WHERE kind = 'character')),
-rt AS (SELECT world_id || '-' || entity_id || '-' || nth AS question_id, world_id, entity_id, ['knows', 'knows', 'believes', 'dies', 'located_at', 'cannot', 'open_promised', 'occupation', 'event', 'after_death', NULL][nth + 1] AS intent, CASE WHEN nth < 10 THEN lower(name) END AS subject, CASE WHEN nth = 1 THEN 'fact 3' END AS thing, CASE WHEN nth = 1 THEN 40 END AS "at" FROM qs
- UNION ALL SELECT DISTINCT world_id || '-who', world_id, NULL, 'who_knows', NULL, 'fact 7', NULL FROM works)"""
+_Q = """qs AS (SELECT world_id, entity_id, name, nth, question FROM (SELECT *, unnest(range(0, 13)) AS nth, unnest(['What does ' || name || ' know?', 'What does ' || name || ' know about fact 3 at scene 40?', 'What does ' || name || ' believe?', 'When does ' || name || ' die?', 'Where is the ' || name || ' located?', 'What can''t ' || name || ' do?', 'What open promises does ' || name || ' have?', 'What is ' || name || '''s job?', 'What happened to ' || name || '?', 'Where does ' || name || ' appear after her death?', 'What does ' || name || ' know about the Fact 4 and when did it learn?', 'What does ' || name || ' believe these days?', 'Why is ' || name || ' sad?']) AS question FROM entities WHERE kind = 'character')),
+rt AS (SELECT world_id || '-' || entity_id || '-' || nth AS question_id, world_id, entity_id, ['knows', 'knows', 'believes', 'dies', 'located_at', 'cannot', 'open_promised', 'occupation', 'event', 'after_death', 'knows', 'believes', NULL][nth + 1] AS intent, CASE WHEN nth < 12 THEN lower(name) END AS subject, CASE nth WHEN 1 THEN 'fact 3' WHEN 10 THEN 'fact 4' END AS thing, CASE WHEN nth = 1 THEN 40 END AS "at" FROM qs
+ UNION ALL SELECT DISTINCT world_id || '-who-' || nth, world_id, NULL, 'who_knows', NULL, thing, NULL FROM works, (VALUES (0, 'fact 7'), (1, 'fact 12'), (2, 'fact 2 location'), (3, 'f')) t(nth, thing))"""
 _ASK = f"""{_Q}, {LABELS}, live AS (SELECT a.*, s.story_position, trim(regexp_replace(lower(object_value), '[^a-z0-9]+', ' ', 'g')) AS nv FROM a JOIN scenes s USING (world_id, scene_id) WHERE status NOT IN ('rejected', 'retconned')),
 rows_ AS (
  SELECT r.question_id, r.world_id, l.assertion_id, l.scene_id, l.lo, l.story_position AS pos FROM rt r JOIN live l ON l.world_id = r.world_id AND l.subject_id = r.entity_id
@@ -202,10 +219,15 @@ rows_ AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY lo NULLS LAST, pos, assertion_id, scene_id) AS place, count(*) OVER (PARTITION BY question_id) > 50 AS truncated FROM rows_),
 agg AS (SELECT question_id, count(*) AS n, bool_or(truncated) AS truncated, string_agg(label, ',' ORDER BY place) AS citations FROM ranked JOIN labels_ USING (world_id, scene_id) WHERE place <= 50 GROUP BY 1)
 SELECT r.question_id, r.world_id, r.intent, CASE WHEN r.intent IS NULL THEN 'refused' WHEN n IS NULL THEN 'no_support' ELSE 'answered' END AS status, coalesce(n, 0) AS n, coalesce(truncated, false) AS truncated, citations FROM rt r LEFT JOIN agg USING (question_id)"""
-_BIBLE = f"""{LABELS}, b AS (SELECT a.*, CASE predicate WHEN 'trait' THEN 'trait' WHEN 'occupation' THEN 'occupation' WHEN 'relation' THEN 'relation' WHEN 'goal' THEN 'goal' WHEN 'knows' THEN 'knowledge' WHEN 'believes' THEN 'knowledge' WHEN 'destroyed' THEN 'place' WHEN 'fact' THEN 'fact' WHEN 'cannot' THEN 'rule' WHEN 'promised' THEN 'open' END AS section FROM a WHERE status NOT IN ('retconned', 'rejected'))
+_RELATED = f"""ar AS (SELECT * FROM a UNION ALL BY NAME SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in RELATION_COLUMNS.items())}) FROM a WHERE predicate = 'occupation')"""
+_BIBLE = f"""{LABELS}, {_RELATED},
+b AS (SELECT ar.*, CASE WHEN predicate IN ('trait', 'occupation', 'goal', 'fact') THEN predicate WHEN predicate IN ('knows', 'believes') THEN 'knowledge' WHEN predicate = 'destroyed' THEN 'place' WHEN predicate = 'cannot' THEN 'rule'
+      WHEN predicate = 'promised' THEN 'open' WHEN predicate IN ('member_of', 'married_to', 'parent_of', 'sibling_of', 'romantic_with', 'allied_with', 'enemy_of') THEN 'relationship' END AS section FROM ar WHERE status NOT IN ('retconned', 'rejected'))
 SELECT b.world_id, section, e.name, CAST(row_number() OVER (PARTITION BY b.world_id, section, b.subject_id ORDER BY story_position, b.assertion_id) AS INT) AS ord,
- concat_ws(' ', b.predicate, coalesce(b.object_value, n.object_value, ''), CASE WHEN section = 'knowledge' THEN 'learned at ' || label END) AS text, label, CASE WHEN b.status IN ('draft', 'sealed') THEN b.status ELSE '' END AS note, b.assertion_id
-FROM b JOIN labels_ l ON l.world_id = b.world_id AND l.scene_id = b.scene_id JOIN entities e ON e.world_id = b.world_id AND e.entity_id = b.subject_id LEFT JOIN a n ON n.world_id = b.world_id AND n.assertion_id = b.object_assertion_id WHERE section IS NOT NULL"""
+ concat_ws(' ', CASE WHEN NOT b.polarity THEN 'not' END, replace(b.predicate, '_', ' '), coalesce(o.name, b.object_value, n.object_value, ''), CASE WHEN section = 'knowledge' THEN 'learned at ' || label END) AS text,
+ label, CASE WHEN b.status IN ('draft', 'sealed') THEN b.status ELSE '' END AS note, b.assertion_id
+FROM b JOIN labels_ l ON l.world_id = b.world_id AND l.scene_id = b.scene_id JOIN entities e ON e.world_id = b.world_id AND e.entity_id = b.subject_id
+LEFT JOIN entities o ON o.world_id = b.world_id AND o.entity_id = b.object_id LEFT JOIN a n ON n.world_id = b.world_id AND n.assertion_id = b.object_assertion_id WHERE section IS NOT NULL"""
 _U = "u AS (SELECT event_id, ts, CAST(floor(epoch(ts)) AS BIGINT) AS sec, user_id, world_id, event_type AS kind, CASE k % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' ELSE 'other' END AS model, CAST(floor(abs(value) * 10) AS BIGINT) AS tokens_in, CAST(k AS BIGINT) AS tokens_out FROM ev)"
 _P = _U + ", p AS (SELECT u.*, kind || CASE WHEN model = 'other' THEN ':unpriced' ELSE '' END AS kind2, CASE model WHEN 'small' THEN (tokens_in * 25 + tokens_out * 125 + 5000) // 10000 WHEN 'large' THEN (tokens_in * 300 + tokens_out * 1500 + 5000) // 10000 ELSE 0 END AS cost FROM u)"
 _MEMBERS = """WITH worlds AS (SELECT c_custkey AS world_id, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS owner_id FROM customer),

@@ -42,7 +42,7 @@ def test_presence_conflict_and_bins(spark):
     ]
     g = graph(spark, rows)
     assert ids(checks.presence_conflict(g)) == [(1, 1, 103)]
-    assert ids(checks.presence_conflict(g, bin_width=2)) == [(1, 1, 103)]
+    assert ids(checks.presence_conflict(g, hot_rows=1)) == [(1, 1, 103)]
 
 
 def test_premature_knowledge(spark):
