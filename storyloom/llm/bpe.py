@@ -41,8 +41,8 @@ NEVER = 2**62
 ENDING = "</w>"
 END_MARK = 0x8000  # added to a word's last symbol
 LENGTH_BITS, LENGTH = 10, 1023
-CACHED_WORDS, CACHED_SYMBOLS, CACHED_PAIRS = 150_000, 40, 300_000
-DECODED_AT_ONCE = 2_000_000  # tokens
+CACHED_WORDS, CACHED_SYMBOLS, CACHED_PAIRS = 100_000, 40, 200_000
+DECODED_AT_ONCE = 500_000  # tokens
 #: Characters that every Unicode version since 9 classes, lower-cases and composes alike; without capital sigma and dotted capital I.
 PLAIN = "\\x{0}-\\x{12F}\\x{131}-\\x{241}\\x{386}\\x{388}-\\x{38A}\\x{38C}\\x{38E}-\\x{3A1}\\x{3A4}-\\x{3CE}\\x{400}-\\x{482}\\x{48A}-\\x{527}\\x{2010}-\\x{2027}\\x{2030}-\\x{205E}\\x{20A0}-\\x{20BE}\\x{3001}-\\x{3029}\\x{3041}-\\x{3096}\\x{309D}-\\x{30FF}\\x{4E00}-\\x{9FD5}"
 SPACE, LETTER, NUMBER, OTHER, INSIDE = range(5)
@@ -282,7 +282,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for part, texts in B.slices(pa.Table.from_batches([batch]), most=2 * B.SLICE_BYTES):
+            for part, texts in B.slices(pa.Table.from_batches([batch])):
                 at = 0
                 for flat, ends in coder.texts(texts.cast(pa.large_string())):
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
