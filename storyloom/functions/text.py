@@ -73,6 +73,46 @@ def quote_norm(x: Column | str) -> Column:
     return F.lower(F.trim(F.regexp_replace(plain, r"\s+", " ")))
 
 
+def quote_pattern(quote: Column | str) -> Column:
+    """A regular expression for all texts that are alike to the quote under ``quote_norm``."""
+    q = F.replace(quote_norm(quote), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    for plain, any_ in ((" ", r"\s+"), ("'", "['‘’]"), ('"', "[\"“”]"), ("-", "[-–—]")):
+        q = F.replace(q, F.lit(plain), F.lit(f"\\E{any_}\\Q"))
+    return F.concat(F.lit(r"(?iu)\Q"), q, F.lit(r"\E"))
+
+
+def has_quote(quote: Column | str) -> Column:
+    return F.coalesce(F.regexp_replace(col(quote), r"\s+", ""), F.lit("")) != ""
+
+
+def quote_span(source: Column | str, quote: Column | str) -> Column:
+    """(start, end) of the first place in the source, as it stands, that is the quote under ``quote_norm``; from 1, end exclusive; null if there is none."""
+    found = F.regexp_substr(col(source), quote_pattern(quote))
+    start = F.regexp_instr(col(source), quote_pattern(quote))
+    return F.when(has_quote(quote) & (start > 0), F.struct(start.alias("start"), (start + F.length(found)).alias("end")))
+
+
+def html_escape(x: Column | str) -> Column:
+    x = col(x)
+    # Characters with a meaning in HTML, the ampersand first.
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        x = F.replace(x, F.lit(plain), F.lit(entity))
+    return x
+
+
+OPENS, CLOSES = "\ue000", "\ue001"
+
+
+def highlight(source: Column | str, quote: Column | str) -> Column:
+    """The source in HTML with every place marked that is the quote under ``quote_norm``: as it stands there, not as it is quoted.
+
+    Two characters of Unicode's private area serve as marks on the way; those of the source itself are left out.
+    """
+    bare = F.translate(F.coalesce(col(source), F.lit("")), OPENS + CLOSES, "")
+    marked = F.when(has_quote(quote), F.regexp_replace(bare, quote_pattern(quote), F.lit(f"{OPENS}$0{CLOSES}"))).otherwise(bare)
+    return F.replace(F.replace(html_escape(marked), F.lit(OPENS), F.lit("<mark>")), F.lit(CLOSES), F.lit("</mark>"))
+
+
 def display_name(x: Column | str) -> Column:
     """Names in capitals in title case; others as they are."""
     x = col(x)

@@ -9,11 +9,15 @@ plans a nested loop.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import ranges, text
+from storyloom.operators.lineage import cut
 from storyloom.operators.needles import containing
 from storyloom.operators.overlap import HOT_ROWS, overlap_join, point_join
 from storyloom.sources.graph import Graph
@@ -211,5 +215,30 @@ def run_checks(g: Graph, names_: list[str] | None = None) -> tuple[DataFrame, di
     return mark_sealed(out, g.seals), failed
 
 
+def isolated(g: Graph, checks_: dict[str, Callable[[Graph], DataFrame]] | None = None, at_once: int = 4) -> tuple[DataFrame, dict[str, str]]:
+    """As ``run_checks``, but each check runs as jobs of its own, some at once, into the shared folder: one that fails while it runs is reported, and the others' findings stay."""
+
+    def one(item: tuple[str, Callable[[Graph], DataFrame]]) -> tuple[str, DataFrame | None, str]:
+        try:
+            return item[0], cut(item[1](g)), ""
+        except Exception as error:  # whatever a check raises, planned or run, is its own
+            return item[0], None, str(error)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        done = list(pool.map(inheritable_thread_target(g.assertions.sparkSession)(one), (checks_ or CHECKS).items()))
+    plans = [df for _, df, _ in done if df is not None]
+    failed = {name: why for name, df, why in done if df is None}
+    if not plans:
+        raise ValueError(f"no check ran: {failed}")
+    return mark_sealed(reduce(DataFrame.unionByName, plans), g.seals), failed
+
+
+def run_report(found: DataFrame, names_: list[str], failed: dict[str, str]) -> DataFrame:
+    """(check_name, status ran|failed, n_findings) of every check, also of those that found nothing."""
+    all_ = found.sparkSession.createDataFrame([(n, "failed" if n in failed else "ran") for n in names_], "check_name string, status string")
+    n = found.groupBy("check_name").agg(F.count("*").alias("n_findings"))
+    return all_.join(n, "check_name", "left").fillna(0, ["n_findings"])
+
+
 def severity_rank(c: str = "severity") -> Column:
     return F.when(F.col(c) == CRITICAL, 0).when(F.col(c) == WARNING, 1).otherwise(2)

@@ -124,16 +124,15 @@ def exclusion_violations(places: DataFrame) -> DataFrame:
     return both.select("world_id", "character_id", "assertion_id", "other")
 
 
-def replace_worlds(df: DataFrame, path: str) -> None:
-    """Writes the rows by world; of worlds that the rows hold, all earlier rows go, other worlds stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("world_id").parquet(path)
+def merge(old: DataFrame, new: DataFrame, keys: list[str], update: list[str] | None = None, fixed: Column | None = None) -> DataFrame:
+    """The next snapshot of a table: rows of ``new`` by key, of known keys only the ``update`` columns (all others if null), old rows without a new one as they are.
 
-
-def merge(old: DataFrame, new: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
-    """The next snapshot of a table: rows of ``new`` by key, of known keys only the ``update`` columns (all others if null), old rows without a new one as they are."""
+    Old rows for which ``fixed`` holds never change.
+    """
     rest = [c for c in old.columns if c not in keys]
     fresh = new.select(*keys, F.struct(*rest).alias("__new"))
-    both = old.select(*keys, F.struct(*rest).alias("__old")).join(fresh, keys, "full_outer")
+    stays = F.coalesce(fixed, F.lit(False)) if fixed is not None else F.lit(False)
+    both = old.select(*keys, F.struct(*rest).alias("__old"), stays.alias("__stays")).join(fresh, keys, "full_outer")
     change = set(rest if update is None else update)
-    take = lambda c: F.when(F.col("__new").isNull() | (F.col("__old").isNotNull() & F.lit(c not in change)), F.col("__old")[c]).otherwise(F.col("__new")[c])
+    take = lambda c: F.when(F.col("__new").isNull() | F.coalesce("__stays", F.lit(False)) | (F.col("__old").isNotNull() & F.lit(c not in change)), F.col("__old")[c]).otherwise(F.col("__new")[c])
     return both.select(*keys, *[take(c).alias(c) for c in rest]).select(*old.columns)

@@ -47,12 +47,7 @@ def test_places_follow_one_another(spark):
     assert got == {0: (1, 4, None, True), 2: (4, None, None, True), 3: (4, None, None, False), 5: (3, None, "dies", False)}
 
 
-def test_replace_worlds_keeps_the_others(spark, tmp_path):
-    path = str(tmp_path / "t")
-    kind = "id long, world_id long"
-    loading.replace_worlds(spark.createDataFrame([(1, 1), (2, 1), (3, 2)], kind), path)
-    loading.replace_worlds(spark.createDataFrame([(9, 1)], kind), path)
-    assert sorted((r.id, r.world_id) for r in spark.read.parquet(path).collect()) == [(3, 2), (9, 1)]
+def test_findings_are_written_as_json_lines(spark, tmp_path):
     lifecycle.write_findings(spark.createDataFrame([(1, "a")], "scene_id long, check_name string"), str(tmp_path / "j"))
     assert [r.check_name for r in spark.read.json(str(tmp_path / "j")).collect()] == ["a"]
 
