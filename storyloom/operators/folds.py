@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text
+from storyloom.operators import names
 from storyloom.operators.lineage import chains
 from storyloom.sources.graph import KINDS, PREDICATES
 
@@ -66,11 +67,9 @@ def entity_match(found: DataFrame, registry: DataFrame) -> DataFrame:
     """Surfaces (world_id, norm) against names (world_id, entity_id, name): exact, fuzzy (token subset or half of the tokens shared), ambiguous or none."""
     reg = registry.select("world_id", "entity_id", F.trim(text.norm_strip("name")).alias("key")).distinct()
     exact = found.join(reg.withColumnRenamed("key", "norm"), ["world_id", "norm"]).groupBy("world_id", "norm").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
-    split = lambda c: F.array_distinct(F.split(c, " +"))
-    rest = found.join(exact.select("world_id", "norm"), ["world_id", "norm"], "left_anti").select("world_id", "norm", split("norm").alias("t"))
-    names = reg.select("world_id", "entity_id", split("key").alias("u"))
-    pairs = rest.withColumn("tok", F.explode("t")).join(names.withColumn("tok", F.explode("u")), ["world_id", "tok"]).groupBy("world_id", "norm", "entity_id", F.size("t").alias("nt"), F.size("u").alias("nu")).agg(F.count("*").alias("both"))
-    near = pairs.filter((F.col("both") == F.least("nt", "nu")) | (F.col("both") >= 0.5 * (F.col("nt") + F.col("nu") - F.col("both"))))
+    rest = found.join(exact.select("world_id", "norm"), ["world_id", "norm"], "left_anti").select("world_id", F.col("norm").alias("a"), names.tokens("norm").alias("ta")).distinct()
+    known = reg.select("world_id", F.col("entity_id").alias("b"), names.tokens("key").alias("tb")).distinct()
+    near = names.near_pairs(rest, known).select("world_id", F.col("a").alias("norm"), F.col("b").alias("entity_id"))
     fuzzy = near.groupBy("world_id", "norm").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
     both = exact.withColumn("how", F.lit("exact")).unionByName(fuzzy.withColumn("how", F.lit("fuzzy")))
     out = found.select("world_id", "norm").distinct().join(both, ["world_id", "norm"], "left")

@@ -1,8 +1,11 @@
-"""Surfaces into entities: the ordered resolution of a world's names, one connected group of names at a time.
-
-Two surfaces can only ever meet if they share a token, so the candidate pairs' connected
-components are resolved apart and in parallel; inside one, surfaces come in order of first
-position and are folded into a growing registry.
+"""Surfaces into entities: a world's names joined to one another in the order in which they appear.
+
+What becomes of a name depends only on the names near it that came before: it joins the one
+entity that they belong to, waits for a person if they belong to several, and is an entity of its
+own if to none.  So the near pairs are found first, by their rarest tokens, and the decisions
+follow these links: connected groups of names are folded apart, each in one pass over its names
+and links, and a group of more than ``most`` names, which shouldn't be one task, is
+decided in rounds of joins, each of which settles all names whose earlier neighbours are settled.
 """
 
 from __future__ import annotations
@@ -12,33 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text
+from storyloom.operators import names
 from storyloom.operators.folds import surfaces
-from storyloom.operators.lineage import components
-
+from storyloom.operators.lineage import components, cut
 
-def near(t: set[str], u: set[str]) -> bool:
-    """Unequal token sets of which one holds the other, or that share half of their tokens."""
-    both = len(t & u)
-    return t != u and both > 0 and (both == min(len(t), len(u)) or both >= 0.5 * len(t | u))
+MOST = 200_000
+DECIDED = "world_id long, norm string, root string, outcome string"
 
 
 def pairs(found: DataFrame) -> DataFrame:
-    """Candidate pairs (world_id, a, b) of near surfaces.
-
-    A near pair shares at least two thirds of the smaller name's tokens, so one of the smaller's rarest tokens is
-    among them: names are looked up by those alone, and a word that all names hold makes no pairs.
-    """
-    t = found.select("world_id", "norm", F.array_distinct(F.split("norm", " +")).alias("t"))
-    each = t.select("world_id", "norm", "t", F.explode("t").alias("tok"))
-    held = each.groupBy("world_id", "tok").agg(F.count("*").alias("names"))
-    by = each.join(held, ["world_id", "tok"]).groupBy("world_id", "norm", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("names", "tok"))), lambda x: x["tok"]).alias("rare"))
-    n = F.size("rare")
-    one = by.select("world_id", F.col("norm").alias("a"), F.col("t").alias("ta"), F.explode(F.slice("rare", F.lit(1), n - F.ceil(2 * n / 3).cast("int") + 1)).alias("tok"))
-    two = each.select("world_id", F.col("norm").alias("b"), F.col("t").alias("tb"), "tok")
-    both = one.join(two, ["world_id", "tok"]).filter((F.col("a") != F.col("b")) & (F.size("ta") <= F.size("tb")))
-    common = F.size(F.array_intersect("ta", "tb"))
-    near_ = both.filter((common == F.size("ta")) | (common >= 0.5 * (F.size("ta") + F.size("tb") - common)))
-    return near_.select("world_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Near names (world_id, a, b), a < b, whose tokens are not the same."""
+    t = found.select("world_id", F.col("norm").alias("a"), names.tokens("norm").alias("ta")).distinct()
+    near = names.near_pairs(t, t.withColumnsRenamed({"a": "b", "ta": "tb"}))
+    apart = ~((F.size("ta") == F.size("tb")) & (F.size(F.array_intersect("ta", "tb")) == F.size("ta")))
+    return near.filter((F.col("a") < F.col("b")) & apart).select("world_id", "a", "b")
 
 
 def groups(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -48,7 +38,58 @@ def groups(found: DataFrame, links: DataFrame) -> DataFrame:
     return found.select("world_id", "norm").join(label, ["world_id", "norm"], "left").withColumn("label", F.coalesce("label", "norm"))
 
 
-def resolve(mentions: DataFrame, present: DataFrame, seed: DataFrame | None = None) -> DataFrame:
+def earlier(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(world_id, norm, before): of each link the later name and the earlier, by first position, then name; roles, which join nothing, are nobody's neighbour."""
+    kept = found.filter(~F.col("is_role")).select("world_id", "norm", F.struct("first_position", "norm").alias("at"))
+    end = lambda c: kept.select("world_id", F.col("norm").alias(c), F.col("at").alias(f"at_{c}"))
+    both = links.join(end("a"), ["world_id", "a"]).join(end("b"), ["world_id", "b"])
+    later = F.col("at_a") > F.col("at_b")
+    return both.select("world_id", F.when(later, F.col("a")).otherwise(F.col("b")).alias("norm"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("before"))
+
+
+def fold(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Decisions on groups of names (rows with a ``label``), each in one pass in order."""
+    near = links.groupBy("world_id", "norm").agg(F.collect_list("before").alias("before"))
+    both = rows.select("world_id", "norm", "label", "first_position", "is_role").join(near, ["world_id", "norm"], "left")
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        of: dict[str, str] = {}
+        out = []
+        for r in pdf.sort_values(["first_position", "norm"]).itertuples():
+            if r.is_role:
+                out.append((r.world_id, r.norm, None, "role"))
+                continue
+            met = {of[b] for b in r.before if b in of} if r.before is not None else set()
+            if len(met) > 1:
+                out.append((r.world_id, r.norm, None, "ambiguous"))
+                continue
+            of[r.norm] = met.pop() if met else r.norm
+            out.append((r.world_id, r.norm, of[r.norm], "new" if of[r.norm] == r.norm else "alias"))
+        return pd.DataFrame(out, columns=["world_id", "norm", "root", "outcome"])
+
+    return both.groupBy("world_id", "label").applyInPandas(decide, DECIDED)
+
+
+def rounds(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The same decisions by joins, for groups too large for one task: as many rounds as the longest run of names that wait for one another."""
+    links = cut(links)
+    waits = links.groupBy("world_id", "norm").agg(F.count("*").alias("n"))
+    open_ = cut(rows.select("world_id", "norm", "is_role").join(waits, ["world_id", "norm"], "left").fillna(0, ["n"]))
+    done = cut(rows.sparkSession.createDataFrame([], DECIDED))
+    while not open_.isEmpty():
+        settled = done.select("world_id", F.col("norm").alias("before"), "root")
+        met = links.join(open_.select("world_id", "norm"), ["world_id", "norm"], "left_semi").join(settled, ["world_id", "before"])
+        met = met.groupBy("world_id", "norm").agg(F.count("*").alias("settled"), F.min("root").alias("least"), F.max("root").alias("most"))
+        ready = open_.join(met, ["world_id", "norm"], "left").filter(F.col("is_role") | (F.coalesce("settled", F.lit(0)) == F.col("n")))
+        several = F.coalesce(F.col("least") != F.col("most"), F.lit(False))
+        outcome = F.when(F.col("is_role"), "role").when(several, "ambiguous").when(F.col("least").isNull(), "new").otherwise("alias")
+        root = F.when(~F.col("is_role") & ~several, F.coalesce("least", "norm"))
+        new = cut(ready.select("world_id", "norm", root.alias("root"), outcome.alias("outcome")))
+        done, open_ = cut(done.unionByName(new)), cut(open_.join(new, ["world_id", "norm"], "left_anti"))
+    return done
+
+
+def resolve(mentions: DataFrame, present: DataFrame, seed: DataFrame | None = None, most: int = MOST) -> DataFrame:
     """(world_id, surface, kind, position) -> world_id, norm, surface, entity, kind, provisional, outcome.
 
     ``entity`` is the canonical name; the outcome is new, alias, role (queued) or ambiguous (queued).  A longer
@@ -60,37 +101,36 @@ def resolve(mentions: DataFrame, present: DataFrame, seed: DataFrame | None = No
     if seed is not None:
         s = seed.select("world_id", "norm", "surface", "kind", F.lit(-1).alias("first_position"), F.lit(True).alias("seeded"))
         base = s.unionByName(base.join(seed.select("world_id", "norm"), ["world_id", "norm"], "left_anti"))
-    label = groups(base, pairs(base))
-    shown = present.select("world_id", "norm", F.lit(True).alias("shown")).distinct()
-    rows = base.join(label, ["world_id", "norm"]).join(shown, ["world_id", "norm"], "left").fillna(False, ["shown"]).withColumn("is_role", text.is_role_reference("surface"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        registry: list[dict] = []
-        out = []
-        for r in pdf.sort_values(["first_position", "norm"]).itertuples():
-            t = set(r.norm.split())
-            hit = [e for e in registry if any(near(t, n) for n in e["names"])]
-            if r.is_role:
-                out.append((r, None, "role"))
-            elif len(hit) == 1:
-                e = hit[0]
-                e["names"].append(t)
-                e["shown"] |= bool(r.shown)
-                if not e["seeded"] and len(t) > len(e["canonical"].split()):
-                    e["canonical"] = r.surface
-                out.append((r, e, "alias"))
-            elif hit:
-                out.append((r, None, "ambiguous"))
-            else:
-                e = {"names": [t], "canonical": r.surface, "shown": bool(r.shown), "seeded": bool(r.seeded), "kind": r.kind}
-                registry.append(e)
-                out.append((r, e, "new"))
-        return pd.DataFrame(
-            [(r.world_id, r.norm, r.surface, e and e["canonical"], e["kind"] if e else r.kind, bool(e and e["kind"] == "character" and not e["shown"] and not e["seeded"]), how) for r, e, how in out],
-            columns=["world_id", "norm", "surface", "entity", "kind", "provisional", "outcome"],
+    base = cut(base.withColumn("is_role", text.is_role_reference("surface")))
+    near = cut(pairs(base))
+    rows = base.join(groups(base, near), ["world_id", "norm"])
+    links = earlier(base, near)
+    large = rows.groupBy("world_id", "label").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("world_id", "label")
+    large = cut(large)
+    if large.isEmpty():
+        decided = fold(rows, links)
+    else:
+        own = rows.join(large, ["world_id", "label"], "left_semi").select("world_id", "norm")
+        decided = fold(rows.join(large, ["world_id", "label"], "left_anti"), links.join(own, ["world_id", "norm"], "left_anti")).unionByName(
+            rounds(rows.join(large, ["world_id", "label"], "left_semi"), links.join(own, ["world_id", "norm"], "left_semi"))
         )
-
-    return rows.groupBy("world_id", "label").applyInPandas(fold, "world_id long, norm string, surface string, entity string, kind string, provisional boolean, outcome string")
+    shown = present.select("world_id", "norm", F.lit(True).alias("shown")).distinct()
+    members = decided.join(base, ["world_id", "norm"]).join(shown, ["world_id", "norm"], "left").withColumn("shown", F.coalesce("shown", F.lit(False)))
+    return members.select("world_id", "norm", "surface", "outcome", "root", F.col("kind").alias("own_kind")).join(entities(members), ["world_id", "root"], "left").select(
+        "world_id", "norm", "surface", "entity", F.coalesce("kind", "own_kind").alias("kind"), F.coalesce("provisional", F.lit(False)).alias("provisional"), "outcome"
+    )
+
+
+def entities(members: DataFrame) -> DataFrame:
+    """(world_id, root, entity, kind, provisional) of decided names: the canonical name grows as longer surfaces join, in order."""
+    in_order = F.sort_array(F.collect_list(F.struct("first_position", "norm", "surface", F.size(names.tokens("norm")).alias("n"))))
+    own = F.col("norm") == F.col("root")
+    e = members.filter("root is not null").groupBy("world_id", "root").agg(
+        in_order.alias("all"), F.max(F.when(own, F.col("surface"))).alias("first"), F.max(F.when(own, F.col("kind"))).alias("kind"), F.bool_or(own & F.col("seeded")).alias("seeded"), F.bool_or("shown").alias("shown")
+    )
+    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    grown = F.aggregate("all", F.col("first"), lambda name, m: F.when(m["n"] > words(name), m["surface"]).otherwise(name))
+    return e.select("world_id", "root", F.when(F.col("seeded"), F.col("first")).otherwise(grown).alias("entity"), "kind", ((F.col("kind") == "character") & ~F.col("shown") & ~F.col("seeded")).alias("provisional"))
 
 
 def queue(resolved: DataFrame, mentions: DataFrame, most: int = 6) -> DataFrame:

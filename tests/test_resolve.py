@@ -67,3 +67,51 @@ def test_interval_fold_against_a_loop(spark):
     want |= {(r[1], r[2]): (r[4], r[3], None if r[4] is None else r[4] + 1, "anchored") for r in rows if r[4] is None or not r[5]}
     got = {(r.subject_id, r.assertion_id): (r.lo, r.object_id, r.hi, r.action) for r in folds.interval_fold(df).collect()}
     assert got == want
+
+
+def resolved_in_a_loop(rows, present):
+    """One pass over the names in order, each compared with all entities before it."""
+    near = lambda t, u: t != u and len(t & u) > 0 and (len(t & u) == min(len(t), len(u)) or len(t & u) >= 0.5 * len(t | u))
+    registry, out = [], {}
+    for norm, surface, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        t = set(norm.split())
+        hit = [e for e in registry if any(near(t, n) for n in e["names"])]
+        if len(hit) > 1:
+            out[norm] = (None, "ambiguous")
+        elif hit:
+            hit[0]["names"].append(t)
+            hit[0]["shown"] |= norm in present
+            if len(t) > len(hit[0]["name"].split()):
+                hit[0]["name"] = surface
+            out[norm] = (hit[0], "alias")
+        else:
+            registry.append({"names": [t], "name": surface, "shown": norm in present})
+            out[norm] = (registry[-1], "new")
+    return {n: (e and e["name"], how, bool(e and not e["shown"])) for n, (e, how) in out.items()}
+
+
+def test_resolution_equals_a_loop_in_folds_and_in_rounds(spark):
+    rng = Random(5)
+    words = [f"n{i}" for i in range(30)] + ["old"] * 5
+    names = sorted({" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(260)})
+    names = [n for n in names if len(set(n.split())) == len(n.split())]
+    rows = [(n, n.title(), rng.randint(1, 60)) for n in names]
+    shown = set(rng.sample(names, 80))
+    m = spark.createDataFrame([(1, s, "character", p) for _, s, p in rows], "world_id long, surface string, kind string, position int").repartition(3)
+    present = spark.createDataFrame([(1, n) for n in shown], "world_id long, norm string")
+    want = resolved_in_a_loop(rows, shown)
+    assert {how for _, how, _ in want.values()} == {"new", "alias", "ambiguous"}
+    for most in (resolve.MOST, 3):
+        got = {r.norm: (r.entity, r.outcome, r.provisional) for r in resolve.resolve(m, present, most=most).collect()}
+        assert got == want
+
+
+def test_a_hundred_thousand_names_in_one_group(spark):
+    """Names that share a first word, each near the one before: a single group, folded by its links."""
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    m = spark.range(n).select(F.lit(1).cast("long").alias("world_id"), F.concat(F.lit("Keel n"), F.col("id"), F.lit(" n"), F.col("id") + 1).alias("surface"), F.lit("character").alias("kind"), F.col("id").cast("int").alias("position"))
+    found = resolve.resolve(m, spark.createDataFrame([], "world_id long, norm string"))
+    got = {r.outcome: r["count"] for r in found.groupBy("outcome").count().collect()}
+    assert got == {"new": 1, "alias": n - 1}
