@@ -21,12 +21,16 @@ def grams(c: str, n: Column) -> Column:
 
 
 def candidates(hays: DataFrame, needles: DataFrame) -> DataFrame:
-    """Distinct (world_id, hay, needle) to be tested: texts that hold a needle's rarest gram."""
+    """Distinct (world_id, hay, needle) to be tested: texts that hold a needle's rarest gram.
+
+    How many texts hold a gram is counted without the texts, and one gram a needle goes on to meet them.
+    """
     own = needles.select("world_id", "needle").filter(F.length("needle") > 0).distinct().withColumn("n", F.least(F.lit(GRAM), F.length("needle")))
-    asked = own.select("world_id", "needle", "n", F.explode(grams("needle", F.col("n"))).alias("gram"))
-    sizes = own.select("world_id", "n").distinct()
-    held = hays.select("world_id", "hay").distinct().join(sizes, "world_id").select("world_id", "hay", F.explode(grams("hay", F.col("n"))).alias("gram"))
-    held = held.join(asked.select("world_id", "gram").distinct(), ["world_id", "gram"], "left_semi")
+    asked = own.select("world_id", "needle", F.explode(grams("needle", F.col("n"))).alias("gram"))
+    sizes = own.groupBy("world_id").agg(F.collect_set("n").alias("sizes"))  # three at most
+    texts = hays.select("world_id", "hay").distinct().join(sizes, "world_id")
+    each = F.flatten(F.transform("sizes", lambda n: F.coalesce(grams("hay", n), F.array().cast("array<string>"))))
+    held = texts.select("world_id", "hay", F.explode(each).alias("gram"))
     often = held.groupBy("world_id", "gram").agg(F.count("*").alias("texts"))
     rarest = asked.join(often, ["world_id", "gram"], "left").groupBy("world_id", "needle").agg(
         F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.bool_and(F.col("texts").isNotNull()).alias("possible")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from storyloom.operators import checks, holes
 from storyloom.plans.oracle_graph import off, over_graph
+from storyloom.sources import stored
 from storyloom.sources.graph import derive
 
 OVER = "(x.lo IS NULL OR y.hi IS NULL OR x.lo < y.hi) AND (y.lo IS NULL OR x.hi IS NULL OR y.lo < x.hi) AND NOT coalesce(x.lo >= x.hi, false) AND NOT coalesce(y.lo >= y.hi, false)"
@@ -115,13 +116,13 @@ QUERIES = {
     "check_dangling_reference": lambda s, d: checks.dangling_reference(derive(s, d)),
     "check_capability_violation": lambda s, d: checks.capability_violation(derive(s, d)),
     "check_idle_setup": lambda s, d: checks.idle_setup(derive(s, d)),
-    "run_checks": lambda s, d: checks.run_checks(derive(s, d))[0],
-    "severity_summary": lambda s, d: checks.run_checks(derive(s, d))[0].groupBy("world_id", "severity").agg(F.count_if(~F.col("sealed")).alias("live"), F.count_if("sealed").alias("sealed")),
+    "run_checks": lambda s, d: checks.run_checks(stored.derived(s, d))[0],
+    "severity_summary": lambda s, d: checks.run_checks(stored.derived(s, d))[0].groupBy("world_id", "severity").agg(F.count_if(~F.col("sealed")).alias("live"), F.count_if("sealed").alias("sealed")),
     "hole_unknown_entity": lambda s, d: holes.unknown_entity(derive(s, d)),
     "hole_open_thread": lambda s, d: holes.open_thread(derive(s, d)),
     "hole_unsourced_knowledge": lambda s, d: holes.unsourced_knowledge(derive(s, d)),
     "hole_unconfirmed_belief": lambda s, d: holes.unconfirmed_belief(derive(s, d)),
-    "holes_report": lambda s, d: holes.holes_report(derive(s, d)),
+    "holes_report": lambda s, d: holes.holes_report(stored.derived(s, d)),
     "scene_labels": lambda s, d: holes.scene_labels(derive(s, d)),
 }
 

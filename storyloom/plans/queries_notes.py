@@ -9,7 +9,7 @@ from storyloom.functions import text
 from storyloom.operators import ask, dossier, notes, usage
 from storyloom.plans.oracle_graph import over_graph
 from storyloom.plans.queries_checks import LABELS
-from storyloom.sources import texts
+from storyloom.sources import stored, texts
 from storyloom.sources.graph import Graph, derive, events
 
 ONE = "one AS (SELECT 1)"
@@ -20,6 +20,10 @@ def _with(fn):
     return lambda s, d: fn(derive(s, d))
 
 
+def _stored(fn):
+    return lambda s, d: fn(stored.derived(s, d))
+
+
 def _table(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.read.parquet(f"{d}/{name}.parquet")
 
@@ -133,8 +137,8 @@ QUERIES = {
     "note_idle_setup": _with(lambda g: notes.idle_setups(_vowed(g), IGNORE)),
     "note_dormant_knowledge": _with(lambda g: notes.dormant_knowledge(g, IGNORE)),
     "note_unmotivated_turn": _with(notes.unmotivated_turns),
-    "note_caps": _with(lambda g: notes.capped(notes.candidates(g, IGNORE)).select("world_id", "family", "note_key", "salience", "place", "overflow")),
-    "note_merge": _with(lambda g: notes.merge_notes(_old_notes(g), _new_notes(g), "run2")),
+    "note_caps": _stored(lambda g: notes.capped(notes.candidates(g, IGNORE)).select("world_id", "family", "note_key", "salience", "place", "overflow")),
+    "note_merge": _stored(lambda g: notes.merge_notes(_old_notes(g), _new_notes(g), "run2")),
     "family_dismissal_rate": _with(lambda g: notes.dismissal_rates(_old_notes(g), 0.2)),
     "ask_route": _with(lambda g: ask.route(_questions(g)).select("question_id", "intent", "subject", "thing", "at")),
     "ask_cited": _with(lambda g: ask.cited(g, _questions(g))),

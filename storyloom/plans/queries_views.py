@@ -9,6 +9,7 @@ from storyloom.functions import text
 from storyloom.operators import checks, ripple, rules, views
 from storyloom.plans.oracle_graph import over_graph
 from storyloom.plans.queries_checks import COLS, FINDINGS_CTE, LABELS, OVER
+from storyloom.sources import stored
 from storyloom.sources.graph import Graph, derive
 
 ONE = "one AS (SELECT 1)"
@@ -44,12 +45,12 @@ def _with(fn):
 
 
 def _ruled(fn):
-    return lambda s, d: fn(derive(s, d), rule_table(s))
+    return lambda s, d: fn(stored.derived(s, d), rule_table(s))
 
 
 def _changed(fn):
     def run(s, d):
-        g = derive(s, d)
+        g = stored.derived(s, d)
         return fn(g, change_table(g))
 
     return run

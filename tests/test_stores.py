@@ -145,3 +145,27 @@ def test_scripts(spark):
     ]
     works = sorted(tuple(r) for r in scripts.works(docs).collect())
     assert works == [(1, "E101 — The Ledger", "HARBOR", 101, 3), (2, "2", None, None, 0), (3, "3", None, None, 0), (4, "ONLY no key here", "ONLY no key here", None, 0), (5, "E7", None, 7, 0)]
+
+
+def test_stored_tables_join_without_exchange(spark):
+    """Assertions, presence and names lie in the same buckets; only scenes, which are few, are sent to them."""
+    from storyloom.sources import stored
+
+    rows = [(1, 1, 1, "dies", None, None, True, 3, None, 103, "canon"), (2, 2, 2, "dies", None, None, True, 3, None, 203, "canon")]
+    g = graph(spark, rows, [(1, 3, 1), (1, 6, 1), (2, 4, 2)])
+    kept = stored.save(g, "kept", buckets=4)
+    assert [f.simpleString() for f in kept.assertions.schema] == [f"{n}:{'bigint' if k == 'long' else k}" for n, k in (c.split(" ") for c in stored.SCHEMAS["assertions"].split(", "))]
+    assert sorted((r.assertion_a, r.scene_id) for r in checks.dead_speaker(kept).collect()) == sorted((r.assertion_a, r.scene_id) for r in checks.dead_speaker(g).collect()) == [(1, 106), (2, 204)]
+    seen = kept.presence.select("world_id", "scene_id", F.col("entity_id").alias("subject_id"))
+    joined = kept.assertions.join(seen.join(F.broadcast(kept.scenes.select("world_id", F.col("scene_id"), "story_position")), ["world_id", "scene_id"]).drop("scene_id"), ["world_id", "subject_id"]).join(checks.names(kept), ["world_id", "subject_id"])
+    for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "false" if "adaptive" in key else "-1")
+    try:
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+    with pytest.raises(Exception):
+        stored.save(g.with_(aliases=g.aliases.drop("alias")), "broken")
+    assert sorted(map(tuple, stored.load(spark, "kept").works.collect())) == sorted(map(tuple, g.works.collect()))
