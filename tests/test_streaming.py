@@ -125,3 +125,90 @@ def test_new_findings_once(spark, tmp_path):
         counts.append(spark.read.parquet(folder).count())
     want = run_checks(g)[0].filter(~F.col("sealed")).select(*jobs.KEY).distinct().count()
     assert counts == [want, want] and want > 0
+    assert all(r.first and r.kind == "found" for r in spark.read.parquet(folder).collect())
+
+
+def test_findings_are_retracted_and_the_first_are_marked(spark, tmp_path):
+    """After each micro-batch what stands in the ledger is what the batch checks find."""
+    from storyloom.operators.checks import run_checks
+    from test_graph import graph
+
+    rows = [(1, 1, 1, "dies", None, None, True, 3, None, 103, "canon"), (2, 2, 1, "dies", None, None, True, 3, None, 203, "canon")]
+    steps = [(rows[:1], [1]), ([*rows, (3, 1, 2, "dies", None, None, True, 2, None, 102, "canon")], [1, 2]), ([(*rows[0][:10], "sealed"), rows[1]], [1])]
+    seen, folder, kinds = [(1, 6, 1), (1, 6, 2), (2, 6, 1)], str(tmp_path / "ledger"), []
+    for k, (facts, touched) in enumerate(steps):
+        g = graph(spark, facts, seen)
+        spark.createDataFrame([(w, k) for w in touched], "world_id long, assertion_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+        live = spark.readStream.schema("world_id long, assertion_id long").parquet(str(tmp_path / "r"))
+        jobs.stream_new_findings(live, lambda worlds, g=g: g, folder, str(tmp_path / "rc"), ["dead_speaker"]).awaitTermination()
+        ledger = spark.read.schema(jobs.LEDGER).parquet(folder)
+        want = run_checks(g, ["dead_speaker"])[0].select(*jobs.KEY).distinct()
+        assert sorted(map(tuple, jobs.live_findings(ledger).select(*jobs.KEY).collect())) == sorted(map(tuple, want.collect()))
+        kinds.append({(r.world_id, r.kind, r.first) for r in ledger.filter(f"batch = {k}").collect()})
+    assert kinds == [{(1, "found", True)}, {(1, "found", False), (2, "found", True)}, {(1, "retracted", False)}]
+
+
+def wait_for(done, seconds=60):
+    import time
+
+    until = time.time() + seconds
+    while not done() and time.time() < until:
+        time.sleep(0.3)
+    assert done()
+
+
+def test_a_silent_run_fails_by_the_clock(spark, tmp_path):
+    """No later beat is needed, a finished run doesn't fail, and neither leaves state."""
+    _, live = stream(spark, tmp_path, [(1, False), (2, False), (2, True), (3, False)], "run_id long, finished boolean", "w")
+    q = jobs.watched_runs(live, 2000).writeStream.format("memory").queryName("watched").outputMode("append").option("checkpointLocation", str(tmp_path / "cw")).trigger(processingTime="500 milliseconds").start()
+    try:
+        wait_for(lambda: spark.table("watched").count() == 2)
+    finally:
+        q.stop()
+    assert sorted((r.run_id, r.status) for r in spark.table("watched").collect()) == [(1, "failed"), (3, "failed")]
+    assert spark.read.format("statestore").option("stateVarName", "until").load(str(tmp_path / "cw")).count() == 0
+
+
+def test_finished_runs_leave_no_state(spark, tmp_path):
+    rows = [(1, 1, 1, False), (1, 2, 2, True), (2, 3, 1, False)]
+    _, live = stream(spark, tmp_path, rows, "run_id long, event_id long, sec long, finished boolean", "e")
+    got = jobs.run_to_memory(spark, jobs.run_ledger(live), "ended", str(tmp_path / "ce"))
+    assert sorted((r.run_id, r.seq) for r in got.collect()) == [(1, 1), (1, 2), (2, 1)]
+    held = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "ce"))
+    assert [r.key.run_id for r in held.collect()] == [2]
+
+
+def test_state_expires(spark, tmp_path):
+    """A run of which nothing comes for a second of the clock begins anew."""
+    folder = tmp_path / "t"
+    kind = "run_id long, event_id long, sec long"
+    put = lambda rows: spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(folder))
+    put([(1, 1, 1), (1, 2, 2)])
+    q = jobs.run_ledger(spark.readStream.schema(kind).parquet(str(folder)), ttl=1000).writeStream.format("memory").queryName("aged").outputMode("append").option("checkpointLocation", str(tmp_path / "ct")).trigger(processingTime="300 milliseconds").start()
+    try:
+        wait_for(lambda: spark.table("aged").count() == 2)
+        import time
+
+        time.sleep(3)
+        put([(1, 3, 3)])
+        wait_for(lambda: spark.table("aged").count() == 3)
+    finally:
+        q.stop()
+    assert [r.seq for r in spark.table("aged").orderBy("event_id").collect()] == [1, 2, 1]
+
+
+def test_last_stays_and_late_rows_equal_the_batch_fold(spark, tmp_path):
+    from storyloom.operators.folds import interval_fold
+
+    kind = "world_id long, subject_id long, assertion_id long, object_id long, position int, starts boolean, sec long"
+    parts = [[(1, 1, 1, 7, 0, True, 0), (1, 1, 3, 8, 4, True, 10), (1, 2, 4, 7, 1, True, 10)], [(1, 1, 2, 9, 2, True, 20), (1, 2, 5, 8, 3, True, 20)], [(1, 3, 6, 7, 1, True, 100_000)], [(1, 4, 7, 7, 1, True, 200_000)]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(str(tmp_path / f"z/{k}"))
+    live = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "z"))
+    live = live.withColumn("ts", F.timestamp_seconds("sec")).withWatermark("ts", "10 seconds")
+    got = jobs.run_to_memory(spark, jobs.stays(live, patience=60_000), "last_stays", str(tmp_path / "cz"))
+    rows = spark.createDataFrame([r for p in parts[:2] for r in p], kind)
+    mine = jobs.settled(rows.drop("sec"), got.filter("subject_id < 3"))
+    want = interval_fold(rows.drop("sec"))
+    assert sorted(map(str, mine.collect())) == sorted(map(str, want.select(mine.columns).collect()))
+    assert {r.action for r in got.filter("subject_id = 1").collect()} >= {"late", "open"}
