@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,7 +142,3 @@ def clean_block(x: Column | str) -> Column:
 
 def slugify(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(col(x)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-
-
-def contains_any(x: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [x.contains(w) for w in words])

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import string
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import sql as sql_functions
 from storyloom.functions import text
-from storyloom.operators import checks, versions
+from storyloom.operators import checks, dossier, lifecycle, versions
 from storyloom.operators.lineage import folder
+from storyloom.plans import queries_tables
 from storyloom.plans.oracle_graph import over_graph
-from storyloom.plans.queries_checks import _CONFLICT, _DANGLING, _DEAD, _DESTROYED
-from storyloom.sources import scripts
+from storyloom.plans.queries_checks import _CAPABILITY, _CONFLICT, _DANGLING, _DEAD, _DESTROYED
+from storyloom.sources import scripts, stored
 from storyloom.sources.graph import Graph, derive
 
 # A script for every work, as one expression for both engines: a title page, and per scene a heading with a number, lines with annotations, a line that only
@@ -73,7 +75,25 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _files(g: Graph) -> DataFrame:
+    """Candidate files as tools write them: a world's scenes, each with its assertions inside."""
+    one = g.assertions.join(g.scenes.select("world_id", "scene_id", "story_position"), ["world_id", "scene_id"])
+    scene = one.groupBy("world_id", "scene_id", "story_position").agg(F.collect_list(F.struct("assertion_id", "predicate", "object_value")).alias("assertions"))
+    return scene.groupBy(F.col("world_id").alias("world")).agg(F.collect_list(F.struct("scene_id", "story_position", "assertions")).alias("scenes"))
+
+
+def _ordered(g: Graph) -> DataFrame:
+    """Findings in the order of a report: the worst first, then by check, scene and ids."""
+    found = reduce(DataFrame.unionByName, (f(g) for f in (checks.dead_speaker, checks.destroyed_location_use, checks.capability_violation, checks.dangling_reference)))
+    order = Window.partitionBy("world_id").orderBy(checks.severity_rank(), "check_name", "scene_id", "assertion_a", F.asc_nulls_first("assertion_b"))
+    return found.select("world_id", F.row_number().over(order).alias("place"), "severity", "check_name", "scene_id", "assertion_a", "assertion_b")
+
+
 QUERIES = {
+    "flat_candidates": lambda s, d: lifecycle.flatten_candidates(_files(derive(s, d))),
+    "drop_counts": lambda s, d: lifecycle.drop_counts(queries_tables.QUERIES["gated_rows"](s, d)),
+    "bible_omitted": lambda s, d: dossier.omitted((g := derive(s, d)).with_(scenes=g.scenes.filter("NOT is_flashback"))),
+    "finding_order": lambda s, d: _ordered(stored.derived(s, d)),
     "script_scenes": lambda s, d: scripts.scenes(_scripts(derive(s, d))),
     "script_works": lambda s, d: scripts.works(_scripts(derive(s, d))),
     "quote_marks": _marked,
@@ -87,6 +107,12 @@ _QN = "lower(trim(regexp_replace(translate({0}, '‘’“”–—', '''''\"\"-
 COLS = "world_id, check_name, severity, explanation, scene_id, assertion_a, assertion_b"
 _COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS check_name, 'ran' AS status, (SELECT count(*) FROM ({q})) AS n_findings" for n, q in (("dead_speaker", _DEAD), ("destroyed_location_use", _DESTROYED), ("dangling_reference", _DANGLING)))
 ORACLES = {
+    "flat_candidates": over_graph("one AS (SELECT 1) SELECT a.world_id AS world, a.scene_id, story_position, assertion_id, predicate, object_value FROM a JOIN scenes USING (world_id, scene_id)"),
+    "drop_counts": f"SELECT verdict, count(*) AS n FROM ({queries_tables.ORACLES['gated_rows']}) GROUP BY 1",
+    "bible_omitted": over_graph("one AS (SELECT 1) SELECT world_id, count(*) AS omitted FROM a WHERE status NOT IN ('retconned', 'rejected') AND NOT EXISTS (SELECT 1 FROM scenes s WHERE s.world_id = a.world_id AND s.scene_id = a.scene_id AND NOT is_flashback) GROUP BY 1"),
+    "finding_order": over_graph(f"""one AS (SELECT 1)
+SELECT world_id, CAST(row_number() OVER (PARTITION BY world_id ORDER BY list_position(['critical', 'warning', 'note'], severity), check_name, scene_id, assertion_a, assertion_b NULLS FIRST) AS INT) AS place, severity, check_name, scene_id, assertion_a, assertion_b
+FROM ({" UNION ALL ".join(f"SELECT {COLS} FROM ({q})" for q in (_DEAD, _DESTROYED, _CAPABILITY, _DANGLING))})"""),
     # What the scripts were made of, without reading them.
     "script_scenes": over_graph("""one AS (SELECT 1)
 SELECT work_id AS doc_id, CAST(row_number() OVER (PARTITION BY work_id ORDER BY story_position) AS INT) AS scene, slug,
