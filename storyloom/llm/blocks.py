@@ -7,7 +7,8 @@ what that block asked for.  So no name, however frequent, has more rows than the
 blocks, no table of names is ever broadcast, and the texts are exchanged once: every
 later pass reuses the same exchange.  A bucket answers for many blocks (``BUCKET_BYTES`` of
 text against ``BLOCK_BYTES``) and works through its range in parts, so the number of buckets
-doesn't depend on that of the blocks and there are never more rows than names.  All steps
+grows slower than that of the blocks; both grow with the bytes, and so do rows of an exchange with
+the square of the bytes, until a row holds one name: there are never more rows than names.  All steps
 are Spark exchanges and can be recomputed when an executor is lost; for that the rows of the
 documents must come in the same order again, as they do from files.
 """

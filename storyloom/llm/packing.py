@@ -6,7 +6,8 @@ capacity, whatever the corpus), and Spark ranks the pieces of each length and lo
 ranks up in the plan.
 
 The plan is vector best-fit decreasing.  A bin has residual tokens, documents and attention
-cost (the sum of squared lengths); bins in the same state are one group.  A class of equal
+cost (the sum of squared lengths); bins that were opened or filled together are one group, and groups that
+come to the same state later stay apart.  A class of equal
 pieces goes to the feasible group with the best score: ``norm`` takes the smallest weighted
 norm of what is left, ``dot`` the largest weighted product of the piece with what is left.
 Where no group can take a piece under every capacity, new bins are opened.

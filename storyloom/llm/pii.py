@@ -14,6 +14,9 @@ candidates wait in a written table.
 Defined cases: a null text is empty; a candidate that overlaps a base span is left out, and
 so is an accepted one that overlaps an earlier accepted one (a rejected one blocks nothing); without candidates only base spans are returned; repeated rows are
 searched each; other columns are ignored.
+
+Written e-mails (name [at] host [dot] com) are searched up to 64 characters before the at and 63 in a label,
+the limits of such addresses.
 """
 
 from __future__ import annotations

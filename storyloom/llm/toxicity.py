@@ -12,7 +12,8 @@
    the other half of the sample, turns them into a score.
 
 The bound of the sample (``rows``) is a parameter, and bounds the lexicon: every term that
-passes the test is kept.  Scoring covers every whole text, and language, source and id are
+passes the test is kept.  Words of fewer than five letters are found as written only: one edit
+makes too many other words of them.  Scoring covers every whole text, and language, source and id are
 not inputs.
 
 Defined cases: null and empty texts score like a text without matches; labels that are null,
