@@ -52,19 +52,20 @@ def handle(c: Column) -> Column:
 
 def route(questions: DataFrame) -> DataFrame:
     """The first form that fits decides the intent, the subject, the object and the position; none leaves the intent null."""
-    q = questions.withColumn("q", plain("question"))
-    nothing = F.lit(None).cast("string")
-    found = F.struct(nothing.alias("intent"), nothing.alias("slot"), nothing.alias("rest"))
-    for intent, form in reversed(FORMS):
-        fits = pattern(intent, form)
-        rest = F.regexp_extract("q", fits, 2) if intent in OPEN_ENDED else nothing
-        found = F.when(F.col("q").rlike(fits), F.struct(F.lit(intent).alias("intent"), F.regexp_extract("q", fits, 1).alias("slot"), rest.alias("rest"))).otherwise(found)
-    q = q.withColumn("f", found)
-    about = F.regexp_extract("f.rest", r"\babout (.+?)(?: and when\b.*| at (?:scene|pos|position)\b.*)?$", 1)
-    at = F.regexp_extract("f.rest", r"\b(?:scene|pos|position) ([0-9]+)\b", 1)
-    who = F.col("f.intent") == "who_knows"
+    fits = [pattern(intent, form) for intent, form in FORMS]
+    kept = ["question_id", "world_id", "question"]
+    # Each of these is computed once: the optimiser doesn't copy an expression over a generator into all its uses.
+    once = lambda df, c, name: df.select(*df.columns, F.inline(F.array(F.struct(c.alias(name)))))
+    q = once(questions.select(*kept), plain("question"), "q")
+    q = once(q, F.coalesce(*[F.when(F.col("q").rlike(p), k) for k, p in enumerate(fits)]), "form")
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("form"))
+    q = q.withColumn("intent", of([intent for intent, _ in FORMS])).withColumn("fits", of(fits))
+    q = once(q, F.expr("regexp_extract(q, fits, 1)"), "slot").withColumn("rest", F.expr(f"CASE WHEN intent IN {OPEN_ENDED} THEN regexp_extract(q, fits, 2) END"))
+    about = F.regexp_extract("rest", r"\babout (.+?)(?: and when\b.*| at (?:scene|pos|position)\b.*)?$", 1)
+    at = F.regexp_extract("rest", r"\b(?:scene|pos|position) ([0-9]+)\b", 1)
+    who = F.col("intent") == "who_knows"
     return q.select(
-        "question_id", "world_id", "question", "f.intent", F.when(~who, phrase(F.col("f.slot"))).alias("subject"), F.when(who, handle(F.col("f.slot"))).otherwise(phrase(about)).alias("thing"),
+        "question_id", "world_id", "question", "intent", F.when(~who, phrase(F.col("slot"))).alias("subject"), F.when(who, handle(F.col("slot"))).otherwise(phrase(about)).alias("thing"),
         F.when(at != "", at.try_cast("int")).alias("at"),
     )
 
