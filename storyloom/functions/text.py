@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,11 @@ def object_placeholder(value: Column, object_id: Column, predicate: Column) -> C
     return F.when(object_id.isNotNull() | (F.coalesce(value, F.lit("")) != ""), value).otherwise(predicate)
 
 
+def without_placeholder(value: Column, predicate: Column) -> Column:
+    """The inverse of ``object_placeholder``: a value that only repeats its predicate is none."""
+    return F.when(value != predicate, value)
+
+
 def quote_offset(source: Column | str, quote: Column | str) -> Column:
     """Where the quote stands in the source (from 1; 0: nowhere), blanks, dashes and quotation marks as in ``quote_norm``."""
     return F.when(F.coalesce(F.trim(col(quote)), F.lit("")) == "", 0).otherwise(F.coalesce(F.instr(quote_norm(source), quote_norm(quote)), F.lit(0)))
@@ -142,3 +149,45 @@ def clean_block(x: Column | str) -> Column:
 
 def slugify(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(col(x)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def file_stem(x: Column | str) -> Column:
+    """The last part of a path without its last suffix."""
+    return F.regexp_replace(F.regexp_replace(col(x), "^.*/", ""), r"^(.+)\.[^.]+$", "$1")
+
+
+def safe_slug(x: Column | str) -> Column:
+    """A name fit for files: other characters as one underline, none at the ends; ``world`` where nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(col(x), F.lit("")), "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", "")
+    return F.coalesce(F.nullif(bare, F.lit("")), F.lit("world"))
+
+
+def world_slug(x: Column | str) -> Column:
+    """A world's name from the name of its file: 60 lower letters, digits and underlines at most; ``script`` where nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(file_stem(F.coalesce(col(x), F.lit("")))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.left(F.coalesce(F.nullif(bare, F.lit("")), F.lit("script")), F.lit(60))
+
+
+def work_key(episode: Column, source: Column, title: Column) -> Column:
+    """``E`` and the episode's number, else the file's name, else the title, with other characters as dashes; ``work`` where nothing is left."""
+    stem = F.coalesce(F.nullif(file_stem(source), F.lit("")), F.nullif(title, F.lit("")), F.lit("work"))
+    bare = F.regexp_replace(F.regexp_replace(stem, "[^A-Za-z0-9_-]+", "-"), "^-+|-+$", "")
+    return F.when(episode.isNotNull(), F.concat(F.lit("E"), episode)).otherwise(F.coalesce(F.nullif(bare, F.lit("")), F.lit("work")))
+
+
+# Lines of a printed page that are no text (its number, a scene that goes on, "page 3 of 9").
+FURNITURE = (r"^\s*\d+\.?\s*$", r"(?i)^\s*\(?\s*(CONTINUED|MORE)\s*:?\s*\)?\s*(\(\d+\))?\s*$", r"(?i)^\s*page\s+\d+(\s+of\s+\d+)?\s*$")
+
+
+def is_furniture(x: Column | str) -> Column:
+    return reduce(Column.__or__, (F.coalesce(col(x).rlike(p), F.lit(False)) for p in FURNITURE))
+
+
+# Families of notes.
+NOTE_FAMILIES = ("F1", "F2", "F3", "F4")
+
+
+def family_name(x: Column | str) -> Column:
+    """The one spelling of a family: notes in capitals, checks in lower case with underlines."""
+    bare = F.trim(F.coalesce(col(x), F.lit("")))
+    return F.when(F.upper(bare).isin(*NOTE_FAMILIES), F.upper(bare)).otherwise(F.replace(F.lower(bare), F.lit("-"), F.lit("_")))

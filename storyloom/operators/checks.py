@@ -32,9 +32,14 @@ def findings(df: DataFrame, check: str, severity: str, explanation: Column, scen
     return df.select("world_id", F.lit(check).alias("check_name"), F.lit(severity).alias("severity"), explanation.alias("explanation"), F.col(scene).cast("long").alias("scene_id"), F.col(a).cast("long").alias("assertion_a"), second.cast("long").alias("assertion_b"))
 
 
+def switched_off(config: DataFrame) -> DataFrame:
+    """(world_id, family) that worlds have switched off, in the families' one spelling."""
+    return config.filter(~F.col("enabled")).select("world_id", text.family_name("family").alias("family")).distinct()
+
+
 def enabled(df: DataFrame, config: DataFrame, family: str) -> DataFrame:
     """Rows of worlds that have not switched the family off; a missing row is on."""
-    return df.join(config.filter((F.col("family") == family) & ~F.col("enabled")).select("world_id").distinct(), "world_id", "left_anti")
+    return df.join(switched_off(config).filter(F.col("family") == family).select("world_id"), "world_id", "left_anti")
 
 
 def active(g: Graph, muted: tuple[str, ...] = MUTED) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text
 from storyloom.operators import checks
+from storyloom.operators.lineage import cut
+from storyloom.operators.matching import first_free
+from storyloom.operators.needles import containing
 from storyloom.operators.overlap import overlap_join
 from storyloom.sources.graph import Graph
 
@@ -126,30 +128,61 @@ def probes(g: Graph, muted: tuple[str, ...] = ("rejected", "retconned")) -> Data
     return reduce(DataFrame.unionByName, [n(late, "late_knowers"), n(alone, "late_without_source"), n(over, "overlapping_places"), n(after, "scenes_after_end")])
 
 
+def capability_probes(g: Graph, muted: tuple[str, ...] = ("rejected", "retconned")) -> DataFrame:
+    """What someone can't do (world_id, subject_id, handle) with the acts against it, whenever they are: an act whose words hold it, or its denial.
+
+    Without any act the layer is the first of ``LAYERS``, the extraction's; with some, the last, the check's.
+    """
+    a = checks.active(g, muted)
+    who = F.struct("world_id", "subject_id").alias("world_id")  # the needles of each subject meet its own words only
+    rules = a.filter("predicate = 'cannot' and polarity and fact_key <> ''").select("world_id", "subject_id", F.col("fact_key").alias("handle")).distinct()
+    acts = a.filter("predicate <> 'cannot' and polarity and fact_key <> ''").groupBy(who, F.col("fact_key").alias("hay")).agg(F.count("*").alias("n"))
+    done = containing(acts, rules.select(who, F.col("handle").alias("needle"))).select("world_id.*", F.col("needle").alias("handle"), "n")
+    denied = a.filter("predicate = 'cannot' and not polarity").groupBy("world_id", "subject_id", F.col("fact_key").alias("handle")).agg(F.count("*").alias("n"))
+    key = ["world_id", "subject_id", "handle"]
+    met = done.unionByName(denied).groupBy(*key).agg(F.sum("n").alias("acts"))
+    n = F.coalesce("acts", F.lit(0))
+    return rules.join(met, key, "left").select(*key, n.alias("acts"), F.when(n == 0, LAYERS[0]).otherwise(LAYERS[-1]).alias("layer"))
+
+
+def met_links(wanted: DataFrame, said: DataFrame, scenes: DataFrame) -> DataFrame:
+    """What may meet what: wanted (group, wanted, scene_id, line, words), said (group, offered, said) with scenes (group, offered, scene_id) -> (group, wanted, offered, by scene|line|words).
+
+    At the same scene; where a line of three tokens or more is repeated to 55 %; where all words stand, in any case.
+    No words, or none that isn't empty, stand nowhere.  Each way is a join of its own: by scene, by a line's rarest
+    tokens, by the rarest gram of the longest word.
+    """
+    at = wanted.join(scenes, ["group", "scene_id"]).select("group", "wanted", "offered", F.lit("scene").alias("by"))
+    long_ = wanted.filter(F.size(text.tokens("line")) >= 3).select(F.col("group").alias("world_id"), F.col("wanted").alias("fact_key"), F.col("line").alias("fact"))
+    near = fact_matches(said.select(F.col("group").alias("world_id"), F.col("offered").alias("handle_id"), F.col("said").alias("handle")), long_, 0.55)
+    near = near.select(F.col("world_id").alias("group"), F.col("fact_key").alias("wanted"), F.col("handle_id").alias("offered"), F.lit("line").alias("by"))
+    own = F.array_distinct(F.filter(F.transform("words", lambda w: F.lower(F.trim(w))), lambda w: w != ""))
+    longest = F.get(F.sort_array(F.transform("own", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    needles = wanted.select(F.col("group").alias("world_id"), "wanted", own.alias("own")).filter(F.size("own") > 0).withColumn("needle", longest)
+    hays = said.select(F.col("group").alias("world_id"), "offered", F.lower("said").alias("hay"))
+    named = containing(hays, needles).filter(F.forall("own", lambda w: F.col("hay").contains(w))).select(F.col("world_id").alias("group"), "wanted", "offered", F.lit("words").alias("by"))
+    return at.unionByName(near).unionByName(named)
+
+
 def score_findings(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Per run: how many expected findings (run_id, expected_id, check_name, scene_id, words) are met, and what is left over.
 
-    A finding meets an expectation of its check at its scene, one whose ``line`` (if that column is given, of three
-    tokens or more) it repeats to 55 %, or one whose words it all mentions; each at most one, in order of id.
+    A finding that isn't ``sealed`` meets an expectation of its check at its scene, one whose ``line`` (if that column
+    is given) it repeats, or one whose words it all mentions; each at most one, in order of id.  Expectations whose
+    ``kind`` is note come last and are met by notes alone.
     """
-    mentions = F.forall("words", lambda w: F.lower("explanation").contains(F.lower(w))) & (F.size("words") > 0)
-    if "line" in expected.columns:
-        mentions = mentions | (F.coalesce(F.size(text.tokens("line")) >= 3, F.lit(False)) & (containment("line", "explanation") >= 0.55))
-    f = found.select("run_id", "finding_id", "check_name", F.col("scene_id").alias("f_scene"), "explanation", "severity")
-    pairs = expected.join(f, ["run_id", "check_name"]).filter((F.col("scene_id") == F.col("f_scene")) | mentions).select("run_id", "check_name", "expected_id", "finding_id")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for x, grp in pdf.sort_values(["expected_id", "finding_id"]).groupby("expected_id", sort=False):
-            free = [y for y in grp["finding_id"] if y not in used]
-            if free:
-                used.add(free[0])
-                rows.append((pdf["run_id"].iloc[0], x, free[0]))
-        return pd.DataFrame(rows, columns=["run_id", "expected_id", "finding_id"])
-
-    hit = pairs.groupBy("run_id", "check_name").applyInPandas(greedy, "run_id long, expected_id long, finding_id long")
-    extra = f.filter(F.col("severity").isin("critical", "warning")).join(hit, ["run_id", "finding_id"], "left_anti").groupBy("run_id").agg(F.count("*").alias("false_positives"))
-    met = hit.groupBy("run_id").agg(F.count("*").alias("met"))
+    has = lambda df, c, default: df if c in df.columns else df.withColumn(c, default)
+    nothing = F.lit(None).cast("string")
+    e = has(has(expected, "line", nothing), "kind", F.lit("finding")).withColumn("is_note", F.coalesce(F.col("kind") == "note", F.lit(False)))
+    group = F.xxhash64("run_id", text.norm_collapse("check_name")).alias("group")
+    nth = F.row_number().over(Window.partitionBy("group").orderBy("is_note", "expected_id")).cast("long")
+    e = e.select("*", group).withColumn("wanted", nth)
+    live = has(found, "sealed", F.lit(False)).filter("sealed is not true").select("run_id", F.col("finding_id").alias("offered"), "scene_id", F.col("explanation").alias("said"), "severity", group)
+    links = met_links(e, live, live.select("group", "offered", "scene_id"))
+    links = links.join(e.select("group", "wanted", "is_note"), ["group", "wanted"]).join(live.select("group", "offered", (F.col("severity") == "note").alias("note")), ["group", "offered"])
+    hit = cut(first_free(links.filter(~F.col("is_note") | F.col("note"))))
+    extra = live.filter(F.col("severity").isin("critical", "warning")).join(hit, ["group", "offered"], "left_anti").groupBy("run_id").agg(F.count("*").alias("false_positives"))
+    met = e.join(hit, ["group", "wanted"], "left_semi").groupBy("run_id").agg(F.count("*").alias("met"))
     total = expected.groupBy("run_id").agg(F.count("*").alias("expected"))
     return total.join(met, "run_id", "left").join(extra, "run_id", "left").fillna(0).withColumn("recall", F.col("met") / F.col("expected"))
 
@@ -199,7 +232,7 @@ def fact_matches(handles: DataFrame, facts: DataFrame, share: float = 0.5) -> Da
     """
     f = facts.select("world_id", "fact_key", text.tokens("fact").alias("t")).filter(F.size("t") > 0)
     size = F.size("t")
-    f = f.withColumn("need", F.greatest(F.least(F.lit(2), size), F.ceil(size * F.lit(share)).cast("int")))
+    f = f.withColumn("need", F.greatest(F.least(F.lit(2), size), F.ceil(F.round(size * F.lit(share), 9)).cast("int")))
     each = f.withColumn("token", F.explode("t"))
     often = each.groupBy("world_id", "token").agg(F.count("*").alias("n"))
     rare = F.row_number().over(Window.partitionBy("world_id", "fact_key", "t").orderBy("n", "token"))
@@ -220,6 +253,25 @@ def contract(found: DataFrame) -> DataFrame:
     return found.select("world_id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("finding"))
 
 
+def document_lines(found: DataFrame, worlds: DataFrame) -> DataFrame:
+    """(world_id, place, line): a world's lines in order of place are one JSON document, {"findings": [...]}, the worst findings first."""
+    fields = F.to_json(F.struct(*[F.col(c).alias(name) for name, c in CONTRACT.items()]), {"ignoreNullFields": "false"})
+    order = Window.partitionBy("world_id").orderBy(checks.severity_rank(), "check_name", "scene_id", "assertion_a", "assertion_b", "explanation")
+    ranked = found.select("world_id", fields.alias("json"), F.row_number().over(order).cast("long").alias("place"))
+    body = ranked.select("world_id", "place", F.concat(F.when(F.col("place") > 1, ",").otherwise(""), "json").alias("line"))
+    all_ = worlds.select("world_id").distinct()
+    n = found.groupBy("world_id").agg(F.count("*").alias("n"))
+    first = all_.select("world_id", F.lit(0).cast("long").alias("place"), F.lit('{"findings": [').alias("line"))
+    last = all_.join(n, "world_id", "left").select("world_id", (F.coalesce("n", F.lit(0)) + 1).alias("place"), F.lit("]}").alias("line"))
+    return body.unionByName(first).unionByName(last)
+
+
+def write_documents(found: DataFrame, worlds: DataFrame, path: str) -> None:
+    """One JSON document a world, as text: rows stream into a world's file in their order."""
+    lines = document_lines(found, worlds).repartition("world_id").sortWithinPartitions("world_id", "place")
+    lines.select("world_id", "line").write.mode("overwrite").partitionBy("world_id").text(path)
+
+
 def detected(errors: DataFrame) -> DataFrame:
     """Errors of another detector (world_id, check, who, explanation, contradicts) as findings without anchors."""
     plain = lambda c: F.coalesce(F.col(c), F.lit(""))

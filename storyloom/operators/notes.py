@@ -145,11 +145,17 @@ def candidates(g: Graph, ignore: tuple[str, ...] = ()) -> DataFrame:
     out = idle_setups(g, ignore)
     for part in (dormant_knowledge(g, ignore), unmotivated_turns(g).drop("motivation_status", "motive_at"), open_questions(g, ignore)):
         out = out.unionByName(part)
-    off_ = g.family_config.filter(~F.col("enabled")).select("world_id", "family")
+    off_ = checks.switched_off(g.family_config)
     w = Window.partitionBy("world_id", "note_key").orderBy(F.desc("salience"), "assertion_id")
     return out.join(off_, ["world_id", "family"], "left_anti").withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth")
 
 
+def unsuppressed(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Candidates without those whose key (world_id, note_key) is sealed or dismissed among known notes; the others with the status that they had, if any."""
+    had = known.select("world_id", "note_key", F.col("status").alias("prior_status"))
+    return found.join(had, ["world_id", "note_key"], "left").filter(~F.coalesce(F.col("prior_status").isin("sealed", "dismissed"), F.lit(False)))
+
+
 def capped(found: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
     """The most salient of each world and family, with how many were left out."""
     limit = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.functions import text
 from storyloom.operators.holes import scene_labels
+from storyloom.operators.lifecycle import met_links
+from storyloom.operators.lineage import cut
+from storyloom.operators.matching import first_free
 from storyloom.sources.graph import Graph
 
 
@@ -55,6 +59,43 @@ def score_coverage(expected: DataFrame, notes: DataFrame, decoys: DataFrame) ->
     return out.withColumn("recall", F.col("met") / F.col("expected")).withColumn("precision", F.coalesce(F.try_divide(F.col("met").cast("double"), F.col("met") + F.col("decoys_flagged")), F.lit(1.0)))
 
 
+# Other names of the families of notes; and notes that no longer count.
+FAMILY_ALIASES = {"open question": "f1", "idle setup": "f2", "dormant knowledge": "f3", "unmotivated turn": "f4"}
+SETTLED = ("sealed", "dismissed", "addressed")
+
+
+def coverage_scores(expected: DataFrame, notes: DataFrame, decoys: DataFrame) -> DataFrame:
+    """Per world: expected notes that are met, notes left over, hits of decoys, recall and precision.
+
+    Expectations and decoys (world_id, expected_id, family, scene_id, line, words): one with a scene is met by a note of
+    its family (or an alias of it) that cites the scene or repeats the line, one without by a note with all its words;
+    without either by none.  Notes (world_id, note_id, family, status, scene_ids, body) meet one expectation each, in
+    order of id, but any number of decoys; sealed, dismissed and addressed ones don't count.
+    """
+    alias = F.create_map(*[F.lit(x) for kv in FAMILY_ALIASES.items() for x in kv])
+    family = F.coalesce(F.element_at(alias, text.norm_collapse("family")), text.norm_collapse("family"))
+    keyed = lambda df: df.withColumn("group", F.xxhash64("world_id", family))
+    live = keyed(notes.filter(~F.lower(F.coalesce("status", F.lit("open"))).isin(*SETTLED))).withColumnRenamed("note_id", "offered")
+    said = live.select("group", "offered", F.col("body").alias("said"))
+    cited = live.select("group", "offered", F.explode(F.array_distinct("scene_ids")).alias("scene_id"))
+
+    def links(df: DataFrame) -> DataFrame:
+        want = keyed(df).withColumnRenamed("expected_id", "wanted")
+        placed = want.select("group", "wanted", F.col("scene_id").isNotNull().alias("placed"))
+        return met_links(want, said, cited).join(placed, ["group", "wanted"]).filter(F.col("placed") == (F.col("by") != "words")).select("group", "wanted", "offered")
+
+    hit = cut(first_free(links(expected)))
+    # Ids are a world's own, so whom a link is about is looked up by group.
+    met = keyed(expected).join(hit.withColumnRenamed("wanted", "expected_id"), ["group", "expected_id"], "left_semi").groupBy("world_id").agg(F.count("*").alias("met"))
+    wrong = live.join(hit, ["group", "offered"], "left_anti").groupBy("world_id").agg(F.count("*").alias("left_over"))
+    flagged = live.select("world_id", "group", "offered").join(links(decoys).distinct(), ["group", "offered"]).groupBy("world_id").agg(F.count("*").alias("decoy_hits"))
+    out = expected.groupBy("world_id").agg(F.count("*").alias("expected"))
+    for part in (met, wrong, flagged):
+        out = out.join(part, "world_id", "left")
+    out = out.fillna(0).withColumn("recall", F.col("met") / F.col("expected"))
+    return out.withColumn("precision", F.coalesce(F.try_divide(F.col("met").cast("double"), F.col("met") + F.col("left_over")), F.lit(1.0)))
+
+
 def works_with_scenes(g: Graph) -> DataFrame:
     """Works in order, each with the slugs of its scenes in order."""
     inner = g.scenes.groupBy("world_id", "work_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("story_position", "slug"))), lambda x: x["slug"]), "|").alias("scenes"), F.count("*").alias("n"))

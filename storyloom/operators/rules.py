@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.operators import checks
@@ -76,3 +76,21 @@ def compose(g: Graph, rules: DataFrame) -> DataFrame:
     found, _ = checks.run_checks(g)
     more = checks.mark_sealed(cannot(g, rules).unionByName(only(g, rules)), g.seals)
     return without_exceptions(g, found.unionByName(more), rules)
+
+
+def rule_list(log: DataFrame) -> DataFrame:
+    """A log of rules (world_id, rule_id, op create|enable|disable|delete, at, kind, label) -> the rules that there are.
+
+    Without deleted rules and those never created; what came before the creation counts for nothing.  ``disabled_at``
+    is the last disabling, unless enabled since; ``place`` is by creation, then id.
+    """
+    made = F.col("op") == "create"
+    when = F.struct("at", "op")
+    per = log.groupBy("world_id", "rule_id").agg(
+        F.min(F.when(made, F.struct("at", "kind", "label"))).alias("made"), F.max(F.when(F.col("op").isin("enable", "disable"), when)).alias("turn"),
+        F.max(F.when(F.col("op") == "delete", F.col("at"))).alias("gone"),
+    )
+    there = per.filter("made is not null and (gone is null or gone < made.at)")
+    off = (F.col("turn.op") == "disable") & (F.col("turn.at") >= F.col("made.at"))
+    place = F.row_number().over(Window.partitionBy("world_id").orderBy("made.at", "rule_id"))
+    return there.select("world_id", "rule_id", "made.kind", "made.label", F.col("made.at").alias("created_at"), F.when(off, F.col("turn.at")).alias("disabled_at"), place.alias("place"))

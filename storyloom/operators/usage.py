@@ -128,3 +128,57 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataF
     both = side(before, "b").join(side(after, "a"), same, "full_outer")
     change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
     return both.select(*[F.when(F.col("b").isNotNull(), F.col(f"b_{k}")).otherwise(F.col(f"a_{k}")).alias(k) for k in keys], change.alias("change")).filter("change is not null")
+
+
+HOUR, DAY = 3600, 86400
+# What an account may do, by tier: how often in how many seconds (none: ever); how many pages a script may have, of how many lines.
+POLICIES = {
+    "free": {"world_create": (1, None), "script_ingest": (1, None), "report_run": (3, DAY), "ask": (20, HOUR)},
+    "paid": {"world_create": (25, None), "script_ingest": (100, None), "report_run": (50, DAY), "ask": (500, HOUR)},
+}
+PAGES = {"free": 130, "paid": 600}
+LINES_A_PAGE = 55
+
+
+def _span(window: int | None) -> str:
+    return {None: "per account", DAY: "per day", HOUR: "per hour"}.get(window, f"per {window}s")
+
+
+def _tiered(df: DataFrame, tiers: DataFrame) -> DataFrame:
+    return df.join(tiers.select("user_id", "tier"), "user_id", "left").withColumn("tier", F.coalesce("tier", F.lit("free")))
+
+
+def decisions(requests: DataFrame, log: DataFrame, tiers: DataFrame, policies: dict[str, dict[str, tuple[int, int | None]]] = POLICIES) -> DataFrame:
+    """Requests (request_id, user_id, kind, ts) -> request_id, tier, used, allowed, retry_after, reason.
+
+    ``used`` counts what the log (user_id, kind, ts) holds of the user's actions of that kind up to the request, in the
+    window that the user's tier sets, its far end included; a window of none reaches back for ever.  Who has no tier
+    is free; kinds without a limit are allowed and not counted (null).  ``retry_after`` are whole seconds, at least
+    one, until the oldest counted action leaves its window.  One exchange by user and kind serves all windows.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    rows = requests.select("request_id", "user_id", "kind", at).unionByName(log.select(F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), "user_id", "kind", at))
+    done = F.col("request_id").isNull()
+    windows = sorted({w for kinds in policies.values() for _, w in kinds.values()}, key=lambda w: (w is None, w))
+    counted = {}
+    for i, w in enumerate(windows):
+        over = Window.partitionBy("user_id", "kind").orderBy("at").rangeBetween(Window.unboundedPreceding if w is None else -w * 1_000_000, 0)
+        counted[f"n{i}"], counted[f"t{i}"] = F.count(F.when(done, 1)).over(over), F.min(F.when(done, F.col("at"))).over(over)
+    asked = _tiered(rows.withColumns(counted).filter(~done), tiers)
+    limits = [(t, k, most, windows.index(w), w) for t, kinds in policies.items() for k, (most, w) in kinds.items()]
+    pick = lambda value: F.coalesce(*[F.when((F.col("tier") == t) & (F.col("kind") == k), value(t, k, most, i, w)) for t, k, most, i, w in limits])
+    used = pick(lambda t, k, most, i, w: F.col(f"n{i}"))
+    left = pick(lambda t, k, most, i, w: F.lit(None).cast("long") if w is None else F.greatest(F.lit(1).cast("long"), F.ceil((F.col(f"t{i}") + w * 1_000_000 - F.col("at")) / 1_000_000)))
+    reason = pick(lambda t, k, most, i, w: F.lit(f"{t} tier allows {most} {k} {_span(w)}"))
+    asked = asked.withColumn("used", used).withColumn("allowed", F.coalesce(F.col("used") < pick(lambda t, k, most, i, w: F.lit(most)), F.lit(True)))
+    return asked.select("request_id", "user_id", "kind", "tier", "used", "allowed", F.when(~F.col("allowed"), left).alias("retry_after"), F.when(~F.col("allowed"), reason).alias("reason"))
+
+
+def page_decisions(scripts: DataFrame, tiers: DataFrame, most: dict[str, int] = PAGES) -> DataFrame:
+    """Scripts (doc_id, user_id, text) -> doc_id, tier, pages, allowed, reason: pages are lines by 55, at least one; an unknown tier has no limit."""
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in most.items() for x in kv]), F.col("tier"))
+    each = _tiered(scripts, tiers).withColumn("pages", F.greatest(F.lit(1).cast("long"), F.ceil(lines / LINES_A_PAGE))).withColumn("limit", limit)
+    allowed = F.coalesce(F.col("pages") <= F.col("limit"), F.lit(True))
+    reason = F.format_string("%s tier accepts scripts up to %d pages (got %d)", "tier", "limit", "pages")
+    return each.select("doc_id", "tier", "pages", allowed.alias("allowed"), F.when(~allowed, reason).alias("reason"))

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import ranges, text
+from storyloom.operators import checks
 from storyloom.operators.holes import scene_labels
 from storyloom.sources.graph import Graph
 
+# What a world can switch off.
+FAMILIES = ("dead_speaker", "presence_conflict", "premature_knowledge", "destroyed_location_use", "capability_violation", "dangling_reference", "idle_setup", *text.NOTE_FAMILIES)
+
 
 def enrich(g: Graph) -> DataFrame:
     """Assertions with the names and kinds of both ends, range flags, scene, work, label and the nested fact."""
@@ -209,11 +213,17 @@ def draft_queue(g: Graph, size: int = 20) -> DataFrame:
     return page(g.assertions.filter("status = 'draft'"), ["world_id"], [F.desc("confidence"), F.asc("assertion_id")], size).select("world_id", "assertion_id", "confidence", "place", "total", "truncated")
 
 
-def family_on(g: Graph, families: DataFrame) -> DataFrame:
-    """(family) x worlds, less what a world switched off."""
-    worlds = g.works.select("world_id").distinct()
-    off_ = g.family_config.filter(~F.col("enabled")).select("world_id", "family")
-    return worlds.join(families).join(off_, ["world_id", "family"], "left_anti")
+def family_list(g: Graph, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+    """(world_id, family, kind, enabled): every family in every world; what no world switched off is on."""
+    each = g.works.select("world_id").distinct().select("world_id", F.explode(F.array(*[F.lit(f) for f in families])).alias("family"))
+    off_ = checks.switched_off(g.family_config).withColumn("off", F.lit(True))
+    kind = F.when(F.col("family").isin(*text.NOTE_FAMILIES), "note").otherwise("check")
+    return each.join(off_, ["world_id", "family"], "left").select("world_id", "family", kind.alias("kind"), F.col("off").isNull().alias("enabled"))
+
+
+def family_on(g: Graph, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+    """(world_id, family) of what is on."""
+    return family_list(g, families).filter("enabled").select("world_id", "family")
 
 
 def findings_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ STOPPED = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 QUERIES = {
     "assertion_enriched": _with(lambda g: views.enrich(g).select("world_id", "assertion_id", "subject", "object", "label", "title", "nested_value", "lo_open", "hi_open", "range", "gloss", views.phrase().alias("phrase"))),
-    "family_toggle": lambda s, d: views.family_on(derive(s, d), s.createDataFrame([(f,) for f in ("dead_speaker", "presence_conflict", "destroyed_location_use", "F2")], "family string")),
+    "family_toggle": lambda s, d: views.family_on(derive(s, d), ("dead_speaker", "presence_conflict", "destroyed_location_use", "F2")),
     "assertion_search": _with(lambda g: views.assertion_search(g, "fact 1", ("knows", "goal")).select("world_id", "assertion_id", "place", "total", "truncated")),
     "entity_search": _with(lambda g: views.entity_search(g, "fact 1").select("world_id", "entity_id", "name", "aliases", "as_subject", "as_object")),
     "true_at": _with(lambda g: views.true_at(g, g.works.select("world_id").distinct().withColumn("at", F.lit(17))).select("world_id", "assertion_id", "at")),

@@ -27,8 +27,8 @@ def slug(heading: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(heading, r"^\.(?!\.)\s*", ""), SCENE_NUMBER, ""))
 
 
-def lines(scripts: DataFrame, annotation: str = ANNOTATION) -> DataFrame:
-    """(doc_id, pos, raw, line, part title|body, n_stripped): a title page is a run of keys on top, up to the first empty line.
+def lines(scripts: DataFrame, annotation: str = ANNOTATION, titled: bool = True) -> DataFrame:
+    """(doc_id, pos, raw, line, part title|body, n_stripped): a title page is a run of keys on top, up to the first empty line, if scripts are ``titled``.
 
     ``[annotation: ...]`` is taken out of body lines wherever it stands; a line with one that isn't closed goes whole.
     """
@@ -37,7 +37,7 @@ def lines(scripts: DataFrame, annotation: str = ANNOTATION) -> DataFrame:
     each = each.withColumn("top", F.min(F.when(F.col("line") != "", F.col("pos"))).over(whole))
     each = each.withColumn("keyed", F.coalesce(F.bool_or((F.col("pos") == F.col("top")) & F.col("line").rlike(TITLE_KEY)).over(whole), F.lit(False)))
     each = each.withColumn("end", F.min(F.when((F.col("pos") > F.col("top")) & (F.col("line") == ""), F.col("pos"))).over(whole))
-    part = F.when(~F.col("keyed") | (F.col("pos") > F.col("end")), "body").when(F.col("line") != "", "title")
+    part = F.when(F.lit(not titled) | ~F.col("keyed") | (F.col("pos") > F.col("end")), "body").when(F.col("line") != "", "title")
     each = each.withColumn("part", part).filter("part is not null").drop("top", "keyed", "end")
     tag = rf"(?i)\[{annotation}:[^\]]*\]"
     body = F.col("part") == "body"
@@ -48,15 +48,23 @@ def lines(scripts: DataFrame, annotation: str = ANNOTATION) -> DataFrame:
     return each.select("doc_id", "pos", raw.alias("raw"), "part", (n + broken.cast("int")).alias("n_stripped")).withColumn("line", strip("raw"))
 
 
-def scenes(scripts: DataFrame, annotation: str = ANNOTATION) -> DataFrame:
-    """(doc_id, scene, slug, is_flashback, raw_text): a scene from each heading behind an empty line (or on top) to the next; what comes before the first is dropped."""
+def scenes(scripts: DataFrame, annotation: str = ANNOTATION, printed: bool = False) -> DataFrame:
+    """(doc_id, scene, slug, is_flashback, raw_text): a scene from each heading behind an empty line (or on top) to the next; what comes before the first is dropped.
+
+    Text taken from ``printed`` pages has lost its empty lines and has no title page: there any heading in capitals
+    begins a scene, and page numbers and the like are left out.
+    """
     w = Window.partitionBy("doc_id").orderBy("pos")
     capital = (F.col("line") == F.upper("line")) & (F.col("line") != F.lower("line"))
-    body = lines(scripts, annotation).filter("part = 'body'").withColumn("looks", F.col("line").rlike(HEADING))
+    body = lines(scripts, annotation, titled=not printed).filter("part = 'body'")
+    if printed:
+        body = body.filter(~text.is_furniture("line"))
+    looks = F.col("line").rlike(HEADING)
+    body = body.withColumn("looks", looks & ~F.startswith("line", F.lit(".")) & (F.col("line") == F.upper("line")) if printed else looks)
     over = capital & F.col("line").rlike(FLASHBACK_OVER)
     back = capital & F.col("line").rlike(FLASHBACK) & ~F.col("looks")
     body = body.withColumn("mark", F.when(over, False).when(back, True)).withColumn("before", F.lag("line", 1, "").over(w))
-    body = body.withColumn("head", F.col("mark").isNull() & F.col("looks") & (F.col("before") == ""))
+    body = body.withColumn("head", F.col("mark").isNull() & F.col("looks") & (F.lit(printed) | (F.col("before") == "")))
     body = body.withColumn("flash", F.coalesce(F.last("mark", True).over(w), F.lit(False))).withColumn("scene", F.sum(F.col("head").cast("int")).over(w))
     kept = body.filter("mark is null and scene > 0")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "\n")

@@ -106,7 +106,7 @@ def test_traps_and_repeated_lines(spark):
     traps = spark.createDataFrame([(1, 1, "*", ["ann"]), (1, 2, "dead_speaker", ["ann", "bob"]), (1, 3, "dead_speaker", ["bob"]), (1, 4, "other", ["ann"]), (2, 5, "*", ["ann"])], "run_id long, trap_id long, check_name string, words array<string>")
     assert {r.trap_id: r.respected for r in lifecycle.trap_scores(traps, found).collect()} == {1: False, 2: True, 3: True, 4: True, 5: True}
     want = spark.createDataFrame([(1, 1, "dead_speaker", 99, [], "walks a long old road"), (1, 2, "dead_speaker", 99, [], "Bob")], "run_id long, expected_id long, check_name string, scene_id long, words array<string>, line string")
-    got = lifecycle.score_findings(want, found).collect()[0]
+    got = lifecycle.score_findings(want, found.drop("sealed")).collect()[0]
     assert (got.expected, got.met, got.false_positives) == (2, 1, 1)
 
 
