@@ -146,22 +146,29 @@ def capability_probes(g: Graph, muted: tuple[str, ...] = ("rejected", "retconned
 
 
 def met_links(wanted: DataFrame, said: DataFrame, scenes: DataFrame) -> DataFrame:
-    """What may meet what: wanted (group, wanted, scene_id, line, words), said (group, offered, said) with scenes (group, offered, scene_id) -> (group, wanted, offered, by scene|line|words).
+    """What may meet what: wanted (group, wanted, scene_id, line), said (group, offered, said) with scenes (group, offered, scene_id) -> (group, wanted, offered).
 
-    At the same scene; where a line of three tokens or more is repeated to 55 %; where all words stand, in any case.
-    No words, or none that isn't empty, stand nowhere.  Each way is a join of its own: by scene, by a line's rarest
-    tokens, by the rarest gram of the longest word.
+    At the same scene, or where a line of three tokens or more is repeated to 55 %; a line is looked up by its rarest tokens.
     """
-    at = wanted.join(scenes, ["group", "scene_id"]).select("group", "wanted", "offered", F.lit("scene").alias("by"))
+    at = wanted.join(scenes, ["group", "scene_id"]).select("group", "wanted", "offered")
     long_ = wanted.filter(F.size(text.tokens("line")) >= 3).select(F.col("group").alias("world_id"), F.col("wanted").alias("fact_key"), F.col("line").alias("fact"))
     near = fact_matches(said.select(F.col("group").alias("world_id"), F.col("offered").alias("handle_id"), F.col("said").alias("handle")), long_, 0.55)
-    near = near.select(F.col("world_id").alias("group"), F.col("fact_key").alias("wanted"), F.col("handle_id").alias("offered"), F.lit("line").alias("by"))
-    own = F.array_distinct(F.filter(F.transform("words", lambda w: F.lower(F.trim(w))), lambda w: w != ""))
+    return at.unionByName(near.select(F.col("world_id").alias("group"), F.col("fact_key").alias("wanted"), F.col("handle_id").alias("offered")))
+
+
+def word_pools(wanted: DataFrame, said: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who wants the same words (group, wanted, words) wants from one pool: pools (group, pool, offered) and members (group, wanted, pool).
+
+    All words must stand in ``said``, in any case; no words, or none that isn't empty, stand nowhere.  Texts are found
+    by the rarest gram of the longest word.
+    """
+    own = F.array_sort(F.array_distinct(F.filter(F.transform("words", lambda w: F.lower(F.trim(w))), lambda w: w != "")))
+    each = wanted.select("group", "wanted", own.alias("own")).filter(F.size("own") > 0).withColumn("pool", F.xxhash64("own"))
     longest = F.get(F.sort_array(F.transform("own", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
-    needles = wanted.select(F.col("group").alias("world_id"), "wanted", own.alias("own")).filter(F.size("own") > 0).withColumn("needle", longest)
+    needles = each.select(F.col("group").alias("world_id"), "pool", "own").dropDuplicates(["world_id", "pool"]).withColumn("needle", longest)
     hays = said.select(F.col("group").alias("world_id"), "offered", F.lower("said").alias("hay"))
-    named = containing(hays, needles).filter(F.forall("own", lambda w: F.col("hay").contains(w))).select(F.col("world_id").alias("group"), "wanted", "offered", F.lit("words").alias("by"))
-    return at.unionByName(near).unionByName(named)
+    pools = containing(hays, needles).filter(F.forall("own", lambda w: F.col("hay").contains(w)))
+    return pools.select(F.col("world_id").alias("group"), "pool", "offered"), each.select("group", "wanted", "pool")
 
 
 def score_findings(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -176,11 +183,19 @@ def score_findings(expected: DataFrame, found: DataFrame) -> DataFrame:
     e = has(has(expected, "line", nothing), "kind", F.lit("finding")).withColumn("is_note", F.coalesce(F.col("kind") == "note", F.lit(False)))
     group = F.xxhash64("run_id", text.norm_collapse("check_name")).alias("group")
     nth = F.row_number().over(Window.partitionBy("group").orderBy("is_note", "expected_id")).cast("long")
-    e = e.select("*", group).withColumn("wanted", nth)
+    e = cut(e.select("*", group).withColumn("wanted", nth))
     live = has(found, "sealed", F.lit(False)).filter("sealed is not true").select("run_id", F.col("finding_id").alias("offered"), "scene_id", F.col("explanation").alias("said"), "severity", group)
-    links = met_links(e, live, live.select("group", "offered", "scene_id"))
-    links = links.join(e.select("group", "wanted", "is_note"), ["group", "wanted"]).join(live.select("group", "offered", (F.col("severity") == "note").alias("note")), ["group", "offered"])
-    hit = cut(first_free(links.filter(~F.col("is_note") | F.col("note"))))
+    live = cut(live)  # each way of meeting reads it
+    notes = live.filter("severity = 'note'")
+    links, pools, members = [], [], []
+    for want, have in ((e.filter(~F.col("is_note")), live), (e.filter("is_note"), notes)):
+        links.append(met_links(want, have, have.select("group", "offered", "scene_id")))
+        p, m = word_pools(want, have)
+        # Notes' pools are others than those of findings with the same words.
+        own = F.xxhash64("pool", F.lit(len(pools))).alias("pool")
+        pools.append(p.select("group", own, "offered"))
+        members.append(m.select("group", "wanted", own))
+    hit = cut(first_free(*(reduce(DataFrame.unionByName, x) for x in (links, pools, members))))
     extra = live.filter(F.col("severity").isin("critical", "warning")).join(hit, ["group", "offered"], "left_anti").groupBy("run_id").agg(F.count("*").alias("false_positives"))
     met = e.join(hit, ["group", "wanted"], "left_semi").groupBy("run_id").agg(F.count("*").alias("met"))
     total = expected.groupBy("run_id").agg(F.count("*").alias("expected"))

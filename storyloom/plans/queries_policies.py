@@ -121,7 +121,7 @@ QUERIES = {
     "page_decisions": _pages,
     "family_list": _with(_families),
     "capability_probes": _with(lifecycle.capability_probes),
-    "findings_documents": _with(lambda g: lifecycle.document_lines(_found(g), g.works)),
+    "findings_documents": lambda s, d: lifecycle.document_lines(_found(g := stored.derived(s, d)), g.works),
     "rule_list": _rule_log,
     "printed_scenes": _with(_printed),
     "text_slugs": _slugs,

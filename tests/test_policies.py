@@ -70,8 +70,14 @@ def test_first_free_equals_brute_force(spark):
     links = [(g, r.randrange(30), r.randrange(1, 25)) for g in range(4) for _ in range(60)] + [(9, w, o) for w in range(12) for o in range(9)]
     df = spark.createDataFrame(links + links[:20], "group long, wanted long, offered long").repartition(5)
     for hot in (10**6, 0):  # a group as it is, and in its connected sets
-        assert {tuple(x) for x in matching.first_free(df, hot).collect()} == greedy(links)
+        assert {tuple(x) for x in matching.first_free(df, hot=hot).collect()} == greedy(links)
     assert matching.first_free(df.limit(0)).count() == 0
+    pools = [(g, p, r.randrange(1, 25)) for g in range(4) for p in range(5) for _ in range(6)]
+    members = [(g, r.randrange(40), r.randrange(6)) for g in range(4) for _ in range(30)]  # some of no pool, some of two, some without links
+    long = links + [(g, w, o) for g, w, p in members for h, q, o in pools if (h, q) == (g, p)]
+    three = [df, spark.createDataFrame(pools, "group long, pool long, offered long"), spark.createDataFrame(members, "group long, wanted long, pool long")]
+    for hot in (10**6, 0):
+        assert {tuple(x) for x in matching.first_free(*three, hot).collect()} == greedy(long)
 
 
 def test_notes_are_met_by_notes_and_last(spark):
