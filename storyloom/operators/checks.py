@@ -111,9 +111,10 @@ def unsourced(g: Graph, muted: tuple[str, ...], family: str | None = None) -> Da
     # Who could tell a fact in which scene; only facts with several knowers are of use.
     tellers = known.select("world_id", "fact_key", F.col("subject_id").alias("entity_id"), "lo", "hi")
     tellers = tellers.join(late.select("world_id", "fact_key").distinct(), ["world_id", "fact_key"], "left_semi")
-    told = point_join(present, tellers, ["world_id", "entity_id"], "met_at", "lo", "hi").select("world_id", "fact_key", "met", F.col("entity_id").alias("teller")).distinct()
+    told = point_join(present, tellers, ["world_id", "entity_id"], "met_at", "lo", "hi").groupBy("world_id", "fact_key", "met").agg(F.min("entity_id").alias("teller"), F.max("entity_id").alias("other"))
     hearers = late.select("world_id", "subject_id", "fact_key").distinct().join(present.select("world_id", "met", "met_at", F.col("entity_id").alias("subject_id")), ["world_id", "subject_id"])
-    meetings = hearers.join(told, ["world_id", "fact_key", "met"]).filter("teller <> subject_id")
+    # Another one tells the fact if the first or the last teller of a scene is another, so no pair of both is made.
+    meetings = hearers.join(told, ["world_id", "fact_key", "met"]).filter("teller <> subject_id or other <> subject_id")
     first = meetings.groupBy("world_id", "subject_id", "fact_key").agg(F.min("met_at").alias("heard_at"))
     return late.join(first, ["world_id", "subject_id", "fact_key"], "left").filter(F.col("heard_at").isNull() | (F.col("heard_at") > F.col("since")))
 
