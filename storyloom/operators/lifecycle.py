@@ -156,6 +156,18 @@ def met_links(wanted: DataFrame, said: DataFrame, scenes: DataFrame) -> DataFram
     return at.unionByName(near.select(F.col("world_id").alias("group"), F.col("fact_key").alias("wanted"), F.col("handle_id").alias("offered")))
 
 
+def met_pools(wanted: DataFrame, said: DataFrame, scenes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``met_links``, but who wants the same scene or a line of the same tokens wants from one pool: pools (group, pool, offered) and members (group, wanted, pool)."""
+    at = wanted.filter("scene_id is not null").select("group", "wanted", "scene_id", F.xxhash64(F.lit("scene"), F.col("scene_id").cast("long")).alias("pool"))
+    here = scenes.join(at.select("group", "scene_id", "pool").distinct(), ["group", "scene_id"]).select("group", "pool", "offered")
+    own = F.array_sort(text.tokens("line"))
+    long_ = wanted.filter(F.size(text.tokens("line")) >= 3).withColumn("pool", F.xxhash64(F.lit("line"), own))
+    lines = long_.groupBy(F.col("group").alias("world_id"), F.col("pool").alias("fact_key")).agg(F.first("line").alias("fact"))
+    near = fact_matches(said.select(F.col("group").alias("world_id"), F.col("offered").alias("handle_id"), F.col("said").alias("handle")), lines, 0.55)
+    pools = here.unionByName(near.select(F.col("world_id").alias("group"), F.col("fact_key").alias("pool"), F.col("handle_id").alias("offered")))
+    return pools, at.select("group", "wanted", "pool").unionByName(long_.select("group", "wanted", "pool"))
+
+
 def word_pools(wanted: DataFrame, said: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Who wants the same words (group, wanted, words) wants from one pool: pools (group, pool, offered) and members (group, wanted, pool).
 
@@ -183,19 +195,18 @@ def score_findings(expected: DataFrame, found: DataFrame) -> DataFrame:
     e = has(has(expected, "line", nothing), "kind", F.lit("finding")).withColumn("is_note", F.coalesce(F.col("kind") == "note", F.lit(False)))
     group = F.xxhash64("run_id", text.norm_collapse("check_name")).alias("group")
     nth = F.row_number().over(Window.partitionBy("group").orderBy("is_note", "expected_id")).cast("long")
-    e = cut(e.select("*", group).withColumn("wanted", nth))
+    e = cut(e.select("*", group).withColumn("wanted", nth), grows=True)
     live = has(found, "sealed", F.lit(False)).filter("sealed is not true").select("run_id", F.col("finding_id").alias("offered"), "scene_id", F.col("explanation").alias("said"), "severity", group)
-    live = cut(live)  # each way of meeting reads it
+    live = cut(live, grows=True)  # each way of meeting reads it
     notes = live.filter("severity = 'note'")
-    links, pools, members = [], [], []
+    pools, members = [], []
     for want, have in ((e.filter(~F.col("is_note")), live), (e.filter("is_note"), notes)):
-        links.append(met_links(want, have, have.select("group", "offered", "scene_id")))
-        p, m = word_pools(want, have)
         # Notes' pools are others than those of findings with the same words.
-        own = F.xxhash64("pool", F.lit(len(pools))).alias("pool")
-        pools.append(p.select("group", own, "offered"))
-        members.append(m.select("group", "wanted", own))
-    hit = cut(first_free(*(reduce(DataFrame.unionByName, x) for x in (links, pools, members))))
+        own = F.xxhash64("pool", F.lit(have is live)).alias("pool")
+        for p, m in (met_pools(want, have, have.select("group", "offered", "scene_id")), word_pools(want, have)):
+            pools.append(p.select("group", own, "offered"))
+            members.append(m.select("group", "wanted", own))
+    hit = cut(first_free(None, *(reduce(DataFrame.unionByName, x) for x in (pools, members))), grows=True)
     extra = live.filter(F.col("severity").isin("critical", "warning")).join(hit, ["group", "offered"], "left_anti").groupBy("run_id").agg(F.count("*").alias("false_positives"))
     met = e.join(hit, ["group", "wanted"], "left_semi").groupBy("run_id").agg(F.count("*").alias("met"))
     total = expected.groupBy("run_id").agg(F.count("*").alias("expected"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,25 +71,28 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))], schema=TAKEN)
 
 
-def first_free(links: DataFrame, pools: DataFrame | None = None, members: DataFrame | None = None, hot: int = HOT_LINKS) -> DataFrame:
-    """Links (group, wanted, offered), all long -> those that hold.
+def first_free(links: DataFrame | None, pools: DataFrame | None = None, members: DataFrame | None = None, hot: int = HOT_LINKS) -> DataFrame:
+    """Links (group, wanted, offered), all long, if any -> those that hold.
 
     In order of ``wanted`` each takes its smallest ``offered`` that no smaller one of its group took.  Offers that many
     want alike are given once, as pools (group, pool, offered) with members (group, wanted, pool).  Groups of more than
     ``hot`` rows are parted into their connected sets first, which take nothing from each other.
     """
     none = F.lit(None).cast("long")
-    rows = links.select("group", F.lit(1).alias("kind"), F.col("wanted").alias("id"), none.alias("pool"), "offered")
+    parts = []
+    if links is not None:
+        parts.append(links.select("group", F.lit(1).alias("kind"), F.col("wanted").alias("id"), none.alias("pool"), "offered"))
     if pools is not None:
-        rows = rows.unionByName(pools.select("group", F.lit(0).alias("kind"), F.col("pool").alias("id"), none.alias("pool"), "offered"))
-        rows = rows.unionByName(members.select("group", F.lit(1).alias("kind"), F.col("wanted").alias("id"), "pool", none.alias("offered")))
-    rows = cut(rows.distinct())
+        parts.append(pools.select("group", F.lit(0).alias("kind"), F.col("pool").alias("id"), none.alias("pool"), "offered"))
+        parts.append(members.select("group", F.lit(1).alias("kind"), F.col("wanted").alias("id"), "pool", none.alias("offered")))
+    rows = reduce(DataFrame.unionByName, parts)
+    rows = cut(rows.distinct(), grows=True)
     large = rows.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("group")
     each = rows.withColumn("part", F.lit(0).cast("long"))
     if not large.isEmpty():
         node = lambda kind, c: F.struct(F.col("group"), kind.alias("kind"), F.col(c).alias("id"))
         other = F.struct(F.col("group"), F.when(F.col("pool").isNull(), 2).otherwise(0).alias("kind"), F.coalesce("offered", "pool").alias("id"))
-        sets = components(rows.join(large, "group", "left_semi").select(node(F.col("kind"), "id").alias("a"), other.alias("b")))
+        sets = components(rows.join(F.broadcast(large), "group", "left_semi").select(node(F.col("kind"), "id").alias("a"), other.alias("b")))
         label = F.xxhash64("component.kind", "component.id").alias("part")
         own = sets.select(F.col("node.group").alias("group"), F.col("node.kind").alias("kind"), F.col("node.id").alias("id"), label)
         each = rows.join(own, ["group", "kind", "id"], "left").withColumn("part", F.coalesce("part", F.lit(0)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text
 from storyloom.operators.holes import scene_labels
-from storyloom.operators.lifecycle import met_links, word_pools
+from storyloom.operators.lifecycle import met_links, met_pools, word_pools
 from storyloom.operators.lineage import cut
 from storyloom.operators.matching import first_free
 from storyloom.sources.graph import Graph
@@ -75,19 +75,23 @@ def coverage_scores(expected: DataFrame, notes: DataFrame, decoys: DataFrame) ->
     alias = F.create_map(*[F.lit(x) for kv in FAMILY_ALIASES.items() for x in kv])
     family = F.coalesce(F.element_at(alias, text.norm_collapse("family")), text.norm_collapse("family"))
     keyed = lambda df: df.withColumn("group", F.xxhash64("world_id", family))
-    live = cut(keyed(notes.filter(~F.lower(F.coalesce("status", F.lit("open"))).isin(*SETTLED))).withColumnRenamed("note_id", "offered"))
+    live = cut(keyed(notes.filter(~F.lower(F.coalesce("status", F.lit("open"))).isin(*SETTLED))).withColumnRenamed("note_id", "offered"), grows=True)
     said = live.select("group", "offered", F.col("body").alias("said"))
     cited = live.select("group", "offered", F.explode(F.array_distinct("scene_ids")).alias("scene_id"))
 
-    def links(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def parted(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         want = keyed(df).withColumnRenamed("expected_id", "wanted")
-        return met_links(want.filter("scene_id is not null"), said, cited).distinct(), *word_pools(want.filter("scene_id is null"), said)
+        return want.filter("scene_id is not null"), want.filter("scene_id is null")
 
-    hit = cut(first_free(*links(expected)))
+    placed, loose = parted(expected)
+    both = zip(met_pools(placed, said, cited), word_pools(loose, said))
+    hit = cut(first_free(None, *(one.unionByName(two) for one, two in both)))
     # Ids are a world's own, so whom a link is about is looked up by group.
     met = keyed(expected).join(hit.withColumnRenamed("wanted", "expected_id"), ["group", "expected_id"], "left_semi").groupBy("world_id").agg(F.count("*").alias("met"))
     wrong = live.join(hit, ["group", "offered"], "left_anti").groupBy("world_id").agg(F.count("*").alias("left_over"))
-    direct, pools, members = links(decoys)
+    placed, loose = parted(decoys)
+    direct = met_links(placed, said, cited).distinct()  # a decoy is hit once by scene or line
+    pools, members = word_pools(loose, said)
     sizes = members.groupBy("group", "pool").agg(F.count("*").alias("n"))
     hits = direct.select("group", "offered", F.lit(1).cast("long").alias("n")).unionByName(pools.join(sizes, ["group", "pool"]).select("group", "offered", "n"))
     flagged = live.select("world_id", "group", "offered").join(hits, ["group", "offered"]).groupBy("world_id").agg(F.sum("n").alias("decoy_hits"))
