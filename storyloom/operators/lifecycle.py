@@ -11,7 +11,7 @@ from storyloom.functions import text
 from storyloom.operators import checks
 from storyloom.operators.lineage import cut
 from storyloom.operators.matching import first_free
-from storyloom.operators.needles import containing
+from storyloom.operators.needles import containing, holding
 from storyloom.operators.overlap import overlap_join
 from storyloom.sources.graph import Graph
 
@@ -241,12 +241,17 @@ def evaluate_runs(cases: DataFrame, extra: DataFrame, episodes: int, bar: tuple[
 
 def trap_scores(traps: DataFrame, found: DataFrame) -> DataFrame:
     """Traps (run_id, trap_id, check_name or *, words) that no unsealed finding of the check with all the words may meet -> respected or not."""
-    f = found.filter("not sealed").select("run_id", F.col("check_name").alias("of"), F.lower("explanation").alias("said"))
-    says = F.forall("words", lambda w: F.col("said").contains(F.lower(w)))
-    f = f.withColumnRenamed("run_id", "run")
-    by_check = traps.filter("check_name <> '*'").join(f, (F.col("run_id") == F.col("run")) & (F.col("check_name") == F.col("of")) & says, "left_semi")
-    by_run = traps.filter("check_name = '*'").join(f, (F.col("run_id") == F.col("run")) & says, "left_semi")
-    broken = by_check.unionByName(by_run).select("run_id", "trap_id", F.lit(False).alias("respected"))
+    f = found.filter("not sealed and run_id is not null").select(F.col("run_id").alias("world_id"), F.col("check_name").alias("of"), F.lower("explanation").alias("hay"))
+    hays = cut(f.filter("hay is not null").distinct(), grows=True)
+    of_check = (F.col("check_name") == "*") | (F.col("check_name") == F.col("of"))
+    low = F.transform("words", lambda w: F.lower(w))
+    t = traps.filter("check_name is not null").select(F.col("run_id").alias("world_id"), "trap_id", "check_name", low.alias("low"))
+    t = t.filter("low is not null").filter(~F.exists("low", lambda w: w.isNull()))
+    longest = F.array_max(F.transform("low", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    t = t.withColumn("needle", F.coalesce(longest, F.lit("")))
+    met = holding(hays, t).filter(of_check & F.forall("low", lambda w: F.col("hay").contains(w)))
+    wordless = t.filter("needle = ''").join(hays.select("world_id", "of").distinct(), "world_id").filter(of_check)
+    broken = met.select("world_id", "trap_id").unionByName(wordless.select("world_id", "trap_id")).distinct().select(F.col("world_id").alias("run_id"), "trap_id", F.lit(False).alias("respected"))
     return traps.join(broken, ["run_id", "trap_id"], "left").select("run_id", "trap_id", "check_name", F.coalesce("respected", F.lit(True)).alias("respected"))
 
 

@@ -42,3 +42,23 @@ def containing(hays: DataFrame, needles: DataFrame) -> DataFrame:
     """Rows of both tables, of one world, where ``hay`` contains ``needle``; an empty needle is in nothing."""
     found = candidates(hays, needles).filter(F.col("hay").contains(F.col("needle")))
     return found.join(hays, ["world_id", "hay"]).join(needles, ["world_id", "needle"])
+
+
+def holding(hays: DataFrame, needles: DataFrame) -> DataFrame:
+    """As ``containing``, for needles that hold words between spaces: these are whole words of the text, and are looked up by the rarest.
+
+    Grams of numbers repeat, numbers don't.
+    """
+    split = F.split("needle", " ")
+    inner = F.when(F.size(split) > 2, F.array_remove(F.array_distinct(F.slice(split, F.lit(2), F.size(split) - 2)), ""))
+    own = needles.select("world_id", "needle").distinct().withColumn("inner", F.coalesce(inner, F.array().cast("array<string>")))
+    asked = own.select("world_id", "needle", F.explode("inner").alias("word"))
+    words = hays.select("world_id", "hay").distinct().select("world_id", "hay", F.explode(F.array_distinct(F.split("hay", " "))).alias("word"))
+    words = words.join(asked.select("world_id", "word").distinct(), ["world_id", "word"], "left_semi")
+    often = words.groupBy("world_id", "word").agg(F.count("*").alias("texts"))
+    rarest = asked.join(often, ["world_id", "word"], "left").fillna(0, ["texts"]).groupBy("world_id", "needle").agg(F.min_by("word", F.struct("texts", "word")).alias("word"))
+    found = words.join(rarest, ["world_id", "word"]).filter(F.col("hay").contains(F.col("needle"))).select("world_id", "hay", "needle")
+    by_word = found.join(hays, ["world_id", "hay"]).join(needles, ["world_id", "needle"])
+    others = needles.join(own.filter(F.size("inner") == 0).select("world_id", "needle"), ["world_id", "needle"], "left_semi")
+    rest = containing(hays, others)
+    return by_word.unionByName(rest.select(*by_word.columns))
