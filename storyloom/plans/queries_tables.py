@@ -21,6 +21,11 @@ def _with(fn):
     return lambda s, d: fn(derive(s, d))
 
 
+def _stored(fn):
+    """For queries that read the graph many times, as all checks do."""
+    return lambda s, d: fn(stored.derived(s, d))
+
+
 def _found(g: Graph) -> DataFrame:
     return checks.run_checks(g)[0]
 
@@ -109,16 +114,16 @@ QUERIES = {
     "merged_entities": _with(lambda g: _merged(g)[0]),
     "merged_aliases": _with(lambda g: _merged(g)[1]),
     "consistency_summary": _with(_summary),
-    "world_list_findings": _with(lambda g: views.world_list(g, _found(g))),
+    "world_list_findings": _stored(lambda g: views.world_list(g, _found(g))),
     "account_manifest": _with(_owned),
-    "findings_contract": _with(lambda g: lifecycle.contract(_found(g))),
+    "findings_contract": _stored(lambda g: lifecycle.contract(_found(g))),
     "detected_findings": _with(lambda g: lifecycle.detected(_errors(g))),
     "scene_page": _with(views.scene_page),
-    "assertion_page": _with(lambda g: views.assertion_page(g, _found(g))),
-    "finding_page": _with(lambda g: views.finding_page(g, _found(g))),
-    "trap_scores": lambda s, d: _trap_scores(stored.derived(s, d)),
+    "assertion_page": _stored(lambda g: views.assertion_page(g, _found(g))),
+    "finding_page": _stored(lambda g: views.finding_page(g, _found(g))),
+    "trap_scores": _stored(_trap_scores),
     "fact_matches": _with(_handles),
-    "report_sections": _with(_sections),
+    "report_sections": _stored(_sections),
     "gated_rows": _gated,
     "cut_reasons": _with(lambda g: ripple.cut_reasons(g, change_table(g))),
     "bible_timeline": _with(dossier.timeline),
