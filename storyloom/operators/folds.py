@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,23 +136,33 @@ def apply_rulings(assertions: DataFrame, rulings: DataFrame) -> tuple[DataFrame,
     return both.withColumn("status", status).drop("__r", "__ok"), applied
 
 
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs in order of run, subject, predicate and both ids -> those that hold: each expected one takes its first actual one that is free."""
+    group, done, used = None, None, set()
+    for batch in batches:
+        taken = []
+        for i, (*now, x, y) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+            if now != group:
+                group, done = now, None
+                used.clear()
+            if x != done and y not in used:
+                done = x
+                used.add(y)
+                taken.append(i)
+        yield batch.select(["run_id", "expected_id", "actual_id"]).take(pa.array(taken, pa.int64()))
+
+
 def score_extraction(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Recall per run of (run_id, expected_id, subject, predicate, value) against (run_id, actual_id, ...): greedy, one to one, in expected order within each run, subject and predicate; normalised values match if equal or one holds the other."""
     norm = lambda df, i: df.select("run_id", i, text.norm_strip("subject").alias("s"), "predicate", text.norm_strip("value").alias("v"))
     e, a = norm(expected, "expected_id"), norm(actual, "actual_id").withColumnRenamed("v", "w")
     pairs = e.join(a, ["run_id", "s", "predicate"]).filter(F.col("v").contains(F.col("w")) | F.col("w").contains(F.col("v")))
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for x, g in pdf.sort_values(["expected_id", "actual_id"]).groupby("expected_id", sort=False):
-            free = [y for y in g["actual_id"] if y not in used]
-            if free:
-                used.add(free[0])
-                rows.append((pdf["run_id"].iloc[0], x, free[0]))
-        return pd.DataFrame(rows, columns=["run_id", "expected_id", "actual_id"])
-
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    hit = pairs.groupBy("run_id", "s", "predicate").applyInPandas(greedy, f"run_id {kinds['run_id']}, expected_id {kinds['expected_id']}, actual_id {kinds['actual_id']}")
+    order = ["run_id", "s", "predicate", "expected_id", "actual_id"]
+    # Groups are many and small: they stream through a task in order, and are not handed over one by one.
+    ordered = pairs.select(*order).repartition("run_id", "s", "predicate").sortWithinPartitions(*order)
+    hit = ordered.mapInArrow(_greedy, f"run_id {kinds['run_id']}, expected_id {kinds['expected_id']}, actual_id {kinds['actual_id']}")
     total = expected.groupBy("run_id").agg(F.count("*").alias("expected"))
     return total.join(hit.groupBy("run_id").agg(F.count("*").alias("matched")), "run_id", "left").fillna(0, ["matched"]).withColumn("recall", F.col("matched") / F.col("expected"))
 
