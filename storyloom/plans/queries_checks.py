@@ -110,12 +110,12 @@ FROM gaps g LEFT JOIN labels_ l ON l.world_id = g.world_id AND l.scene_id = g.sc
 QUERIES = {
     "check_dead_speaker": lambda s, d: checks.dead_speaker(derive(s, d)),
     "check_presence_conflict": lambda s, d: checks.presence_conflict(derive(s, d)),
-    "check_presence_conflict_binned": lambda s, d: checks.presence_conflict(derive(s, d), hot_rows=4),
+    "check_presence_conflict_binned": lambda s, d: checks.presence_conflict(stored.derived(s, d), hot_rows=4),
     "check_premature_knowledge": lambda s, d: checks.premature_knowledge(derive(s, d)),
     "check_destroyed_use": lambda s, d: checks.destroyed_location_use(derive(s, d)),
     "check_dangling_reference": lambda s, d: checks.dangling_reference(derive(s, d)),
     "check_capability_violation": lambda s, d: checks.capability_violation(derive(s, d)),
-    "check_idle_setup": lambda s, d: checks.idle_setup(derive(s, d)),
+    "check_idle_setup": lambda s, d: checks.idle_setup(stored.derived(s, d)),
     "run_checks": lambda s, d: checks.run_checks(stored.derived(s, d))[0],
     "severity_summary": lambda s, d: checks.run_checks(stored.derived(s, d))[0].groupBy("world_id", "severity").agg(F.count_if(~F.col("sealed")).alias("live"), F.count_if("sealed").alias("sealed")),
     "hole_unknown_entity": lambda s, d: holes.unknown_entity(derive(s, d)),
