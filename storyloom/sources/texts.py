@@ -80,3 +80,13 @@ def policy_scan(docs: DataFrame, secret: str, heading: str, most: int = 3) -> Da
 
 def leak_check(docs: DataFrame, marker: str) -> DataFrame:
     return docs.select("doc_id", F.regexp_count("text", F.lit(marker)).cast("long").alias("n")).filter("n > 0")
+
+
+def role_references(docs: DataFrame) -> DataFrame:
+    """(surface): the distinct words of all texts, between anything but letters and dots, that name a role.
+
+    Words are many and distinct ones few, so each is judged once: the test reads the count, or Spark would move it before the grouping.
+    """
+    words = docs.select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[^A-Za-z.]+"))).alias("surface")).groupBy("surface").agg(F.count("*").alias("n"))
+    judged = F.when((F.col("n") > 0) & (F.col("surface") != ""), F.col("surface"))
+    return words.filter(judged.isNotNull() & text.is_role_reference(judged)).select("surface")
