@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.operators.lineage import cut
 from storyloom.sources.graph import KINDS, PREDICATES
 
+PART_ROWS = 500_000  # about as many rows of a table go to one task
+
 # Columns that tell the rows of a table apart.
 UNIQUE = {
     "works": ("work_id",),
@@ -69,18 +74,26 @@ def _key(columns: tuple[str, ...]) -> Column:
     return F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("key")
 
 
-def violations(tables: dict[str, DataFrame]) -> DataFrame:
+def violations(tables: dict[str, DataFrame], part_rows: int = PART_ROWS) -> DataFrame:
     """(table_name, constraint, key) of all that is wrong in the given tables; constraints on tables not given are left out.
 
     A repeated key is named once.  Domains and conditions of a table are judged in one pass; a row is named by the key
     of its table.  Nulls refer to nothing and are in every domain; two nulls in a key are equal.
+
+    Tables are written once and exchanged by key into parts of ``part_rows`` rows: rows of few scenes or places are
+    small when compressed, so Spark, left to itself, would sort ever more of them in one task as tables grow.
     """
+    spark = next(iter(tables.values())).sparkSession
+    with ThreadPoolExecutor(len(tables)) as pool:  # tables are written at once, each by jobs of its own
+        tables = dict(zip(tables, pool.map(inheritable_thread_target(spark)(cut), tables.values())))
+    rows = {table: df.count() for table, df in tables.items()}
+    parts_of = lambda *names: max(1, *(-(-rows[x] // part_rows) for x in names))
     row = lambda df, table, name, key: df.select(F.lit(table).alias("table_name"), F.lit(name).alias("constraint"), key)
     parts = []
     for table, df in tables.items():
         columns = UNIQUE.get(table, ())
         if columns:
-            parts.append(row(df.groupBy(*columns).count().filter("count > 1"), table, "unique_" + "_".join(columns), _key(columns)))
+            parts.append(row(df.select(*columns).repartition(parts_of(table), *columns).groupBy(*columns).count().filter("count > 1"), table, "unique_" + "_".join(columns), _key(columns)))
         bad = [F.when(~F.col(c).isin(*values), F.lit(f"{c}_known")) for t, c, values in DOMAINS if t == table]
         bad += [F.when(~F.expr(holds), F.lit(name)) for t, name, holds in CONDITIONS if t == table]
         if bad:
@@ -88,7 +101,9 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
             parts.append(df.select(F.lit(table).alias("table_name"), F.explode(F.array_compact(F.array(*bad))).alias("constraint"), key))
     for table, c, other, column in REFERENCES:
         if table in tables and other in tables:
-            known = tables[other].select(F.col(column).alias(c)).distinct()
-            lost = tables[table].filter(F.col(c).isNotNull()).join(known, c, "left_anti")
-            parts.append(row(lost, table, f"{c}_exists", _key(UNIQUE.get(table) or tuple(tables[table].columns))))
+            n = parts_of(table, other)
+            known = tables[other].select(F.col(column).alias(c)).repartition(n, c).distinct()
+            columns = UNIQUE.get(table) or tuple(tables[table].columns)
+            asked = tables[table].filter(F.col(c).isNotNull()).select(F.col(c), _key(columns)).repartition(n, c)
+            parts.append(row(asked.join(known.hint("merge"), c, "left_anti"), table, f"{c}_exists", F.col("key")))
     return reduce(DataFrame.unionByName, parts)
