@@ -2,16 +2,23 @@
 
 What becomes of a name depends only on the names near it that came before: it joins the one
 entity that they belong to, waits for a person if they belong to several, and is an entity of its
-own if to none.  So the near pairs are found first, by their rarest tokens, and the decisions
-follow these links: connected groups of names are folded apart, each in one pass over its names
-and links, and a group of more than ``most`` names, which shouldn't be one task, is
-decided in rounds of joins, each of which settles all names whose earlier neighbours are settled.
+own if to none.  Names of t and u tokens are near exactly if they share ``least_shared(t, u)``
+tokens, so names meet in *blocks*, one for each such set of tokens and pair of sizes: in a block all names of the one
+size are near all of the other, and what a name learns there is which roots came before,
+none, one or several.  So near names are never paired, and a word that all names hold costs one block.
+
+Connected groups of names are folded apart, each in one pass over its names and their blocks, and a group of more than
+``most`` names, which shouldn't be one task, is decided in rounds: each decides all names
+anew by what their blocks tell under the last decisions, until none changes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text
@@ -20,73 +27,133 @@ from storyloom.operators.folds import surfaces
 from storyloom.operators.lineage import components, cut
 
 MOST = 200_000
+SHORT = 6  # names of more tokens have too many sets of tokens, and meet others in blocks of two
 DECIDED = "world_id long, norm string, root string, outcome string"
 
 
+def least_shared(t: Column, u: Column) -> Column:
+    """How many tokens names of t and u tokens must share to be near: all of the smaller, or half of all."""
+    return F.least(t, u, F.ceil((t + u) / 3).cast("int"))
+
+
 def pairs(found: DataFrame) -> DataFrame:
-    """Near names (world_id, a, b), a < b, whose tokens are not the same."""
+    """Near names (world_id, a, b), a < b, whose tokens are not the same, of which one is longer than ``SHORT``."""
     t = found.select("world_id", F.col("norm").alias("a"), names.tokens("norm").alias("ta")).distinct()
-    near = names.near_pairs(t, t.withColumnsRenamed({"a": "b", "ta": "tb"}))
+    long_ = t.filter(F.size("ta") > SHORT)
+    near = names.near_pairs(long_, t.withColumnsRenamed({"a": "b", "ta": "tb"}))
     apart = ~((F.size("ta") == F.size("tb")) & (F.size(F.array_intersect("ta", "tb")) == F.size("ta")))
-    return near.filter((F.col("a") < F.col("b")) & apart).select("world_id", "a", "b")
+    return near.filter(apart).select("world_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def groups(found: DataFrame, links: DataFrame) -> DataFrame:
-    """(world_id, norm) -> the smallest name reachable over the links."""
-    end = lambda c: F.struct("world_id", F.col(c).alias("norm"))
-    label = components(links.select(end("a").alias("a"), end("b").alias("b"))).select("node.world_id", "node.norm", F.col("component.norm").alias("label"))
+def places(found: DataFrame) -> DataFrame:
+    """(world_id, norm, words, block, own, other): the blocks of each name, its side in each and the side whose names are near it.
+
+    ``words`` are a name's tokens in order; names with the same ones aren't near each other. Roles, which join nothing,
+    are in no block, nor are names alone.
+    """
+    kept = found.filter(~F.col("is_role")).select("world_id", "norm", F.array_sort(names.tokens("norm")).alias("tok"))
+    words = F.array_join("tok", " ").alias("words")
+    short = kept.filter(F.size("tok").between(1, SHORT)).withColumn("t", F.size("tok"))
+    sizes = short.groupBy("world_id").agg(F.collect_set("t").alias("sizes"))  # SHORT at most
+    sets = F.expr("transform(sequence(1, shiftleft(1, t) - 1), m -> filter(tok, (x, i) -> getbit(m, i) = 1))")
+    each = short.join(sizes, "world_id").select("world_id", "norm", words, "t", F.explode("sizes").alias("u"), "tok")
+    each = each.select("world_id", "norm", "words", "t", "u", F.explode(sets).alias("common")).filter(F.size("common") == least_shared(F.col("t"), F.col("u")))
+    block = F.concat_ws(" ", F.least("t", "u").cast("string"), F.greatest("t", "u").cast("string"), F.array_join("common", " "))
+    of_words = each.select("world_id", "norm", "words", block.alias("block"), F.col("t").alias("own"), F.col("u").alias("other"))
+    near = pairs(found.filter(~F.col("is_role")))
+    side = lambda c, own: near.select("world_id", F.col(c).alias("norm"), F.to_json(F.array("a", "b")).alias("block"), F.lit(own).alias("own"), F.lit(1 - own).alias("other"))
+    of_two = side("a", 0).unionByName(side("b", 1)).join(kept.select("world_id", "norm", words), ["world_id", "norm"])
+    all_ = of_words.unionByName(of_two.select(*of_words.columns))
+    meets = (F.min("own") != F.max("own")) | (F.bool_and(F.col("own") == F.col("other")) & (F.min("words") != F.max("words")))
+    used = all_.groupBy("world_id", "block").agg(meets.alias("meets")).filter("meets").select("world_id", "block")
+    return all_.join(used, ["world_id", "block"], "left_semi").select(*of_words.columns)
+
+
+def groups(found: DataFrame, at: DataFrame) -> DataFrame:
+    """(world_id, norm) -> the smallest name reachable over the blocks."""
+    end = lambda kind, c: F.struct("world_id", F.lit(kind).alias("kind"), F.col(c).alias("key"))
+    label = components(at.select(end(0, "norm").alias("a"), end(1, "block").alias("b"))).filter("node.kind = 0").select("node.world_id", F.col("node.key").alias("norm"), F.col("component.key").alias("label"))
     return found.select("world_id", "norm").join(label, ["world_id", "norm"], "left").withColumn("label", F.coalesce("label", "norm"))
 
 
-def earlier(found: DataFrame, links: DataFrame) -> DataFrame:
-    """(world_id, norm, before): of each link the later name and the earlier, by first position, then name; roles, which join nothing, are nobody's neighbour."""
-    kept = found.filter(~F.col("is_role")).select("world_id", "norm", F.struct("first_position", "norm").alias("at"))
-    end = lambda c: kept.select("world_id", F.col("norm").alias(c), F.col("at").alias(f"at_{c}"))
-    both = links.join(end("a"), ["world_id", "a"]).join(end("b"), ["world_id", "b"])
-    later = F.col("at_a") > F.col("at_b")
-    return both.select("world_id", F.when(later, F.col("a")).otherwise(F.col("b")).alias("norm"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("before"))
+def _met(side: dict[str, set[str]], words: str | None) -> set[str]:
+    """The roots on a side of a block but those of names with the same words; of more than one, two or more."""
+    met: set[str] = set()
+    for w, roots in side.items():
+        if w != words:
+            met |= roots
+            if len(met) > 1:
+                break
+    return met
+
+
+def _add(side: dict[str, set[str]], words: str, root: str) -> None:
+    """Adds a root to a side if that changes what some later name meets there, so a side stays of a few entries."""
+    if any(len(met) < 2 and root not in met for met in (_met(side, w) for w in (None, *side) if w != words)):
+        side.setdefault(words, set()).add(root)
 
 
-def fold(rows: DataFrame, links: DataFrame) -> DataFrame:
+def fold(rows: DataFrame, at: DataFrame) -> DataFrame:
     """Decisions on groups of names (rows with a ``label``), each in one pass in order."""
-    near = links.groupBy("world_id", "norm").agg(F.collect_list("before").alias("before"))
+    near = at.groupBy("world_id", "norm").agg(F.first("words").alias("words"), F.collect_list(F.struct("block", "own", "other")).alias("places"))
     both = rows.select("world_id", "norm", "label", "first_position", "is_role").join(near, ["world_id", "norm"], "left")
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        of: dict[str, str] = {}
+        sides: dict[tuple[str, int], dict[str, set[str]]] = {}
         out = []
         for r in pdf.sort_values(["first_position", "norm"]).itertuples():
             if r.is_role:
                 out.append((r.world_id, r.norm, None, "role"))
                 continue
-            met = {of[b] for b in r.before if b in of} if r.before is not None else set()
+            mine = r.places if r.places is not None else []
+            met = set().union(*(_met(sides.get((p["block"], p["other"]), {}), r.words) for p in mine))
             if len(met) > 1:
                 out.append((r.world_id, r.norm, None, "ambiguous"))
                 continue
-            of[r.norm] = met.pop() if met else r.norm
-            out.append((r.world_id, r.norm, of[r.norm], "new" if of[r.norm] == r.norm else "alias"))
+            root = met.pop() if met else r.norm
+            for p in mine:
+                _add(sides.setdefault((p["block"], p["own"]), {}), r.words, root)
+            out.append((r.world_id, r.norm, root, "new" if root == r.norm else "alias"))
         return pd.DataFrame(out, columns=["world_id", "norm", "root", "outcome"])
 
     return both.groupBy("world_id", "label").applyInPandas(decide, DECIDED)
 
 
-def rounds(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """The same decisions by joins, for groups too large for one task: as many rounds as the longest run of names that wait for one another."""
-    links = cut(links)
-    waits = links.groupBy("world_id", "norm").agg(F.count("*").alias("n"))
-    open_ = cut(rows.select("world_id", "norm", "is_role").join(waits, ["world_id", "norm"], "left").fillna(0, ["n"]))
-    done = cut(rows.sparkSession.createDataFrame([], DECIDED))
-    while not open_.isEmpty():
-        settled = done.select("world_id", F.col("norm").alias("before"), "root")
-        met = links.join(open_.select("world_id", "norm"), ["world_id", "norm"], "left_semi").join(settled, ["world_id", "before"])
-        met = met.groupBy("world_id", "norm").agg(F.count("*").alias("settled"), F.min("root").alias("least"), F.max("root").alias("most"))
-        ready = open_.join(met, ["world_id", "norm"], "left").filter(F.col("is_role") | (F.coalesce("settled", F.lit(0)) == F.col("n")))
-        several = F.coalesce(F.col("least") != F.col("most"), F.lit(False))
-        outcome = F.when(F.col("is_role"), "role").when(several, "ambiguous").when(F.col("least").isNull(), "new").otherwise("alias")
-        root = F.when(~F.col("is_role") & ~several, F.coalesce("least", "norm"))
-        new = cut(ready.select("world_id", "norm", root.alias("root"), outcome.alias("outcome")))
-        done, open_ = cut(done.unionByName(new)), cut(open_.join(new, ["world_id", "norm"], "left_anti"))
-    return done
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names in order of world, block and appearance, with their roots -> the least and the most root that each meets in each block."""
+    last, sides = None, {}
+    for batch in batches:
+        out = []
+        for world, norm, words, block, own, other, root in zip(*(c.to_pylist() for c in batch.columns)):
+            if (world, block) != last:
+                last, sides = (world, block), {}
+            met = _met(sides.get(other, {}), words)
+            if met:
+                out.append((world, norm, min(met), max(met)))
+            if root is not None:
+                _add(sides.setdefault(own, {}), words, root)
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["world_id", "norm", "least", "most"])
+
+
+def rounds(rows: DataFrame, at: DataFrame) -> DataFrame:
+    """The same decisions in rounds, for groups too large for one task.
+
+    A decision depends on earlier names alone, so when none changes, all are right. A round settles at least the names
+    whose earlier neighbours are settled, and mostly far more, since of a block's names only the first of the first two roots matter.
+    """
+    at = cut(at.join(rows.select("world_id", "norm", "first_position"), ["world_id", "norm"]))
+    now = cut(rows.select("world_id", "norm", "is_role", F.when(~F.col("is_role"), F.col("norm")).alias("root")))
+    while True:
+        ordered = at.join(now, ["world_id", "norm"]).repartition("world_id", "block").sortWithinPartitions("world_id", "block", F.asc_nulls_last("first_position"), "norm")
+        met = ordered.select("world_id", "norm", "words", "block", "own", "other", "root").mapInArrow(_told, "world_id long, norm string, least string, most string")
+        met = met.groupBy("world_id", "norm").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+        root = F.when(F.col("is_role") | F.coalesce(F.col("least") != F.col("most"), F.lit(False)), F.lit(None)).otherwise(F.coalesce("least", "norm"))
+        new = cut(now.withColumnRenamed("root", "was").join(met, ["world_id", "norm"], "left").select("world_id", "norm", "is_role", "was", root.alias("root")))
+        now = new.drop("was")
+        if new.filter(~F.col("was").eqNullSafe(F.col("root"))).isEmpty():
+            outcome = F.when(F.col("is_role"), "role").when(F.col("root").isNull(), "ambiguous").when(F.col("root") == F.col("norm"), "new").otherwise("alias")
+            return now.select("world_id", "norm", "root", outcome.alias("outcome"))
 
 
 def resolve(mentions: DataFrame, present: DataFrame, seed: DataFrame | None = None, most: int = MOST) -> DataFrame:
@@ -102,18 +169,16 @@ def resolve(mentions: DataFrame, present: DataFrame, seed: DataFrame | None = No
         s = seed.select("world_id", "norm", "surface", "kind", F.lit(-1).alias("first_position"), F.lit(True).alias("seeded"))
         base = s.unionByName(base.join(seed.select("world_id", "norm"), ["world_id", "norm"], "left_anti"))
     base = cut(base.withColumn("is_role", text.is_role_reference("surface")))
-    near = cut(pairs(base))
-    rows = base.join(groups(base, near), ["world_id", "norm"])
-    links = earlier(base, near)
-    large = rows.groupBy("world_id", "label").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("world_id", "label")
-    large = cut(large)
+    at = cut(places(base))
+    rows = cut(base.join(groups(base, at), ["world_id", "norm"]))
+    large = cut(rows.groupBy("world_id", "label").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("world_id", "label"))
     if large.isEmpty():
-        decided = fold(rows, links)
+        decided = fold(rows, at)
     else:
-        own = rows.join(large, ["world_id", "label"], "left_semi").select("world_id", "norm")
-        decided = fold(rows.join(large, ["world_id", "label"], "left_anti"), links.join(own, ["world_id", "norm"], "left_anti")).unionByName(
-            rounds(rows.join(large, ["world_id", "label"], "left_semi"), links.join(own, ["world_id", "norm"], "left_semi"))
-        )
+        own = rows.join(large, ["world_id", "label"], "left_semi")
+        apart = own.select("world_id", "norm")
+        decided = fold(rows.join(large, ["world_id", "label"], "left_anti"), at.join(apart, ["world_id", "norm"], "left_anti")).unionByName(rounds(own, at.join(apart, ["world_id", "norm"], "left_semi")))
+    decided = cut(decided)
     shown = present.select("world_id", "norm", F.lit(True).alias("shown")).distinct()
     members = decided.join(base, ["world_id", "norm"]).join(shown, ["world_id", "norm"], "left").withColumn("shown", F.coalesce("shown", F.lit(False)))
     return members.select("world_id", "norm", "surface", "outcome", "root", F.col("kind").alias("own_kind")).join(entities(members), ["world_id", "root"], "left").select(

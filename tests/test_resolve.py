@@ -115,3 +115,28 @@ def test_a_hundred_thousand_names_in_one_group(spark):
     found = resolve.resolve(m, spark.createDataFrame([], "world_id long, norm string"))
     got = {r.outcome: r["count"] for r in found.groupBy("outcome").count().collect()}
     assert got == {"new": 1, "alias": n - 1}
+
+
+def test_long_names_and_names_with_the_same_words_equal_the_loop(spark):
+    """Names of more than ``SHORT`` tokens meet in blocks of two; those of the same words in another order are not near."""
+    rng = Random(11)
+    words = [f"n{i}" for i in range(12)]
+    names = sorted({" ".join(rng.sample(words, rng.choice([1, 2, 2, 3, 5, 6, 7, 9]))) for _ in range(150)} | {"n1 n2", "n2 n1", "n1 n2 n3", "n3 n1 n2", "n2 n3 n1"})
+    rows = [(n, n.title(), rng.randint(1, 40)) for n in names]
+    m = spark.createDataFrame([(1, s, "character", p) for _, s, p in rows], "world_id long, surface string, kind string, position int")
+    present = spark.createDataFrame([], "world_id long, norm string")
+    want = resolved_in_a_loop(rows, set())
+    for most in (resolve.MOST, 3):
+        assert {r.norm: (r.entity, r.outcome, r.provisional) for r in resolve.resolve(m, present, most=most).collect()} == want
+
+
+def test_names_that_share_two_words_meet_without_pairs_and_in_few_rounds(spark):
+    """All of these are near one another; their places grow with the names, and rounds don't wait for each name's turn."""
+    n = 400
+    rows = [(f"old user {i}", f"Old User {i}", i % 50) for i in range(n)] + [(f"user {i}", f"User {i}", (i * 7) % 50) for i in range(n)]
+    found = spark.createDataFrame([(1, norm, False) for norm, _, _ in rows], "world_id long, norm string, is_role boolean")
+    assert resolve.places(found).count() <= 8 * len(rows)
+    m = spark.createDataFrame([(1, s, "character", p) for _, s, p in rows], "world_id long, surface string, kind string, position int")
+    present = spark.createDataFrame([], "world_id long, norm string")
+    got = {r.norm: (r.entity, r.outcome, r.provisional) for r in resolve.resolve(m, present, most=3).collect()}
+    assert got == resolved_in_a_loop(rows, set())
