@@ -287,16 +287,32 @@ def contract(found: DataFrame) -> DataFrame:
 def document_lines(found: DataFrame, worlds: DataFrame) -> DataFrame:
     """(world_id, place, line): a world's lines in order of place are one JSON document, {"findings": [...]}, the worst findings first."""
     fields = F.to_json(F.struct(*[F.col(c).alias(name) for name, c in CONTRACT.items()]), {"ignoreNullFields": "false"})
-    order = Window.partitionBy("world_id").orderBy(checks.severity_rank(), "check_name", "scene_id", "assertion_a", "assertion_b", "explanation")
-    ranked = found.select("world_id", fields.alias("json"), F.row_number().over(order).cast("long").alias("place"))
+    order = ["world_id", checks.severity_rank(), "check_name", "scene_id", "assertion_a", "assertion_b", "explanation"]
+    ranked = numbered(cut(found), order, "world_id").select("world_id", "place", fields.alias("json"))
     body = ranked.select("world_id", "place", F.concat(F.when(F.col("place") > 1, ",").otherwise(""), "json").alias("line"))
     all_ = worlds.select("world_id").distinct()
-    n = found.groupBy("world_id").agg(F.count("*").alias("n"))
+    n = ranked.groupBy("world_id").agg(F.count("*").alias("n"))
     first = all_.select("world_id", F.lit(0).cast("long").alias("place"), F.lit('{"findings": [').alias("line"))
     last = all_.join(n, "world_id", "left").select("world_id", (F.coalesce("n", F.lit(0)) + 1).alias("place"), F.lit("]}").alias("line"))
     return body.unionByName(first).unionByName(last)
 
 
+def numbered(df: DataFrame, order: list[Column | str], key: str) -> DataFrame:
+    """Rows with their ``place`` from 1 in the order within each key, which ``order`` begins with, for few keys of many rows: no key is sorted in one task.
+
+    Rows are parted by ranges of the order and numbered in each part; then a part's rows come after those of the key in
+    the parts before.
+    """
+    # The lower 33 bits of this id number the rows of a part, the others the part itself.
+    parted = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33).alias("__part")
+    sizes = parted.groupBy(key, part).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy(key).orderBy("__part")) - F.col("__n")
+    starts = sizes.select(key, "__part", (F.col("__first") - before).alias("__start"))
+    both = parted.withColumn("__part", part).join(F.broadcast(starts), [key, "__part"])
+    return both.select(*df.columns, (F.col("__id") - F.col("__start") + 1).alias("place"))
+
+
 def write_documents(found: DataFrame, worlds: DataFrame, path: str) -> None:
     """One JSON document a world, as text: rows stream into a world's file in their order."""
     lines = document_lines(found, worlds).repartition("world_id").sortWithinPartitions("world_id", "place")
