@@ -125,7 +125,7 @@ QUERIES = {
     "fact_matches": _with(_handles),
     "report_sections": _stored(_sections),
     "gated_rows": _gated,
-    "cut_reasons": _with(lambda g: ripple.cut_reasons(g, change_table(g))),
+    "cut_reasons": _stored(lambda g: ripple.cut_reasons(g, change_table(g))),
     "bible_timeline": _with(dossier.timeline),
     "bible_destructions": _with(dossier.destructions),
     "bible_occupations": _with(dossier.occupations),
