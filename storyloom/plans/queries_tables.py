@@ -27,7 +27,7 @@ def _stored(fn):
 
 
 def _found(g: Graph) -> DataFrame:
-    return checks.run_checks(g)[0]
+    return checks.all_findings(g)
 
 
 def _constraints(s: SparkSession, d: str) -> DataFrame:
