@@ -116,8 +116,8 @@ QUERIES = {
     "check_dangling_reference": lambda s, d: checks.dangling_reference(derive(s, d)),
     "check_capability_violation": lambda s, d: checks.capability_violation(derive(s, d)),
     "check_idle_setup": lambda s, d: checks.idle_setup(stored.derived(s, d)),
-    "run_checks": lambda s, d: checks.run_checks(stored.derived(s, d))[0],
-    "severity_summary": lambda s, d: checks.run_checks(stored.derived(s, d))[0].groupBy("world_id", "severity").agg(F.count_if(~F.col("sealed")).alias("live"), F.count_if("sealed").alias("sealed")),
+    "run_checks": lambda s, d: checks.all_findings(stored.derived(s, d)),
+    "severity_summary": lambda s, d: checks.all_findings(stored.derived(s, d)).groupBy("world_id", "severity").agg(F.count_if(~F.col("sealed")).alias("live"), F.count_if("sealed").alias("sealed")),
     "hole_unknown_entity": lambda s, d: holes.unknown_entity(derive(s, d)),
     "hole_open_thread": lambda s, d: holes.open_thread(derive(s, d)),
     "hole_unsourced_knowledge": lambda s, d: holes.unsourced_knowledge(derive(s, d)),
