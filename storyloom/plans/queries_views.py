@@ -102,7 +102,7 @@ QUERIES = {
     "text_functions": text_functions,
     "rule_cannot": _ruled(rules.cannot),
     "rule_only": _ruled(rules.only),
-    "rule_exception": _ruled(lambda g, r: rules.without_exceptions(g, checks.run_checks(g)[0], r)),
+    "rule_exception": _ruled(lambda g, r: rules.without_exceptions(g, checks.all_findings(g), r)),
     "compose_findings": _ruled(rules.compose),
     "ripple_proposed": _changed(lambda g, c: ripple.proposed(g, c).select("change_id", "world_id", "status", "lo", "hi")),
     "related_assertions": _changed(ripple.related),
