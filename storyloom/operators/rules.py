@@ -76,7 +76,7 @@ def without_exceptions(g: Graph, found: DataFrame, rules: DataFrame) -> DataFram
 
 def compose(g: Graph, rules: DataFrame) -> DataFrame:
     """Checks and rules together, sealed ones marked, less exceptions."""
-    found, _ = checks.run_checks(g)
+    found = checks.all_findings(g)
     more = checks.mark_sealed(cannot(g, rules).unionByName(only(g, rules)), g.seals)
     return without_exceptions(g, found.unionByName(more), rules)
 
