@@ -172,7 +172,7 @@ def test_stored_tables_join_without_exchange(spark):
     assert sorted(map(tuple, stored.load(spark, "kept").works.collect())) == sorted(map(tuple, g.works.collect()))
 
 
-FINDING_QUERIES = ["assertion_page", "finding_page", "findings_contract", "findings_documents", "report_sections", "trap_scores", "world_list_findings", "severity_summary", "run_checks", "rule_exception", "compose_findings"]
+FINDING_QUERIES = ["assertion_page", "finding_page", "findings_contract", "findings_documents", "report_sections", "trap_scores", "world_list_findings", "severity_summary", "run_checks", "rule_exception", "compose_findings", "findings_touching"]
 
 
 @pytest.mark.parametrize("name", FINDING_QUERIES)
